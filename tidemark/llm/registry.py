@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup as m10
+from tidemark.llm import chat, licenses, line_dedup, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op10_line_dedup": m10.op10_line_dedup}
+    return {
+        "op1_chat_format": chat.op1_chat_format,
+        "op3_license_scan": licenses.op3_license_scan,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op6_quality": quality.op6_quality,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": m10.OP10_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL}

@@ -82,8 +82,11 @@ class Words:
         sums = np.empty(len(buf) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-        width = (self.end - self.start).astype(np.uint64)
-        self.key = mix((sums[self.end] - sums[self.start]) * down[self.start] + width * _GRAM[63])
+        self._sums, self._down = sums, down
+        self.key = self._hash(self.start, self.end)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64) * _GRAM[63])
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -113,6 +116,11 @@ class Words:
         order = np.argsort(doc, kind="stable")
         return doc[order], np.concatenate([pos, np.zeros(len(few), np.int64)])[order], np.concatenate([key, mix(more)])[order]
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index and hash of the first n bytes of each word that is longer."""
+        i = np.flatnonzero(self.end - self.start > n)
+        return i, mix(self._hash(self.start[i], self.start[i] + n) ^ np.uint64(n))
+
     def text(self, i: int) -> str:
         return self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
