@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, licenses, line_dedup, quality, toxicity
+from tidemark.llm import chat, licenses, line_dedup, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op6_quality": quality.op6_quality,
+        "op7_packing": packing.op7_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
