@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, embeddings, licenses, line_dedup, packing, quality, secrets, toxicity
+from tidemark.llm import chat, decontaminate, embeddings, licenses, line_dedup, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_quality": quality.op6_quality,
         "op7_packing": packing.op7_packing,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
