@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, embeddings, licenses, line_dedup, packing, quality, secrets, toxicity
+from tidemark.llm import chat, decontaminate, embeddings, licenses, line_dedup, ngram_join, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_secret_scan": secrets.op5_secret_scan,
