@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import queries_events  # noqa: F401
+from tidemark.plans.register import ORACLE, QUERIES  # noqa: F401
