@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries_events  # noqa: F401
+from tidemark.plans import queries_events, queries_evidence  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES  # noqa: F401

@@ -73,12 +73,12 @@ def farm_candidate_pings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{WITH_PINGS}, near AS (
-  SELECT p.*, t.found_id, {DIST} AS dist_m FROM pings p JOIN (SELECT found_id, latitude AS lat, longitude AS lon FROM turbines WHERE wind_farm = 'GERMANY') t
+  SELECT p.*, t.found_id, {DIST} AS dist_m FROM pings p JOIN (SELECT found_id, latitude AS lat, longitude AS lon FROM turbines WHERE wind_farm = 'NATION_7') t
   ON t.lat BETWEEN p.lat - 0.002 AND p.lat + 0.002 AND t.lon BETWEEN p.lon - 0.004 AND p.lon + 0.004 WHERE sog < 1.0)
 SELECT mmsi, count(DISTINCT ts) AS pings FROM near WHERE dist_m < 100 GROUP BY mmsi""")
 def candidate_vessels(spark: SparkSession, sf: str) -> DataFrame:
     """AG-06."""
-    return P.candidate_vessels(R.pings(spark, sf), R.turbines(spark, sf), "GERMANY")
+    return P.candidate_vessels(R.pings(spark, sf), R.turbines(spark, sf), "NATION_7")
 
 
 @query(f"WITH {R.PINGS} SELECT mmsi, count(*) AS pings, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM pings WHERE lat BETWEEN 54 AND 54.5 AND lon BETWEEN 6 AND 7 AND sog < 0.4 GROUP BY mmsi")

@@ -32,14 +32,14 @@ def turbines(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
         k.alias("found_id"), F.col("n_name").alias("wind_farm"), F.col("r_name").alias("country"), turbine_lat(k).alias("latitude"), turbine_lon(k).alias("longitude"),
-        (2.0 + F.pmod(k, F.lit(9))).alias("rated_power"), (80.0 + F.pmod(k, F.lit(10)) * 12).alias("rotor_diameter"), F.add_months(F.lit("2023-01-01").cast("date"), F.pmod(k, F.lit(24)).cast("int") - 12).alias("commissioning"),
+        (2.0 + F.pmod(k, F.lit(9))).alias("rated_power"), (80.0 + F.pmod(k, F.lit(10)) * 12).alias("rotor_diameter"), F.add_months(F.lit("1996-01-01").cast("date"), F.pmod(k, F.lit(36)).cast("int")).alias("commissioning"),
     )
 
 
 TURBINES = """turbines AS (
   SELECT s_suppkey AS found_id, n_name AS wind_farm, r_name AS country, 54.0::DOUBLE + (s_suppkey * 37 % 97) * 0.01::DOUBLE AS latitude,
          6.0::DOUBLE + (s_suppkey * 53 % 97) * 0.02::DOUBLE AS longitude, 2.0::DOUBLE + s_suppkey % 9 AS rated_power, 80.0::DOUBLE + (s_suppkey % 10) * 12 AS rotor_diameter,
-         (DATE '2023-01-01' + to_months((s_suppkey % 24 - 12)::INT))::DATE AS commissioning
+         (DATE '1996-01-01' + to_months((s_suppkey % 36)::INT))::DATE AS commissioning
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
