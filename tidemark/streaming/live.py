@@ -52,7 +52,7 @@ def nearby_samples(pings: DataFrame, samples: DataFrame, key: str, tolerance: st
     return a.join(b, near)
 
 
-def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget: str = "2 hours") -> DataFrame:
+def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget_hours: float = 2.0) -> DataFrame:
     """For each vessel's pings the implied speed since its last known one and an alert when it is impossible.
 
     State is a vessel's last time and place and is forgotten after a silence
@@ -76,10 +76,10 @@ def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget: str = "2 ho
                     knots = 2 * 3440.065 * math.asin(min(1.0, math.sqrt(a))) / ((now - last[0]) / 3600)
                 rows.append((key[0], r.ts, r.lat, r.lon, knots, knots is not None and knots > max_knots))
                 if not last or now >= last[0]:
-                    last = (now, r.lat, r.lon)
+                    last = (float(now), float(r.lat), float(r.lon))
         if last:
             state.update(last)
-            state.setTimeoutTimestamp(max(int(last[0] * 1000), state.getCurrentWatermarkMs() + 1), forget)
+            state.setTimeoutTimestamp(int(max(last[0] * 1000 + forget_hours * 3.6e6, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame(rows, columns=["mmsi", "ts", "lat", "lon", "implied_knots", "alert"])
 
     return stream.withWatermark("ts", "1 hour").groupBy("mmsi").applyInPandasWithState(step, out, "t double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
