@@ -65,3 +65,44 @@ def depth_assignment(points: DataFrame, payloads: DataFrame, step: float = 1 / 4
     depth = F.abs(F.coalesce("x.avg", "x.smoothed"))
     status = F.when(F.col("asked").isNull(), "source_request_failed").when(F.col("payload").isNull(), "source_payload_missing").when(depth.isNull(), "source_depth_missing").otherwise("ok")
     return out.select(*points.columns, depth.alias("water_depth_m"), geo.snap(F.col("lat"), step).alias("grid_lat"), geo.snap(F.col("lon"), step).alias("grid_lon"), status.alias("depth_status"))
+
+
+def materialization_plan(field: DataFrame, points: DataFrame, existing: DataFrame, variables: list[str]) -> DataFrame:
+    """For each farm's field: variables present and missing, time range, step, years, expected rows, and whether it is ready or there already.
+
+    field has wind_farm, ts, grid_lat, grid_lon and some of the variables;
+    existing has wind_farm and year of what was made before.
+    """
+    have = [v for v in variables if v in field.columns]
+    per = field.groupBy("wind_farm").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_distinct("ts").alias("times"), F.array_sort(F.collect_set(F.year("ts"))).alias("years"),
+        *(F.max(F.col(v).isNotNull()).alias(f"__{v}") for v in have),
+    )
+    n = points.groupBy("wind_farm").agg(F.count(F.lit(1)).alias("points"))
+    done = existing.groupBy("wind_farm").agg(F.array_sort(F.collect_set("year")).alias("done"))
+    out = per.join(n, "wind_farm", "left").join(done, "wind_farm", "left")
+    present = F.array_compact(F.array(*(F.when(F.col(f"__{v}"), F.lit(v)) for v in have))) if have else F.expr("cast(array() as array<string>)")
+    step = (F.unix_seconds("last") - F.unix_seconds("first")) / 3600.0 / F.nullif(F.col("times") - 1, F.lit(0))
+    out = out.withColumns({"present": present, "step_h": step, "expected_rows": F.col("times") * F.coalesce("points", F.lit(0)), "left_years": F.array_except("years", F.coalesce("done", F.expr("cast(array() as array<int>)")))})
+    out = out.withColumn("missing", F.array_except(F.array(*map(F.lit, variables)), F.col("present")))
+    state = F.when(F.col("points").isNull(), "blocked_no_points").when(F.size("missing") > 0, "blocked_missing_variables").when(F.size("left_years") == 0, "done").otherwise("ready")
+    return out.withColumn("state", state).drop(*(f"__{v}" for v in have))
+
+
+def blocked_rows(points: DataFrame, source: str, year: int, reason: str, values: list[str]) -> DataFrame:
+    """One row of nulls with the reason for each site point of an unavailable source."""
+    return points.select("wind_farm", "sample_point_id", F.lit(source).alias("source"), F.lit(year).alias("year"), *(F.lit(None).cast("double").alias(v) for v in values), F.lit(reason).alias("missing_reason"))
+
+
+def candidate_sites(files: DataFrame, turbines: DataFrame) -> DataFrame:
+    """Sites found in cache file names (column file): place, nearest farm centroid and the months covered."""
+    from tidemark.functions.values import file_fields
+
+    lat, lon, year, month = file_fields(F.col("file"))
+    sites = files.select(lat.alias("lat"), lon.alias("lon"), F.format_string("%04d-%02d", year, month).alias("month")).filter("lat is not null")
+    sites = sites.groupBy("lat", "lon").agg(F.array_sort(F.collect_set("month")).alias("months"))
+    farms = turbines.groupBy("wind_farm").agg(F.avg("latitude").alias("f_lat"), F.avg("longitude").alias("f_lon"))
+    # a site per cache file and a centroid per farm: both are short lists of names
+    km = geo.haversine(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"), geo.EARTH_KM)
+    met = sites.crossJoin(F.broadcast(farms)).withColumn("km", km)
+    return met.groupBy("lat", "lon", "months").agg(F.min_by("wind_farm", F.struct("km", "wind_farm")).alias("nearest_farm"), F.min("km").alias("km"))
