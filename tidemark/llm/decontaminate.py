@@ -62,8 +62,8 @@ def find_leaks(
     item_id: str = "item_id",
     n: int = 3,
     rare_share: float = 0.5,
-    least_seeds: int = 4,
-    least_score: float = 0.5,
+    least_seeds: int = 12,
+    least_score: float = 0.45,
 ) -> DataFrame:
     """Passages of docs that are test items, copied, edited or paraphrased: id, item id, score, start_word (of the window) and end_word.
 
