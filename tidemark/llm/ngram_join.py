@@ -126,6 +126,16 @@ def _verify(pairs: DataFrame, names: DataFrame, texts: DataFrame, kind: str, n:
     return met.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "id").mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long")
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after links (a, b) of ids have joined their components."""
+    a, b = (labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
+    edges = cut(links.join(a, "a").join(b, "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not edges.head(1):
+        return labels
+    top = components(edges).withColumnRenamed("node", "component")
+    return cut(labels.join(top, "component", "left").select("id", F.coalesce("label", "component").alias("component")))
+
+
 def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row for each id of df: id, n_shingles, component_id; documents link when their Jaccard similarity is num/den or more.
 
@@ -147,10 +157,12 @@ def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
        holds no news and is skipped; two blocks of a list are skipped when
        their bounds of size and position rule a link out.
     4. What is left are pairs of homes of different components, whose
-       distance is computed. Members' answers are derived from it: by the
-       triangle inequality of the Jaccard distance no member can link when
-       the homes are too far apart for their radii; the few pairs of homes in
-       between have their members looked up in the lists.
+       distance is computed; those that link join components. Members'
+       answers are derived from the others: by the triangle inequality of the
+       Jaccard distance no member can link when the homes are too far apart
+       for their radii. Only of homes in between, and still in different
+       components, are the members looked up in the lists, from the home with
+       fewer members, each within its own radius.
 
     No step emits the pairs of a group; what a group of copies costs is
     linear in its size. Texts are shuffled for verification only.
@@ -196,26 +208,32 @@ def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     # 4. homes, then members of homes in between
     second = cut(_verify(homes, names, texts, kind, n).select("a", "b", distance.alias("d"), linked.alias("linked")))
-    radius = entries.groupBy("home").agg(F.max("r").alias("r")).filter("r > 0")
-    between = second.filter(~F.col("linked")).join(radius.select(F.col("home").alias("a"), F.col("r").alias("ra")), "a", "left").join(radius.select(F.col("home").alias("b"), F.col("r").alias("rb")), "b", "left")
-    reach = F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))
-    between = cut(between.filter((reach > 0) & (F.col("d") <= far + reach + slack)).select("a", "b", "d"))
-    links = second.filter("linked").select("a", "b")
+    of = entries.select("id", "component")
+    labels = _merge(of, second.filter("linked").select("a", "b"))
+    ends = labels.select("id", "component")
+    facts = entries.groupBy("home").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("members"))
+    side = lambda c: ends.join(facts, F.col("id") == F.col("home"), "left").select(F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.coalesce("r", F.lit(0.0)).alias(f"r{c}"), F.coalesce("members", F.lit(0)).alias(f"m{c}"))
+    apart = second.filter(~F.col("linked")).join(side("a"), "a").join(side("b"), "b").filter("ca != cb")
+    apart = apart.filter((F.col("ra") + F.col("rb") > 0) & (F.col("d") <= far + F.col("ra") + F.col("rb") + slack))
+    # of two homes the one with fewer members is looked up first
+    swap = F.col("ma") > F.col("mb")
+    between = cut(apart.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("many"), F.when(swap, F.col("ra")).otherwise(F.col("rb")).alias("reach"), "d"))
     if between.head(1):
-        left = lists.select("e", F.col("home").alias("a"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("r").alias("ra")).join(between, "a")
-        right = lists.select("e", F.col("home").alias("b"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("r").alias("rb"))
-        members = left.join(right, ["e", "b"]).filter(
-            (F.col("d") <= far + F.col("ra") + F.col("rb") + slack)
+        shared = blocks.select("e", F.col("home").alias("few")).join(between, "few").join(blocks.select("e", F.col("home").alias("many")), ["e", "many"])
+        left = lists.select("e", F.col("home").alias("few"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("r").alias("ra"))
+        right = lists.select("e", F.col("home").alias("many"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("r").alias("rb")).alias("y")
+        x = shared.join(left, ["e", "few"]).filter(F.col("d") <= far + F.col("ra") + F.col("reach") + slack).alias("x")
+        met = (
+            (F.col("x.e") == F.col("y.e"))
+            & (F.col("x.many") == F.col("y.many"))
+            & (F.col("d") <= far + F.col("ra") + F.col("rb") + slack)
             & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
             & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (num + den) >= (F.col("na") + F.col("nb")) * num)
-            & ((F.col("ia") != F.col("a")) | (F.col("ib") != F.col("b")))
+            & ((F.col("a") != F.col("few")) | (F.col("b") != F.col("y.many")))
         )
-        third = _verify(members.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), names, texts, kind, n)
-        links = links.union(third.filter(linked).select("a", "b"))
-    of = entries.select("id", "component")
-    joined = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    top = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "component")
-    final = of.join(top, "component", "left").select("id", F.coalesce("label", "component").alias("component"))
+        third = _verify(x.join(right, met).select("a", "b").distinct(), names, texts, kind, n)
+        labels = _merge(labels, third.filter(linked).select("a", "b"))
+    final = labels
     by_set = cut(names.join(final, "id").select("s1", "s2", "component"))
     cut_documents = cut(documents)
     out = cut_documents.join(by_set, ["s1", "s2"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
