@@ -111,10 +111,10 @@ def event_points(events: DataFrame, turbines: DataFrame, mode: str) -> DataFrame
     if mode == "event":
         lat, lon, out = F.col("centroid_lat"), F.col("centroid_lon"), events
     elif mode == "asset":
-        out = events.join(F.broadcast(turbines.select("found_id", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"))), "found_id", "left")
+        out = events.join(turbines.select("found_id", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon")), "found_id", "left")
         lat, lon = F.col("__lat"), F.col("__lon")
     elif mode == "farm":
-        out = events.join(F.broadcast(turbines.groupBy("wind_farm").agg(F.avg("latitude").alias("__lat"), F.avg("longitude").alias("__lon"))), "wind_farm", "left")
+        out = events.join(turbines.groupBy("wind_farm").agg(F.avg("latitude").alias("__lat"), F.avg("longitude").alias("__lon")), "wind_farm", "left")
         lat, lon = F.col("__lat"), F.col("__lon")
     else:
         raise ValueError(mode)

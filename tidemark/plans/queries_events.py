@@ -107,7 +107,7 @@ FROM j WHERE hours < 0 OR (hours = 0 AND nm > 0) OR (hours > 0 AND nm / hours >
 def impossible_jumps(spark: SparkSession, sf: str) -> DataFrame:
     """JN-16, SC-19."""
     t = R.turbines(spark, sf).select("found_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    return rounded(P.impossible_jumps(_dwell(spark, sf).join(F.broadcast(t), "found_id"), 5.0).select("mmsi", "event_id", "nm", "hours", "reason"), nm=4, hours=4)
+    return rounded(P.impossible_jumps(_dwell(spark, sf).join(t, "found_id"), 5.0).select("mmsi", "event_id", "nm", "hours", "reason"), nm=4, hours=4)
 
 
 @query(f"""WITH {R.PINGS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 20 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM pings WINDOW w AS (PARTITION BY mmsi ORDER BY ts)),

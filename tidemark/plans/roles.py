@@ -74,7 +74,7 @@ def dwells(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     t = turbines(spark, sf).select(F.col("found_id").alias("t_id"), "wind_farm")
     found = F.pmod(k * 17, F.lit(97)) + 1
-    return o.withColumn("found_id", found).join(F.broadcast(t), F.col("found_id") == F.col("t_id")).select(
+    return o.withColumn("found_id", found).join(t, F.col("found_id") == F.col("t_id")).select(
         k.alias("dwell_id"), F.col("o_custkey").alias("mmsi"), "found_id", "wind_farm", F.col("o_orderdate").alias("start_utc"),
         F.timestamp_seconds(F.unix_seconds("o_orderdate") + F.pmod(k * 41, F.lit(300)) * 60).alias("end_utc"), F.pmod(k * 41, F.lit(300)).cast("double").alias("duration_min"),
         F.element_at(F.array(*map(F.lit, "ABCD")), (F.pmod(k, F.lit(4)) + 1).cast("int")).alias("dwell_tier"), (F.pmod(k * 7, F.lit(700)) * 1.0).alias("dist_m"),

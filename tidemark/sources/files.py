@@ -102,7 +102,7 @@ def views(spark: SparkSession) -> list[str]:
 
 def read_archive(spark: SparkSession, root: str, wanted: DataFrame, keys: tuple[str, ...] = ("wind_farm", "year")) -> DataFrame:
     """Rows of a partitioned archive for the wanted keys; Spark prunes partitions by them at run time."""
-    return spark.read.parquet(root).join(F.broadcast(wanted.select(*keys).distinct()), list(keys), "left_semi")
+    return spark.read.parquet(root).join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def write_archive(df: DataFrame, root: str, existing: DataFrame | None = None, keys: tuple[str, ...] = ("wind_farm", "year")) -> None:
