@@ -16,9 +16,9 @@ from tidemark.plans.lineage import cut
 #: Counters of the frequency sketch (4 MiB, whatever the corpus), and of them in a block that is shuffled.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Minimum hashes by which sets find a likely leader, and members that one verification task compares with a leader.
-LEADER_HASHES, MEMBERS = 4, 256
+LEADER_HASHES, MEMBERS = 12, 256
 
-_SEEDS = np.random.default_rng(5).integers(1, 2**63, 8, dtype=np.uint64)
+_SEEDS = np.random.default_rng(5).integers(1, 2**63, 2 + LEADER_HASHES, dtype=np.uint64)
 _LOW = np.uint64(64 - 20)
 
 
@@ -80,7 +80,7 @@ def _digest(texts: DataFrame, kind: str, n: int, rank: np.ndarray, num: int, den
                     if not len(s):
                         out.append((0, 0, 0, [], []))
                         continue
-                    least = [int(mix(s ^ k).min().view(np.int64)) for k in _SEEDS[2 : 2 + LEADER_HASHES]]
+                    least = [int(mix(s ^ k).min().view(np.int64)) for k in _SEEDS[2:]]
                     placed = np.sort((rank[(s >> _LOW).astype(np.int64)].astype(np.uint64) << _LOW) | (s & np.uint64((1 << 44) - 1)))
                     prefix = len(s) - -(-num * len(s) // den) + 1
                     out.append((len(s), *_signature(s), least, signed(placed[:prefix])))
