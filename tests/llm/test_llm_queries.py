@@ -303,6 +303,16 @@ def test_leaks(spark, docs, awkward):
     assert decontaminate.find_leaks(awkward.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_edited_at_fixed_steps(spark):
+    items = {(step, size): " ".join(f"w{step}x{size}x{i}" for i in range(size)) for step in (4, 5) for size in range(30, 60)}
+    ids = {k: i for i, k in enumerate(items)}
+    edited = [(ids[k], "z " * 40 + " ".join(w if (i + 1) % k[0] else "changed" for i, w in enumerate(t.split())) + " z" * 40) for k, t in items.items()]
+    bench = spark.createDataFrame([(ids[k], t) for k, t in items.items()], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(edited, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in ids.values()}
+    assert all(r.score > 0.55 for r in got)
+
+
 # ---- 9 embeddings
 
 

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import ALNUM, signed, steps
@@ -61,18 +61,15 @@ def find_leaks(
     item_text: str = "text",
     item_id: str = "item_id",
     n: int = 3,
-    rare_share: float = 0.5,
-    least_seeds: int = 12,
     least_score: float = 0.45,
 ) -> DataFrame:
     """Passages of docs that are test items, copied, edited or paraphrased: id, item id, score, start_word (of the window) and end_word.
 
-    Seeds are word n-grams of the items (words as in license scans; an item
-    of fewer words is one seed). How many documents have each is counted over
-    all whole texts, and each item keeps its rarest seeds: rare_share of them,
-    at least least_seeds. As rarity is relative to the item, a passage that
-    very many documents hold keeps its seeds all the same. Seeds join texts;
-    matches near one diagonal make a window around the passage, which
+    Seeds are all word n-grams of the items (words as in license scans; an
+    item of fewer words is one seed), common ones too: which of them an edited
+    copy still has can't be known beforehand. A passage without n unchanged
+    words in a row has no seed and isn't found. Seeds join texts; matches near
+    one diagonal make a window around the passage, which
     Smith-Waterman aligns with the whole item by words. The score is the
     alignment's over that of the item with itself; least_score and more is a
     leak, and of a document's windows on an item the best counts.
@@ -83,8 +80,8 @@ def find_leaks(
     side the result is empty.
 
     What leaves a text are its n-grams that pass a mask of fixed size, which
-    no seed fails; everything else is joins and partly summed counts. Texts
-    are shuffled once, when they meet their own windows.
+    no seed fails; everything else is joins and partly merged windows. Texts
+    are read twice and shuffled once, when they meet their own windows.
     """
     kind, item_kind = docs.schema[id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -97,10 +94,10 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc)), pa.array(pos), pa.array(signed(key)), pa.array(count)], ["item", "at", "hash", "words"])
 
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("item_text"))
-    grams = cut(items.mapInArrow(seeds_of, f"item {item_kind}, at long, hash long, words long"))
+    seeds = cut(items.mapInArrow(seeds_of, f"item {item_kind}, at long, hash long, words long"))
 
-    def hits(mask: np.ndarray, places: bool):
-        """n-grams of texts that pass the mask: each with its place, or how many texts of a batch have it."""
+    def hits(mask: np.ndarray):
+        """n-grams of texts that pass the mask, each with its place."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(mask).astype(bool)
@@ -108,23 +105,11 @@ def find_leaks(
                 for row, words in steps(batch.column(1), ALNUM):
                     doc, pos, key = words.grams(n, short=True)
                     hit = np.flatnonzero(bits[(key & np.uint64(MASK_BITS - 1)).astype(np.int64)])
-                    doc, pos, key = doc[hit], pos[hit], key[hit]
-                    if places:
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc)), pa.array(pos), pa.array(signed(key))], ["id", "pos", "hash"])
-                    else:
-                        one = np.unique(np.rec.fromarrays([key, doc], names="key,doc"))
-                        keys, times = np.unique(one.key, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(times)], ["hash", "docs"])
-
-        return texts.mapInArrow(run, f"id {kind}, pos long, hash long" if places else "hash long, docs long")
-
-    held = hits(_mask(grams), places=False).groupBy("hash").agg(F.sum("docs").alias("docs"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("docs", F.lit(0)), "hash", "at"))
-    many = F.count(F.lit(1)).over(Window.partitionBy("item"))
-    ranked = grams.join(held, "hash", "left").withColumns({"rank": rank, "many": many})
-    seeds = cut(ranked.filter(F.col("rank") <= F.greatest(F.ceil(F.col("many") * rare_share), F.lit(least_seeds))).select("item", "at", "hash", "words"))
-
-    met = hits(_mask(seeds), places=True).join(seeds, "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc[hit])), pa.array(pos[hit]), pa.array(signed(key[hit]))], ["id", "pos", "hash"])
+
+        return texts.mapInArrow(run, f"id {kind}, pos long, hash long")
+
+    met = hits(_mask(seeds)).join(seeds, "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
     slack = (F.col("words") / 4).cast("long") + 2
     windows = (
         met.groupBy("id", "item", "words", F.floor(F.col("diagonal") / F.col("words")).alias("part"))
