@@ -1,0 +1,43 @@
+"""Queries on parts of the tables, once more over all rows.
+
+The queries and their SQL stay as they are; the SQL here is theirs without
+the part's condition. With all events as intervals and as samples an event
+meets its own sample, so only the parts show missing samples.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from tidemark.plans import queries_events, queries_evidence, queries_farms
+from tidemark.plans.register import ORACLE, QUERIES
+
+_EVENTS = [(" WHERE event_id % 20 = 0", ""), (" WHERE event_id % 20 <> 0", "")]
+#: Samples of one second: the first by their JSON, as in the operator.
+_TIES = [("sm.ts) = 1", "sm.ts, '{\"sample\":' || sm.sample || '}') = 1")]
+_LINES = [("FROM lineitem WHERE l_linenumber <= 3", "FROM (SELECT l_orderkey * 3 + (l_linenumber - 1) // 3 AS l_orderkey, (l_linenumber - 1) % 3 + 1 AS l_linenumber, l_discount, l_tax, l_quantity FROM lineitem)")]
+
+WHOLE = [
+    (queries_events.interval_join, _EVENTS),
+    (queries_events.asof_nearest, _EVENTS + _TIES),
+    (queries_events.window_or_nearest, _EVENTS),
+    (queries_events.bracketed, _EVENTS),
+    (queries_events.overlap_join, _EVENTS[:1]),
+    (queries_events.ten_minute_grid, _EVENTS[:1]),
+    (queries_events.months_touched, [(" WHERE o_orderkey % 10 = 0", "")]),
+    (queries_events.farm_candidate_pings, [(" WHERE found_id <= 20", "")]),
+    (queries_farms.feature_matrix, [(" WHERE event_id % 50 = 0", "")]),
+    (queries_farms.scalar_functions, [(" WHERE o_orderkey % 3 = 0", "")]),
+    (queries_evidence.source_pairs, _LINES),
+    (queries_evidence.pairwise_metrics, _LINES),
+    (queries_evidence.event_confidence, _LINES),
+]
+
+for _query, _changes in WHOLE:
+    _name = _query.__name__
+    _sql = ORACLE[_name]
+    for _old, _new in _changes:
+        if _old not in _sql:
+            raise ValueError(f"{_name}: no {_old!r} in its SQL")
+        _sql = _sql.replace(_old, _new)
+    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = partial(_query, whole=True), _sql
