@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.decontaminate import find_leaks
+from tidemark.llm.decontaminate import leaks_by_row, row_key
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import similar_documents
 from tidemark.llm.packing import pack_documents
@@ -40,9 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copied or edited benchmark item go."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """Documents that hold a copied or edited benchmark item go; rows with a null doc_id are judged one by one."""
+    leaks = leaks_by_row(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & row_key(F.col("doc_id"), F.col("text")).eqNullSafe(F.col("__key"))
+    return docs.join(leaks, same, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

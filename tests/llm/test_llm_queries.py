@@ -313,6 +313,14 @@ def test_leaks_edited_at_fixed_steps(spark):
     assert all(r.score > 0.55 for r in got)
 
 
+def test_leaks_of_rows_without_id(spark):
+    item, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    df = spark.createDataFrame([(None, f"x {item} y"), (None, f"x {item} y"), (None, f"{item} {other}"), (None, "clean"), (5, "clean"), (5, other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(df, bench).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 1, 1.0), (None, 1, 1.0), (None, 2, 1.0), (5, 2, 1.0)], key=repr)
+
+
 # ---- 9 embeddings
 
 

@@ -56,3 +56,11 @@ def test_repeated_ids_keep_the_longest_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=repr)
     assert got == sorted([(1, "a b c d e f"), (None, "x"), (None, "x"), (2, ""), (3, None)], key=repr)
+
+
+def test_a_leak_takes_no_other_row_without_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, f"x {item} y", "en", "s", 1), (None, "clean", "en", "s", 5), (None, "clean", "en", "s", 5), (None, None, "en", "s", 0), (7, item, "en", "s", 1), (7, "clean", "en", "s", 5), (8, "clean", "en", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, df, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "clean"), (None, "clean"), (None, None), (8, "clean")], key=repr)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import ALNUM, signed, steps
@@ -18,6 +18,9 @@ MASK_BITS = 1 << 20
 #: What equal and unequal words and gaps add to an alignment's score.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
+#: An alignment's share of the item's own score from which it is a leak.
+LEAST_SCORE = 0.45
+
 
 def align(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of each item against its window, and where the best alignment ends.
@@ -61,7 +64,7 @@ def find_leaks(
     item_text: str = "text",
     item_id: str = "item_id",
     n: int = 3,
-    least_score: float = 0.45,
+    least_score: float = LEAST_SCORE,
 ) -> DataFrame:
     """Passages of docs that are test items, copied, edited or paraphrased: id, item id, score, start_word (of the window) and end_word.
 
@@ -75,16 +78,27 @@ def find_leaks(
     leak, and of a document's windows on an item the best counts.
 
     Null and empty texts and items have no words and leak nothing. Rows that
-    share an id (null too) are one document; repeated items have results of
-    their own ids. Extra columns are ignored; with an empty table on either
-    side the result is empty.
+    share an id are one document; with a null id, rows are documents of their
+    own, equal texts one. Repeated items have results of their own ids. Extra
+    columns are ignored; with an empty table on either side the result is empty.
 
     What leaves a text are its n-grams that pass a mask of fixed size, which
     no seed fails; everything else is joins and partly merged windows. Texts
     are read twice and shuffled once, when they meet their own windows.
     """
+    found = leaks_by_row(docs, benchmark, text, id, item_text, item_id, n, least_score)
+    return found.select(F.col("id").alias(id), F.col("item").alias(item_id), "score", "start_word", "end_word")
+
+
+def row_key(id: Column, text: Column) -> Column:
+    """What tells rows with a null id apart: their text's hash. Null where there is an id."""
+    return F.when(id.isNull(), F.md5(text))
+
+
+def leaks_by_row(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", n: int = 3, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The leaks with row_key: id, key, item, score, start_word and end_word."""
     kind, item_kind = docs.schema[id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), row_key(F.col(id), F.col(text)).alias("key"))
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,25 +119,25 @@ def find_leaks(
                 for row, words in steps(batch.column(1), ALNUM):
                     doc, pos, key = words.grams(n, short=True)
                     hit = np.flatnonzero(bits[(key & np.uint64(MASK_BITS - 1)).astype(np.int64)])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc[hit])), pa.array(pos[hit]), pa.array(signed(key[hit]))], ["id", "pos", "hash"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row + doc[hit])) for c in (0, 2)), pa.array(pos[hit]), pa.array(signed(key[hit]))], ["id", "key", "pos", "hash"])
 
-        return texts.mapInArrow(run, f"id {kind}, pos long, hash long")
+        return texts.mapInArrow(run, f"id {kind}, key string, pos long, hash long")
 
     met = hits(_mask(seeds)).join(seeds, "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
     slack = (F.col("words") / 4).cast("long") + 2
     windows = (
-        met.groupBy("id", "item", "words", F.floor(F.col("diagonal") / F.col("words")).alias("part"))
+        met.groupBy("id", "key", "item", "words", F.floor(F.col("diagonal") / F.col("words")).alias("part"))
         .agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
-        .select("id", "item", F.greatest(F.col("first") - slack, F.lit(0)).alias("lo"), (F.col("last") + F.col("words") + slack).alias("hi"))
+        .select("id", "key", "item", F.greatest(F.col("first") - slack, F.lit(0)).alias("lo"), (F.col("last") + F.col("words") + slack).alias("hi"))
     )
-    wanted = windows.join(items, "item").groupBy(F.col("id").alias("own")).agg(F.collect_list(F.struct("item", "lo", "hi", "item_text")).alias("windows"))
+    wanted = windows.join(items, "item").groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item", "lo", "hi", "item_text")).alias("windows"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs: list[tuple] = []  # row, item, lo, item's words, window's words
             known: dict[str, np.ndarray] = {}
             for row, words in steps(batch.column(1), ALNUM):
-                for d, own in enumerate(batch.column(2).slice(row, len(words)).to_pylist()):
+                for d, own in enumerate(batch.column(3).slice(row, len(words)).to_pylist()):
                     key = words.key[words.first[d] : words.first[d + 1]]
                     for w in own:
                         if w["item_text"] not in known:
@@ -147,21 +161,21 @@ def find_leaks(
                 yes = np.flatnonzero(got >= least_score)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array([part[k][0] for k in yes], pa.int64())),
+                        *(batch.column(c).take(pa.array([part[k][0] for k in yes], pa.int64())) for c in (0, 2)),
                         pa.array([part[k][1] for k in yes], item_type(batch)),
                         pa.array(got[yes]),
                         pa.array([part[k][2] for k in yes], pa.int64()),
                         pa.array([part[k][2] + int(end[k]) for k in yes], pa.int64()),
                     ],
-                    ["id", "item", "score", "start_word", "end_word"],
+                    ["id", "key", "item", "score", "start_word", "end_word"],
                 )
 
     def item_type(batch: pa.RecordBatch) -> pa.DataType:
         return batch.schema.field("windows").type.value_type.field("item").type
 
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "windows").mapInArrow(score, f"id {kind}, item {item_kind}, score double, start_word long, end_word long")
-    best = found.groupBy("id", "item").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", F.negative("start_word"))).alias("b"))
-    return best.select(F.col("id").alias(id), F.col("item").alias(item_id), "b.score", "b.start_word", "b.end_word")
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("own")) & F.col("key").eqNullSafe(F.col("own_key"))).select("id", "text", "key", "windows").mapInArrow(score, f"id {kind}, key string, item {item_kind}, score double, start_word long, end_word long")
+    best = found.groupBy("id", "key", "item").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", F.negative("start_word"))).alias("b"))
+    return best.select("id", "key", "item", "b.score", "b.start_word", "b.end_word")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
