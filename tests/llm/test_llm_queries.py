@@ -321,6 +321,17 @@ def test_leaks_of_rows_without_id(spark):
     assert sorted(got, key=repr) == sorted([(None, 1, 1.0), (None, 1, 1.0), (None, 2, 1.0), (5, 2, 1.0)], key=repr)
 
 
+def test_leaks_of_items_of_one_and_two_words(spark):
+    texts = ["a word b zebra c word", "red zebra", "zebra red", "", "redzebra", "x red zebra y red zebra", "word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Word"), (2, "red zebra"), (3, "one two three"), (4, "none such")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.start_word, r.end_word) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got.keys() == {(0, 1), (6, 1), (1, 2), (5, 2)} and all(v[0] == 1.0 for v in got.values())
+    assert got[0, 1][2] == 2 and got[5, 2][2] == 3
+    only = bench.filter("item_id < 3")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, only).collect()} == got.keys()
+
+
 # ---- 9 embeddings
 
 

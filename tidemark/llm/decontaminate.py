@@ -69,10 +69,11 @@ def find_leaks(
     """Passages of docs that are test items, copied, edited or paraphrased: id, item id, score, start_word (of the window) and end_word.
 
     Seeds are all word n-grams of the items (words as in license scans; an
-    item of fewer words is one seed), common ones too: which of them an edited
-    copy still has can't be known beforehand. A passage without n unchanged
-    words in a row has no seed and isn't found. Seeds join texts; matches near
-    one diagonal make a window around the passage, which
+    item of fewer words is one seed, found wherever a text has just these
+    words in a row), common ones too: which of them an edited copy still has
+    can't be known beforehand. A passage without n unchanged words in a row
+    has no seed and isn't found. Seeds join texts; matches near one diagonal
+    make a window around the passage (short items: around the first), which
     Smith-Waterman aligns with the whole item by words. The score is the
     alignment's over that of the item with itself; least_score and more is a
     leak, and of a document's windows on an item the best counts.
@@ -110,14 +111,16 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("item_text"))
     seeds = cut(items.mapInArrow(seeds_of, f"item {item_kind}, at long, hash long, words long"))
 
+    sizes = [n] + [r[0] for r in seeds.filter(F.col("words") < n).select("words").distinct().collect()]
+
     def hits(mask: np.ndarray):
-        """n-grams of texts that pass the mask, each with its place."""
+        """n-grams of texts, and shorter ones where items are short, that pass the mask, each with its place."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(mask).astype(bool)
             for batch in batches:
                 for row, words in steps(batch.column(1), ALNUM):
-                    doc, pos, key = words.grams(n, short=True)
+                    doc, pos, key = (np.concatenate(x) for x in zip(*(words.grams(k) for k in sizes)))
                     hit = np.flatnonzero(bits[(key & np.uint64(MASK_BITS - 1)).astype(np.int64)])
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row + doc[hit])) for c in (0, 2)), pa.array(pos[hit]), pa.array(signed(key[hit]))], ["id", "key", "pos", "hash"])
 
@@ -125,9 +128,11 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
 
     met = hits(_mask(seeds)).join(seeds, "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
     slack = (F.col("words") / 4).cast("long") + 2
+    short = F.col("words") < n  # each match is the whole item, so the first is as good as any
     windows = (
-        met.groupBy("id", "key", "item", "words", F.floor(F.col("diagonal") / F.col("words")).alias("part"))
+        met.groupBy("id", "key", "item", "words", F.when(short, 0).otherwise(F.floor(F.col("diagonal") / F.col("words"))).alias("part"))
         .agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
+        .withColumn("last", F.when(short, F.col("first")).otherwise(F.col("last")))
         .select("id", "key", "item", F.greatest(F.col("first") - slack, F.lit(0)).alias("lo"), (F.col("last") + F.col("words") + slack).alias("hi"))
     )
     wanted = windows.join(items, "item").groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item", "lo", "hi", "item_text")).alias("windows"))
