@@ -407,7 +407,7 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def bootstrap_wins(spark: SparkSession, sf: str) -> DataFrame:
     """AG-52; draws come from a hash that SQL elsewhere lacks."""
     o = R.table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month"), F.col("o_orderpriority").alias("winner")).agg(F.sum("o_totalprice").alias("v"))
-    return S.bootstrap_wins(o.groupBy("month").agg(F.max_by("winner", F.struct("v", "winner")).alias("winner")), 500, 42)
+    return S.bootstrap_wins(o.groupBy("month").agg(F.max_by("winner", F.struct("v", "winner")).alias("winner")), 5000, 42)
 
 
 @query()
