@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
-import sys
-import types
 from array import array
 from collections.abc import Iterator
 
@@ -16,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import ALNUM, Words, steps
+from tidemark.llm.words import ALNUM, NOT_SPACE, Words, kept, mix, steps
 
 #: Dimensions of the projection and bits of each on the curve.
 DIMENSIONS, BITS = 4, 12
@@ -60,103 +57,91 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), then those from start[1], and so on."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, with a bounded cache of words.
+    """Token ids by tokenizers, with a bounded cache of words.
 
     In a text whose words are parted by single spaces and line ends, the
-    byte-level vocabulary's splits never cross a word and the space before
-    it, so ids of words are looked up; any other text, and one that holds an
-    added token, goes whole through the tokenizer. New words are encoded by
-    tiktoken with the same file's vocabulary as ranks, several times faster,
-    if the first words of this encoder get the tokenizer's ids from it, and
-    else by the tokenizer.
+    byte-level vocabulary's splits never cross a word with what parts it from
+    the word before, so each such unit is encoded once and looked up by its
+    64-bit hash; any other text, and one that holds an added token, goes
+    whole through the tokenizer.
     """
 
-    OTHER_SPACE = re.compile(r"[^\S \n]")
-    DOUBLE = ("  ", " \n", "\n ", "\n\n")
-    MOST, TRIED = 400_000, 2000
+    OTHER_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+    #: Bytes that white space other than a blank or a line end has in UTF-8.
+    SUSPECT = np.isin(np.arange(256), [0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
+    MOST = 500_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        with open(path, encoding="utf-8") as f:
-            self.file = json.load(f)
-        self.added = [t["content"] for t in self.file.get("added_tokens", [])]
-        self.fast = None
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _try_fast(self, words: list[str]) -> None:
-        """Set up the faster encoder, and leave it out if any of the words gets other ids."""
-        import tiktoken
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        # the file's letters for bytes: printable ones stand for themselves, the others follow in order from 256
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        other = [b for b in range(256) if b not in plain]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        assert set(byte) == set(ByteLevel.alphabet())
-        ranks = {bytes(byte[c] for c in k): v for k, v in self.file["model"]["vocab"].items() if k not in self.added}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.fast = fast if [array("I", fast(w)).tobytes() for w in words] == self._whole(words) else False
-
-    def _new(self, words: list[str]) -> list[bytes]:
-        if self.fast is None:
-            try:
-                self._try_fast(words[: self.TRIED])
-            except (KeyError, ValueError, AssertionError):
-                self.fast = False
-        return [array("I", self.fast(w)).tobytes() for w in words] if self.fast else self._whole(words)
-
-    def _odd(self, text: str) -> bool:
-        """Whether the text can't be taken word by word."""
-        return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(d in text for d in (*self.DOUBLE, *self.added)) or self.OTHER_SPACE.search(text) is not None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self._odd(t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        left = set(range(len(texts))).difference(odd)
-        # a line's later words keep their space; a line end is a word of its own
-        parts = {i: texts[i].replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in texts[i] else None for i in left}
-        whole = [i for i, p in parts.items() if p is None]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
-            del parts[i]
-        new = list(set().union(*parts.values()) - self.words.keys())
-        if len(self.words) + len(new) > self.MOST:
-            self.words.clear()
-            new = list(set().union(*parts.values()))
-        self.words.update(zip(new, self._new(new)))
-        for i, p in parts.items():
-            out[i] = b"".join(map(self.words.__getitem__, p))
-        return out
+        self.units: dict[int, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lookup(self, words: Words, own: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of distinct units among the words `own`, and for each word which of them it is."""
+        at = words.start[own]
+        before = np.where(own == words.first[words.doc[own]], np.uint8(0), words.raw[at - 1])
+        keys, first, which = np.unique(mix(words.key[own] ^ before.astype(np.uint64)), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        found = list(map(self.units.get, keys))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.units) + len(new) > self.MOST:
+            self.units.clear()
+        raw = words.raw.tobytes()
+        start, end = (at - (before != 0))[first[new]].tolist(), words.end[own[first[new]]].tolist()
+        for i, ids in zip(new, self._ids([raw[a:b].decode() for a, b in zip(start, end)])):
+            found[i] = self.units[keys[i]] = ids
+        return found, which
+
+    def _odd(self, texts: list[str], words: Words) -> np.ndarray:
+        """Which texts can't be taken word by word; only those with a suspicious byte are looked at as text."""
+        part = (words.raw == 0x20) | (words.raw == 0x0A)
+        suspect = self.SUSPECT[words.raw]
+        suspect[1:] |= part[1:] & part[:-1]
+        full = words.offsets[:-1] < words.offsets[1:]
+        for end in (words.offsets[:-1][full], words.offsets[1:][full] - 1):
+            suspect[end] |= part[end]
+        sums = np.append(0, np.cumsum(suspect))
+        odd = sums[words.offsets[1:]] > sums[words.offsets[:-1]]
+        for i in np.flatnonzero(odd).tolist():
+            odd[i] = self.OTHER_SPACE.search(texts[i]) is not None
+        return odd | np.array([any(a in t for a in self.added) for t in texts], bool)
+
+    def encode(self, texts: list[str], words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, end_id after each text, and how many are each text's; words are those of the texts, case kept."""
+        odd = self._odd(texts, words)
+        plain = np.flatnonzero(~odd[words.doc])
+        found, which = self._lookup(words, plain)
+        whole = self._ids([texts[i] for i in np.flatnonzero(odd)])
+        units = [*found, *whole, np.array([end_id], "<u4").tobytes()]
+        pool = np.frombuffer(b"".join(units), "<u4")
+        size = np.array(list(map(len, units))) // 4
+        # units in the order of texts: a text's words, or the whole text, then the end
+        doc = np.concatenate([words.doc[plain], np.flatnonzero(odd), np.arange(len(texts))])
+        unit = np.concatenate([which, len(found) + np.arange(len(whole)), np.full(len(texts), len(units) - 1)])
+        order = np.argsort(doc, kind="stable")
+        unit = unit[order]
+        ids = pool[ragged((np.cumsum(size) - size)[unit], size[unit])]
+        return ids, np.bincount(doc[order], size[unit], len(texts)).astype(np.int64)
 
 
 def _encoder(path: str) -> Encoder:
     """One encoder for each worker process and path."""
-    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
-    if path not in vars(kept):
-        vars(kept)[path] = Encoder(path)
-    return vars(kept)[path]
-
-
-def _cut(pieces: list[tuple], sizes: list[int]) -> Iterator[tuple[int, tuple]]:
-    """(sequence, piece) for pieces (doc, start, ids, doc_tokens) laid in order into sequences of those sizes."""
-    k = used = 0
-    for doc, start, ids, total in pieces:
-        while len(ids):
-            take = min(sizes[k] - used, len(ids) // 4)
-            yield k, (doc, start, ids[: 4 * take], total, used)
-            start, ids, used = start + take, ids[4 * take :], used + take
-            if used == sizes[k]:
-                k, used = k + 1, 0
+    if ("encoder", path) not in kept():
+        kept()["encoder", path] = Encoder(path)
+    return kept()["encoder", path]
 
 
 def pack_documents(df: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", length: int = 1024, end_id: int = 0) -> DataFrame:
@@ -175,7 +160,8 @@ def pack_documents(df: DataFrame, tokenizer: str, text: str = "text", id: str =
     A null or empty text is end_id alone; repeated rows are packed each for
     itself; a null id is kept. Extra columns are ignored; an empty table gives
     no rows. Ties on the key are split by id, so no key is too large for a
-    range. A task holds one batch of texts and one open sequence.
+    range. A task holds one batch of texts and one open sequence; the time and
+    memory of a long text grow in proportion to it.
     """
     kind = df.schema[id].dataType
     docs = df.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -187,37 +173,38 @@ def pack_documents(df: DataFrame, tokenizer: str, text: str = "text", id: str =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
-        open_: list[tuple] = []
-        size = 0
-
-        def batch_of(rows: list[tuple[int, tuple]], first: int) -> pa.RecordBatch:
-            cols = list(zip(*((doc, start, len(ids) // 4, ids, total, first + k, at) for k, (doc, start, ids, total, at) in rows)))
-            types_ = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            types_[0] = id_type
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_)], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-        id_type = pa.int64()
-        for whole in batches:
-            id_type = whole.schema.field("id").type
-            for at in range(0, len(whole), 200):
-                part = whole.slice(at, 200)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += end
-                    open_.append((doc, 0, ids, len(ids) // 4))
-                    size += len(ids) // 4
-                full = size // length
+        # the open sequence: for each document in it the id, its ids before, its ids in all and those here
+        names, before, total, here, flat = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+        def pieces(ends: np.ndarray) -> pa.RecordBatch:
+            """The documents cut where sequences end, at `ends`, and where documents do, up to the last of `ends`."""
+            starts = np.cumsum(here) - here
+            cuts = np.union1d(starts[starts < ends[-1]], np.append(0, ends))
+            at, size = cuts[:-1], np.diff(cuts)
+            doc = np.searchsorted(starts, at, "right") - 1
+            k = np.searchsorted(ends, at, "right")
+            ids = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * cuts).astype("<i4")), pa.py_buffer(np.ascontiguousarray(flat[: ends[-1]]))])
+            columns = [names.take(pa.array(doc)), before[doc] + at - starts[doc], size, ids, total[doc], sequence + k, at - np.append(0, ends)[k]]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        for batch in batches:
+            for row, words in steps(batch.column(1), NOT_SPACE, fold=False):
+                ids, sizes = encoder.encode(batch.column(1).slice(row, len(words)).to_pylist(), words, end_id)
+                own = batch.column(0).slice(row, len(words))
+                names = own if names is None else pa.concat_arrays([names, own])
+                before, total, here = np.append(before, np.zeros(len(own), np.int64)), np.append(total, sizes), np.append(here, sizes)
+                flat = np.concatenate([flat, ids])
+                full = len(flat) // length
                 if full:
-                    rows = list(_cut(open_, [length] * (full + 1)))
-                    done = [r for r in rows if r[0] < full]
-                    open_ = [(doc, start, ids, total) for k, (doc, start, ids, total, _) in rows if k == full]
-                    size -= full * length
-                    yield batch_of(done, sequence)
+                    yield pieces(np.arange(1, full + 1) * length)
                     sequence += full
-        if size:
-            tail = [1 << b for b in range(size.bit_length() - 1, -1, -1) if size >> b & 1]
-            yield batch_of(list(_cut(open_, tail)), sequence)
+                    starts, used = np.cumsum(here) - here, full * length
+                    left = np.flatnonzero(starts + here > used)
+                    gone = np.maximum(0, used - starts[left])
+                    names, before, total, here, flat = names.take(pa.array(left)), before[left] + gone, total[left], here[left] - gone, flat[used:].copy()
+        if len(flat):
+            yield pieces(np.cumsum([1 << b for b in range(len(flat).bit_length() - 1, -1, -1) if len(flat) >> b & 1]))
 
     ordered = docs.mapInArrow(keys, f"id {kind.simpleString()}, text string, key long").repartitionByRange("key", "id").sortWithinPartitions("key", "id", "text").select("id", "text")
     schema = f"id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
