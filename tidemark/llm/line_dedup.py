@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import cut
+
 #: The characters stripped from a key, and the letters that are lower-cased.
 STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,13 +21,12 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(STRIPPED))
 
 
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits of a line's key as two longs, null for a key that is too short to count."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(fold(key)).alias("a"), F.xxhash64(F.lit(1), fold(key)).alias("b")))
+def _hash(c: Column) -> list[Column]:
+    """128 bits of a string as two longs."""
+    return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
 
 
-def line_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, salts: int = 16) -> DataFrame:
     """The rows of df with `text` rid of lines found in at least min_docs documents, and n_lines, n_dropped (long).
 
     Lines are split at \\n; a line's key is the line stripped of ASCII white
@@ -35,29 +36,41 @@ def line_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", min_docs:
 
     A null or empty text is one empty line, and an empty text comes back.
     Each row is a document, so repeated rows count as several; rows that
-    share an id (null too) are told apart by what their lines are. Other
-    columns pass through; n_lines and n_dropped replace columns of that name.
-
-    Only hashes are exploded and shuffled for the count, once for each
-    document and partly summed before the shuffle. The common hashes of each
-    document come back to its text by one join on the id; Spark broadcasts a
-    side only if its measured size allows, and else splits skewed partitions.
+    share an id (null too) are told apart by their texts. Other columns pass
+    through; n_lines and n_dropped replace columns of that name.
+
+    Lines are exploded once, with their positions and the hashes of their
+    keys, and written. Counting takes each row's distinct hashes, partly
+    summed before each shuffle. The common hashes meet the lines by hash and
+    a salt of `salts` values, so one line of many documents is no single
+    task's; only the positions of dropped lines go back to the texts, each
+    text cut between them. Time and memory of a text are in proportion to it
+    but for the sorting of its dropped positions.
     """
-    doc = df.withColumns({"__text": F.coalesce(F.col(text), F.lit(""))}).withColumn("__lines", F.split("__text", "\n", -1))
-    hashes = F.array_distinct(F.filter(F.transform(F.split("__text", "\n", -1), lambda x: _hash(x, min_chars)), lambda h: h.isNotNull()))
-    keys = df.select(F.col(id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).select("__id", F.explode(hashes).alias("h")).select("__id", "h.a", "h.b")
-    common = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
-    own = keys.join(common, ["a", "b"]).groupBy("__id").agg(F.collect_set(F.struct("a", "b")).alias("__common"))
-    met = doc.join(own, F.col(id).eqNullSafe(F.col("__id")), "left").drop("__id")
-    kept = F.when(F.col("__common").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__common", _hash(x, min_chars)), F.lit(False))))
-    out = met.withColumn("__kept", kept)
-    return out.withColumns(
+    said = F.coalesce(F.col(text), F.lit(""))
+    whole = dict(zip(("__t1", "__t2"), _hash(said)))
+    rows = df.select(F.col(id).alias("__id"), *(c.alias(k) for k, c in whole.items()), F.monotonically_increasing_id().alias("row"), said.alias("said"))
+    keys = rows.select("__id", "__t1", "__t2", "row", F.posexplode(F.split("said", "\n", -1)).alias("at", "line")).withColumn("key", line_key(F.col("line")))
+    hashes = dict(zip(("a", "b"), _hash(fold(F.col("key")))))
+    lines = cut(keys.filter(F.char_length("key") >= min_chars).select("__id", "__t1", "__t2", "row", "at", *(c.alias(k) for k, c in hashes.items())))
+    common = cut(lines.groupBy("a", "b").agg(F.count_distinct("row").alias("n")).filter(F.col("n") >= min_docs).select("a", "b"))
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    gone = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))).join(salted, ["a", "b", "salt"]).groupBy("__id", "__t1", "__t2").agg(F.array_sort(F.collect_set("at")).alias("__gone"))
+
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__t1")) & (F.col("__h2") == F.col("__t2"))
+    met = df.withColumns({"__h1": whole["__t1"], "__h2": whole["__t2"]}).join(gone, same, "left").drop("__id", "__t1", "__t2", "__h1", "__h2")
+    met = met.withColumn("__lines", F.split(said, "\n", -1))
+    # what lies between a dropped line and the next
+    after = F.concat(F.array(F.lit(-1)), F.col("__gone"))
+    upto = F.concat(F.col("__gone"), F.array(F.size("__lines")))
+    left = F.flatten(F.zip_with(after, upto, lambda p, q: F.slice("__lines", p + 2, q - p - 1)))
+    return met.withColumns(
         {
-            text: F.array_join("__kept", "\n"),
+            text: F.when(F.col("__gone").isNull(), said).otherwise(F.array_join(left, "\n")),
             "n_lines": F.size("__lines").cast("long"),
-            "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"),
+            "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
         }
-    ).drop("__text", "__lines", "__kept", "__common")
+    ).drop("__lines", "__gone")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
