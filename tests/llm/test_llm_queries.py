@@ -209,7 +209,7 @@ def test_secrets(spark, docs, awkward):
         -5: "key a7f3c09be1d24f68b05c9d3e and averyveryverylongordinaryword", -6: "\n".join(f"password={hashlib.md5(str(i).encode()).hexdigest()[:18]}" for i in range(800)),
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    ratios = secrets.train_models(df)
+    ratios = secrets.train_models(secrets.find_spans(df, "text"))
     assert len(ratios) == secrets.N**2
     for r in secrets.secret_scan(df, ratios).collect():
         said = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.secrets if s.kind != "markov")
@@ -217,7 +217,7 @@ def test_secrets(spark, docs, awkward):
         assert [s.start for s in r.secrets] == sorted(s.start for s in r.secrets)
         if r.doc_id == -5:
             assert [texts[-5][s.start : s.end] for s in r.secrets] == ["a7f3c09be1d24f68b05c9d3e"]
-    rows = secrets.secret_scan(awkward, secrets.train_models(awkward)).collect()
+    rows = secrets.secret_scan(awkward, secrets.train_models(secrets.find_spans(awkward, "text"))).collect()
     assert len(rows) == len(AWKWARD) and not any(r.secrets for r in rows)
     plan = secrets.secret_scan(df, ratios)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
