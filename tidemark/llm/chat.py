@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -417,11 +418,12 @@ class Template:
 
 # ---- on Spark
 
-PIECES = "conv_id long, piece long, formatted string, loss array<struct<start: int, end: int>>"
+PIECES = "piece long, formatted string, loss array<struct<start: int, end: int>>"
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most `size` rows and about 4 million characters."""
+def _batches(rows: Iterator[tuple], fields: list[tuple[str, pa.DataType]], like: pa.DataType, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most `size` rows and about 4 million characters; conv_id, of Arrow type `like`, comes first."""
+    schema = pa.schema([("conv_id", like), *fields])
     held: list[tuple] = []
     chars = 0
     for row in rows:
@@ -460,7 +462,7 @@ def format_conversations(df: DataFrame, template: str = CHATML) -> DataFrame:
     Returns conv_id, piece (0, 1, ... in a conversation), formatted and loss,
     the spans of `formatted` (code points) that generation markers enclose.
     A conversation's output is its pieces joined in order: one for each turn,
-    so that no conversation, however long, becomes one value. The pieces of a
+    so that no conversation, however long, becomes one value. conv_id keeps its type. The pieces of a
     conversation lie in one partition, in order.
 
     Turns are taken in the order of turn, role, text (nulls first), so
@@ -469,7 +471,9 @@ def format_conversations(df: DataFrame, template: str = CHATML) -> DataFrame:
     gives none. Other columns are ignored.
     """
     Template(template)  # a wrong template fails here, not in a task
-    schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    fields = [("piece", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+    kind = df.schema["conv_id"].dataType
+    like = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = Template(template)
@@ -480,10 +484,10 @@ def format_conversations(df: DataFrame, template: str = CHATML) -> DataFrame:
                 for i, (text, spans) in enumerate(compiled.render(messages)):
                     yield conv, i, text, [{"start": a, "end": b} for a, b in spans]
 
-        yield from _batches(rows(), schema)
+        yield from _batches(rows(), fields, like)
 
-    turns = df.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PIECES)
+    turns = df.select("conv_id", "turn", "role", "text")
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind.simpleString()}, {PIECES}")
 
 
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -510,7 +514,9 @@ def digest_formatted(pieces: DataFrame) -> DataFrame:
     whole conversations in order; nothing is shuffled here, and hashes take
     piece after piece, so one very long conversation needs little memory.
     """
-    fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    fields = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    kind = pieces.schema["conv_id"].dataType
+    like = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -533,9 +539,9 @@ def digest_formatted(pieces: DataFrame) -> DataFrame:
                     n += 1
                 yield conv, n, turns.hexdigest(), chars, loss.hexdigest(), total
 
-        yield from _batches(rows(), pa.schema(fields))
+        yield from _batches(rows(), fields, like)
 
-    return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return pieces.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,9 +120,10 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
             bits = np.unpackbits(mask).astype(bool)
             for batch in batches:
                 for row, words in steps(batch.column(1), ALNUM):
-                    doc, pos, key = (np.concatenate(x) for x in zip(*(words.grams(k) for k in sizes)))
-                    hit = np.flatnonzero(bits[(key & np.uint64(MASK_BITS - 1)).astype(np.int64)])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row + doc[hit])) for c in (0, 2)), pa.array(pos[hit]), pa.array(signed(key[hit]))], ["id", "key", "pos", "hash"])
+                    for k in sizes:
+                        for doc, pos, key in words.gram_runs(k):
+                            hit = np.flatnonzero(bits[(key & np.uint64(MASK_BITS - 1)).astype(np.int64)])
+                            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row + doc[hit])) for c in (0, 2)), pa.array(pos[hit]), pa.array(signed(key[hit]))], ["id", "key", "pos", "hash"])
 
         return texts.mapInArrow(run, f"id {kind}, key string, pos long, hash long")
 

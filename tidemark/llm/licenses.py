@@ -88,7 +88,7 @@ def license_scan(
     grams = _template_grams([*base, *templates], len(base))
     known = np.zeros(MASK_BITS, bool)
     known[[g[5] % MASK_BITS for g in grams]] = True
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64())])
+    kind = df.schema[id].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 40
@@ -96,27 +96,27 @@ def license_scan(
         for batch in batches:
             ids = batch.column(0)
             for row, words in steps(batch.column(1), ALNUM):
-                doc, pos, key = words.grams(K)
-                hit = np.flatnonzero(known[(key % np.uint64(MASK_BITS)).astype(np.int64)])
+                found = [(x[hit] for x in run) for run in words.gram_runs(K) if len(hit := np.flatnonzero(known[(run[2] % np.uint64(MASK_BITS)).astype(np.int64)]))]
+                doc, pos, key = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *found))
                 n = len(words)
                 count = np.diff(words.first)
                 # a row of its own for every document, then its possible matches
-                at = np.concatenate([np.arange(n), doc[hit]])
+                at = np.concatenate([np.arange(n), doc])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part + done + row + at),
                         ids.take(pa.array(row + at)),
-                        pa.array(np.concatenate([count, np.full(len(hit), -1)]), mask=np.arange(len(at)) >= n),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), pos[hit]]), mask=np.arange(len(at)) < n),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), signed(key[hit])]), mask=np.arange(len(at)) < n),
+                        pa.array(np.concatenate([count, np.full(len(doc), -1)]), mask=np.arange(len(at)) >= n),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), pos]), mask=np.arange(len(at)) < n),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), signed(key)]), mask=np.arange(len(at)) < n),
                     ],
-                    schema=schema,
+                    ["row", "id", "n_words", "pos", "hash"],
                 )
             done += len(batch)
 
     spark = df.sparkSession
     table = spark.createDataFrame(grams, "template int, label string, base boolean, n int, at int, hash long")
-    found = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(scan, "row long, id long, n_words long, pos long, hash long")
+    found = df.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(scan, f"row long, id {kind}, n_words long, pos long, hash long")
     votes = found.join(F.broadcast(table), "hash", "left").filter(F.col("template").isNotNull() | F.col("n_words").isNotNull())
     diagonal = (F.col("pos") - F.col("at")).alias("diagonal")
     by_diagonal = (

@@ -11,6 +11,9 @@ from tidemark.plans.lineage import cut
 STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Common hashes that are broadcast at most, 16 bytes each; more of them meet the lines by a shuffle.
+SMALL = 100_000
+
 
 def fold(c: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII takes the faster lower()."""
@@ -41,9 +44,9 @@ def line_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", min_docs:
 
     Lines are exploded once, with their positions and the hashes of their
     keys, and written. Counting takes each row's distinct hashes, partly
-    summed before each shuffle. The common hashes meet the lines by hash and
-    a salt of `salts` values, so one line of many documents is no single
-    task's; only the positions of dropped lines go back to the texts, each
+    summed before each shuffle. Up to SMALL common hashes are broadcast to
+    the lines; more meet them by hash and a salt of `salts` values, so one
+    line of many documents is no single task's. Only the positions of dropped lines go back to the texts, each
     text cut between them. Time and memory of a text are in proportion to it
     but for the sorting of its dropped positions.
     """
@@ -54,8 +57,12 @@ def line_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", min_docs:
     hashes = dict(zip(("a", "b"), _hash(fold(F.col("key")))))
     lines = cut(keys.filter(F.char_length("key") >= min_chars).select("__id", "__t1", "__t2", "row", "at", *(c.alias(k) for k, c in hashes.items())))
     common = cut(lines.groupBy("a", "b").agg(F.count_distinct("row").alias("n")).filter(F.col("n") >= min_docs).select("a", "b"))
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    gone = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))).join(salted, ["a", "b", "salt"]).groupBy("__id", "__t1", "__t2").agg(F.array_sort(F.collect_set("at")).alias("__gone"))
+    if common.count() <= SMALL:
+        hits = lines.join(F.broadcast(common), ["a", "b"])
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        hits = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))).join(salted.hint("merge"), ["a", "b", "salt"])
+    gone = hits.groupBy("__id", "__t1", "__t2").agg(F.array_sort(F.collect_set("at")).alias("__gone"))
 
     same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__t1")) & (F.col("__h2") == F.col("__t2"))
     met = df.withColumns({"__h1": whole["__t1"], "__h2": whole["__t2"]}).join(gone, same, "left").drop("__id", "__t1", "__t2", "__h1", "__h2")

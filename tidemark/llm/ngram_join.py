@@ -24,9 +24,14 @@ _LOW = np.uint64(64 - 20)
 
 def _sets(words: Words, n: int) -> list[np.ndarray]:
     """Each text's set of shingle hashes, sorted."""
-    doc, _, key = words.grams(n, short=True)
-    at = np.searchsorted(doc, np.arange(len(words) + 1))
-    return [np.unique(key[a:b]) for a, b in zip(at[:-1], at[1:])]
+    out: list[list[np.ndarray]] = [[] for _ in range(len(words))]
+    for doc, _, key in words.gram_runs(n):
+        at = np.flatnonzero(np.diff(doc, prepend=-1))
+        for d, part in zip(doc[at].tolist(), np.split(key, at[1:])):
+            out[d].append(part)
+    for d, key in zip(*words.short_grams(n)):
+        out[d].append(np.array([key]))
+    return [np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64) for parts in out]
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -45,7 +50,8 @@ def _order(texts: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, words in steps(batch.column(0), NOT_SPACE):
-                total += np.bincount((words.grams(n, short=True)[2] >> _LOW).astype(np.int64), minlength=COUNTERS)
+                for key in [*(x[2] for x in words.gram_runs(n)), words.short_grams(n)[1]]:
+                    total += np.bincount((key >> _LOW).astype(np.int64), minlength=COUNTERS)
         blocks = [total[i : i + BLOCK].astype("<u4" if total.max() < 2**32 else "<u8") for i in range(0, COUNTERS, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
 

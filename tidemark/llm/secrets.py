@@ -23,10 +23,14 @@ KINDS = ["assign", "access", "hex", "markov"]
 #: The models' alphabet; any other character, and what precedes the first, has index 0.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET) + 1
+#: Weight of the characters' own frequencies in what follows a character.
+PRIOR = 32
 #: A token that the models judge: at least 20 characters of the alphabet.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 
 
+#: A token that is labelled an ordinary identifier: no part of it mixes letters and digits.
+ORDINARY = r"^[+/_=-]*([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$"
 #: What all finds but assignments hold: so many characters of the alphabet in a row.
 LONG_RUN = r"[A-Za-z0-9+/_=-]{16}"
 
@@ -107,32 +111,34 @@ def _ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.zip_with(before, i, lambda a, b: F.element_at(table, a * N + b + 1)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def train_models(spans: DataFrame, min_ratio: float = 10.0, rounds: int = 2) -> list[float]:
+def train_models(spans: DataFrame, rounds: int = 2) -> list[float]:
     """Log-likelihood ratios of character pairs, random strings against ordinary identifiers.
 
     spans is the result of find_spans. Labelled samples are all base spans
-    (random strings) and all other tokens of 20 characters and more
-    (identifiers); in each round after the first without those that the
-    round before takes for secrets, as what no pattern finds must not be
-    learned as ordinary. Spark counts pairs of all samples, and the N x N
-    ratios with add-one smoothing, a table of fixed size, come to the driver.
-    Entry a * N + b is of b after a.
+    (random strings) and all tokens of which no part mixes letters and digits
+    (identifiers); each round after the first takes for identifiers the
+    tokens that the round before finds likelier to be ordinary, so that what
+    no pattern finds is not learned as ordinary. Spark counts pairs of all
+    samples, and the N x N ratios, a table of fixed size, come to the driver.
+    Each character's followers count as PRIOR more, shared as characters are
+    over all. Entry a * N + b is of b after a.
     """
     random = F.transform("__base", lambda b: F.struct(F.lit(1).alias("random"), _value(b).alias("s")))
     plain = F.transform("__tokens", lambda b: F.struct(F.lit(0).alias("random"), b["found"].alias("s")))
     samples = spans.select(F.explode(F.concat(random, plain)).alias("x")).select("x.random", "x.s")
     out: list[float] = []
     for _ in range(rounds):
-        own = samples.filter((F.col("random") == 1) | (_ratio(F.col("s"), out) < min_ratio)) if out else samples
+        own = samples.filter((F.col("random") == 1) | (_ratio(F.col("s"), out) < 0 if out else F.rlike("s", F.lit(ORDINARY))))
         own = own.select("random", _indexes(F.col("s")).alias("i"))
         pairs = own.select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.slice("i", F.lit(1), F.size("i") - 1)), "i", lambda a, b: a * N + b)).alias("pair"))
         count = {(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-        out = []
-        for a in range(N):
-            total = [N + sum(count.get((k, a * N + b), 0) for b in range(N)) for k in (0, 1)]
-            for b in range(N):
-                p = [(1 + count.get((k, a * N + b), 0)) / total[k] for k in (0, 1)]
-                out.append(math.log(p[1] / p[0]))
+        model = []
+        for k in (0, 1):
+            one = [1 + sum(count.get((k, a * N + b), 0) for a in range(N)) for b in range(N)]
+            share = [x / sum(one) for x in one]
+            rows = [sum(count.get((k, a * N + b), 0) for b in range(N)) for a in range(N)]
+            model.append([(count.get((k, a * N + b), 0) + PRIOR * share[b]) / (rows[a] + PRIOR) for a in range(N) for b in range(N)])
+        out = [math.log(r / i) for i, r in zip(*model)]
     return out
 
 

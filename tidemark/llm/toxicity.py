@@ -99,6 +99,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_cols: int, pair_row
     n = max(1, len(y))
     # rare features are scaled up, as few texts move them
     size = np.append(np.minimum(10, 1 / np.sqrt((np.bincount(cols, minlength=n_cols) + 1) / (n + 1))), 1.0)
+    size[pair_cols] = 1.0  # but for those that the penalty holds down
 
     def scores(u: np.ndarray) -> np.ndarray:
         u = size * u
@@ -138,9 +139,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id: str
     First Spark counts, for each feature, the texts of either label that have
     it; the max_features whose shares differ most (by at least min_z standard
     errors) are kept, identity terms too. Then only each text's kept features
-    come to the driver, with those that a swap of its identity terms adds or
-    takes away, and the weights are fitted there. Both sizes are bounded by
-    the parameters.
+    come to the driver, with those that swaps of its identity terms add or
+    take away, and the weights are fitted there. Each labelled text that
+    names a group is swapped twice: its terms for the next of their rows, so
+    that no group counts for more than another, and for a word without
+    features of its own, so that naming a group at all doesn't. Both sizes
+    are bounded by the parameters.
     """
     rows = training_rows(docs, labels, "toxic", 5, 0, text, id, max_rows)
 
@@ -178,7 +182,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id: str
                 doc, at = model.find(*_features(words))
                 for d, a in zip(doc.tolist(), at.tolist()):
                     known[d].append(a)
-                other: list[list[int]] = [[] for _ in range(len(words))]
+                other: list[list[list[int]]] = [[] for _ in range(len(words))]
                 i = np.minimum(np.searchsorted(terms, words.key), len(terms) - 1)
                 hit = np.flatnonzero(terms[i] == words.key)
                 for d in np.unique(words.doc[hit]).tolist():
@@ -188,18 +192,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id: str
                     # features of the swapped text: those of all its other words, and of the terms put in
                     rest = Words.__new__(Words)
                     rest.__dict__ |= words.__dict__ | {n: getattr(words, n)[mine][~isin] for n in ("doc", "start", "end", "key")}
-                    keys = np.concatenate([_features(rest)[1], *(b for _, b in lost)])
-                    other[d] = model.find(np.zeros(len(keys), np.int64), keys)[1].tolist() or [-1]
-                yield pa.RecordBatch.from_arrays([pa.array(known, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32())), batch.column(1).slice(row, len(words))], ["known", "other", "label"])
-
-    got = rows.mapInArrow(collect, "known array<int>, other array<int>, label int").toPandas()
-    known = sorted(zip(got.known.map(tuple), got.other.map(tuple), got.label))  # as arrival varies
+                    left = _features(rest)[1]
+                    for keys in (np.concatenate([left, *(b for _, b in lost)]), left):
+                        other[d].append(model.find(np.zeros(len(keys), np.int64), keys)[1].tolist())
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(known, ints), pa.array(other, pa.list_(ints)), batch.column(1).slice(row, len(words))], ["known", "other", "label"])
+
+    got = rows.mapInArrow(collect, "known array<int>, other array<array<int>>, label int").toPandas()
+    known = sorted(zip(got.known.map(tuple), got.other.map(lambda x: tuple(map(tuple, x))), got.label))  # as arrival varies
     y = np.array([k[2] for k in known], np.float64)
     at = np.repeat(np.arange(len(known)), [len(k[0]) for k in known])
     cols = np.array([c for k in known for c in k[0]], np.int64)
-    pairs = [(i, c, s) for i, (a, b) in enumerate((k[0], k[1]) for k in known if k[1]) for cs, s in ((set(a) - set(b), 1.0), (set(b) - set(a) - {-1}, -1.0)) for c in cs]
+    swaps = [(set(k[0]), set(o)) for k in known for o in k[1]]
+    pairs = [(i, c, s) for i, (a, b) in enumerate(swaps) for cs, s in ((a - b, 1.0), (b - a, -1.0)) for c in cs]
     pr, pc, ps = (np.array([x[j] for x in pairs], t) for j, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
-    w, bias = fit(at, cols, y, len(model.keys), pr, pc, ps, sum(bool(k[1]) for k in known), l2, fairness)
+    w, bias = fit(at, cols, y, len(model.keys), pr, pc, ps, len(swaps), l2, fairness)
     return ToxicModel(model.keys, w, bias)
 
 

@@ -125,7 +125,7 @@ class Words:
         size = STEP_BYTES // 8 + 1
         for lo in range(0, m, size):
             hi = min(m, lo + size)
-            total = np.full(hi - lo, np.uint64(k) * _GRAM[62], np.uint64)
+            total = np.full(hi - lo, _GRAM[62], np.uint64) * np.uint64(k)
             for j in range(k):
                 total += self.key[lo + j : hi + j] * _GRAM[j]
             ok = np.flatnonzero(self.doc[lo:hi] == self.doc[lo + k - 1 : hi + k - 1])
@@ -160,7 +160,7 @@ class Words:
         """Index and hash of the first n bytes of each word that is longer."""
         i = np.flatnonzero(self.end - self.start > n)
         at = self.start[i]
-        total, up = np.full(len(i), np.uint64(n) * _GRAM[63], np.uint64), _tables()[0]
+        total, up = np.full(len(i), _GRAM[63], np.uint64) * np.uint64(n), _tables()[0]
         for j in range(n):
             total += _BYTE[self.buf[at + j]] * up[j]
         return i, mix(mix(total) ^ np.uint64(n))
