@@ -1,3 +1,5 @@
+import math
+from collections import Counter
 import datetime as dt
 
 import pytest
@@ -70,3 +72,14 @@ def test_tiers(spark, turbines):
     p = spark.createDataFrame([(1, at(m), 54.0, 7.0, 0.5) for m in (0, 10, 21)] + [(2, at(m), 54.02, 7.0, 0.5) for m in (0, 15, 31)], PINGS)
     assert {(r.mmsi, r.dwell_tier) for r in P.tiered_dwells(p, turbines).collect()} == {(1, "A"), (2, "D")}
     assert P.farm_visits(p, turbines).count() == 2
+
+
+def test_matches_beyond_63_degrees_and_at_the_date_line(spark):
+    places = [(1, 54.0, 7.0), (2, 70.0, 20.0), (3, 84.0, 20.0), (4, -70.0, 179.9999), (5, 0.0, -180.0)]
+    turbines = spark.createDataFrame([(k, "a", la, lo) for k, la, lo in places], "found_id long, wind_farm string, latitude double, longitude double")
+    metre = 1 / 111195
+    rows = [(k, la, ((lo + m * metre / math.cos(math.radians(la))) + 180) % 360 - 180) for k, la, lo in places for m in (-95, -60, 0, 60, 95)]
+    df = spark.createDataFrame(rows, "mmsi long, lat double, lon double")
+    for match in (P.match_turbines, P.match_nearest):
+        got = Counter(r.found_id for r in match(df, turbines).collect())
+        assert got == {k: 5 for k, *_ in places}

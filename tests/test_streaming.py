@@ -28,10 +28,34 @@ def run(spark, tmp_path, make, batches, name):
 def test_sessions_close_as_in_batch(spark, tmp_path):
     t = spark.createDataFrame([(1, "a", 54.0, 7.0)], "found_id long, wind_farm string, latitude double, longitude double")
     first = [(1, m, 54.0, 7.0, 0.1) for m in (0, 10, 25, 56)]
-    got = run(spark, tmp_path, lambda s: live.dwell_sessions(live.filtered(s, t)), [first, [(2, 600, 54.0, 7.0, 0.1)], [(2, 601, 54.0, 7.0, 0.1)]], "s1")
+    got = run(spark, tmp_path, lambda s: live.dwell_sessions(live.filtered(s, t), least_minutes=0), [first, [(2, 600, 54.0, 7.0, 0.1)], [(2, 601, 54.0, 7.0, 0.1)]], "s1")
     assert sorted((r.start, r.ping_count) for r in got if r.mmsi == 1) == [(T0, 3), (T0 + dt.timedelta(minutes=56), 1)]
 
 
+def test_sessions_split_on_another_turbine_and_drop_short_ones(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a", 54.0, 7.0), (2, "a", 54.0004, 7.0)], "found_id long, wind_farm string, latitude double, longitude double")
+    # 30 m from the first and 15 m from the second is the second's alone; order of arrival does not matter
+    first = [(1, 20, 54.0, 7.0, 0.1), (1, 0, 54.0, 7.0, 0.1), (1, 30, 54.0003, 7.0, 0.1), (1, 50, 54.0003, 7.0, 0.1), (1, 55, 54.0, 7.0, 0.1)]
+    batches = [first, [(2, 600, 54.0, 7.0, 0.1)], [(2, 601, 54.0, 7.0, 0.1)]]
+    got = run(spark, tmp_path, lambda s: live.dwell_sessions(live.filtered(s, t)), batches, "s5")
+    assert sorted((r.found_id, r.duration_min, r.ping_count) for r in got if r.mmsi == 1) == [(1, 20.0, 2), (2, 20.0, 2)]
+    pings = spark.createDataFrame([(m, T0 + dt.timedelta(minutes=x), la, lo, s) for b in batches for m, x, la, lo, s in b], SCHEMA)
+    batch = P.dwell_events(pings, t).collect()
+    assert sorted((r.found_id, r.duration_min, r.ping_count) for r in batch) == [(1, 20.0, 2), (2, 20.0, 2)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    for i, m in enumerate((0, 600, 601, 5)):
+        spark.createDataFrame([(1, T0 + dt.timedelta(minutes=m), 54.0, 7.0, 1.0)], SCHEMA).coalesce(1).write.parquet(str(path / f"b{i}"))
+        for f in (path / f"b{i}").glob("part-*.parquet"):
+            f.rename(path / f"{i}-{f.name}")
+    stream = live.new_files(spark, spark.createDataFrame([], SCHEMA).schema, str(path), 1)
+    got, late = live.drain(live.hourly(stream, "sog"))
+    assert late == 1 and [r.n for r in got.orderBy("hour").collect()][:1] == [1]
+
+
 def test_duplicates_and_alerts(spark, tmp_path):
     batch = [(1, 0, 54.0, 7.0, 0.1), (1, 0, 54.0, 7.0, 0.1), (1, 10, 54.01, 7.0, 0.1)]
     got = run(spark, tmp_path, live.without_duplicates, [batch, [(1, 0, 54.0, 7.0, 0.1)]], "s2")

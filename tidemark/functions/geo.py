@@ -28,6 +28,24 @@ def neighbours(lat: Column, lon: Column, width: float) -> Column:
     return F.array(*(F.struct((cell(lat, width) + dy).alias("cy"), (cell(lon, width) + dx).alias("cx")) for dy, dx in around))
 
 
+def around(lat: Column, lon: Column, width: float, metres: float) -> Column:
+    """Cells that hold every place within so many metres of a point, as an array of (cy, cx).
+
+    As many columns as the latitude asks for; columns count round the globe,
+    as those of turned() do.
+    """
+    high = F.ceil(F.lit(metres / (width * math.pi * EARTH_M / 180)))
+    narrow = F.greatest(F.cos(F.radians(F.least(F.abs(lat) + math.degrees(metres / EARTH_M), F.lit(90.0)))), F.lit(1e-3))
+    wide = F.ceil(high / narrow)
+    rows, columns = (F.sequence(cell(c, width) - k, cell(c, width) + k) for c, k in ((lat, high), (lon, wide)))
+    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), F.pmod(x, F.lit(round(360 / width))).alias("cx")))))
+
+
+def turned(lon: Column, width: float) -> Column:
+    """Column of a longitude's cell, counted round the globe."""
+    return F.pmod(cell(lon, width), F.lit(round(360 / width)))
+
+
 def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 

@@ -33,14 +33,26 @@ def loose_date(c: Column) -> Column:
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+#: Letters that plain ones stand for in writing.
+LETTERS = {"ø": "o", "æ": "ae", "ß": "ss", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"}
+
+
+def plain_letters(c: Column) -> Column:
+    """Lower case, marks off, other Latin letters as they are commonly written without them."""
+    out = F.translate(F.lower(F.trim(c)), MARKED, PLAIN)
+    for a, b in LETTERS.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def normal_name(c: Column) -> Column:
     """A name for joining: lower case, marks off, only letters and digits."""
-    return F.regexp_replace(F.translate(F.lower(F.trim(c)), MARKED, PLAIN), "[^a-z0-9]", "")
+    return F.regexp_replace(plain_letters(c), "[^a-z0-9]", "")
 
 
 def slug(c: Column) -> Column:
     """A name for paths: runs of anything but letters and digits become one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.trim(c)), MARKED, PLAIN), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.regexp_replace(F.regexp_replace(plain_letters(c), "[^a-z0-9]+", "_"), "^_|_$", "")
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -42,16 +42,19 @@ def paired_medians(matrix: DataFrame, event: str, label: str, value: str) -> Dat
 
 
 def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block: str = "month") -> DataFrame:
-    """Natural cubic spline of a series (key, ts, value) every step_minutes, block by block with two hours of knots beyond either edge.
+    """Not-a-knot cubic spline of a series (key, ts, value) every step_minutes, block by block.
 
-    A block of a key (a month of hourly knots) is one pandas group, so no
-    group grows with the length of the series.
+    A block of a key (a month of hourly knots) is one pandas group with a day
+    of knots beyond either edge, so no group grows with the length of the
+    series; what a knot does to a place fades to a quarter with each knot
+    between, so a day of hourly knots leaves nothing of the edge. Three knots
+    give their parabola, two a line, one its value.
     """
     import pandas as pd
 
     ts = F.col("ts")
     own = F.date_trunc(block, ts)
-    edges = F.array_distinct(F.array(own, F.date_trunc(block, ts - F.expr("interval 2 hours")), F.date_trunc(block, ts + F.expr("interval 2 hours"))))
+    edges = F.array_distinct(F.array(own, F.date_trunc(block, ts - F.expr("interval 1 day")), F.date_trunc(block, ts + F.expr("interval 1 day"))))
     spread = knots.filter(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.unix_seconds("ts").alias("t"), F.col(value).cast("double").alias("v"), F.explode(edges).alias("b")).withColumn("b0", F.unix_seconds("b"))
     spread = spread.withColumn("b1", F.unix_seconds(F.add_months("b", 1).cast("timestamp") if block == "month" else F.col("b") + F.expr(f"interval 1 {block}"))).drop("b")
 
@@ -63,17 +66,18 @@ def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block
         step = step_minutes * 60
         lo, hi = max(x[0], group[1]), min(x[-1], group[2] - 1)
         at = np.arange(np.ceil(lo / step) * step, hi + 1, step)
-        if len(x) < 3:
+        n = len(x)
+        if n < 3:
             return pd.DataFrame({"k": group[0], "t": at.astype(np.int64), "v": np.interp(at, x, y)})
         h, d = np.diff(x), np.diff(y) / np.diff(x)
-        m = np.zeros(len(x))  # second derivatives, by elimination down and back
-        diag, rhs = 2 * (h[:-1] + h[1:]), 6 * np.diff(d)
-        for i in range(1, len(diag)):
-            f = h[i] / diag[i - 1]
-            diag[i] -= f * h[i]
-            rhs[i] -= f * rhs[i - 1]
-        for i in range(len(diag) - 1, -1, -1):
-            m[i + 1] = (rhs[i] - (h[i + 1] * m[i + 2] if i + 2 < len(m) - 1 else 0)) / diag[i]
+        if n == 3:
+            m = np.full(3, 2 * (d[1] - d[0]) / (h[0] + h[1]))
+        else:  # second derivatives: one equation at each inner knot, and third derivatives that go on over the second and last but one
+            a, i = np.zeros((n, n)), np.arange(1, n - 1)
+            a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+            a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+            a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+            m = np.linalg.solve(a, np.concatenate([[0.0], 6 * np.diff(d), [0.0]]))
         j = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
         a, b = x[j + 1] - at, at - x[j]
         v = (m[j] * a**3 + m[j + 1] * b**3) / (6 * h[j]) + (y[j] / h[j] - m[j] * h[j] / 6) * a + (y[j + 1] / h[j] - m[j + 1] * h[j] / 6) * b

@@ -75,45 +75,75 @@ def stationary(pings: DataFrame, below: float = 0.5) -> DataFrame:
     return pings.filter((F.col("sog") < below) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def clean_track(pings: DataFrame, max_knots: float = 60.0) -> DataFrame:
-    """Pings with implied_knots from the vessel's previous place; those faster than max_knots go. Our own definition."""
+def track_speed(pings: DataFrame) -> DataFrame:
+    """Pings with implied_knots from the vessel's previous place; null at its first ping and without time between."""
     w = Window.partitionBy("mmsi").orderBy("ts", "lat", "lon")
     nm = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"), geo.EARTH_NM)
     hours = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 3600e6
-    return pings.withColumn("implied_knots", F.when(hours > 0, nm / hours)).filter(F.col("implied_knots").isNull() | (F.col("implied_knots") <= max_knots))
+    return pings.withColumn("implied_knots", F.when(hours > 0, nm / hours))
+
+
+def clean_track(pings: DataFrame, max_knots: float = 60.0) -> DataFrame:
+    """track_speed without what is faster than max_knots. Our own definition."""
+    return track_speed(pings).filter(F.col("implied_knots").isNull() | (F.col("implied_knots") <= max_knots))
+
+
+def cleaning_report(pings: DataFrame, max_knots: float = 60.0) -> DataFrame:
+    """For each vessel: pings, those removed by clean_track, their share, and the largest implied speed kept and removed."""
+    k = F.col("implied_knots")
+    fast = F.coalesce(k > max_knots, F.lit(False))
+    out = track_speed(pings).groupBy("mmsi").agg(F.count(F.lit(1)).alias("pings"), F.count_if(fast).alias("removed"), F.max(F.when(~fast, k)).alias("max_kept"), F.max(F.when(fast, k)).alias("max_removed"))
+    return out.withColumn("removed_share", F.col("removed") / F.col("pings"))
 
 
 def match_turbines(pings: DataFrame, turbines: DataFrame, within_m: float = 100.0, cell: float = 0.002) -> DataFrame:
     """Every pair of a ping and a turbine closer than within_m, with dist_m.
 
-    An equi-join on grid cells, the turbine side repeated into its 3 x 3
-    neighbours, so nothing is compared beyond them. A cell must be at least
-    within_m wide, which 0.002 degrees is for 100 m up to 63 degrees of latitude.
+    An equi-join on grid cells, the turbine side repeated into the cells that
+    its surroundings touch (more columns of them towards the poles), so
+    nothing is compared beyond them.
     """
-    t = turbines.select("found_id", "wind_farm", F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.explode(geo.neighbours(F.col("latitude"), F.col("longitude"), cell)).alias("c"))
+    t = turbines.select("found_id", "wind_farm", F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.explode(geo.around(F.col("latitude"), F.col("longitude"), cell, within_m)).alias("c"))
     t = t.select("found_id", "wind_farm", "t_lat", "t_lon", F.col("c.cy").alias("cy"), F.col("c.cx").alias("cx"))
-    p = pings.withColumns({"cy": geo.cell(F.col("lat"), cell), "cx": geo.cell(F.col("lon"), cell)})
+    p = pings.withColumns({"cy": geo.cell(F.col("lat"), cell), "cx": geo.turned(F.col("lon"), cell)})
     dist = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
     return p.join(t, ["cy", "cx"]).withColumn("dist_m", dist).filter(F.col("dist_m") < within_m).drop("cy", "cx", "t_lat", "t_lon")
 
 
+def match_nearest(pings: DataFrame, turbines: DataFrame, within_m: float = 100.0, cell: float = 0.002) -> DataFrame:
+    """Each ping with a turbine closer than within_m: the nearest one, ties to the smaller found_id, and dist_m.
+
+    Turbines are gathered by cell first, as many as stand in its
+    surroundings, so a ping meets one row; no window and no state, which
+    serves streams too.
+    """
+    near = turbines.withColumn("c", F.explode(geo.around(F.col("latitude"), F.col("longitude"), cell, within_m)))
+    near = near.groupBy(F.col("c.cy").alias("cy"), F.col("c.cx").alias("cx")).agg(F.collect_list(F.struct("latitude", "longitude", "found_id", "wind_farm")).alias("__t"))
+    p = pings.withColumns({"cy": geo.cell(F.col("lat"), cell), "cx": geo.turned(F.col("lon"), cell)}).join(near, ["cy", "cx"])
+    dist = lambda t: F.struct(geo.haversine(F.col("lat"), F.col("lon"), t["latitude"], t["longitude"]).alias("d"), t["found_id"].alias("f"), t["wind_farm"].alias("w"))
+    best = p.withColumn("__b", F.array_min(F.transform("__t", dist))).filter(F.col("__b.d") < within_m)
+    return best.select(*pings.columns, F.col("__b.f").alias("found_id"), F.col("__b.w").alias("wind_farm"), F.col("__b.d").alias("dist_m"))
+
+
 def nearest_only(matches: DataFrame) -> DataFrame:
     """The nearest turbine of each vessel and time; ties to the smaller found_id."""
     w = Window.partitionBy("mmsi", "ts").orderBy("dist_m", "found_id")
     return matches.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def best_text(df: DataFrame, key: str, column: str) -> DataFrame:
-    """The most frequent telling value of a column for each key; ties to the smaller."""
-    known = df.filter(F.col(column).isNotNull() & ~F.lower(F.trim(column)).isin(UNKNOWN))
-    n = known.groupBy(key, column).agg(F.count(F.lit(1)).alias("__n"))
-    return n.groupBy(key).agg(F.min_by(column, F.struct(-F.col("__n"), F.col(column))).alias(column))
-
-
 def vessel_metadata(pings: DataFrame) -> DataFrame:
-    """name, ship_type (most frequent), length and draught (largest) of each mmsi."""
-    size = pings.groupBy("mmsi").agg(F.max("length").alias("length"), F.max("draught").alias("draught"))
-    return size.join(best_text(pings, "mmsi", "name"), "mmsi", "left").join(best_text(pings, "mmsi", "ship_type"), "mmsi", "left")
+    """name, ship_type (most frequent), length and draught (largest) of each mmsi.
+
+    Pings are read once and counted by vessel and texts; what follows works
+    on those few rows.
+    """
+    sizes = [F.max(c).alias(c) for c in ("length", "draught")]
+    counts = pings.groupBy("mmsi", "name", "ship_type").agg(F.count(F.lit(1)).alias("n"), *sizes)
+    texts = F.explode(F.array(F.struct(F.lit("name").alias("c"), F.col("name").alias("v")), F.struct(F.lit("ship_type").alias("c"), F.col("ship_type").alias("v"))))
+    each = counts.select("mmsi", "n", "length", "draught", texts.alias("x")).groupBy("mmsi", F.col("x.c").alias("c"), F.col("x.v").alias("v")).agg(F.sum("n").alias("n"), *sizes)
+    known = F.col("v").isNotNull() & ~F.lower(F.trim("v")).isin(UNKNOWN)
+    best = lambda c: F.min_by("v", F.when(known & (F.col("c") == c), F.struct(-F.col("n"), F.col("v")))).alias(c)
+    return each.groupBy("mmsi").agg(*sizes, best("name"), best("ship_type")).select("mmsi", "length", "draught", "name", "ship_type")
 
 
 def sessions(pings: DataFrame, gap_minutes: float = 30.0, *split: str, key: str = "mmsi", ts: str = "ts") -> DataFrame:
@@ -137,7 +167,7 @@ def dwell_events(pings: DataFrame, turbines: DataFrame, gap_minutes: float = 30.
     events than least_minutes go. Windows and the groupBy share one shuffle
     by vessel and time; sessions of a vessel are sorted, and may spill.
     """
-    at = sessions(nearest_only(match_turbines(stationary(pings), turbines)), gap_minutes, "found_id")
+    at = sessions(nearest_only(match_nearest(stationary(pings), turbines)), gap_minutes, "found_id")
     out = at.groupBy("mmsi", "event_id", "wind_farm", "found_id").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("ping_count"), F.avg("sog").alias("mean_sog"), F.min("dist_m").alias("min_dist")
     )
@@ -156,7 +186,7 @@ def fleet_registry(events: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def candidate_vessels(pings: DataFrame, turbines: DataFrame, farm: str, below: float = 1.0) -> DataFrame:
     """mmsi and its slow pings within 100 m of one farm's turbines."""
-    near = match_turbines(pings.filter(F.col("sog") < below), turbines.filter(F.col("wind_farm") == farm))
+    near = match_nearest(pings.filter(F.col("sog") < below), turbines.filter(F.col("wind_farm") == farm))
     return nearest_only(near).groupBy("mmsi").agg(F.count(F.lit(1)).alias("pings"))
 
 
@@ -168,7 +198,7 @@ def slow_in_box(pings: DataFrame, box: tuple[float, float, float, float], below:
 
 def zones(pings: DataFrame, turbines: DataFrame, asset_m: float = 200.0, farm_m: float = 500.0, context_m: float = 5000.0) -> DataFrame:
     """Pings with the nearest turbine's dist_m, its farm and zone: asset, farm, context or null. Farms are their turbines' surroundings."""
-    near = match_turbines(pings, turbines, context_m, cell=0.1)
+    near = match_nearest(pings, turbines, context_m, cell=0.1)
     w = Window.partitionBy("mmsi", "ts").orderBy("dist_m", "found_id")
     near = near.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
     d = F.col("dist_m")

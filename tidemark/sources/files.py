@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,7 @@ def read_columns(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def register(spark: SparkSession, sources: dict[str, dict]) -> list[str]:
     """Temporary views by name; sources have path, format (parquet), options and required (True). Returns what was made.
 
-    An optional source whose path can't be read is left out.
+    An optional source whose path does not exist is left out; any other fault fails.
     """
     made = []
     for name, s in sources.items():
@@ -87,8 +88,8 @@ def register(spark: SparkSession, sources: dict[str, dict]) -> list[str]:
             raise ValueError(f"not a view name: {name!r}")
         try:
             df = spark.read.format(s.get("format", "parquet")).options(**s.get("options", {})).load(s["path"])
-        except Exception:
-            if s.get("required", True):
+        except AnalysisException as e:
+            if s.get("required", True) or "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
         df.createOrReplaceTempView(name)

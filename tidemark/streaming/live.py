@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import pings as P
+from tidemark.plans.lineage import shared_dir
 
 
 def filtered(stream: DataFrame, turbines: DataFrame, box: tuple[float, float, float, float] | None = None, max_sog: float | None = 2.0) -> DataFrame:
-    """Sound, slow pings matched to a static turbine table; stateless."""
-    return P.match_turbines(P.stationary(P.filter_pings(stream, box, max_sog)), turbines)
+    """Sound, slow pings, each with its nearest turbine of a static table; stateless."""
+    return P.match_nearest(P.stationary(P.filter_pings(stream, box, max_sog)), turbines)
 
 
 def without_duplicates(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -22,11 +25,51 @@ def without_duplicates(stream: DataFrame, delay: str = "10 minutes") -> DataFram
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["mmsi", "ts"])
 
 
-def dwell_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Dwell sessions of a vessel at a turbine, each sent once it is closed; a gap of exactly the limit does not split."""
-    s = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "mmsi", "found_id")
-    out = s.agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("ping_count"), F.avg("sog").alias("mean_sog"))
-    return out.select("mmsi", "found_id", "start", "end", "ping_count", "mean_sog")
+def dwell_sessions(stream: DataFrame, gap_minutes: float = 30.0, least_minutes: float = 15.0, delay: str = "1 hour") -> DataFrame:
+    """Dwell sessions of matched pings (filtered), each sent once it is closed; the same as those of a batch.
+
+    A session ends at a longer gap or at another turbine; shorter ones than
+    least_minutes go. State is, for each vessel, the pings beyond the
+    watermark, as earlier ones may still come, and one open session.
+    """
+    gap = gap_minutes * 60
+    out = "mmsi long, found_id long, start timestamp, end timestamp, ping_count long, mean_sog double, min_dist double, duration_min double"
+    waiting = ["t", "found", "sog", "dist"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [list(x) for x in state.get] if state.exists else [[] for _ in range(10)]
+        parts = [pd.DataFrame(dict(zip(waiting, held[:4])))]
+        for f in () if state.hasTimedOut else frames:
+            parts.append(pd.DataFrame({"t": f.ts.astype("int64") / 10 ** (9 if f.ts.dtype == "datetime64[ns]" else 6), "found": f.found_id, "sog": f.sog, "dist": f.dist_m}))
+        rows = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else parts[0]
+        now = state.getCurrentWatermarkMs() / 1000
+        ready, later = rows[rows.t < now], rows[rows.t >= now]
+        ready = ready.sort_values(["t", "dist", "found"]).drop_duplicates("t")
+        sessions = pd.DataFrame(dict(zip(["found", "start", "end", "n", "sog", "dist"], held[4:])))
+        if len(ready):
+            new = (ready.found != ready.found.shift()) | (ready.t - ready.t.shift() > gap)
+            own = ready.groupby(new.cumsum()).agg(found=("found", "first"), start=("t", "min"), end=("t", "max"), n=("t", "size"), sog=("sog", "sum"), dist=("dist", "min"))
+            if len(sessions) and sessions.found.iloc[0] == own.found.iloc[0] and own.start.iloc[0] - sessions.end.iloc[0] <= gap:
+                first, old = own.index[0], sessions.iloc[0]
+                own.loc[first, ["start", "n", "sog", "dist"]] = [old.start, old.n + own.n.loc[first], old.sog + own.sog.loc[first], min(old.dist, own.dist.loc[first])]
+                sessions = sessions.iloc[1:]
+            sessions = pd.concat([s for s in (sessions, own) if len(s)], ignore_index=True)
+        open_ = sessions.iloc[-1:] if len(sessions) and sessions.end.iloc[-1] + gap >= now else sessions.iloc[:0]
+        done = sessions.iloc[: len(sessions) - len(open_)]
+        if len(later) or len(open_):
+            state.update((*([float(x) for x in later.t], [int(x) for x in later.found], [float(x) for x in later.sog], [float(x) for x in later.dist]), *([float(x) for x in open_[c]] for c in ("found", "start", "end", "n", "sog", "dist"))))
+            at = min([*later.t, *(open_.end + gap)])
+            state.setTimeoutTimestamp(int(max(at * 1000, now * 1000)) + 1)
+        elif state.exists:
+            state.remove()
+        done = done[(done.end - done.start) / 60 >= least_minutes]
+        yield pd.DataFrame(
+            {"mmsi": key[0], "found_id": done.found.astype("int64"), "start": pd.to_datetime(done.start, unit="s"), "end": pd.to_datetime(done.end, unit="s"), "ping_count": done.n.astype("int64"),
+             "mean_sog": done.sog / done.n, "min_dist": done.dist, "duration_min": (done.end - done.start) / 60}
+        )
+
+    kept = ", ".join(f"{c} array<{'long' if c == 'found' else 'double'}>" for c in waiting) + ", " + ", ".join(f"s_{c} array<double>" for c in ("found", "start", "end", "n", "sog", "dist"))
+    return stream.withWatermark("ts", delay).groupBy("mmsi").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hourly(stream: DataFrame, value: str, delay: str = "1 hour") -> DataFrame:
@@ -64,22 +107,33 @@ def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget_hours: float
         if state.hasTimedOut:
             state.remove()
             return
-        import math
-
-        last = state.get if state.exists else None
-        rows = []
-        for f in frames:
-            for r in f.sort_values(["ts", "lat", "lon"]).itertuples():
-                now, knots = r.ts.timestamp(), None
-                if last and now > last[0]:
-                    a = math.sin(math.radians(r.lat - last[1]) / 2) ** 2 + math.cos(math.radians(last[1])) * math.cos(math.radians(r.lat)) * math.sin(math.radians(r.lon - last[2]) / 2) ** 2
-                    knots = 2 * 3440.065 * math.asin(min(1.0, math.sqrt(a))) / ((now - last[0]) / 3600)
-                rows.append((key[0], r.ts, r.lat, r.lon, knots, knots is not None and knots > max_knots))
-                if not last or now >= last[0]:
-                    last = (float(now), float(r.lat), float(r.lon))
-        if last:
-            state.update(last)
-            state.setTimeoutTimestamp(int(max(last[0] * 1000 + forget_hours * 3.6e6, state.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame(rows, columns=["mmsi", "ts", "lat", "lon", "implied_knots", "alert"])
+        f = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "lat", "lon"], ignore_index=True)
+        t = f.ts.astype("int64") / 10 ** (9 if f.ts.dtype == "datetime64[ns]" else 6)
+        before = state.get if state.exists else (float("nan"),) * 3
+        new = ~(t < before[0])  # older pings than the state have no place before them
+        own = pd.DataFrame({"t": t, "lat": f.lat, "lon": f.lon})[new]
+        last = own.shift()
+        if len(own):
+            last.iloc[0] = before
+        a = np.sin(np.radians(own.lat - last.lat) / 2) ** 2 + np.cos(np.radians(last.lat)) * np.cos(np.radians(own.lat)) * np.sin(np.radians(own.lon - last.lon) / 2) ** 2
+        hours = (own.t - last.t) / 3600
+        knots = (2 * 3440.065 * np.arcsin(np.minimum(1.0, np.sqrt(a))) / hours.where(hours > 0)).reindex(f.index)
+        if len(own):
+            state.update(tuple(float(x) for x in own.iloc[-1]))
+        if state.exists:
+            state.setTimeoutTimestamp(int(max(state.get[0] * 1000 + forget_hours * 3.6e6, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame({"mmsi": key[0], "ts": f.ts, "lat": f.lat, "lon": f.lon, "implied_knots": knots.astype(object).where(knots.notna(), None), "alert": knots > max_knots})
 
     return stream.withWatermark("ts", "1 hour").groupBy("mmsi").applyInPandasWithState(step, out, "t double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame) -> tuple[DataFrame, int]:
+    """What a stream gives for all that is available now, as a table, and the late rows that its watermarks dropped.
+
+    Results and checkpoints are files in the folder that all executors share.
+    """
+    base = f"{shared_dir(stream.sparkSession)}/tidemark-stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out"), late
