@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries_events, queries_evidence, queries_farms, queries_whole  # noqa: F401
+from tidemark.plans import queries_events, queries_evidence, queries_farms, queries_reports, queries_whole  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES  # noqa: F401

@@ -96,10 +96,14 @@ def access_matrix(percentiles: DataFrame, levels: DataFrame, floor50: float = 0.
 
 
 def ecdf(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct values of each group and the share of rows up to each."""
+    """Distinct values of each group and the share of rows up to each; counted first, then summed up by range partitions."""
+    from tidemark.operators.stats import running_counts
+
     n = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*groups)
-    return n.withColumn("ecdf", F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)).drop("n")
+    total = n.groupBy(*groups).agg(F.sum("n").alias("__all"))
+    run = running_counts(n, groups, value, ["n"])
+    met = run.join(total, groups) if groups else run.crossJoin(F.broadcast(total))
+    return met.withColumn("ecdf", F.col("run_n") / F.col("__all")).drop("n", "run_n", "__all")
 
 
 @dataclass(frozen=True)

@@ -52,6 +52,14 @@ def reject_counts(pings: DataFrame, *by: str, box: tuple[float, float, float, fl
     return out.withColumn("retention_pct", F.round(F.when(F.col("seen") > 0, F.col("kept") * 100.0 / F.col("seen")), 4))
 
 
+def slice_rows(df: DataFrame, farms: list[str] | None = None, start: str | None = None, end: str | None = None, ts: str = "start_utc") -> DataFrame:
+    """Rows of some farms from start on and before end; what is None does not filter."""
+    tests = [F.col("wind_farm").isin(farms) if farms is not None else None, F.col(ts) >= F.lit(start).cast("timestamp") if start else None, F.col(ts) < F.lit(end).cast("timestamp") if end else None]
+    for t in tests:
+        df = df if t is None else df.filter(t)
+    return df
+
+
 def farm_boxes(turbines: DataFrame, buffer_nm: float) -> DataFrame:
     """wind_farm and its box, widened by nautical miles; longitudes by more towards the poles."""
     box = turbines.groupBy("wind_farm").agg(*(f(c).alias(n) for c, a in (("latitude", "lat"), ("longitude", "lon")) for f, n in ((F.min, f"min_{a}"), (F.max, f"max_{a}"))))

@@ -42,22 +42,44 @@ def bootstrap_wins(winners: DataFrame, draws: int, seed: int) -> DataFrame:
     return first.groupBy("winner").agg((F.count(F.lit(1)) / draws).alias("win_rate"))
 
 
+def running_counts(counts: DataFrame, keys: list[str], order: str, sums: list[str]) -> DataFrame:
+    """counts with run_<c>, the sum of each c up to and with a row, in the order of a column within the keys.
+
+    Rows are range-partitioned and written; a window runs within each
+    partition and the totals of those before, a row for each partition and
+    key, are added. So a key that holds most rows is not one task's.
+    """
+    from tidemark.plans.lineage import cut
+
+    placed = cut(counts.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    part = placed.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"__sum_{c}") for c in sums))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = part.select(*keys, "__part", *(F.coalesce(F.sum(f"__sum_{c}").over(ahead), F.lit(0)).alias(f"__sum_{c}") for c in sums))
+    run = placed.withColumns({f"run_{c}": F.sum(c).over(own) for c in sums}).join(before, [*keys, "__part"])
+    return run.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"__sum_{c}") for c in sums}).drop("__part", *(f"__sum_{c}" for c in sums))
+
+
 def rank_statistics(df: DataFrame, group: str, value: str, label: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance, Mann-Whitney U and Cliff's delta of labelled against other rows, for each group.
 
-    Values are counted first, so a window sorts distinct values only; ranks
-    of ties are averaged. z is U's normal score without a tie correction.
+    Values are counted first and summed up by range partitions, so no task
+    sorts a whole group; ranks of ties are averaged. z is U's normal score without a tie correction.
     """
     c = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_if(label).alias("a"), F.count_if(~label).alias("b"))
-    w = Window.partitionBy(group)
-    up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"na": F.sum("a").over(w), "nb": F.sum("b").over(w), "ca": F.sum("a").over(up), "cb": F.sum("b").over(up)})
+    total = c.groupBy(group).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    c = running_counts(c, [group], value, ["a", "b"]).withColumnsRenamed({"run_a": "ca", "run_b": "cb"}).join(total, group)
     u = F.sum(F.col("a") * ((F.col("cb") - F.col("b")) + F.col("b") / 2))
     out = c.filter("na > 0 and nb > 0").groupBy(group, "na", "nb").agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), u.alias("u"), (F.sum(F.col("a") * F.col(value)) / F.first("na")).alias("mean_a"), (F.sum(F.col("b") * F.col(value)) / F.first("nb")).alias("mean_b"))
     m = F.col("na") * F.col("nb")
     return out.withColumns({"cliffs_delta": 2 * F.col("u") / m - 1, "z": (F.col("u") - m / 2) / F.sqrt(m * (F.col("na") + F.col("nb") + 1) / 12)})
 
 
+def sound_wind(df: DataFrame, wind: str, most: float = 45.0) -> DataFrame:
+    """Rows whose wind speed is between 0 and the limit."""
+    return df.filter(F.col(wind).between(0, most))
+
+
 def power_curve(df: DataFrame, asset: str, wind: str, power: str, width: float = 0.5, least_rows: int = 30) -> DataFrame:
     """Mean power of wind bins of each asset, from rows of sound status, wind 0 to 35 and power -0.05 to 1.2."""
     ok = df.filter(F.col("status").isin(0, 1) & F.col(wind).between(0, 35) & F.col(power).between(-0.05, 1.2))

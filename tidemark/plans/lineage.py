@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,32 @@ def cut(df: DataFrame) -> DataFrame:
     files go when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the session ends or the innermost `spent` block does."""
+    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    for paths in _BLOCKS[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def spent(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables that were cut in it; what is to stay must have been written elsewhere by then."""
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for path in _BLOCKS.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Paths of the tables cut in each open block, the innermost last.
+_BLOCKS: list[list[str]] = []

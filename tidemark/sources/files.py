@@ -44,7 +44,7 @@ def rename(df: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS, required: t
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in found.items() if c))
 
 
-def read_pings(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
+def read_pings(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True) -> DataFrame:
     """All-text pings of one layout; without a header the legacy columns, up to 5 more or fewer."""
     reader = spark.read.option("sep", sep).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
     if header:
@@ -54,6 +54,30 @@ def read_pings(spark: SparkSession, path: str, sep: str = ",", header: bool = Tr
     return rename(reader.schema(schema).csv(path))
 
 
+def layouts(spark: SparkSession, path: str) -> DataFrame:
+    """file, sep, header and line (the header line, else null) of each ping file under a path, from its first line.
+
+    The first line is the least row of the file's first block; a byte-order
+    mark is dropped, the separator is the more frequent of comma and
+    semicolon, and a line that names a vessel and a latitude is a header.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value").withColumn("i", F.monotonically_increasing_id())
+    first = rows.filter("at = 0").groupBy("file").agg(F.regexp_replace(F.min_by("value", "i"), "^\ufeff", "").alias("line"))
+    many = lambda c: F.char_length("line") - F.char_length(F.replace("line", F.lit(c)))
+    header = F.lower("line").contains("mmsi") & F.lower("line").contains("lat")
+    return first.select("file", F.when(many(";") > many(","), ";").otherwise(",").alias("sep"), header.alias("header"), F.when(header, F.col("line")).alias("line"))
+
+
+def read_drifting(spark: SparkSession, path: str) -> DataFrame:
+    """All-text pings of every file under a path, whatever each one's layout; files of one layout are one scan.
+
+    What comes to the driver is the list of files, which Spark's own listing
+    holds there too.
+    """
+    found = layouts(spark, path).groupBy("sep", "header", "line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("sep", "header", "line").collect()
+    return read_layouts(spark, [{"path": r.files, "sep": r.sep, "header": r.header} for r in found])
+
+
 def read_layouts(spark: SparkSession, layouts: list[dict]) -> DataFrame:
     """Union by name of read_pings for several layouts."""
     out = None
@@ -122,6 +146,17 @@ def inventory(df: DataFrame) -> DataFrame:
     return df.select(name.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows")).select("file", "rows", *(c.alias(n) for c, n in zip(file_fields(F.col("file")), ("lat", "lon", "year", "month"))))
 
 
+def variable_sets(files: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Files, rows, farms and years of each set of variables: the first set all of whose columns a file has values of.
+
+    files has file, wind_farm, year and the variables; a file without any set is other.
+    """
+    names = list(dict.fromkeys(c for s in sets.values() for c in s))
+    per = files.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.first("wind_farm").alias("wind_farm"), F.first("year").alias("year"), *(F.count(c).alias(c) for c in names))
+    kind = F.coalesce(*(F.when(F.forall(F.array(*(F.col(c) for c in s)), lambda n: n > 0), F.lit(k)) for k, s in sets.items()), F.lit("other"))
+    return per.groupBy(kind.alias("set")).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.count_distinct("wind_farm").alias("farms"), F.count_distinct("year").alias("years"))
+
+
 def write(df: DataFrame, path: str, format: str = "parquet", overwrite: bool = False, **options: str) -> None:
     """Write a table; an existing one is kept unless overwrite is asked for."""
     df.write.format(format).options(**options).mode("overwrite" if overwrite else "errorifexists").save(path)
@@ -143,3 +178,14 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Semicolon-separated status files, tagged with the file that names their event."""
     raw = spark.read.option("sep", ";").option("header", True).csv(path)
     return raw.select("*", F.regexp_extract("_metadata.file_name", r"([^/]+)\.[^.]*$", 1).alias("file_id"))
+
+
+def asset_coverage(status: DataFrame, asset: str, ts: str = "ts") -> DataFrame:
+    """For each asset of status rows: files, rows, first and last time."""
+    return status.groupBy(asset).agg(F.count_distinct("file_id").alias("files"), F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def registry_parts(turbines: DataFrame, countries: list[str], farms: list[str]) -> DataFrame:
+    """A turbine registry once for each part it belongs to (column part): all, country:<name> and farm:<name>; write it partitioned by part."""
+    names = F.array_compact(F.array(F.lit("all"), F.when(F.col("country").isin(countries), F.concat(F.lit("country:"), "country")), F.when(F.col("wind_farm").isin(farms), F.concat(F.lit("farm:"), "wind_farm"))))
+    return turbines.withColumn("part", F.explode(names))

@@ -25,22 +25,39 @@ def valid_cells(field: DataFrame, value: str, first_steps: int = 8) -> DataFrame
     return field.join(F.broadcast(early), "ts", "left_semi").filter(ok).select("grid_lat", "grid_lon").distinct()
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, max_km: float = 25.0, width: float = 0.5) -> DataFrame:
-    """points with the nearest valid cell within max_km, its distance and a status.
-
-    Points meet the cells of the 3 x 3 grid squares around them; a square
-    must be at least max_km wide, in longitude up to the latitude where
-    width degrees are that far. no_valid_grid_within_search: no cell there.
+def check_site_points(points: DataFrame, turbines: DataFrame) -> DataFrame:
+    """points, failing in a task when a farm has not one centroid and a point for each turbine, or repeats a point."""
+    want = turbines.groupBy("wind_farm").agg((F.count(F.lit(1)) + 1).alias("want"))
+    have = points.groupBy("wind_farm").agg(F.count(F.lit(1)).alias("have"), F.count_distinct("sample_point_id").alias("ids"))
+    met = want.join(have, "wind_farm", "full")
+    why = F.when(F.col("have").isNull(), "a farm has no points").when(F.col("want").isNull(), "a farm has no turbines").when(F.col("ids") < F.col("have"), "a point is repeated").when(F.col("want") != F.col("have"), "a farm's points do not match its turbines")
+    ok = met.select("wind_farm", F.when(why.isNotNull(), F.raise_error(why)).otherwise(F.lit(1)).alias("__ok"))
+    return points.join(ok, "wind_farm", "full").filter("__ok = 1").select(*points.columns)
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, max_km: float = 25.0, width: float = 0.5, keys: tuple[str, ...] = ("wind_farm", "sample_point_id"), checked: bool = True, in_box: bool = False) -> DataFrame:
+    """points with the nearest cell within max_km, its distance and a status.
+
+    Cells are those of any grid, regular or curvilinear, as a list. Points
+    meet the cells of the 3 x 3 grid squares around them; a square must be
+    at least max_km wide, in longitude up to the latitude where width degrees
+    are that far. no_valid_grid_within_search: no cell there. With cells that
+    were not checked for values the status is nearest_unchecked; with in_box,
+    points outside the box of all cells are outside_grid.
     """
-    p = points.withColumn("__id", F.struct("wind_farm", "sample_point_id")).withColumn("__c", F.explode(geo.neighbours(F.col("lat"), F.col("lon"), width)))
+    p = points.withColumn("__id", F.struct(*keys)).withColumn("__c", F.explode(geo.neighbours(F.col("lat"), F.col("lon"), width)))
     p = p.select("__id", "lat", "lon", F.col("__c.cy").alias("cy"), F.col("__c.cx").alias("cx"))
     c = cells.select("grid_lat", "grid_lon", geo.cell(F.col("grid_lat"), width).alias("cy"), geo.cell(F.col("grid_lon"), width).alias("cx"))
     km = geo.haversine(F.col("lat"), F.col("lon"), F.col("grid_lat"), F.col("grid_lon"), geo.EARTH_KM)
     best = p.join(c, ["cy", "cx"]).withColumn("km", km).groupBy("__id").agg(F.min(F.struct("km", "grid_lat", "grid_lon")).alias("b"))
-    best = best.select(F.col("__id.wind_farm").alias("wind_farm"), F.col("__id.sample_point_id").alias("sample_point_id"), "b.*")
-    out = points.join(best, ["wind_farm", "sample_point_id"], "left")
-    status = F.when(F.col("km").isNull(), "no_valid_grid_within_search").when(F.col("km") <= max_km, "nearest_valid_grid").otherwise("valid_grid_too_far")
-    return out.withColumn("match_status", status)
+    best = best.select(*(F.col(f"__id.{k}").alias(k) for k in keys), "b.*")
+    out = points.join(best, list(keys), "left")
+    status = F.when(F.col("km").isNull(), "no_valid_grid_within_search").when(F.col("km") <= max_km, "nearest_valid_grid" if checked else "nearest_unchecked").otherwise("valid_grid_too_far")
+    if in_box:
+        box = cells.agg(F.min("grid_lat").alias("__a"), F.max("grid_lat").alias("__b"), F.min("grid_lon").alias("__c"), F.max("grid_lon").alias("__d"))
+        out = out.crossJoin(F.broadcast(box))  # one row
+        status = F.when(~(F.col("lat").between(F.col("__a"), F.col("__b")) & F.col("lon").between(F.col("__c"), F.col("__d"))), "outside_grid").otherwise(status)
+    return out.withColumn("match_status", status).drop("__a", "__b", "__c", "__d")
 
 
 def surface_level(field: DataFrame) -> DataFrame:
@@ -67,6 +84,17 @@ def depth_assignment(points: DataFrame, payloads: DataFrame, step: float = 1 / 4
     return out.select(*points.columns, depth.alias("water_depth_m"), geo.snap(F.col("lat"), step).alias("grid_lat"), geo.snap(F.col("lon"), step).alias("grid_lon"), status.alias("depth_status"))
 
 
+def depth_references(assigned: DataFrame, payloads: DataFrame, source: str, version: str) -> DataFrame:
+    """Depth assignments with where they come from: source, version, the field used (avg, smoothed), and the distance of the snapped cell in metres."""
+    from tidemark.functions.values import cache_key
+
+    key = cache_key(F.format_string("%.6f", "lat"), F.format_string("%.6f", "lon"))
+    x = F.from_json("payload", "avg double, smoothed double")
+    used = payloads.select("key", F.when(x["avg"].isNotNull(), "avg").when(x["smoothed"].isNotNull(), "smoothed").alias("depth_field"))
+    out = assigned.withColumn("key", key).join(used, "key", "left")
+    return out.withColumns({"depth_source": F.lit(source), "depth_version": F.lit(version), "snap_m": geo.haversine(F.col("lat"), F.col("lon"), F.col("grid_lat"), F.col("grid_lon"))})
+
+
 def materialization_plan(field: DataFrame, points: DataFrame, existing: DataFrame, variables: list[str]) -> DataFrame:
     """For each farm's field: variables present and missing, time range, step, years, expected rows, and whether it is ready or there already.
 
