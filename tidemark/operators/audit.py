@@ -156,5 +156,5 @@ def guardrails(df: DataFrame, checks: list[tuple[str, Column, str]]) -> DataFram
     rows = F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("broken"), F.when(F.col(n) == 0, "pass").otherwise(F.lit(level)).alias("status")) for n, _, level in checks))
     out = one.withColumn("r", rows)
     failed = F.transform(F.filter("r", lambda x: x["status"] == "fail"), lambda x: x["check"])
-    verdict = F.to_json(F.struct(F.when(F.size(failed) == 0, "proceed").otherwise("stop").alias("recommendation"), failed.alias("failed")))
+    verdict = F.to_json(F.named_struct(F.lit("recommendation"), F.when(F.size(failed) == 0, "proceed").otherwise("stop"), F.lit("failed"), failed))
     return out.select(F.explode("r").alias("x"), verdict.alias("summary")).select("x.*", "summary")

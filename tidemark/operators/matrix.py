@@ -87,6 +87,29 @@ def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block
     return out.select(F.col("k").alias(key), F.timestamp_seconds("t").alias("ts"), F.col("v").alias(value))
 
 
+def upscale(hourly: DataFrame, events: DataFrame, key: str, scalars: list[str], directions: list[str] = ()) -> DataFrame:
+    """Every event's ten-minute rows (event_id, key, ts) with hourly series between their knots.
+
+    Scalars follow a spline, directions the line between the components of
+    the knots around. Both are computed over the whole series and only then
+    clipped to the events, so a knot within an hour on either side is there
+    wherever the series has one; beyond its ends values are null.
+    """
+    from tidemark.operators.timejoin import interpolate
+
+    rows = grid(events.select("event_id", key, "start", "end")).select("event_id", key, "ts")
+    out = rows
+    for c in scalars:
+        out = out.join(spline(hourly.select(key, "ts", c), key, c), [key, "ts"], "left")
+    if directions:
+        parts = hourly.select(key, "ts", *(x.alias(f"__{c}_{n}") for c in directions for n, x in zip("sk", angles.components(F.col(c)))))
+        parts = parts.filter(" and ".join(f"__{c}_s is not null" for c in directions))
+        met = interpolate(rows.select(key, "ts"), parts, [key], [f"__{c}_{n}" for c in directions for n in "sk"])
+        turned = {c: angles.speed_direction(F.col(f"__{c}_s"), F.col(f"__{c}_k"))[1] for c in directions}
+        out = out.join(met.select(key, "ts", *(v.alias(c) for c, v in turned.items())), [key, "ts"], "left")
+    return out
+
+
 def status_profile(status: DataFrame) -> DataFrame:
     """At each time the most frequent status (ties to the smaller) and the shares in service and down."""
     n = status.groupBy("ts", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -242,8 +242,8 @@ def circular_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT event_id, value, (value * 7.2) % 360 AS deg, ((event_id * 37) % 360)::DOUBLE AS other FROM events),
 c AS (SELECT *, sin(radians(deg)) * 0.75 + sin(radians(other)) * 0.25 AS s, cos(radians(deg)) * 0.75 + cos(radians(other)) * 0.25 AS k FROM a)
-SELECT event_id, ['N','NE','E','SE','S','SW','W','NW'][(floor(((deg + 22.5) % 360) / 45))::INT + 1] AS sector, round((degrees(atan2(s, k)) + 360) % 360, 2) AS between_directions,
-       round(sqrt(s * s + k * k), 5) AS speed, round(floor(value / 25) * 25, 2) AS bin_left, round((ceil(value / 25) - 1) * 25, 2) AS bin_right_closed FROM c WHERE sqrt(s * s + k * k) > 0.01 AND (degrees(atan2(s, k)) + 360) % 360 BETWEEN 0.1 AND 359.9""")
+SELECT event_id, ['N','NE','E','SE','S','SW','W','NW'][(floor(((deg + 22.5) % 360) / 45))::INT + 1] AS sector, CASE WHEN sqrt(s * s + k * k) >= 0.0001 THEN round((degrees(atan2(s, k)) + 360) % 360, 2) % 360 END AS between_directions,
+       round(sqrt(s * s + k * k), 5) AS speed, round(floor(value / 25) * 25, 2) AS bin_left, round((ceil(value / 25) - 1) * 25, 2) AS bin_right_closed FROM c""")
 def directions_and_bins(spark: SparkSession, sf: str) -> DataFrame:
     """FX-06, FX-07, FX-15, FX-18."""
     e = R.table(spark, sf, "events").withColumns({"deg": angles.wrap(F.col("value") * 7.2), "other": F.pmod(F.col("event_id") * 37, F.lit(360)).cast("double")})
@@ -251,8 +251,8 @@ def directions_and_bins(spark: SparkSession, sf: str) -> DataFrame:
     e = e.withColumns({"s": a * 0.75 + c * 0.25, "k": b * 0.75 + d * 0.25})
     speed, _ = angles.speed_direction(F.col("s"), F.col("k"))
     out = e.select("event_id", angles.sector(F.col("deg")).alias("sector"), angles.interpolate(F.col("deg"), F.col("other"), F.lit(0.25)).alias("between_directions"), speed.alias("speed"), values.left_closed_bin(F.col("value"), 25.0).alias("bin_left"), values.right_closed_bin(F.col("value"), 25.0).alias("bin_right_closed"))
-    out = out.filter((F.col("speed") > 0.01) & F.col("between_directions").between(0.1, 359.9))
-    return rounded(out, between_directions=2, speed=5, bin_left=2, bin_right_closed=2)
+    calm = F.when(F.col("speed") >= 0.0001, F.round("between_directions", 2) % 360)
+    return rounded(out.withColumn("between_directions", calm), speed=5, bin_left=2, bin_right_closed=2)
 
 
 @query(f"""WITH {R.TURBINES}, q AS (SELECT a.found_id, b.found_id AS nearest, {R.HAVERSINE.format(r='6371.0088::DOUBLE', a='a.', b='b.')} AS km

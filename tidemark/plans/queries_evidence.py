@@ -378,12 +378,14 @@ def partition_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return A.anomalies(ix, rules).select("wind_farm", F.col("month").cast("string").alias("month"), "severity", "type", "evidence")
 
 
-@query(f"""WITH {FUSED} SELECT "check", broken, CASE WHEN broken = 0 THEN 'pass' ELSE level END AS status FROM (
-  SELECT 'current_only_when_ready' AS "check", count(*) FILTER (NOT (current_speed IS NULL OR current_ready)) AS broken, 'fail' AS level FROM fused UNION ALL SELECT 'wave_present', count(*) FILTER (hs IS NULL), 'warn' FROM fused)""")
+@query(f"""WITH {FUSED}, g AS (
+  SELECT 'current_only_when_ready' AS "check", count(*) FILTER (NOT (current_speed IS NULL OR current_ready)) AS broken, 'fail' AS level FROM fused UNION ALL SELECT 'wave_present', count(*) FILTER (hs IS NULL), 'warn' FROM fused UNION ALL SELECT 'every_layer', count(*) FILTER (feature_class <> 'multivariate'), 'fail' FROM fused),
+s AS (SELECT *, CASE WHEN broken = 0 THEN 'pass' ELSE level END AS status FROM g)
+SELECT "check", broken, status, (SELECT CASE WHEN count(*) = 0 THEN '{{"recommendation":"proceed","failed":[]}}' ELSE '{{"recommendation":"stop","failed":["' || string_agg("check", '","') || '"]}}' END FROM s WHERE status = 'fail') AS summary FROM s""")
 def guardrails(spark: SparkSession, sf: str) -> DataFrame:
-    """SC-11, SC-12, AG-71, FLT-10."""
-    checks = [("current_only_when_ready", F.col("current_speed").isNull() | F.col("current_ready"), "fail"), ("wave_present", F.col("hs").isNotNull(), "warn")]
-    return A.guardrails(_layers(spark, sf), checks).drop("summary")
+    """SC-11, AG-71."""
+    checks = [("current_only_when_ready", F.col("current_speed").isNull() | F.col("current_ready"), "fail"), ("wave_present", F.col("hs").isNotNull(), "warn"), ("every_layer", F.col("feature_class") == "multivariate", "fail")]
+    return A.guardrails(_layers(spark, sf), checks)
 
 
 @query("""SELECT user_id, sum(CASE WHEN ok THEN n ELSE 0 END)::BIGINT AS positive, sum(CASE WHEN NOT ok THEN n ELSE 0 END)::BIGINT AS negative, coalesce(max(n) FILTER (ok), 0) AS longest_run FROM (

@@ -99,11 +99,11 @@ def paired_medians(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT date_trunc('hour', ts) AS ts, event_id % 6 AS status, count(*) AS n FROM events GROUP BY ALL)
-SELECT ts, (arg_min(status, -n * 100 + status))::BIGINT AS mode, round(sum(n) FILTER (status IN (3, 4)) / sum(n), 6) AS service_share FROM n GROUP BY ts HAVING sum(n) FILTER (status IN (3, 4)) > 0""")
+SELECT ts, (arg_min(status, -n * 100 + status))::BIGINT AS mode, round(coalesce(sum(n) FILTER (status IN (3, 4)), 0) / sum(n), 6) AS service_share FROM n GROUP BY ts""")
 def status_profile(spark: SparkSession, sf: str) -> DataFrame:
     """AG-54."""
     s = R.table(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("ts"), (F.col("event_id") % 6).alias("status"))
-    return rounded(X.status_profile(s).drop("down_share").filter("service_share > 0"), service_share=6)
+    return rounded(X.status_profile(s).drop("down_share"), service_share=6)
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 97 AS found_id, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS s, to_timestamp(floor(epoch(ts)) + 3600)::TIMESTAMP AS t FROM events WHERE event_id % 50 = 0),

@@ -1,8 +1,9 @@
-"""Queries on parts of the tables, once more over all rows.
+"""Queries that can run on parts of the tables, registered over all rows.
 
-The queries and their SQL stay as they are; the SQL here is theirs without
-the part's condition. With all events as intervals and as samples an event
-meets its own sample, so only the parts show missing samples.
+The functions keep their part as an option for small fixtures; what is
+registered, under their own name and as <name>_whole, reads every row, and
+its SQL is theirs without the part's condition. With all events as intervals
+and as samples an event meets its own sample.
 """
 
 from __future__ import annotations
@@ -40,4 +41,5 @@ for _query, _changes in WHOLE:
         if _old not in _sql:
             raise ValueError(f"{_name}: no {_old!r} in its SQL")
         _sql = _sql.replace(_old, _new)
-    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = partial(_query, whole=True), _sql
+    for _key in (_name, f"{_name}_whole"):
+        QUERIES[_key], ORACLE[_key] = partial(_query, whole=True), _sql
