@@ -85,7 +85,8 @@ def find_leaks(
 
     What leaves a text are its n-grams that pass a mask of fixed size, which
     no seed fails; everything else is joins and partly merged windows. Texts
-    are read twice and shuffled once, when they meet their own windows.
+    are read twice and shuffled once, when they meet their own windows; what
+    goes on from there are the windows' words, which meet the items' words.
     """
     found = leaks_by_row(docs, benchmark, text, id, item_text, item_id, n, least_score)
     return found.select(F.col("id").alias(id), F.col("item").alias(item_id), "score", "start_word", "end_word")
@@ -136,50 +137,58 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
         .withColumn("last", F.when(short, F.col("first")).otherwise(F.col("last")))
         .select("id", "key", "item", F.greatest(F.col("first") - slack, F.lit(0)).alias("lo"), (F.col("last") + F.col("words") + slack).alias("hi"))
     )
-    wanted = windows.join(items, "item").groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item", "lo", "hi", "item_text")).alias("windows"))
+    wanted = windows.groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item", "lo", "hi")).alias("windows"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The word hashes of every window of a text."""
         for batch in batches:
-            pairs: list[tuple] = []  # row, item, lo, item's words, window's words
-            known: dict[str, np.ndarray] = {}
+            item = batch.schema.field("windows").type.value_type.field("item").type
             for row, words in steps(batch.column(1), ALNUM):
+                at, ids, lo, parts = [], [], [], []
                 for d, own in enumerate(batch.column(3).slice(row, len(words)).to_pylist()):
-                    key = words.key[words.first[d] : words.first[d + 1]]
+                    key = signed(words.key[words.first[d] : words.first[d + 1]])
                     for w in own:
-                        if w["item_text"] not in known:
-                            known[w["item_text"]] = next(steps(pa.array([w["item_text"]]), ALNUM))[1].key
-                        if len(window := key[w["lo"] : w["hi"]]):
-                            pairs.append((row + d, w["item"], w["lo"], known[w["item_text"]], window))
-            pairs.sort(key=lambda p: (len(p[4]), len(p[3])))
+                        if w["lo"] < len(key):
+                            at.append(row + d), ids.append(w["item"]), lo.append(w["lo"]), parts.append(key[w["lo"] : w["hi"]])
+                offsets = np.cumsum([0, *map(len, parts)])
+                flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(ids, item), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["id", "key", "item", "lo", "window"])
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in steps(batch.column(1), ALNUM):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(words)), pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), pa.array(signed(words.key)))], ["item", "whole"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            window, whole = batch.column(4), batch.column(5)
+            starts, sizes_ = np.asarray(window.offsets), np.asarray(window.value_lengths())
+            item_starts, item_sizes = np.asarray(whole.offsets), np.asarray(whole.value_lengths())
+            value, item_value, lo = window.values.to_numpy().view(np.uint64), whole.values.to_numpy().view(np.uint64), batch.column(3).to_numpy()
+            order = np.lexsort((item_sizes, sizes_))
             at = 0
-            while at < len(pairs):
+            while at < len(order):  # pairs of about one size, as many as fit in a bounded table
                 to = at + 1
-                while to < len(pairs) and (to - at + 1) * len(pairs[to][4]) <= 200_000:
+                while to < len(order) and (to - at + 1) * sizes_[order[to]] <= 200_000:
                     to += 1
-                part = pairs[at:to]
+                part = order[at:to]
                 at = to
-                sizes = np.array([len(p[3]) for p in part])
-                a, b = np.zeros((len(part), sizes.max()), np.uint64), np.ones((len(part), max(len(p[4]) for p in part)), np.uint64)
+                a, b = np.zeros((len(part), item_sizes[part].max()), np.uint64), np.ones((len(part), sizes_[part].max()), np.uint64)
                 for k, p in enumerate(part):
-                    a[k, : len(p[3])], b[k, : len(p[4])] = p[3], p[4]
-                best, end = align(a, sizes, b)
-                got = best / (MATCH * sizes)
+                    a[k, : item_sizes[p]] = item_value[item_starts[p] : item_starts[p] + item_sizes[p]]
+                    b[k, : sizes_[p]] = value[starts[p] : starts[p] + sizes_[p]]
+                best, end = align(a, item_sizes[part], b)
+                got = best / (MATCH * item_sizes[part])
                 yes = np.flatnonzero(got >= least_score)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).take(pa.array([part[k][0] for k in yes], pa.int64())) for c in (0, 2)),
-                        pa.array([part[k][1] for k in yes], item_type(batch)),
-                        pa.array(got[yes]),
-                        pa.array([part[k][2] for k in yes], pa.int64()),
-                        pa.array([part[k][2] + int(end[k]) for k in yes], pa.int64()),
-                    ],
-                    ["id", "key", "item", "score", "start_word", "end_word"],
-                )
-
-    def item_type(batch: pa.RecordBatch) -> pa.DataType:
-        return batch.schema.field("windows").type.value_type.field("item").type
-
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("own")) & F.col("key").eqNullSafe(F.col("own_key"))).select("id", "text", "key", "windows").mapInArrow(score, f"id {kind}, key string, item {item_kind}, score double, start_word long, end_word long")
+                rows = pa.array(part[yes])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), pa.array(got[yes]), pa.array(lo[part[yes]]), pa.array(lo[part[yes]] + end[yes])], ["id", "key", "item", "score", "start_word", "end_word"])
+
+    met_texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("own")) & F.col("key").eqNullSafe(F.col("own_key"))).select("id", "text", "key", "windows")
+    passages = met_texts.mapInArrow(take, f"id {kind}, key string, item {item_kind}, lo long, window array<long>")
+    whole = items.filter(F.col("item_text").isNotNull()).mapInArrow(words_of, f"item {item_kind}, whole array<long>")
+    pairs = passages.join(whole, "item").select("id", "key", "item", "lo", "window", "whole")
+    found = pairs.mapInArrow(score, f"id {kind}, key string, item {item_kind}, score double, start_word long, end_word long")
     best = found.groupBy("id", "key", "item").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", F.negative("start_word"))).alias("b"))
     return best.select("id", "key", "item", "b.score", "b.start_word", "b.end_word")
 
