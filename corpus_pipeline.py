@@ -11,7 +11,7 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import similar_documents
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, score_quality
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import scratch, spent
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over all documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = scratch(spark)
+        with spent(spark):  # what a stage cuts for itself goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(kept)
+        docs = spark.read.parquet(kept)
     return STAGES[-1][1](spark, docs, sf_dir)
