@@ -11,12 +11,16 @@ QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def distribution(df: DataFrame, columns: list[str], *groups: str) -> DataFrame:
-    """count, min, quantiles, max and mean of each column (a row each) in one pass; unavailable says why there are none."""
-    long = df.select(*groups, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x"))
-    out = long.groupBy(*groups, F.col("x.column").alias("column")).agg(
-        F.count("x.v").alias("n"), F.min("x.v").alias("min"), F.percentile("x.v", F.array(*map(F.lit, QUANTILES.values()))).alias("q"), F.max("x.v").alias("max"), F.avg("x.v").alias("mean")
-    )
-    return out.select(*groups, "column", "n", "min", *(F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)), "max", "mean", F.when(F.col("n") == 0, "no values").alias("unavailable"))
+    """count, min, quantiles, max and mean of each column (a row each); unavailable says why there are none. Quantiles are exact, by range partitions."""
+    from tidemark.operators.stats import quantiles
+
+    long = df.select(*groups, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*groups, "x.column", "x.v")
+    key = [*groups, "column"]
+    out = long.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    q = quantiles(long, key, "v", QUANTILES)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"q.{k}")) for k in key]
+    met = out.alias("a").join(q.alias("q"), same, "left")
+    return met.select(*(F.col(f"a.{k}").alias(k) for k in key), "n", "min", *QUANTILES, "max", "mean", F.when(F.col("n") == 0, "no values").alias("unavailable"))
 
 
 def coverage(df: DataFrame, valid: Column, sets: list[list[str]]) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import cut
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -52,8 +54,11 @@ def occupancy_surface(df: DataFrame, spec: Surface) -> DataFrame:
     for a in spec.axes:
         any_null = any_null | F.col(a.column).isNull()
         outside = outside | (F.col(a.column).isNotNull() & F.col(f"{a.column}_left").isNull())
-    account = binned.groupBy(*spec.groups).agg(F.count(F.lit(1)).alias("group_rows"), F.count_if(any_null).alias("null_rows"), F.count_if(~any_null & outside).alias("outside_rows"))
-    counts = binned.filter(~any_null & ~outside).groupBy(*spec.groups, *lefts).agg(F.count(F.lit(1)).alias("rows"))
+    # rows are read and counted once; what follows works on a row for each group and bin
+    cells = cut(binned.groupBy(*spec.groups, *lefts, any_null.alias("__null"), outside.alias("__outside")).agg(F.count(F.lit(1)).alias("rows")))
+    only = lambda test: F.sum(F.when(test, F.col("rows")).otherwise(0))
+    account = cells.groupBy(*spec.groups).agg(F.sum("rows").alias("group_rows"), only(F.col("__null")).alias("null_rows"), only(~F.col("__null") & F.col("__outside")).alias("outside_rows"))
+    counts = cells.filter(~F.col("__null") & ~F.col("__outside")).drop("__null", "__outside")
     every = account
     for a in spec.axes:
         every = every.crossJoin(F.broadcast(a.table(spark)))
@@ -61,11 +66,13 @@ def occupancy_surface(df: DataFrame, spec: Surface) -> DataFrame:
 
 
 def boundary(df: DataFrame, bins: DataFrame, left: Column, value: str, least_rows: int = 1) -> DataFrame:
-    """p50, p75, p90, p95, min and max of a value in each bin of `bins` (a column `bin`); bins without rows stay, as nulls."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95))))
-    got = df.withColumn("bin", left).groupBy("bin").agg(F.count(value).alias("n"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi")).filter(F.col("n") >= least_rows)
-    out = bins.join(got, "bin", "left")
-    return out.select("bin", F.coalesce("n", F.lit(0)).alias("n"), *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 95))), "lo", "hi")
+    """p50, p75, p90, p95, min and max of a value in each bin of `bins` (a column `bin`); bins without rows stay, as nulls. Quantiles are exact, by range partitions."""
+    from tidemark.operators.stats import quantiles
+
+    own = df.withColumn("bin", left).filter("bin is not null")
+    got = own.groupBy("bin").agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).filter(F.col("n") >= least_rows)
+    out = bins.join(got.join(quantiles(own, ["bin"], value, {f"p{p}": p / 100 for p in (50, 75, 90, 95)}), "bin", "left"), "bin", "left")
+    return out.select("bin", F.coalesce("n", F.lit(0)).alias("n"), "p50", "p75", "p90", "p95", "lo", "hi")
 
 
 def kernel_percentiles(df: DataFrame, grid: DataFrame, x: str, value: str, quantiles: tuple[float, ...], width: float = 1.0, least_weight: float = 2.0, reach: float = 6.0) -> DataFrame:

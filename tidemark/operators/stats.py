@@ -60,6 +60,26 @@ def running_counts(counts: DataFrame, keys: list[str], order: str, sums: list[st
     return run.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"__sum_{c}") for c in sums}).drop("__part", *(f"__sum_{c}" for c in sums))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a value for each key, a column for each name in qs, linear between the two ranks around.
+
+    Values are counted, and ranks found from running counts by range
+    partitions; no task holds the values of a whole group.
+    """
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = running_counts(n, keys, "v", ["n"])
+    total = n.groupBy(*keys).agg(F.sum("n").alias("__all"))
+    met = run.join(total, keys) if keys else run.crossJoin(F.broadcast(total))
+    holds = lambda rank: (F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)
+    aggs, out = [], []
+    for name, q in qs.items():
+        at = q * (F.col("__all") - 1)
+        aggs += [F.max(F.when(holds(F.floor(at)), F.col("v"))).alias(f"{name}|a"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias(f"{name}|b")]
+        part = q * (F.col("__all") - 1) - F.floor(q * (F.col("__all") - 1))
+        out.append((F.col(f"{name}|a") + part * (F.col(f"{name}|b") - F.col(f"{name}|a"))).alias(name))
+    return met.groupBy(*keys, "__all").agg(*aggs).select(*keys, *out)
+
+
 def rank_statistics(df: DataFrame, group: str, value: str, label: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance, Mann-Whitney U and Cliff's delta of labelled against other rows, for each group.
 

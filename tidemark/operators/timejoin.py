@@ -6,6 +6,8 @@ the exact condition. A wider bucket repeats intervals less and compares more.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +37,33 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], bucket_s: int = 6
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance_s: float, ts: str = "ts", tie: str = "earlier", prefix: str = "", bucket_s: int | None = None) -> DataFrame:
     """left with the values of the right row nearest in time, within tolerance_s, else null; also gap_s.
 
-    One equi-join on buckets as wide as the tolerance, where each right row
-    is also put into its two neighbours, and an aggregate that keeps the
-    nearest; ties go to the earlier or the later row. Left rows are told
-    apart by all their columns, so repeated rows come back once each.
+    Both sides fall into buckets as wide as the tolerance; the last right row
+    of a bucket also goes into the next one and the first into the one
+    before, so a left row's neighbours are all in its own. A window over a
+    key's bucket takes the right rows just before and after each left row:
+    rows are sorted, never paired, however dense the series. Of right rows
+    at one time the one with the smallest JSON counts; ties in time go to the
+    earlier or the later row. Repeated left rows come back each; a left row
+    without a time gets nulls.
     """
-    width = max(1, int(bucket_s or tolerance_s))
-    r = right.select(*keys, F.col(ts).alias("__rt"), F.struct(*values).alias("__v"))
-    r = r.withColumn("__b", F.explode(F.sequence(_bucket(F.timestamp_micros((F.unix_micros("__rt") - int(tolerance_s * 1e6)).cast("long")), width), _bucket(F.timestamp_micros((F.unix_micros("__rt") + int(tolerance_s * 1e6)).cast("long")), width))))
-    l = left.withColumns({"__id": F.monotonically_increasing_id(), "__b": _bucket(F.col(ts), width)})  # noqa: E741
-    gap = F.unix_micros("__rt") - F.unix_micros(ts)
-    met = l.join(r, [*keys, "__b"], "left")
-    ok = F.abs(gap) <= tolerance_s * 1e6
-    rank = F.struct(F.abs(gap).alias("g"), (gap if tie == "earlier" else -gap).alias("t"), F.to_json("__v").alias("v"))
-    best = met.groupBy("__id", *left.columns).agg(F.min_by(F.struct("__v", gap.alias("gap")), F.when(ok, rank)).alias("m"), F.max(F.when(ok, F.lit(1))).alias("ok"))
-    return best.select(*left.columns, *(F.when(F.col("ok") == 1, F.col(f"m.__v.{v}")).alias(prefix + v) for v in values), F.when(F.col("ok") == 1, F.abs(F.col("m.gap")) / 1e6).alias(prefix + "gap_s"))
+    width = max(1, int(bucket_s or math.ceil(tolerance_s)))
+    own = [F.col(k) for k in keys]
+    r = right.filter(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("__rt"), F.struct(*values).alias("__v"))
+    r = r.groupBy(*keys, "__rt").agg(F.min_by("__v", F.to_json("__v")).alias("__v")).withColumn("__b", _bucket(F.col("__rt"), width))
+    ends = r.groupBy(*keys, "__b").agg(F.min_by(F.struct("__rt", "__v"), "__rt").alias("first"), F.max_by(F.struct("__rt", "__v"), "__rt").alias("last"))
+    spread = F.explode(F.array(F.struct((F.col("__b") + 1).alias("b"), F.col("last").alias("x")), F.struct((F.col("__b") - 1).alias("b"), F.col("first").alias("x"))))
+    edges = ends.select(*keys, spread.alias("e")).select(*keys, F.col("e.b").alias("__b"), F.col("e.x.__rt").alias("__rt"), F.col("e.x.__v").alias("__v"))
+    l = left.select(F.struct(*left.columns).alias("__left"), *keys, F.col(ts).alias("__t"), _bucket(F.col(ts), width).alias("__b"))  # noqa: E741
+    both = l.unionByName(r.unionByName(edges).withColumn("__t", F.col("__rt")), allowMissingColumns=True)
+    w = Window.partitionBy(*own, "__b").orderBy("__t", F.col("__rt").asc_nulls_last())
+    seen = F.when(F.col("__rt").isNotNull(), F.struct("__rt", "__v"))
+    both = both.withColumns({"__p": F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    gap = lambda c: F.when(F.abs(F.unix_micros(f"{c}.__rt") - F.unix_micros("__t")) <= tolerance_s * 1e6, F.abs(F.unix_micros(f"{c}.__rt") - F.unix_micros("__t")))
+    both = both.filter("__left is not null").withColumns({"__gp": gap("__p"), "__gn": gap("__n")})
+    before = F.col("__gp") <= F.col("__gn") if tie == "earlier" else F.col("__gp") < F.col("__gn")
+    best = F.when(F.col("__gp").isNotNull() & (F.col("__gn").isNull() | before), F.col("__p")).when(F.col("__gn").isNotNull(), F.col("__n"))
+    both = both.withColumn("__m", best)
+    return both.select(*(F.col(f"__left.{c}").alias(c) for c in left.columns), *(F.col(f"__m.__v.{v}").alias(prefix + v) for v in values), (F.abs(F.unix_micros("__m.__rt") - F.unix_micros("__t")) / 1e6).alias(prefix + "gap_s"))
 
 
 def window_or_nearest(events: DataFrame, samples: DataFrame, keys: list[str], value: str, tolerance_s: float, event_id: str = "event_id") -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.operators import pings as P
 from tidemark.operators import stats as S
 from tidemark.operators import timejoin as J
 from tidemark.plans import roles as R
+from tidemark.plans.lineage import cut
 from tidemark.plans.register import query, rounded
 from tidemark.sources import gridded as G
 
@@ -152,10 +153,11 @@ SELECT j.lane, j.scope, j.n, round(j.hs_p95, 4) AS hs_p95, round(j.tp_p95, 4) AS
 FROM j JOIN j b ON b.lane = 'all' AND b.scope = j.scope""")
 def lane_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """FLT-13, FLT-16, AG-39, AG-40, UD-03."""
-    rows = V.in_lanes(_layers(spark, sf), _LANES, _SCOPES)
+    rows = cut(V.in_lanes(_layers(spark, sf), _LANES, _SCOPES).select("lane", "scope", "wind_farm", "hs", "tp"))
     key = ["lane", "scope"]
     top = rows.groupBy(*key, "wind_farm").agg(F.count(F.lit(1)).alias("m")).groupBy(*key).agg((F.max("m") / F.sum("m")).alias("top_share"))
     s = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.percentile("hs", 0.95).alias("hs_p95"), F.percentile("tp", 0.95).alias("tp_p95")).join(top, key)
+    s = cut(s)
     out = V.lane_comparison(s, "all").select(*key, "n", "hs_p95", "tp_p95", "top_share", "retained_share", "material")
     return rounded(out, hs_p95=4, tp_p95=4, top_share=5, retained_share=6)
 
