@@ -76,7 +76,8 @@ class Encoder:
     OTHER_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
     #: Bytes that white space other than a blank or a line end has in UTF-8.
     SUSPECT = np.isin(np.arange(256), [0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
-    MOST = 500_000
+    #: Words kept, and words of a text that are looked up at a time.
+    MOST, BLOCK = 500_000, 400_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,9 +100,8 @@ class Encoder:
         new = [i for i, ids in enumerate(found) if ids is None]
         if len(self.units) + len(new) > self.MOST:
             self.units.clear()
-        raw = words.raw.tobytes()
         start, end = (at - (before != 0))[first[new]].tolist(), words.end[own[first[new]]].tolist()
-        for i, ids in zip(new, self._ids([raw[a:b].decode() for a, b in zip(start, end)])):
+        for i, ids in zip(new, self._ids([words.raw[a:b].tobytes().decode() for a, b in zip(start, end)])):
             found[i] = self.units[keys[i]] = ids
         return found, which
 
@@ -113,8 +113,7 @@ class Encoder:
         full = words.offsets[:-1] < words.offsets[1:]
         for end in (words.offsets[:-1][full], words.offsets[1:][full] - 1):
             suspect[end] |= part[end]
-        sums = np.append(0, np.cumsum(suspect))
-        odd = sums[words.offsets[1:]] > sums[words.offsets[:-1]]
+        odd = np.diff(np.searchsorted(np.flatnonzero(suspect), words.offsets)) > 0
         for i in np.flatnonzero(odd).tolist():
             odd[i] = self.OTHER_SPACE.search(texts[i]) is not None
         return odd | np.array([any(a in t for a in self.added) for t in texts], bool)
@@ -122,19 +121,30 @@ class Encoder:
     def encode(self, texts: list[str], words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end_id after each text, and how many are each text's; words are those of the texts, case kept."""
         odd = self._odd(texts, words)
-        plain = np.flatnonzero(~odd[words.doc])
-        found, which = self._lookup(words, plain)
+        # segments of a pool of ids: the words of a text, block by block, or the whole text, then the end
+        pools, docs, sizes = [], [], []
+        for lo in range(0, len(words.key), self.BLOCK):
+            own = lo + np.flatnonzero(~odd[words.doc[lo : lo + self.BLOCK]])
+            if not len(own):
+                continue
+            found, which = self._lookup(words, own)
+            pool = np.frombuffer(b"".join(found), "<u4")
+            size = np.array(list(map(len, found))) // 4
+            pools.append(pool[ragged((np.cumsum(size) - size)[which], size[which])])
+            doc = words.doc[own]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            docs.append(doc[first])
+            sizes.append(np.add.reduceat(size[which], first))
         whole = self._ids([texts[i] for i in np.flatnonzero(odd)])
-        units = [*found, *whole, np.array([end_id], "<u4").tobytes()]
-        pool = np.frombuffer(b"".join(units), "<u4")
-        size = np.array(list(map(len, units))) // 4
-        # units in the order of texts: a text's words, or the whole text, then the end
-        doc = np.concatenate([words.doc[plain], np.flatnonzero(odd), np.arange(len(texts))])
-        unit = np.concatenate([which, len(found) + np.arange(len(whole)), np.full(len(texts), len(units) - 1)])
+        pools += [np.frombuffer(b"".join(whole), "<u4"), np.array([end_id], "<u4")]
+        docs += [np.flatnonzero(odd), np.arange(len(texts))]
+        sizes += [np.array([len(w) // 4 for w in whole], np.int64), np.ones(len(texts), np.int64)]
+        pool, doc, size = (np.concatenate(x) for x in (pools, docs, sizes))
+        start = np.cumsum(size) - size
+        start[len(start) - len(texts) :] = len(pool) - 1
         order = np.argsort(doc, kind="stable")
-        unit = unit[order]
-        ids = pool[ragged((np.cumsum(size) - size)[unit], size[unit])]
-        return ids, np.bincount(doc[order], size[unit], len(texts)).astype(np.int64)
+        ids = np.concatenate([pool[a:b] for a, b in zip(start[order].tolist(), (start + size)[order].tolist())])
+        return ids, np.bincount(doc, size, len(texts)).astype(np.int64)
 
 
 def _encoder(path: str) -> Encoder:

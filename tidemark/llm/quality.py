@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.labelled import fold_of, training_rows
-from tidemark.llm.words import NOT_SPACE, Words, steps
+from tidemark.llm.words import NOT_SPACE, STEP_BYTES, Words, steps
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -34,16 +34,23 @@ def features(words: Words) -> np.ndarray:
     some = np.maximum(1, count)
 
     def per_byte(table: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(table[words.raw])])
-        return sums[words.offsets[1:]] - sums[words.offsets[:-1]]
+        out = np.zeros(n, np.int64)
+        for lo in range(0, len(words.raw), STEP_BYTES):
+            sums = np.concatenate([[0], np.cumsum(table[words.raw[lo : lo + STEP_BYTES]])])
+            at = np.clip(words.offsets - lo, 0, len(sums) - 1)
+            out += sums[at[1:]] - sums[at[:-1]]
+        return out
 
     upper, lower = per_byte(_UPPER), per_byte(_LOWER)
     shares = [upper / np.maximum(1, upper + lower), per_byte(_DIGIT) / size]
     shares += [per_byte(_mask(m)) / size for m in MARKS]
     same = np.zeros(len(words.key), bool)
     same[1:] = (words.key[1:] == words.key[:-1]) & (words.doc[1:] == words.doc[:-1])
-    order = np.lexsort((words.key, words.doc))
-    key, doc = words.key[order], words.doc[order]
+    if n == 1:
+        key, doc = np.sort(words.key), words.doc
+    else:
+        order = np.lexsort((words.key, words.doc))
+        key, doc = words.key[order], words.doc[order]
     again = np.zeros(len(key), bool)
     again[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
     shares += [np.bincount(words.doc[same], minlength=n) / some, np.bincount(doc[again], minlength=n) / some]
@@ -111,8 +118,8 @@ def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = 100_000, l2: float = 1e-3
     return BradleyTerry(mean, scale, w, float(cut))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", max_rows: int = 20_000, max_pairs: int = 100_000) -> BradleyTerry:
-    """Fit on at most max_rows labelled rows outside the held-out fold; only their few features come to the driver."""
+def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", max_rows: int = 20_000) -> BradleyTerry:
+    """Fit on at most max_rows labelled rows outside the held-out fold, and five pairs for each; only their few features come to the driver."""
     rows = training_rows(docs, labels, "quality", 3, 1, text, id, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id: str
     if not len(got):
         x = np.zeros((0, features(next(steps(pa.array([""]), NOT_SPACE))[1]).shape[1]))
     order = np.lexsort((*x.T, got.label.to_numpy())) if len(got) else slice(None)  # as arrival varies
-    return fit(x[order], got.label.to_numpy()[order], max_pairs)
+    return fit(x[order], got.label.to_numpy()[order], 5 * max_rows)
 
 
 def score_quality(docs: DataFrame, model: BradleyTerry, text: str = "text") -> DataFrame:

@@ -133,19 +133,20 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_cols: int, pair_row
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", max_rows: int = 20_000, max_features: int = 4096, min_z: float = 3.0, l2: float = 1e-4, fairness: float = 1.0) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", max_rows: int = 20_000, min_z: float = 3.0, l2: float = 1e-4, fairness: float = 1.0) -> ToxicModel:
     """Fit on at most max_rows labelled rows outside the held-out fold.
 
     First Spark counts, for each feature, the texts of either label that have
-    it; the max_features whose shares differ most (by at least min_z standard
-    errors) are kept, identity terms too. Then only each text's kept features
+    it; those whose shares differ most (by at least min_z standard errors) are
+    kept, one for about five rows of max_rows, and identity terms too. Then only each text's kept features
     come to the driver, with those that swaps of its identity terms add or
     take away, and the weights are fitted there. Each labelled text that
     names a group is swapped twice: its terms for the next of their rows, so
     that no group counts for more than another, and for a word without
     features of its own, so that naming a group at all doesn't. Both sizes
-    are bounded by the parameters.
+    are bounded by max_rows.
     """
+    max_features = 4096 * max_rows // 20_000
     rows = training_rows(docs, labels, "toxic", 5, 0, text, id, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
