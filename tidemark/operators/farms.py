@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions.values import loose_date, reasons
+from tidemark.plans.lineage import cut
 
 
 def hulls(turbines: DataFrame) -> DataFrame:
@@ -48,6 +49,29 @@ def hull_distance(lat: Column, lon: Column) -> Column:
     return F.when(left & (F.size(ring) > 2), 0.0).otherwise(apart)
 
 
+def nearest_neighbours(turbines: DataFrame, rings_m: tuple[float, ...] = (5_000.0, 50_000.0)) -> DataFrame:
+    """found_id, nearest and km: each turbine's nearest other one of its farm (ties to the smaller found_id); a farm's only turbine has none.
+
+    Turbines meet those of the cells within a ring; who has none there goes
+    on to the next ring, and at last to the whole farm. So pairs grow with
+    the turbines that stand close, not with the square of a farm.
+    """
+    t = turbines.select("found_id", "wind_farm", "latitude", "longitude")
+    other = t.select(F.col("found_id").alias("nearest"), "wind_farm", F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"))
+    km = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("b_lat"), F.col("b_lon"), geo.EARTH_KM)
+    best = lambda met: met.filter("found_id != nearest").withColumn("km", km)
+    least = lambda met: met.groupBy("found_id").agg(F.min_by("nearest", F.struct("km", "nearest")).alias("nearest"), F.min("km").alias("km"))
+    left, out = t, None
+    for reach in rings_m:
+        width = reach / 100_000
+        a = left.withColumn("c", F.explode(geo.around(F.col("latitude"), F.col("longitude"), width, reach))).select("*", "c.cy", "c.cx").drop("c")
+        b = other.withColumns({"cy": geo.cell(F.col("b_lat"), width), "cx": geo.turned(F.col("b_lon"), width)})
+        found = cut(least(best(a.join(b, ["wind_farm", "cy", "cx"])).filter(F.col("km") * 1000 <= reach)))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("found_id"), "found_id", "left_anti")
+    return out.unionByName(least(best(left.join(other, "wind_farm"))))
+
+
 def requirements(turbines: DataFrame, buffer_deg: float = 0.25, study_start: str = "2000-01-01") -> DataFrame:
     """Each farm's start of operation (commissioning, else operation date, else the study's start, which asks for a review) and padded box."""
     start = F.coalesce(F.min(loose_date(F.col("commissioning").cast("string"))), F.lit(study_start).cast("date"))

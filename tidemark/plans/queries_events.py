@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import angles, geo, values
+from tidemark.functions import angles, values
+from tidemark.operators import farms as M
 from tidemark.operators import pings as P
 from tidemark.operators import timejoin as J
 from tidemark.plans import roles as R
@@ -171,7 +172,7 @@ SELECT event_id, round(CASE WHEN n_inside > 0 THEN inside WHEN a IS NOT NULL AND
        round(gap_min, 4) AS gap_min, CASE WHEN n_inside > 0 THEN 'window' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'bracket' ELSE 'not_assigned' END AS method
 FROM iv LEFT JOIN g USING (event_id)""")
 def bracketed(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """JN-08, AG-61."""
+    """JN-08."""
     return rounded(J.bracketed(_intervals(spark, sf, whole), _samples(spark, sf, whole), ["mmsi"], "value"), value=4, gap_min=4)
 
 
@@ -213,19 +214,19 @@ def interpolated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(J.interpolate(g, h, ["event_type"], ["value"]), value=6)
 
 
-@query("""WITH a AS (SELECT user_id, ts, avg(value) AS x FROM events WHERE event_type IN ('click', 'view') OR event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, ts, avg(value) AS y FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+@query("""WITH a AS (SELECT user_id, ts, avg(value) AS x FROM events WHERE event_type IN ('click', 'view') OR value < 60 GROUP BY ALL), b AS (SELECT user_id, ts, avg(value) AS y FROM events WHERE value > 40 GROUP BY ALL)
 SELECT user_id, ts, round(x, 4) AS x, round(y, 4) AS y FROM a FULL JOIN b USING (user_id, ts)""")
 def full_time_join(spark: SparkSession, sf: str) -> DataFrame:
     """JN-13, JN-14, WN-13."""
     e = R.table(spark, sf, "events")
-    a = e.filter("event_type in ('click', 'view') or event_id % 2 = 0").groupBy("user_id", "ts").agg(F.avg("value").alias("x"))
-    b = e.filter("event_id % 3 = 0").groupBy("user_id", "ts").agg(F.avg("value").alias("y"))
+    a = e.filter("event_type in ('click', 'view') or value < 60").groupBy("user_id", "ts").agg(F.avg("value").alias("x"))
+    b = e.filter("value > 40").groupBy("user_id", "ts").agg(F.avg("value").alias("y"))
     return rounded(J.full_time_join(a, b, ["user_id", "ts"]), x=4, y=4)
 
 
 @query("""SELECT o_orderkey, unnest(generate_series(date_trunc('month', o_orderdate)::DATE, date_trunc('month', o_orderdate + INTERVAL 70 DAY)::DATE, INTERVAL 1 MONTH))::DATE::VARCHAR AS month FROM orders WHERE o_orderkey % 10 = 0""")
 def months_touched(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """TG-06, JN-24."""
+    """TG-06."""
     o = R.part(R.table(spark, sf, "orders"), "o_orderkey % 10 = 0", whole).select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.to_date(F.col("o_orderdate") + F.expr("interval 70 days")).alias("b"))
     return J.months(o, "a", "b").select("o_orderkey", F.col("month").cast("string").alias("month"))
 
@@ -257,12 +258,8 @@ def directions_and_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {R.TURBINES}, q AS (SELECT a.found_id, b.found_id AS nearest, {R.HAVERSINE.format(r='6371.0088::DOUBLE', a='a.', b='b.')} AS km
   FROM (SELECT found_id, wind_farm, latitude AS lat, longitude AS lon FROM turbines) a JOIN (SELECT found_id, wind_farm, latitude AS lat, longitude AS lon FROM turbines) b ON a.wind_farm = b.wind_farm AND a.found_id <> b.found_id)
-SELECT found_id, min_by(nearest, km) AS nearest, round(min(km), 4) AS km, CASE WHEN min(km) * 1000 <= 20000 THEN 'near' ELSE 'far' END AS band FROM q GROUP BY found_id""")
+SELECT found_id, arg_min(nearest, struct_pack(k := km, f := nearest)) AS nearest, round(min(km), 4) AS km, CASE WHEN min(km) * 1000 <= 20000 THEN 'near' ELSE 'far' END AS band FROM q GROUP BY found_id""")
 def nearest_neighbour_turbine(spark: SparkSession, sf: str) -> DataFrame:
-    """JN-03, JN-04, JN-20: nearest in space within a group; FX-01."""
-    t = R.turbines(spark, sf).select("found_id", "wind_farm", "latitude", "longitude")
-    b = t.select(F.col("found_id").alias("nearest"), "wind_farm", F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"))
-    km = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("b_lat"), F.col("b_lon"), geo.EARTH_KM)
-    met = t.join(b, "wind_farm").filter("found_id != nearest").withColumn("km", km)
-    out = met.groupBy("found_id").agg(F.min_by("nearest", F.struct("km", "nearest")).alias("nearest"), F.min("km").alias("km"))
+    """JN-04: nearest in space within a group; FX-01."""
+    out = M.nearest_neighbours(R.turbines(spark, sf))
     return rounded(out.withColumn("band", F.when(F.col("km") * 1000 <= 20000, "near").otherwise("far")), km=4)

@@ -97,7 +97,7 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
 SELECT dwell_tier, "column", count(v) AS n, round(min(v), 4) AS min, round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75,
        round(quantile_cont(v, 0.95), 4) AS p95, round(max(v), 4) AS max, round(avg(v), 5) AS mean, NULL::VARCHAR AS unavailable FROM u GROUP BY ALL""")
 def distributions(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-09, AG-14, AG-60."""
+    """AG-09."""
     out = A.distribution(R.dwells(spark, sf), ["hs", "tp", "price"], "dwell_tier")
     return rounded(out, min=4, p05=4, p25=4, median=4, p75=4, p95=4, max=4, mean=5)
 
@@ -106,7 +106,7 @@ def distributions(spark: SparkSession, sf: str) -> DataFrame:
 bins AS (SELECT unnest([2.0, 4.0, 6.0, 9.0, 50.0])::DOUBLE AS bin)
 SELECT bins.bin, count(hs) AS n, round(quantile_cont(hs, 0.5), 5) AS p50, round(quantile_cont(hs, 0.75), 5) AS p75, round(quantile_cont(hs, 0.9), 5) AS p90, round(quantile_cont(hs, 0.95), 5) AS p95, min(hs) AS lo, max(hs) AS hi FROM bins LEFT JOIN b ON bins.bin = b.bin GROUP BY bins.bin""")
 def tp_boundary(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-16, AG-17, UD-01; unobserved bins stay."""
+    """AG-16, UD-01; unobserved bins stay."""
     axis = V.Axis("tp", (2.0, 4.0, 6.0, 9.0, 12.0), right=True)
     bins = spark.createDataFrame([(2.0,), (4.0,), (6.0,), (9.0,), (50.0,)], "bin double")
     return rounded(V.boundary(R.dwells(spark, sf).filter("dwell_tier = 'A'"), bins, axis.left(), "hs"), p50=5, p75=5, p90=5, p95=5)
@@ -203,7 +203,7 @@ def farm_intensity(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {R.DWELLS}, {R.MANIFEST}, {_META}, {_STATE}, {_NUM}, j AS (SELECT wind_farm, coalesce(tier_a, 0) AS tier_a FROM den FULL JOIN num USING (wind_farm))
 (SELECT 'top' AS side, wind_farm, tier_a FROM j ORDER BY tier_a DESC NULLS LAST, wind_farm LIMIT 5) UNION ALL (SELECT 'bottom', wind_farm, tier_a FROM j ORDER BY tier_a ASC NULLS LAST, wind_farm LIMIT 5)""")
 def top_and_bottom_farms(spark: SparkSession, sf: str) -> DataFrame:
-    """TK-01, TK-02, TK-03, AG-31."""
+    """TK-01, TK-02, TK-03, AG-31 (top and bottom)."""
     f = I.farm_intensity(R.manifest(spark, sf), R.dwells(spark, sf), R.turbines(spark, sf)).select("wind_farm", "tier_a")
     top = f.orderBy(F.desc_nulls_last("tier_a"), "wind_farm").limit(5).select(F.lit("top").alias("side"), "*")
     return top.unionByName(f.orderBy(F.asc_nulls_last("tier_a"), "wind_farm").limit(5).select(F.lit("bottom").alias("side"), "*"))
@@ -220,7 +220,7 @@ SELECT d.*, CASE WHEN observed_months / months::DOUBLE >= 0.8 AND observed_month
        coalesce(pe, 0) AS primary_events, round(coalesce(pw, 0), 5) AS primary_weight, coalesce(pv, 0) AS primary_vessels, coalesce(pr, 0) AS primary_repeats, coalesce(se, 0) AS sensitivity_events,
        round(CASE WHEN observed_months > 0 THEN coalesce(pe, 0) / (observed_months / 12.0::DOUBLE) END, 5) AS primary_per_year FROM d LEFT JOIN g USING (found_id)""".replace("dg AS (SELECT duplicate_group_id, count(DISTINCT wind_farm) AS n FROM dwells WHERE", "dg2 AS (SELECT duplicate_group_id, count(DISTINCT wind_farm) AS n FROM dwells WHERE dwell_tier = 'A' AND"))
 def turbine_intensity(spark: SparkSession, sf: str) -> DataFrame:
-    """JN-04, JN-19, JN-25, AG-32, AG-33, WN-06."""
+    """JN-04, JN-19, AG-32, AG-33, WN-06."""
     e = R.dwells(spark, sf).filter("dwell_tier = 'A'").withColumn("assignment", E.distance_band(F.col("dist_m")))
     out = I.turbine_intensity(e, I.turbine_denominator(R.manifest(spark, sf), R.turbines(spark, sf)))
     out = out.select("wind_farm", "found_id", "months", "observed_months", "missing_months", "other_months", "coverage_class", "primary_events", "primary_weight", "primary_vessels", "primary_repeats", "sensitivity_events", "primary_per_year")
@@ -244,7 +244,7 @@ g AS (SELECT characteristic, value, least_years, sum(n) AS turbines, sum(events)
 SELECT characteristic, value, least_years, turbines::BIGINT AS turbines, events::BIGINT AS events, round(CASE WHEN years > 0 THEN events / years END, 5) AS rate, round(zero / turbines, 6) AS zero_share, round(top_n / turbines, 6) AS top_share,
        CASE WHEN turbines < 5 THEN 'few_turbines' WHEN top_n / turbines > 0.5 THEN 'one_farm_dominates' ELSE 'ok' END AS interpretation FROM g""")
 def characteristic_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-34, AG-35, AG-36, SC-17."""
+    """AG-35."""
     p = R.table(spark, sf, "part").select(F.col("p_partkey").alias("found_id"), F.col("p_brand").alias("wind_farm"), (F.col("p_size") % 4).alias("events"), ((F.col("p_partkey") % 60) / 10.0).alias("years"), "p_type", F.floor(F.col("p_size") / 10).cast("string").alias("size_band"))
     out = I.characteristic_rates(p, ["p_type", "size_band"], [0.0, 1.0, 3.0]).drop("top_farm")
     return rounded(out, rate=5, zero_share=6, top_share=6)
@@ -261,7 +261,7 @@ def concentration(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {R.DWELLS} SELECT 'hs' AS "column", count(*) - count(hs) AS nulls, count(*) FILTER (hs = 0) AS zeros, count(DISTINCT hs) AS "distinct", round((count(*) - count(hs)) / count(*)::DOUBLE, 6) AS null_share FROM dwells
 UNION ALL SELECT 'duplicate_group_id', count(*) - count(duplicate_group_id), count(*) FILTER (duplicate_group_id = 0), count(DISTINCT duplicate_group_id), round((count(*) - count(duplicate_group_id)) / count(*)::DOUBLE, 6) FROM dwells""")
 def null_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-62, AG-63, FLT-11."""
+    """AG-62 (completeness), AG-63."""
     d = R.dwells(spark, sf)
     out = A.null_rates(d, ["hs", "duplicate_group_id"])
     zeros = d.agg(F.count_if(F.col("hs") == 0).alias("hs"), F.count_if(F.col("duplicate_group_id") == 0).alias("duplicate_group_id"))
@@ -271,7 +271,7 @@ def null_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {R.DWELLS} SELECT 'hs_not_negative' AS rule, count(*) AS rows, count(*) FILTER (NOT hs >= 0) AS broken, count(*) FILTER (NOT hs >= 0) = 0 AS passed FROM dwells UNION ALL SELECT 'tp_below_10', count(*), count(*) FILTER (NOT tp < 10), count(*) FILTER (NOT tp < 10) = 0 FROM dwells""")
 def physical_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """SC-21, SC-22, AG-70."""
+    """SC-21."""
     return A.physical_checks(R.dwells(spark, sf), {"hs_not_negative": F.col("hs") >= 0, "tp_below_10": F.col("tp") < 10})
 
 
@@ -288,7 +288,7 @@ l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, stage ORD
 r AS (SELECT *, list_position(['view', 'click', 'purchase'], stage) AS sr, list_position(['success', 'partial', 'failed'], status) AS tr FROM l WHERE stage IN ('view', 'click', 'purchase'))
 SELECT user_id, stage, status FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sr DESC, tr) = 1""")
 def latest_state(spark: SparkSession, sf: str) -> DataFrame:
-    """WN-07, AG-46."""
+    """WN-07, AG-46 (states)."""
     v = F.col("value")
     m = R.table(spark, sf, "events").filter("event_type in ('view', 'click', 'purchase')").select("user_id", F.col("event_type").alias("stage"), F.when(v < 100, "failed").when(v < 300, "partial").otherwise("success").alias("status"), "ts")
     return A.latest_state(m, ["user_id"], "ts", ["view", "click", "purchase"], ["success", "partial", "failed"])
@@ -314,7 +314,7 @@ def _hours(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {_HOURS}, s AS (SELECT site, shift_h, corr(x, y) AS r, count(*) AS hours FROM (SELECT hour + shift_h * INTERVAL 1 HOUR AS hour, x, shift_h FROM a, (SELECT unnest([-24, 0, 24])::INT AS shift_h)) m JOIN h USING (hour) GROUP BY ALL HAVING count(*) >= 48)
 SELECT site, shift_h, round(r, 5) AS r, hours, row_number() OVER (PARTITION BY shift_h ORDER BY r DESC NULLS LAST, site) AS rank FROM s""")
 def correlation_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-49, AG-50."""
+    """AG-49."""
     a, h = _hours(spark, sf)
     return rounded(S.correlation_scan(a, h, [-24, 0, 24]), r=5)
 
@@ -345,13 +345,13 @@ def site_points(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.site_points(R.turbines(spark, sf)).drop("sample_point_type"), lat=5, lon=5)
 
 
-@query(f"""WITH {R.TURBINES}, cells AS (SELECT y, x, 54.0::DOUBLE + y * 0.15 AS lat, 6.0::DOUBLE + x * 0.3 AS lon FROM (SELECT DISTINCT event_id % 8 AS y, event_id // 8 % 8 AS x FROM events WHERE event_id % 5 <> 0)),
+@query(f"""WITH {R.TURBINES}, cells AS (SELECT y, x, 54.0::DOUBLE + y * 0.15 AS lat, 6.0::DOUBLE + x * 0.3 AS lon FROM (SELECT DISTINCT event_id % 8 AS y, event_id // 8 % 8 AS x FROM events WHERE value > 5)),
 p AS (SELECT found_id, latitude AS lat, longitude AS lon FROM turbines), d AS (SELECT p.found_id, c.y, c.x, {R.HAVERSINE.format(r='6371.0088::DOUBLE', a='p.', b='c.')} AS km FROM p, cells c)
 SELECT found_id, round(min(km), 4) AS km, CASE WHEN min(km) <= 12 THEN 'nearest_valid_grid' ELSE 'valid_grid_too_far' END AS match_status FROM d GROUP BY found_id""")
 def nearest_grid_cell(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-07, SRC-08, AG-64, JN-22."""
+    """SRC-07."""
     y, x = F.col("event_id") % 8, F.floor(F.col("event_id") / 8) % 8
-    cells = R.table(spark, sf, "events").filter("event_id % 5 != 0").select((54.0 + y * 0.15).alias("grid_lat"), (6.0 + x * 0.3).alias("grid_lon")).distinct()
+    cells = R.table(spark, sf, "events").filter("value > 5").select((54.0 + y * 0.15).alias("grid_lat"), (6.0 + x * 0.3).alias("grid_lon")).distinct()
     p = R.turbines(spark, sf).select("wind_farm", F.col("found_id").cast("string").alias("sample_point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     out = G.nearest_cell(p, cells, 12.0, width=1.0)
     return rounded(out.select(F.col("sample_point_id").cast("long").alias("found_id"), "km", "match_status"), km=4)
@@ -369,7 +369,7 @@ ix AS (SELECT f.wind_farm, m.month, coalesce(n, 0) AS n, n IS NULL AS none, EXIS
 SELECT wind_farm, month::VARCHAR AS month, 'warning' AS severity, 'listed_without_events' AS type, '0' AS evidence FROM ix WHERE listed AND none
 UNION ALL SELECT wind_farm, month::VARCHAR, 'error', 'too_many_events', n::VARCHAR FROM ix WHERE n > 20""")
 def partition_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    """SC-20, SC-23, AG-10, AG-47."""
+    """SC-20, SC-23, AG-10."""
     m = R.manifest(spark, sf)
     ev = R.dwells(spark, sf).groupBy("wind_farm", F.trunc("start_utc", "MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     ix = A.data_index(R.turbines(spark, sf).select("wind_farm").distinct(), m.select("month").distinct(), {"events": ev, "manifest": m.groupBy("wind_farm", "month").agg(F.count(F.lit(1)).alias("n"))})
@@ -393,7 +393,7 @@ def guardrails(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT user_id, sum(CASE WHEN ok THEN n ELSE 0 END)::BIGINT AS positive, sum(CASE WHEN NOT ok THEN n ELSE 0 END)::BIGINT AS negative, coalesce(max(n) FILTER (ok), 0) AS longest_run FROM (
   SELECT user_id, ok, run, count(*) AS n FROM (SELECT user_id, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, ok ORDER BY ts, event_id) AS run FROM (SELECT *, value > 60 AS ok FROM events)) GROUP BY ALL) GROUP BY user_id""")
 def label_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-58, WN-08."""
+    """AG-58 (rows by event), WN-08."""
     e = R.table(spark, sf, "events").withColumns({"label": (F.col("value") > 60).cast("int"), "at": F.struct("ts", "event_id")})
     return S.label_audit(e, "user_id", "at", "label").drop("unknown")
 
@@ -402,7 +402,7 @@ def label_audit(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT threshold, count(*) FILTER (y = 1 AND s >= threshold) AS tp, count(*) FILTER (y <> 1 AND s >= threshold) AS fp, count(*) FILTER (y = 1 AND s < threshold) AS fn, count(*) FILTER (y <> 1 AND s < threshold) AS tn FROM t GROUP BY threshold)
 SELECT *, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS "precision", round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1 FROM c""")
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """UD-05 (sweep), AG-15."""
+    """UD-05 (sweep)."""
     s = R.table(spark, sf, "labels").withColumn("s", (F.col("doc_id") % 100) / 100.0)
     return rounded(S.scores(s, "quality", "s", [0.25, 0.5, 0.75]), accuracy=6, precision=6, recall=6, f1=6)
 
@@ -416,7 +416,7 @@ def bootstrap_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def grouped_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """UD-05, UD-06: out-of-fold scores of a logistic regression, farms never in two folds."""
+    """UD-05: out-of-fold scores of a logistic regression, farms never in two folds."""
     from tidemark.operators.models import cross_validate
 
     d = R.dwells(spark, sf).withColumn("y", (F.col("dwell_tier") == "A").cast("double"))

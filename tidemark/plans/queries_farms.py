@@ -45,7 +45,7 @@ def _farm_years(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FARM_YEARS} SELECT wind_farm, year, events, valid_waves, median_depth, in_domain, recommendation, reason FROM rec")
 def farm_year_recommendation(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-43, SC-13."""
+    """AG-43 (farm years), SC-13."""
     return _farm_years(spark, sf)
 
 
@@ -64,14 +64,14 @@ def interaction_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {R.TURBINES} SELECT wind_farm, count(*) AS turbines, string_agg(DISTINCT country, '; ' ORDER BY country) AS country, string_agg(DISTINCT rotor_diameter::INT::VARCHAR, '; ' ORDER BY rotor_diameter::INT::VARCHAR) AS rotor FROM turbines GROUP BY wind_farm")
 def attribute_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-55, SRC-12."""
+    """AG-55."""
     return M.attribute_lists(R.turbines(spark, sf).withColumn("rotor", F.col("rotor_diameter").cast("int")), ["country", "rotor"])
 
 
 @query(f"""WITH {R.DWELLS}, c AS (SELECT wind_farm, avg(latitude) AS la, avg(longitude) AS lo FROM turbines GROUP BY wind_farm)
 SELECT dwell_id, round(latitude, 5) AS asset_lat, round(c.la, 5) AS farm_lat, 'asset' AS asset_status, 'farm' AS farm_status FROM dwells d JOIN turbines t USING (found_id) JOIN c ON c.wind_farm = d.wind_farm""")
 def event_points(spark: SparkSession, sf: str) -> DataFrame:
-    """JN-21, JN-10."""
+    """JN-21."""
     d, t = R.dwells(spark, sf).select("dwell_id", "found_id", "wind_farm"), R.turbines(spark, sf)
     a = M.event_points(d, t, "asset").select("dwell_id", F.col("point_lat").alias("asset_lat"), F.col("point_status").alias("asset_status"))
     f = M.event_points(d, t, "farm").select("dwell_id", F.col("point_lat").alias("farm_lat"), F.col("point_status").alias("farm_status"))
@@ -124,7 +124,7 @@ def feature_matrix(spark: SparkSession, sf: str, whole: bool = False) -> DataFra
 @query("""WITH b AS (SELECT user_id % 5 AS asset, (floor(value / 14 / 0.5) + 0.5) * 0.5 AS wind, avg((event_id % 100) / 100.0::DOUBLE) AS power, count(*) AS n FROM events WHERE event_id % 3 IN (0, 1) AND value / 14 BETWEEN 0 AND 35 GROUP BY ALL HAVING count(*) >= 30)
 SELECT asset, wind, round(power, 6) AS power, n FROM b WHERE wind BETWEEN 4 AND 25""")
 def power_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-14, AG-53."""
+    """FLT-14 (status and limits), AG-53 (bins)."""
     e = R.table(spark, sf, "events").select((F.col("user_id") % 5).alias("asset"), (F.col("value") / 14).alias("wind"), ((F.col("event_id") % 100) / 100.0).alias("power"), (F.col("event_id") % 3).alias("status"))
     return rounded(S.power_curve(e, "asset", "wind", "power"), power=6)
 
@@ -132,7 +132,7 @@ def power_curve(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT s_suppkey, CASE WHEN r_name = 'EUROPE' AND 6.0::DOUBLE + (s_suppkey * 53 % 97) * 0.06 < 9.5 THEN 'north_sea' WHEN r_name = 'EUROPE' THEN 'baltic_sea' WHEN r_name = 'ASIA' THEN 'baltic_sea' ELSE 'unknown' END AS basin,
 CASE WHEN s_suppkey % 40 < 5 THEN '<5y' WHEN s_suppkey % 40 < 10 THEN '5-10y' WHEN s_suppkey % 40 < 20 THEN '10-20y' ELSE '>=20y' END AS age_band FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def basins_and_bands(spark: SparkSession, sf: str) -> DataFrame:
-    """SC-16, SC-17."""
+    """SC-16, SC-17 (bands)."""
     t = R.turbines(spark, sf)
     lon = 6.0 + F.pmod(F.col("found_id") * 53, F.lit(97)) * 0.06
     country = F.when(F.col("country") == "EUROPE", "Germany").when(F.col("country") == "ASIA", "Poland").otherwise("none")
@@ -160,7 +160,7 @@ def source_priority(spark: SparkSession, sf: str) -> DataFrame:
 SELECT mmsi, concat_ws('; ', CASE WHEN contains(lower(ship_type), 'auto') THEN 'type_auto' END, CASE WHEN ship_type IS NULL THEN 'type_missing' END, CASE WHEN length IS NULL THEN 'length_missing' END, CASE WHEN length < 5 THEN 'length_below_5' END, CASE WHEN length > 180 THEN 'length_above_180' END) AS suspect_reason
 FROM v WHERE contains(lower(ship_type), 'auto') OR ship_type IS NULL OR length IS NULL OR length < 5 OR length > 180""")
 def suspect_vessels(spark: SparkSession, sf: str) -> DataFrame:
-    """SC-18, AG-67."""
+    """SC-18."""
     k = F.col("c_custkey")
     v = R.table(spark, sf, "customer").select(k.alias("mmsi"), F.when(k % 9 != 0, F.col("c_mktsegment")).alias("ship_type"), F.when(k % 8 != 0, (k % 200).cast("double")).alias("length"))
     return P.suspect_vessels(v, ("auto",)).select("mmsi", "suspect_reason")
@@ -191,7 +191,7 @@ def text_coercions(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {R.MANIFEST}, m AS (SELECT DISTINCT wind_farm, month FROM manifest WHERE status = 'success'), ex AS (SELECT f.wind_farm, c.month FROM (SELECT DISTINCT wind_farm FROM manifest) f CROSS JOIN (SELECT DISTINCT month FROM manifest) c)
 SELECT wind_farm, month::VARCHAR AS month FROM ex ANTI JOIN m USING (wind_farm, month)""")
 def unresolved_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-46, JN-17, TG-03."""
+    """AG-46 (unresolved), JN-17."""
     m = R.manifest(spark, sf)
     expected = m.select("wind_farm").distinct().crossJoin(F.broadcast(m.select("month").distinct()))
     return A.unresolved(expected, m, ["wind_farm", "month"], ["success"]).select("wind_farm", F.col("month").cast("string").alias("month"))
@@ -211,9 +211,10 @@ def control_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d, p90_all=5, p90_away=5)
 
 
-@query("""WITH a AS (SELECT o_orderkey AS dwell_id, 1 AS pri FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 3 = 0) SELECT dwell_id, min(pri) AS origin FROM a GROUP BY dwell_id""")
+@query("""WITH a AS (SELECT o_orderkey AS dwell_id, 1 AS pri FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, 2 FROM lineitem) SELECT dwell_id, min(pri) AS origin FROM a GROUP BY dwell_id""")
 def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    """SO-01, SO-02, TK-05, FLT-08, FLT-09, SRC-05."""
-    o = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("dwell_id"))
-    u = o.filter("dwell_id % 2 = 0").withColumn("origin", F.lit(1)).unionByName(o.filter("dwell_id % 3 = 0").withColumn("more", F.lit("x")).withColumn("origin", F.lit(2)), allowMissingColumns=True)
+    """SO-01, SO-02, TK-05."""
+    o = R.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("dwell_id"), F.lit(1).alias("origin"))
+    more = R.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("dwell_id"), F.lit(2).alias("origin"), F.col("l_shipdate").alias("more"))
+    u = o.unionByName(more, allowMissingColumns=True)
     return u.groupBy("dwell_id").agg(F.min("origin").alias("origin"))
