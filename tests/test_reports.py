@@ -77,6 +77,12 @@ def test_running_counts_over_many_partitions(spark):
         assert [got[g, v] for _, v, _ in own] == np.cumsum([n for *_, n in own]).tolist()
 
 
+def test_rows_before_across_partitions(spark):
+    rows = [(i % 2, i, f"v{i}") for i in range(200)]
+    got = S.previous(spark.createDataFrame(rows, "k long, i long, v string"), ["k"], "i", ["v"]).collect()
+    assert {r.i: r.before and r.before.v for r in got} == {i: f"v{i - 2}" if i > 1 else None for i in range(200)}
+
+
 def test_layouts_with_mark_and_other_header_orders(spark, tmp_path):
     texts = {
         "a.csv": "﻿MMSI,# Timestamp,Longitude,Latitude,SOG\n1,01/01/2024 00:00:00,7.5,54.5,0.1\n",

@@ -24,5 +24,6 @@ def test_all_lines_are_candidates(spark):
 
 def test_registered_with_sql():
     names = {f"{f.__name__}_whole" for f, _ in WHOLE}
+    assert all(catalog.ORACLE[n] == catalog.ORACLE[n.removesuffix("_whole")] and catalog.QUERIES[n] is catalog.QUERIES[n.removesuffix("_whole")] for n in names)
     assert len(names) == 13 and names <= set(catalog.QUERIES) and names <= set(catalog.ORACLE)
     assert not any(part in catalog.ORACLE[n] for n in names for part in ("event_id % 20 ", "event_id % 50 ", "o_orderkey % 10 ", "o_orderkey % 3 =", "found_id <= 20", "l_linenumber <= 3"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import share
+from tidemark.plans.lineage import cut
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -132,8 +133,6 @@ def spot_checks(df: DataFrame, order: list[str], k: int) -> DataFrame:
     total = df.count()
     wanted = sorted({round(i * (total - 1) / max(1, k - 1)) + 1 for i in range(min(k, total))})
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % (1 << 33))
-    from tidemark.plans.lineage import cut
-
     parts = cut(parts)
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).orderBy("__p").collect()  # a row for each partition
     start, at = {}, 0
@@ -145,13 +144,15 @@ def spot_checks(df: DataFrame, order: list[str], k: int) -> DataFrame:
 
 
 def cadence(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Each series' most common step (s), gaps over 1.5 steps, repeated times, first and last."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    d = df.withColumn("__d", (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6)
+    """Each series' most common step (s), gaps over 1.5 steps, repeated times, first and last. Times are counted first and met by range partitions."""
+    from tidemark.operators.stats import previous
+
+    times = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("__n"))
+    d = cut(previous(times, keys, ts, [ts]).withColumn("__d", (F.unix_micros(ts) - F.unix_micros(f"before.{ts}")) / 1e6).drop("before"))
     n = d.filter("__d > 0").groupBy(*keys, "__d").agg(F.count(F.lit(1)).alias("n"))
     step = n.groupBy(*keys).agg(F.min_by("__d", F.struct(-F.col("n"), F.col("__d"))).alias("step_s"))
     met = d.join(step, keys, "left")
-    return met.groupBy(*keys, "step_s").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__d") == 0).alias("repeated"), F.count_if(F.col("__d") > 1.5 * F.col("step_s")).alias("gaps"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return met.groupBy(*keys, "step_s").agg(F.sum("__n").alias("rows"), F.sum(F.col("__n") - 1).alias("repeated"), F.count_if(F.col("__d") > 1.5 * F.col("step_s")).alias("gaps"), F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 
 def guardrails(df: DataFrame, checks: list[tuple[str, Column, str]]) -> DataFrame:

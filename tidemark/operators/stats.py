@@ -60,6 +60,21 @@ def running_counts(counts: DataFrame, keys: list[str], order: str, sums: list[st
     return run.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"__sum_{c}") for c in sums}).drop("__part", *(f"__sum_{c}" for c in sums))
 
 
+def previous(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """df with before, a struct of the columns in the row before, in the order of a column that is unique within the keys; null in a key's first row.
+
+    By range partitions, written: a window within each, and the last row of
+    the one before where a key goes on, so no key is one task's.
+    """
+    from tidemark.plans.lineage import cut
+
+    placed = cut(df.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id()))
+    last = placed.groupBy(*keys, "__part").agg(F.max_by(F.struct(*columns), order).alias("__last"))
+    carried = last.select(*keys, "__part", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__part")).alias("__carried"))
+    own = F.lag(F.struct(*columns)).over(Window.partitionBy(*keys, "__part").orderBy(order))
+    return placed.withColumn("before", own).join(carried, [*keys, "__part"]).withColumn("before", F.coalesce("before", "__carried")).drop("__part", "__carried")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles of a value for each key, a column for each name in qs, linear between the two ranks around.
 

@@ -41,5 +41,6 @@ for _query, _changes in WHOLE:
         if _old not in _sql:
             raise ValueError(f"{_name}: no {_old!r} in its SQL")
         _sql = _sql.replace(_old, _new)
+    _whole = partial(_query, whole=True)
     for _key in (_name, f"{_name}_whole"):
-        QUERIES[_key], ORACLE[_key] = partial(_query, whole=True), _sql
+        QUERIES[_key], ORACLE[_key] = _whole, _sql
