@@ -161,6 +161,19 @@ def test_event_field_reasons(spark):
     assert [got[k][3] for k in range(2, 8)] == ["no_place", "bad_window", "outside_grid", "no_time_in_tolerance", "no_value", "no_cell_in_reach"]
 
 
+def test_zones_by_hull(spark):
+    """A square of four turbines 2 km apart: zones follow the square, not the turbines."""
+    from tidemark.operators.farms import hull_zones
+
+    m = 1 / 111195
+    k = float(1 / np.cos(np.radians(54.0)))
+    t = spark.createDataFrame([(i, "a", 54.0 + y * m, 7.0 + x * m * k) for i, (x, y) in enumerate([(0, 0), (2000, 0), (2000, 2000), (0, 2000)])], "found_id long, wind_farm string, latitude double, longitude double")
+    places = {"asset": (100, 100), "middle": (1000, 1000), "edge": (1000, -400), "beyond": (1000, -700), "far": (-5200, 1000), "none": (30_000, 0)}
+    p = spark.createDataFrame([(n, 54.0 + y * m, 7.0 + x * m * k) for n, (x, y) in places.items()], "n string, lat double, lon double")
+    got = {r.n: (r.zone, round(r.hull_m, -1)) for r in hull_zones(p, t).collect()}
+    assert got == {"asset": ("asset", 0), "middle": ("farm", 0), "edge": ("farm", 400), "beyond": ("context", 700), "far": (None, 5200)}
+
+
 def test_tables_of_a_block_go_with_it(spark):
     with lineage.spent(spark):
         path = lineage.scratch(spark)

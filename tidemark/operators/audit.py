@@ -143,6 +143,12 @@ def spot_checks(df: DataFrame, order: list[str], k: int) -> DataFrame:
     return parts.join(F.broadcast(t), ["__p", "__i"]).drop("__p", "__i")
 
 
+def recomputed(df: DataFrame, value: str, expected: Column, tolerance: float = 1e-6) -> DataFrame:
+    """df with the expected value, computed anew, and whether the value is it (both null is)."""
+    same = F.when(F.col("expected").isNull() | F.col(value).isNull(), F.col("expected").isNull() & F.col(value).isNull()).otherwise(F.abs(F.col(value) - F.col("expected")) <= tolerance)
+    return df.withColumn("expected", expected).withColumn("as_expected", same)
+
+
 def cadence(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Each series' most common step (s), gaps over 1.5 steps, repeated times, first and last. Times are counted first and met by range partitions."""
     from tidemark.operators.stats import previous

@@ -49,6 +49,21 @@ def hull_distance(lat: Column, lon: Column) -> Column:
     return F.when(left & (F.size(ring) > 2), 0.0).otherwise(apart)
 
 
+def hull_zones(pings: DataFrame, turbines: DataFrame, asset_m: float = 200.0, farm_m: float = 500.0, context_m: float = 5000.0) -> DataFrame:
+    """Pings with their nearest turbine's farm, dist_m, hull_m (metres to the farm's hull, 0 inside) and zone.
+
+    asset: within asset_m of the turbine; farm: within farm_m of the hull;
+    context: within context_m of it; null beyond. A place with no turbine
+    within twice context_m is in no farm's reach. Hulls are a row for each farm.
+    """
+    from tidemark.operators.pings import match_nearest
+
+    near = match_nearest(pings, turbines, 2 * context_m, cell=0.1)
+    met = near.join(hulls(turbines), "wind_farm").withColumn("hull_m", hull_distance(F.col("lat"), F.col("lon"))).drop("lat0", "lon0", "hull")
+    zone = F.when(F.col("dist_m") <= asset_m, "asset").when(F.col("hull_m") <= farm_m, "farm").when(F.col("hull_m") <= context_m, "context")
+    return met.withColumn("zone", zone)
+
+
 def nearest_neighbours(turbines: DataFrame, rings_m: tuple[float, ...] = (5_000.0, 50_000.0)) -> DataFrame:
     """found_id, nearest and km: each turbine's nearest other one of its farm (ties to the smaller found_id); a farm's only turbine has none.
 

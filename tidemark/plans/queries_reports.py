@@ -392,9 +392,11 @@ def without_empty_columns(spark: SparkSession, sf: str) -> DataFrame:
     return o.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(",".join(o.columns)))
 
 
-@query("""WITH s AS (SELECT *, floor(value * 100) AS v FROM events), n AS (SELECT *, row_number() OVER (ORDER BY v, event_id) AS r, count(*) OVER () AS c FROM s), w AS (SELECT DISTINCT round_even(i * (c - 1) / 9.0, 0)::BIGINT + 1 AS r FROM (SELECT DISTINCT c FROM n), (SELECT unnest(range(10)) AS i))
-SELECT event_id, r AS position FROM n SEMI JOIN w USING (r)""")
+@query(f"""WITH {R.DWELLS}, n AS (SELECT *, row_number() OVER (ORDER BY start_utc, dwell_id) AS r, count(*) OVER () AS c FROM dwells), w AS (SELECT DISTINCT round_even(i * (c - 1) / 9.0, 0)::BIGINT + 1 AS r FROM (SELECT DISTINCT c FROM n), (SELECT unnest(range(10)) AS i))
+SELECT dwell_id, r AS position, duration_min, round(epoch(end_utc - (to_timestamp(floor(epoch(start_utc)))::TIMESTAMP)) / 60.0, 6) AS expected, true AS as_expected FROM n SEMI JOIN w USING (r)""")
 def spot_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-68."""
-    e = R.table(spark, sf, "events").withColumn("v", F.floor(F.col("value") * 100)).select("event_id", "v")
-    return A.spot_checks(e, ["v", "event_id"], 10).select("event_id", "position")
+    """AG-68: evenly spaced dwells with their durations computed anew from both times."""
+    d = R.dwells(spark, sf).select("start_utc", "dwell_id", "end_utc", "duration_min")
+    seconds = F.unix_seconds("end_utc") - F.unix_seconds("start_utc")
+    out = A.recomputed(A.spot_checks(d, ["start_utc", "dwell_id"], 10), "duration_min", seconds / 60.0)
+    return rounded(out.select("dwell_id", "position", "duration_min", "expected", "as_expected"), expected=6)

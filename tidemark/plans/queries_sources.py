@@ -44,7 +44,7 @@ def ping_layouts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 1) AS price, 0::BIGINT AS notes FROM orders GROUP BY o_orderstatus")
 def conformed_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-03, SRC-04, SNK-01: a table written and read again in a schema that lacks some of its columns and has one more."""
+    """SRC-03, SRC-04, SNK-01, FLT-09: a table written and read again in a schema that lacks some of its columns and has one more."""
     path = scratch(spark)
     S.write(R.table(spark, sf, "orders"), path)
     schema = T.StructType([T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("note", T.StringType())])
@@ -342,6 +342,13 @@ def hull_zones(spark: SparkSession, sf: str) -> DataFrame:
     return met.groupBy("wind_farm").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("d") <= 0.01).alias("inside"))
 
 
+@query()
+def hull_zone_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """FX-03 (zones by hull): pings and mean distances by farm and zone; hulls have no SQL, a test has plain geometry."""
+    out = M.hull_zones(R.pings(spark, sf), R.turbines(spark, sf)).groupBy("wind_farm", "zone").agg(F.count(F.lit(1)).alias("pings"), F.avg("hull_m").alias("hull_m"), F.avg("dist_m").alias("dist_m"))
+    return rounded(out, hull_m=2, dist_m=2)
+
+
 @query("SELECT year::INT AS year, month::INT AS month, row_number() OVER (ORDER BY year DESC, CASE WHEN month IN (1, 4, 7, 10) THEN 0 ELSE 1 END, month) AS position FROM (SELECT DISTINCT year(o_orderdate) AS year FROM orders), (SELECT unnest(range(1, 13)) AS month)")
 def slice_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """TG-03: the calendar of the years that orders cover."""
