@@ -76,8 +76,8 @@ class Encoder:
     OTHER_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
     #: Bytes that white space other than a blank or a line end has in UTF-8.
     SUSPECT = np.isin(np.arange(256), [0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
-    #: Words kept, and words of a text that are looked up at a time.
-    MOST, BLOCK = 500_000, 400_000
+    #: Words kept, words of a text that are looked up at a time, and texts that the tokenizer takes at a time.
+    MOST, BLOCK, BATCH = 400_000, 400_000, 10_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,7 +88,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i : i + self.BATCH] for i in range(0, len(texts), self.BATCH))
+        return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _lookup(self, words: Words, own: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The ids of distinct units among the words `own`, and for each word which of them it is."""
