@@ -162,12 +162,11 @@ def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
        block with bounds of size and position. A list within one component
        holds no news and is skipped; two blocks of a list are skipped when
        their bounds of size and position rule a link out.
-    4. What is left are pairs of homes of different components. Their
-       prefixes bound what they share; pairs that are too far apart for their
-       radii even so are dropped, and of the others the distance is computed:
-       twice for each home's likeliest partner alone, as one link spares all
-       other pairs of the components that it joins, then for what is left.
-       Those that link join components. Members'
+    4. What is left are pairs of homes of different components, whose
+       distance is computed: three times for each home's likeliest partner
+       alone, which is in most lists with it, as one link spares all other
+       pairs of the components that it joins; then for the pairs that are
+       left. Those that link join components. Members'
        answers are derived from the others: by the triangle inequality of the
        Jaccard distance no member can link when the homes are too far apart
        for their radii. Only of homes in between, and still in different
@@ -214,31 +213,23 @@ def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sizes = (F.col("x.most") * den >= F.col("y.least") * num) & (F.col("y.most") * den >= F.col("x.least") * num)
     places = F.least(F.col("x.most") - F.col("x.at"), F.col("y.most") - F.col("y.at")) * (num + den) >= (F.col("x.least") + F.col("y.least")) * num
     homes = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.home") < F.col("y.home")) & (F.col("x.component") != F.col("y.component")) & sizes & places)
-    homes = homes.select(F.col("x.home").alias("a"), F.col("y.home").alias("b")).distinct()
-    # what two sets share is at most what their prefixes do and all that follows the one that ends first in the order
-    facts = cut(entries.groupBy("home").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("members")))
-    known = cut(entries.join(facts.select(F.col("home").alias("id"), F.col("r").alias("reach")), "id").select("id", "n", "prefix", "reach"))
-    of_home = lambda c: known.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"), F.col("reach").alias(f"r{c}"))
-    met_homes = homes.join(of_home("a"), "a").join(of_home("b"), "b")
-    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-    most = F.least(most, "na", "nb")
-    least_apart = 1 - most / (F.col("na") + F.col("nb") - most)
-    homes = cut(met_homes.filter(least_apart <= far + F.col("ra") + F.col("rb") + slack).select("a", "b", least_apart.alias("bound")))
+    homes = cut(homes.groupBy(F.col("x.home").alias("a"), F.col("y.home").alias("b")).agg((-F.count(F.lit(1))).alias("rank")))
 
     # 4. homes, then members of homes in between
     labels, second = entries.select("id", "component"), None
-    for likeliest in (True, True, False):
+    for likeliest in (True, True, True, False):
         now = homes
         if likeliest:
-            partner = lambda x, y: homes.groupBy(x).agg(F.min_by(y, F.struct("bound", y)).alias(y)).select("a", "b")
+            partner = lambda x, y: homes.groupBy(x).agg(F.min_by(y, F.struct("rank", y)).alias(y)).select("a", "b")
             now = partner("a", "b").union(partner("b", "a")).distinct()
         tried = cut(_verify(now.select("a", "b"), names, texts, kind, n).select("a", "b", distance.alias("d"), linked.alias("linked")))
         second = tried if second is None else second.union(tried)
         labels = _merge(labels, tried.filter("linked").select("a", "b"))
         if likeliest:
             end = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-            homes = cut(homes.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b").filter("ca != cb").select("a", "b", "bound"))
+            homes = cut(homes.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b").filter("ca != cb").select("a", "b", "rank"))
     ends = labels.select("id", "component")
+    facts = entries.groupBy("home").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("members"))
     side = lambda c: ends.join(facts, F.col("id") == F.col("home"), "left").select(F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.coalesce("r", F.lit(0.0)).alias(f"r{c}"), F.coalesce("members", F.lit(0)).alias(f"m{c}"))
     apart = second.filter(~F.col("linked")).join(side("a"), "a").join(side("b"), "b").filter("ca != cb")
     apart = apart.filter((F.col("ra") + F.col("rb") > 0) & (F.col("d") <= far + F.col("ra") + F.col("rb") + slack))
