@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, embeddings, licenses, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from tidemark.llm import alignment, chat, decontaminate, embeddings, html, lexical, licenses, line_dedup, ngram_join, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_html_extraction": html.op11_html_extraction,
+        "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL, "op12_ranked_lexical_search": lexical.OP12_SQL}
