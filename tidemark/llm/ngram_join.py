@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.packing import ragged
 from tidemark.llm.words import NOT_SPACE, Words, mix, signed, steps
 from tidemark.plans.lineage import cut
 
@@ -17,6 +18,8 @@ from tidemark.plans.lineage import cut
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Minimum hashes by which sets find a likely leader, and members that one verification task compares with a leader.
 LEADER_HASHES, MEMBERS = 12, 256
+#: Similarity to its leader from which a set is in the leader's group, and shingles of a group that one task holds against each other.
+NEAR, GROUP_SHINGLES = 0.25, 1 << 20
 
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, 2 + LEADER_HASHES, dtype=np.uint64)
 _LOW = np.uint64(64 - 20)
@@ -132,6 +135,103 @@ def _verify(pairs: DataFrame, names: DataFrame, texts: DataFrame, kind: str, n:
     return met.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "id").mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long")
 
 
+class Lists:
+    """Index lists of some sets: for each element the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.n = len(sets)
+        self.elements, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.holders = np.repeat(np.arange(self.n), size)[order]
+
+    def shared(self, elements: np.ndarray) -> np.ndarray:
+        """How many of the elements each set holds."""
+        at = np.minimum(np.searchsorted(self.elements, elements), len(self.elements) - 1)
+        at = at[self.elements[at] == elements]
+        return np.bincount(self.holders[ragged(self.first[at], self.count[at])], minlength=self.n)
+
+
+def _answers(sets: list[np.ndarray], lists: Lists) -> Iterator[np.ndarray]:
+    """For each set the sizes of its intersections with all sets of the lists.
+
+    A set's answers are derived from those of the set before it, when the two
+    differ in fewer elements than the set has: elements that it lacks are
+    taken off, those that it has besides are added.
+    """
+    before, known = np.zeros(0, np.uint64), np.zeros(lists.n, np.int64)
+    for s in sets:
+        lost, won = np.setdiff1d(before, s, assume_unique=True), np.setdiff1d(s, before, assume_unique=True)
+        known = known - lists.shared(lost) + lists.shared(won) if len(lost) + len(won) < len(s) else lists.shared(s)
+        before = s
+        yield known
+
+
+def _join_groups(groups: DataFrame, names: DataFrame, texts: DataFrame, kind: str, n: int, num: int, den: int) -> DataFrame:
+    """a, b: links that join different components of the sets within a group, as few as connect them, from whole texts.
+
+    groups: g, id, n (size of the set), component. A group's sets are dealt in
+    blocks of about GROUP_SHINGLES; a task holds two of them, builds the index
+    lists of one and runs the sets of the other over it. No pairs leave it.
+    """
+    blocks = groups.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("k"))
+    own = groups.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), "k"))
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    wanted = own.withColumn("other", partner).select(
+        "g", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
+    ).join(names, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])  # of the task's two blocks: id, component, set
+
+        def join() -> list[tuple]:
+            held, probes = sides[0], sides[1] or sides[0]
+            if not held or at[1] != at[2] and not sides[1]:
+                return []
+            root: dict = {}
+
+            def top(c):
+                while root.get(c, c) != c:
+                    root[c] = c = root.get(root[c], root[c])
+                return c
+
+            size = np.array([len(x[2]) for x in held], np.int64)
+            numbers = {c: i for i, c in enumerate(dict.fromkeys(x[1] for x in held))}
+            number = np.array([numbers[x[1]] for x in held])
+            # sets of a component, then likely alike ones, follow each other
+            probes = sorted(probes, key=lambda x: (str(x[1]), x[2][:4].tolist()))
+            lists, out = Lists([x[2] for x in held]), []
+            for (id_, component, s), both in zip(probes, _answers([x[2] for x in probes], lists)):
+                linked = np.flatnonzero((both * den >= (size + len(s) - both) * num) & (number != numbers.get(component, -1)))
+                _, one = np.unique(number[linked], return_index=True)  # one link for each component
+                for i in linked[one].tolist():
+                    x, y = top(component), top(held[i][1])
+                    if x != y:
+                        root[x] = y
+                        out.append((id_, held[i][0]))
+            return out
+
+        for batch in batches:
+            found = []
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            g, i, j, side, ids, component, s1, s2 = (cols[c].to_pylist() for c in ("g", "i", "j", "side", "id", "component", "s1", "s2"))
+            for row, words in steps(cols["text"], NOT_SPACE):
+                for r, s in enumerate(_sets(words, n), row):
+                    if (g[r], i[r], j[r]) != at:
+                        found += join() if at else []
+                        at, sides = (g[r], i[r], j[r]), ([], [])
+                    if _signature(s) == (s1[r], s2[r]):  # and not another row of this id
+                        sides[side[r]].append((ids[r], component[r], s))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field("id").type) for c in zip(*found)], ["a", "b"])
+        if at and (found := join()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field("id").type) for c in zip(*found)], ["a", "b"])
+
+    met = texts.join(wanted, "id").select("g", "i", "j", "side", "id", "component", "s1", "s2", "text")
+    return met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, component) after links (a, b) of ids have joined their components."""
     a, b = (labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
@@ -156,33 +256,30 @@ def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     1. Equal sets are one (a partly summed groupBy on their signatures).
     2. Each set is compared with the smallest holder of each of its minimum
-       hashes, its leaders. A verified leader is its home, at a known
-       distance, and components of these links are known.
-    3. Index lists: every prefix element's entries, one for each home, as a
-       block with bounds of size and position. A list within one component
-       holds no news and is skipped; two blocks of a list are skipped when
-       their bounds of size and position rule a link out.
-    4. What is left are pairs of homes of different components, whose
-       distance is computed: three times for each home's likeliest partner
-       alone, which is in most lists with it, as one link spares all other
-       pairs of the components that it joins; then for the pairs that are
-       left. Those that link join components. Members'
-       answers are derived from the others: by the triangle inequality of the
-       Jaccard distance no member can link when the homes are too far apart
-       for their radii. Only of homes in between, and still in different
-       components, are the members looked up in the lists, from the home with
-       fewer members, each within its own radius.
-
-    No step emits the pairs of a group; what a group of copies costs is
-    linear in its size. Texts are shuffled for verification only.
+       hashes, its leaders; those that link are components so far. Of the
+       leaders that a set resembles, that with most followers is its group.
+    3. Within a group that holds several components, index lists are built
+       and every set is run over them. Its answers are derived from those of
+       the set before it by the elements in which the two differ. Tasks hold
+       blocks of a group and send on only the links that join components.
+    4. Index lists over all prefix elements, rarest elements first: a list is
+       cut in blocks, one for each group, with bounds of size and position. A
+       list within one component holds no news and is skipped; two blocks are
+       skipped when their bounds rule a link out, and so are, in blocks that
+       meet, pairs of sets. What is left is verified.
+
+    No step emits the pairs of a group: groups are compared inside tasks, by
+    blocks, and 4. has pairs between groups only. A set in no group is one of
+    its own. Of a group's sets that link with nothing each is still run over
+    all others (in a task), as their answers are needed. Texts are shuffled
+    for 2, 3 and the verification of 4.
     """
     kind = df.schema[id].dataType.simpleString()
     texts = df.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     digest = cut(_digest(texts, kind, n, _order(texts, n), num, den))
     texts = texts.filter(F.col("id").isNotNull())
-    far, slack = 1 - num / den, 1e-9
-    linked = F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num
-    distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    union = F.col("na") + F.col("nb") - F.col("both")
+    linked = F.col("both") * den >= union * num
 
     # 1. documents, and a representative of each set
     documents = digest.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("id", "x.*")
@@ -190,71 +287,43 @@ def similar_documents(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     reps = cut(digest.dropDuplicates(["id", "s1", "s2"]).join(sets.select("id", "s1", "s2"), ["id", "s1", "s2"]))
     names = reps.select("id", "s1", "s2")
 
-    # 2. leaders
+    # 2. leaders, components and groups
     hashes = reps.select("id", "n", F.posexplode("least").alias("j", "h"))
     leader = hashes.groupBy("j", "h").agg(F.min(F.struct("id", "n")).alias("x"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("j", "h", F.col("x.id").alias("a"), F.col("x.n").alias("na"))
     likely = hashes.join(leader, ["j", "h"]).filter((F.col("id") != F.col("a")) & (F.least("n", "na") * den >= F.greatest("n", "na") * num)).select("a", F.col("id").alias("b")).distinct()
-    first = cut(_verify(likely, names, texts, kind, n).filter(linked).select("a", "b", distance.alias("d")))
-    home = first.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "d")).alias("x")).select("id", F.col("x.a").alias("home"), F.col("x.d").alias("r"))
-    label = components(first).withColumnRenamed("node", "id")
-    entries = cut(
-        reps.select("id", "n", "prefix")
-        .join(home, "id", "left")
-        .join(label, "id", "left")
-        .select("id", "n", "prefix", F.coalesce("home", "id").alias("home"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("label", "id").alias("component"))
-    )
-
-    # 3. lists that hold several components, a block for each home
-    postings = entries.select("id", "n", "home", "r", "component", F.posexplode("prefix").alias("at", "e"))
-    news = cut(postings.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("e"))
-    lists = cut(postings.join(news, "e"))
-    blocks = cut(lists.groupBy("e", "home", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at")))
+    tried = cut(_verify(likely, names, texts, kind, n).filter(F.col("both") >= union * NEAR).select("a", "b", linked.alias("linked")))
+    label = components(tried.filter("linked").select("a", "b")).withColumnRenamed("node", "id")
+    labels = cut(reps.select("id").join(label, "id", "left").select("id", F.coalesce("label", "id").alias("component")))
+    follow = tried.select(F.col("a").alias("g"), F.col("b").alias("id")).union(tried.select("a", "a").distinct())
+    most = follow.groupBy("g").agg(F.count(F.lit(1)).alias("many"))
+    group = cut(follow.join(most, "g").groupBy("id").agg(F.min_by("g", F.struct(-F.col("many"), F.col("g"))).alias("g")))
+
+    # 3. groups of several components
+    members = group.join(labels, "id").join(reps.select("id", "n"), "id")
+    mixed = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
+    labels = _merge(labels, cut(_join_groups(cut(members.join(mixed, "g")), names, texts, kind, n, num, den)))
+
+    # 4. lists that hold several components, a block for each group
+    entries = reps.select("id", "n", "prefix").join(group, "id", "left").join(labels, "id").select("id", "n", "component", F.coalesce("g", "id").alias("g"), F.posexplode("prefix").alias("at", "e"))
+    entries = cut(entries)
+    news = cut(entries.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("g").alias("one"), F.max("g").alias("other")).filter("lo < hi and one < other").select("e"))
+    lists = cut(entries.join(news, "e"))
+    blocks = cut(lists.groupBy("e", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"), F.min("component").alias("lo"), F.max("component").alias("hi")))
     x, y = blocks.alias("x"), blocks.alias("y")
     sizes = (F.col("x.most") * den >= F.col("y.least") * num) & (F.col("y.most") * den >= F.col("x.least") * num)
     places = F.least(F.col("x.most") - F.col("x.at"), F.col("y.most") - F.col("y.at")) * (num + den) >= (F.col("x.least") + F.col("y.least")) * num
-    homes = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.home") < F.col("y.home")) & (F.col("x.component") != F.col("y.component")) & sizes & places)
-    homes = cut(homes.groupBy(F.col("x.home").alias("a"), F.col("y.home").alias("b")).agg((-F.count(F.lit(1))).alias("rank")))
-
-    # 4. homes, then members of homes in between
-    labels, second = entries.select("id", "component"), None
-    for likeliest in (True, True, True, False):
-        now = homes
-        if likeliest:
-            partner = lambda x, y: homes.groupBy(x).agg(F.min_by(y, F.struct("rank", y)).alias(y)).select("a", "b")
-            now = partner("a", "b").union(partner("b", "a")).distinct()
-        tried = cut(_verify(now.select("a", "b"), names, texts, kind, n).select("a", "b", distance.alias("d"), linked.alias("linked")))
-        second = tried if second is None else second.union(tried)
-        labels = _merge(labels, tried.filter("linked").select("a", "b"))
-        if likeliest:
-            end = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-            homes = cut(homes.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b").filter("ca != cb").select("a", "b", "rank"))
-    ends = labels.select("id", "component")
-    facts = entries.groupBy("home").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("members"))
-    side = lambda c: ends.join(facts, F.col("id") == F.col("home"), "left").select(F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.coalesce("r", F.lit(0.0)).alias(f"r{c}"), F.coalesce("members", F.lit(0)).alias(f"m{c}"))
-    apart = second.filter(~F.col("linked")).join(side("a"), "a").join(side("b"), "b").filter("ca != cb")
-    apart = apart.filter((F.col("ra") + F.col("rb") > 0) & (F.col("d") <= far + F.col("ra") + F.col("rb") + slack))
-    # of two homes the one with fewer members is looked up first
-    swap = F.col("ma") > F.col("mb")
-    between = cut(apart.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("many"), F.when(swap, F.col("ra")).otherwise(F.col("rb")).alias("reach"), "d"))
-    if between.head(1):
-        shared = blocks.select("e", F.col("home").alias("few")).join(between, "few").join(blocks.select("e", F.col("home").alias("many")), ["e", "many"])
-        left = lists.select("e", F.col("home").alias("few"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("r").alias("ra"))
-        right = lists.select("e", F.col("home").alias("many"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("r").alias("rb")).alias("y")
-        x = shared.join(left, ["e", "few"]).filter(F.col("d") <= far + F.col("ra") + F.col("reach") + slack).alias("x")
-        met = (
-            (F.col("x.e") == F.col("y.e"))
-            & (F.col("x.many") == F.col("y.many"))
-            & (F.col("d") <= far + F.col("ra") + F.col("rb") + slack)
-            & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-            & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (num + den) >= (F.col("na") + F.col("nb")) * num)
-            & ((F.col("a") != F.col("few")) | (F.col("b") != F.col("y.many")))
-        )
-        third = _verify(x.join(right, met).select("a", "b").distinct(), names, texts, kind, n)
-        labels = _merge(labels, third.filter(linked).select("a", "b"))
-    final = labels
-    by_set = cut(names.join(final, "id").select("s1", "s2", "component"))
-    cut_documents = cut(documents)
-    out = cut_documents.join(by_set, ["s1", "s2"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    apart = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
+    meet = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.g") < F.col("y.g")) & apart & sizes & places).select(F.col("x.e").alias("e"), F.col("x.g").alias("g"), F.col("y.g").alias("h"))
+    side = lambda g, c: lists.select("e", F.col("g").alias(g), F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"), F.col("component").alias(f"c{c}"))
+    near = (
+        (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+        & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (num + den) >= (F.col("na") + F.col("nb")) * num)
+        & (F.col("ca") != F.col("cb"))
+    )
+    pairs = meet.join(side("g", "a"), ["e", "g"]).join(side("h", "b"), ["e", "h"]).filter(near).select("a", "b").distinct()
+    labels = _merge(labels, cut(_verify(pairs, names, texts, kind, n).filter(linked).select("a", "b")))
+    by_set = cut(names.join(labels, "id").select("s1", "s2", "component"))
+    out = cut(documents).join(by_set, ["s1", "s2"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
     nameless = digest.filter(F.col("id").isNull()).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.union(nameless)
 
