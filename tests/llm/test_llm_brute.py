@@ -61,11 +61,15 @@ def plain_spans(w):
     labels, score = set(), 0.0
     for n, (label, text) in enumerate([*licenses.BASE_PHRASES, *licenses.TEMPLATES]):
         t, base = plain_words(text), n < len(licenses.BASE_PHRASES)
+        grams = [t[j : j + 2] for j in range(len(t) - 1)]
+        against = [d.split() for d in licenses.DECISIVE if not base and d.split() not in grams]
         places = defaultdict(set)
         for i in range(len(w) - 1):
-            for j in range(len(t) - 1):
+            for j in range(len(t)):
                 if w[i : i + 2] == t[j : j + 2]:
                     places[i - j].add(j)
+                if w[i] == t[j] and w[i : i + 2] in against:
+                    places[i - j].add(-1)
         runs = []
         for d in sorted(places):
             if runs and not base and d - runs[-1][0] <= 3:
@@ -73,8 +77,9 @@ def plain_spans(w):
             else:
                 runs.append((d, places[d]))
         for _, p in runs:
-            share = len(p) / (len(t) - 1)
-            if share == 1 or not base and share >= 0.75:
+            share = len(p - {-1}) / (len(t) - 1)
+            musts = {j for j, g in enumerate(grams) if not base and " ".join(g) in licenses.DECISIVE}
+            if -1 not in p and musts <= p and (share == 1 or not base and share >= 0.75):
                 labels.add(label)
                 score = max(score, share)
     return ",".join(sorted(labels)), score
@@ -88,9 +93,55 @@ def test_license_labels_and_scores_by_brute_force(spark, docs):
         assert got[k].labels == labels and abs(got[k].score - score) < 1e-12
 
 
+#: What notices of these licenses are to be labelled as, written down by hand.
+NOTICES = [
+    ("Licensed under CC BY 4.0", "cc-by"),
+    ("licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+    ("Licensed under CC BY-ND 4.0", "cc-by-nd"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+    ("Licensed under CC BY-NC-ND 4.0", "cc-by-nc-nd"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("This work is licensed under a Creative Commons Attribution Non-Commercial 4.0 International License.", ""),  # no laxer one
+    ("This work is licensed under a Creative Commons Attribution Share Alike 4.0 International License.", ""),
+    ("our licence: CC BY 4.0, said the author of Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("Licensed under CC BY 4.0 as to the text; pictures are all rights reserved. Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+    ("Released under the MIT License", "mit"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "agpl,gpl"),  # gpl by the base phrase
+    ("Do what you like with it.", ""),
+]
+
+
+def test_notices_get_their_own_labels(spark):
+    rows = [(i, f"some words before. {t} and some words after") for i, (t, _) in enumerate(NOTICES)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i].labels for i, (t, _) in enumerate(NOTICES)} == dict(NOTICES)
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert set(got[100 + i].labels.split(",")) - set(got[100 + i].base_labels.split(",")) <= {label} and label in got[100 + i].labels.split(",")
+
+
 # ---- 4 toxicity
 
 
+def test_training_rows_are_bounded_by_rows(spark):
+    from tidemark.llm.labelled import training_rows
+
+    docs = spark.range(5000).selectExpr("id % 3 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(50).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = training_rows(docs, labels, "quality", 3, 7).collect()
+    assert len(got) == 3 and sorted(r.label for r in got) == [0, 0, 1]
+    again = training_rows(docs.repartition(7), labels, "quality", 3, 7).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    many = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    assert training_rows(many, many.selectExpr("doc_id", "1 as quality"), "quality", 3, 7, max_rows=40).count() == 40
+
+
 def test_swaps_change_identity_terms_only():
     keys, swapped = toxicity._swaps()
     assert (np.diff(keys.astype(object)) > 0).all() and len(keys) == len(swapped) == sum(map(len, toxicity.IDENTITY_TERMS))

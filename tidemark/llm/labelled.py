@@ -17,8 +17,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, h
 
     The sample is the rows of smallest hash of the id, so it does not depend
     on partitions. It has at most max_rows ids of 16 bytes, which bounds what
-    is broadcast. Labels other than 0 and 1 and null ids are left out; of
-    repeated label rows of an id the largest label counts.
+    is broadcast, and one row for each id, that of the text of least hash, so
+    repeated ids don't make it longer. Labels other than 0 and 1 and null ids
+    are left out; of repeated label rows of an id the largest label counts.
     """
     own = (
         labels.filter(F.col(target).isin(0, 1) & (fold_of(id, folds) != held_out))
@@ -27,4 +28,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, h
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_rows)
     )
-    return docs.select(F.col(id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(own), "__id").select("text", "label")
+    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(own), "__id")
+    order = F.struct(F.xxhash64("text"), "text")
+    return rows.groupBy("__id").agg(F.min_by(F.struct("text", "label"), order).alias("x")).select("x.text", "x.label")

@@ -28,24 +28,50 @@ TEMPLATES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+#: Pairs of words that make another license of a text that else is like a template.
+DECISIVE = [
+    "by nc", "by nd", "by sa", "nc nd", "nc sa",
+    "attribution noncommercial", "attribution non", "attribution noderivatives", "attribution noderivs", "attribution no", "attribution sharealike", "attribution share",
+    "noncommercial noderivatives", "noncommercial noderivs", "noncommercial no", "noncommercial sharealike", "noncommercial share",
+    "gnu lesser", "gnu library", "gnu affero",
+]
+
 #: Words of a k-gram, and the bits of the bounded mask that k-grams are tested against before the join.
 K, MASK_BITS = 2, 1 << 20
 
 
-def _template_grams(templates: list[tuple[str, str]], base: int) -> list[tuple[int, str, bool, int, int, int]]:
-    """(template, label, base, number of k-grams, position, hash) of every k-gram."""
+def _template_grams(templates: list[tuple[str, str]], base: int) -> list[tuple]:
+    """(template, label, base, number of k-grams, of them decisive, position, hash, part): part is 1 for a decisive k-gram, 0 for another, -1 for one that speaks against a template, which has its first word only."""
+    decisive = [words_of(t, ALNUM) for t in DECISIVE]
+    keys = {int(d.grams(K)[2][0]) for d in decisive}
     out = []
     for t, (label, text) in enumerate(templates):
-        _, pos, key = words_of(text, ALNUM).grams(K)
-        out += [(t, label, t < base, len(key), int(p), int(h)) for p, h in zip(pos, signed(key))]
+        words = words_of(text, ALNUM)
+        _, pos, key = words.grams(K)
+        own = [t >= base and int(h) in keys for h in key]
+        same = (t, label, t < base, len(key), sum(own))
+        out += [(*same, int(p), int(h), int(o)) for p, h, o in zip(pos, signed(key), own)]
+        for d in decisive if t >= base else ():
+            gram = d.grams(K)[2]
+            if gram[0] not in key:
+                out += [(*same, int(p), int(signed(gram)[0]), -1) for p in np.flatnonzero(words.key == d.key[0])]
     return out
 
 
@@ -68,7 +94,10 @@ def license_scan(
     say all its words in a row, each place by itself. A template's diagonals
     at most `slack` apart merge into one span (words put in or left out);
     it is verified by the distinct template places that it covers, at least
-    `coverage` of them.
+    `coverage` of them, and by decisive words, those that make another
+    license of a text, as "NC" behind "BY": all of its own are there, and none
+    that it lacks, as these vote against its diagonal. So a variant never gets
+    the label of a laxer or a stricter one.
 
     Result: id, n_words, n_base (places of base phrases), first_word and
     last_word (their smallest and largest start, else null), base_labels and
@@ -87,7 +116,7 @@ def license_scan(
     """
     grams = _template_grams([*base, *templates], len(base))
     known = np.zeros(MASK_BITS, bool)
-    known[[g[5] % MASK_BITS for g in grams]] = True
+    known[[g[6] % MASK_BITS for g in grams]] = True
     kind = df.schema[id].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,29 +144,29 @@ def license_scan(
             done += len(batch)
 
     spark = df.sparkSession
-    table = spark.createDataFrame(grams, "template int, label string, base boolean, n int, at int, hash long")
+    table = spark.createDataFrame(grams, "template int, label string, base boolean, n int, decisive int, at int, hash long, part int")
     found = df.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(scan, f"row long, id {kind}, n_words long, pos long, hash long")
     votes = found.join(F.broadcast(table), "hash", "left").filter(F.col("template").isNotNull() | F.col("n_words").isNotNull())
     diagonal = (F.col("pos") - F.col("at")).alias("diagonal")
     by_diagonal = (
-        votes.groupBy("row", "id", "template", "label", "base", "n", diagonal)
-        .agg(F.max("n_words").alias("n_words"), F.collect_set("at").alias("places"))
+        votes.groupBy("row", "id", "template", "label", "base", "n", "decisive", diagonal)
+        .agg(F.max("n_words").alias("n_words"), *(F.collect_set(F.when(keep, F.col("at"))).alias(c) for c, keep in (("places", F.col("part") >= 0), ("musts", F.col("part") == 1), ("against", F.col("part") < 0))))
     )  # at most n places
     # neighbouring diagonals of a template are one span; those of a base phrase stay apart
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     opens = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True))
     spans = (
         by_diagonal.withColumn("span", F.sum(F.coalesce(opens, F.lit(True)).cast("int")).over(order))
-        .groupBy("row", "id", "template", "label", "base", "n", "span")
+        .groupBy("row", "id", "template", "label", "base", "n", "decisive", "span")
         .agg(
             F.max("n_words").alias("n_words"),
             F.min("diagonal").alias("from"),
             F.max("diagonal").alias("to"),
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+            *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("places", "musts", "against")),
         )
     )
     share = F.size("places") / F.col("n")
-    verified = F.when(F.when(F.col("base"), share == 1).otherwise(share >= coverage), F.struct(
+    verified = F.when(F.when(F.col("base"), share == 1).otherwise((share >= coverage) & (F.size("musts") == F.col("decisive")) & (F.size("against") == 0)), F.struct(
         (F.col("from") + F.array_min("places")).alias("start"),
         (F.col("to") + F.array_max("places") + K).alias("end"),
         "label",
