@@ -297,6 +297,29 @@ def test_leaks_with_clashing_columns(spark):
     assert smith_waterman([1, 2], [1, 2]) == 4
 
 
+def test_a_phrase_of_many_items_opens_few_windows():
+    rng = np.random.default_rng(8)
+    own = lambda p, i: " ".join(f"{p}{i}x{x}" for x in rng.integers(0, 50, 30))
+    phrase = "which of the following is the"
+    texts = pa.array([f"{own('d', i)} {phrase} {own('e', i)}" for i in range(50)] + [f"{own('d', 99)} {phrase} i3x1 i3x2 i3x3"])
+    asked = [f"{phrase} {own('i', i)}" for i in range(200)]
+    items = decontaminate.Items(pa.array([*asked, phrase, None, ""]), 3)
+    _, w = next(words.steps(texts, words.ALNUM))
+    df = np.zeros(len(items.seed), np.int64)
+    for doc, _, at in items.hits(w):
+        df += np.bincount(np.unique(doc * len(df) + at) % len(df), minlength=len(df))
+    items.rank(df)
+    doc, item, _, _ = decontaminate._windows(items, w, decontaminate.LEAST_SCORE)
+    assert len(doc) <= 2 * len(texts) and set(item.tolist()) == {200} and len(set(doc.tolist())) == len(texts)
+
+
+def test_items_in_tiles(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "TILE_BYTES", 2000)
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(docs, bench).collect()} == want and want
+
+
 # ---- 9 embeddings
 
 
