@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions.values import number, timestamp
+from tidemark.operators.scan import segments
+from tidemark.plans.lineage import cut
 
 #: Names that say nothing, and the limits of event classes in minutes.
 UNKNOWN = ["", "unknown", "undefined", "unknown value", "nan"]
@@ -155,12 +157,18 @@ def vessel_metadata(pings: DataFrame) -> DataFrame:
 
 
 def sessions(pings: DataFrame, gap_minutes: float = 30.0, *split: str, key: str = "mmsi", ts: str = "ts") -> DataFrame:
-    """event_id, a running number for each key: new at the first ping, after a longer gap, or when a split column changes."""
-    w = Window.partitionBy(key).orderBy(ts, *split)
-    new = F.lag(ts).over(w).isNull() | (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > gap_minutes * 60e6)
-    for c in split:
-        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    return pings.withColumn("__new", new.cast("int")).withColumn("event_id", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """event_id, a running number for each key: new at the first ping, after a longer gap, or when a split column changes.
+
+    A segmented scan over range partitions (scan.segments): the pings of one
+    vessel are in many tasks when they are many.
+    """
+    def opens(before: Column) -> Column:
+        new = F.unix_micros(ts) - F.unix_micros(before[ts]) > gap_minutes * 60e6
+        for c in split:
+            new = new | ~F.col(c).eqNullSafe(before[c])
+        return new
+
+    return segments(cut(pings), [key], [ts, *split], opens, "event_id")
 
 
 def event_class(minutes: Column) -> Column:
@@ -172,8 +180,8 @@ def dwell_events(pings: DataFrame, turbines: DataFrame, gap_minutes: float = 30.
 
     One row for mmsi and event_id with wind_farm, found_id, start, end,
     ping_count, mean_sog, min_dist, duration_min and event_class; shorter
-    events than least_minutes go. Windows and the groupBy share one shuffle
-    by vessel and time; sessions of a vessel are sorted, and may spill.
+    events than least_minutes go. Sessions are found by range partitions of
+    the matched pings, which are written first.
     """
     at = sessions(nearest_only(match_nearest(stationary(pings), turbines)), gap_minutes, "found_id")
     out = at.groupBy("mmsi", "event_id", "wind_farm", "found_id").agg(

@@ -68,7 +68,7 @@ def partition_candidates(events: DataFrame, manifest: DataFrame, samples: DataFr
     manifest: wind_farm, year, status, points; samples: wind_farm, ts and the
     value. Reasons: bad_window, no_partition, partition_not_accepted,
     no_points, unreadable_rows (no value in the whole partition),
-    not_bracketed.
+    not_bracketed, values_missing (none in the samples taken).
     """
     year = F.year(midpoint(F.col("start"), F.col("end")))
     own = events.withColumn("year", F.when(F.col("start").isNotNull() & (F.col("end") >= F.col("start")), year))
@@ -81,8 +81,8 @@ def partition_candidates(events: DataFrame, manifest: DataFrame, samples: DataFr
     )
     met = met.withColumn("missing_reason", why)
     got = bracketed(met.filter("missing_reason is null").select(event_id, "wind_farm", "start", "end"), samples, ["wind_farm"], value, event_id)
-    out = met.join(got.select(event_id, "value", "method"), event_id, "left")
-    reason = F.coalesce("missing_reason", F.when(F.col("value").isNull(), "not_bracketed"))
+    out = met.join(got.select(event_id, "value", "method", F.col("missing_reason").alias("__why")), event_id, "left")
+    reason = F.coalesce("missing_reason", F.when(F.col("value").isNull(), F.when(F.col("__why") == "values_missing", "values_missing").otherwise("not_bracketed")))
     return out.select(event_id, "value", F.coalesce("method", F.lit("not_assigned")).alias("method"), reason.alias("missing_reason"))
 
 

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import scan, segments
+
 
 def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
@@ -55,9 +57,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], values: lis
     edges = ends.select(*keys, spread.alias("e")).select(*keys, F.col("e.b").alias("__b"), F.col("e.x.__rt").alias("__rt"), F.col("e.x.__v").alias("__v"))
     l = left.select(F.struct(*left.columns).alias("__left"), *keys, F.col(ts).alias("__t"), _bucket(F.col(ts), width).alias("__b"))  # noqa: E741
     both = l.unionByName(r.unionByName(edges).withColumn("__t", F.col("__rt")), allowMissingColumns=True)
-    w = Window.partitionBy(*own, "__b").orderBy("__t", F.col("__rt").asc_nulls_last())
+    w = Window.partitionBy(*own, "__b").orderBy("__t", F.col("__rt").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    # a frame that is open ahead is evaluated anew for each row, so the next row is found in descending order
+    ahead = Window.partitionBy(*own, "__b").orderBy(F.desc("__t"), F.col("__rt").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.when(F.col("__rt").isNotNull(), F.struct("__rt", "__v"))
-    both = both.withColumns({"__p": F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    both = both.withColumns({"__p": F.last(seen, True).over(w), "__n": F.last(seen, True).over(ahead)})
     gap = lambda c: F.when(F.abs(F.unix_micros(f"{c}.__rt") - F.unix_micros("__t")) <= tolerance_s * 1e6, F.abs(F.unix_micros(f"{c}.__rt") - F.unix_micros("__t")))
     both = both.filter("__left is not null").withColumns({"__gp": gap("__p"), "__gn": gap("__n")})
     before = F.col("__gp") <= F.col("__gn") if tie == "earlier" else F.col("__gp") < F.col("__gn")
@@ -88,35 +92,61 @@ def window_or_nearest(events: DataFrame, samples: DataFrame, keys: list[str], va
 
 
 def bracketed(events: DataFrame, samples: DataFrame, keys: list[str], value: str, event_id: str = "event_id") -> DataFrame:
-    """For each event the mean of samples inside it, else of the last before and the first after it; else nothing.
-
-    Samples of a key and a day's margin meet events through day buckets, and
-    one groupBy with conditional aggregates takes all that is asked.
+    """For each event the mean of the samples inside it, else of the last before and the first after it, at any distance; else nothing.
+
+    Returns event_id, value, n_inside, bracketed (there is a sample at its
+    start or before and one at its end or after), gap_min (from its middle to
+    the nearest sample), method (window, bracket, not_assigned),
+    missing_fraction (of the samples taken; 1 if none) and missing_reason
+    (no_assignable_samples, values_missing, values_partially_missing from over
+    5 %). Samples without a value count as samples, as a source that has them
+    covers the time. Samples at one time count by their mean at an event's
+    edge and each by itself inside. An event that ends before it starts, or
+    lacks a time or a key, has no samples; repeated ids are one event.
+
+    Samples, one row for each time, and an event's start, end and middle are
+    sorted together by range partitions (scan.scan); sums up to the edges and
+    the samples next to them are carried to the events. So nothing is paired,
+    whatever the gaps or the density. Sums are of decimals with 12 places, so
+    they don't depend on partitions.
     """
-    day = 86_400
-    wide = events.withColumns({"__s": F.col("start") - F.expr("interval 1 day"), "__e": F.col("end") + F.expr("interval 1 day")})
-    met = interval_join(samples.filter(F.col(value).isNotNull()), wide.select(event_id, *keys, "start", "end", "__s", "__e"), keys, start="__s", end="__e", bucket_s=day)
-    v, ts = F.col(value), F.col("ts")
-    before, after = ts <= F.col("start"), ts >= F.col("end")
-    middle = (F.unix_micros("start") + F.unix_micros("end")) / 2
-    got = met.groupBy(event_id).agg(
-        F.avg(F.when(ts.between(F.col("start"), F.col("end")), v)).alias("inside"),
-        F.count_if(ts.between(F.col("start"), F.col("end"))).alias("n_inside"),
-        F.max_by(v, F.when(before, ts)).alias("last_before"),
-        F.min_by(v, F.when(after, ts)).alias("first_after"),
-        F.max(F.when(before, 1)).alias("has_before"),
-        F.max(F.when(after, 1)).alias("has_after"),
-        (F.min(F.abs(F.unix_micros("ts") - middle)) / 60e6).alias("gap_min"),
+    known = lambda df, *c: df.filter(" and ".join(f"`{x}` is not null" for x in (*keys, *c)))
+    v = F.col(value).cast("double")
+    exact = F.sum(F.when(v.isNotNull(), v.cast("decimal(38,12)")))
+    each = known(samples, "ts").groupBy(*keys, F.col("ts").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("full"), exact.alias("s"), F.avg(v).alias("v"))
+    sound = known(events, "start", "end").filter(F.col("end") >= F.col("start")).dropDuplicates([event_id])
+    middle = F.timestamp_micros(F.floor((F.unix_micros("start") + F.unix_micros("end")) / 2).cast("long"))
+    # at one time: an event's start, then the sample, then an event's end and middle
+    marks = F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("t")) for k, t in ((0, F.col("start")), (2, F.col("end")), (3, middle))))
+    asked = sound.select(F.col(event_id).alias("__id"), *keys, F.explode(marks).alias("m")).select("__id", *keys, F.col("m.kind").alias("kind"), F.col("m.t").alias("t"))
+    both = each.withColumn("kind", F.lit(1)).unionByName(asked, allowMissingColumns=True)
+    here = F.when(F.col("kind") == 1, F.struct("t", "n", "full", "v"))
+    got = scan(both, keys, ["t", "kind", "__id"], last={"back": here}, first={"ahead": here}, sums={"run_n": F.col("n"), "run_full": F.col("full"), "run_s": F.col("s")})
+    mark = lambda k: F.max(F.when(F.col("kind") == k, F.struct("t", "back", "ahead", "run_n", "run_full", "run_s")))
+    got = got.filter("kind != 1").groupBy("__id").agg(mark(0).alias("a"), mark(2).alias("b"), mark(3).alias("c"))
+    before = F.when(F.col("a.ahead.t") == F.col("a.t"), F.col("a.ahead")).otherwise(F.col("a.back"))
+    after = F.when(F.col("b.back.t") == F.col("b.t"), F.col("b.back")).otherwise(F.col("b.ahead"))
+    far = lambda c: F.abs(F.unix_micros(c) - F.unix_micros("c.t")) / 60e6
+    got = got.select(
+        "__id", before.alias("before"), after.alias("after"), (F.col("b.run_n") - F.col("a.run_n")).alias("n"), (F.col("b.run_full") - F.col("a.run_full")).alias("full"), (F.col("b.run_s") - F.col("a.run_s")).alias("s"),
+        F.least(far("c.back.t"), far("c.ahead.t")).alias("gap_min"),
     )
-    both = (F.col("has_before") == 1) & (F.col("has_after") == 1)
-    out = events.select(event_id).join(got, event_id, "left")
+    pair = F.col("before").isNotNull() & F.col("after").isNotNull()
+    one = F.col("before.t") == F.col("after.t")
+    ends = F.when(F.col("before.v").isNotNull() & F.col("after.v").isNotNull(), (F.col("before.v") + F.col("after.v")) / 2).otherwise(F.coalesce("before.v", "after.v"))
+    inside = F.col("n") > 0
+    taken = F.when(inside, F.col("n")).when(pair, F.when(one, F.col("before.n")).otherwise(F.col("before.n") + F.col("after.n")))
+    full = F.when(inside, F.col("full")).when(pair, F.when(one, F.col("before.full")).otherwise(F.col("before.full") + F.col("after.full")))
+    out = events.select(event_id).distinct().join(got, F.col(event_id) == F.col("__id"), "left").withColumns({"missing_fraction": F.coalesce(1 - full / taken, F.lit(1.0))})
     return out.select(
         event_id,
-        F.when(F.col("n_inside") > 0, F.col("inside")).when(both, (F.col("last_before") + F.col("first_after")) / 2).alias("value"),
-        F.coalesce("n_inside", F.lit(0)).cast("long").alias("n_inside"),
-        F.coalesce(both, F.lit(False)).alias("bracketed"),
+        F.when(inside, F.when(F.col("full") > 0, (F.col("s") / F.col("full")).cast("double"))).when(pair, ends).alias("value"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_inside"),
+        F.coalesce(pair, F.lit(False)).alias("bracketed"),
         "gap_min",
-        F.when(F.col("n_inside") > 0, "window").when(both, "bracket").otherwise("not_assigned").alias("method"),
+        F.when(inside, "window").when(pair, "bracket").otherwise("not_assigned").alias("method"),
+        "missing_fraction",
+        F.when(~F.coalesce(inside | pair, F.lit(False)), "no_assignable_samples").when(F.col("missing_fraction") == 1, "values_missing").when(F.col("missing_fraction") > 0.05, "values_partially_missing").alias("missing_reason"),
     )
 
 
@@ -149,25 +179,27 @@ def months(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def islands(df: DataFrame, keys: list[str], ts: str, max_gap_s: float) -> DataFrame:
-    """Spans of rows whose gaps are at most max_gap_s: key, span, first, last, rows."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    new = F.coalesce((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > max_gap_s * 1e6).cast("int"), F.lit(1))
-    return df.withColumn("__n", new).withColumn("span", F.sum("__n").over(w)).groupBy(*keys, "span").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("rows"))
+    """Spans of rows whose gaps are at most max_gap_s: key, span, first, last, rows. By range partitions, so a key may hold most rows."""
+    spans = segments(df.select(*keys, ts), keys, [ts], lambda before: F.unix_micros(ts) - F.unix_micros(before[ts]) > max_gap_s * 1e6, "span")
+    return spans.groupBy(*keys, "span").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("rows"))
 
 
 def interpolate(grid_rows: DataFrame, knots: DataFrame, keys: list[str], values: list[str], carried: list[str] = ()) -> DataFrame:
-    """grid_rows (keys, ts) with values linear between the knots around them and carried columns filled forward, then backward."""
+    """grid_rows (keys, ts) with values linear between the knots around them and carried columns filled forward, then backward.
+
+    Knots and places are sorted together by range partitions, so a series may
+    be as long as the table; each value has knots of its own where others are null.
+    """
     g = grid_rows.select(*keys, "ts").distinct().withColumn("__g", F.lit(True))
     both = g.join(knots.select(*keys, "ts", *values, *carried), [*keys, "ts"], "full")
-    w = Window.partitionBy(*keys).orderBy("ts")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = both
     t = F.unix_micros("ts")
-    for v in values:
-        here = F.when(F.col(v).isNotNull(), F.struct(t.alias("t"), F.col(v).alias("v")))
-        p, n = F.last(here, True).over(back), F.first(here, True).over(ahead)
-        part = (t - p["t"]) / (n["t"] - p["t"])
-        out = out.withColumn(f"__{v}", F.when(p["t"] == n["t"], p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * part))
-    for c in carried:
-        out = out.withColumn(f"__{c}", F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)))
-    return out.filter("__g").select(*keys, "ts", *(F.col(f"__{c}").alias(c) for c in [*values, *carried]))
+    here = {v: F.when(F.col(v).isNotNull(), F.struct(t.alias("t"), F.col(v).alias("v"))) for v in values}
+    fill = {c: F.col(c) for c in carried}
+    around = {**here, **fill}
+    out = scan(both, keys, ["ts"], last={f"__p_{n}": c for n, c in around.items()}, first={f"__n_{n}": c for n, c in around.items()})
+
+    def between(v: str) -> Column:
+        p, n = F.col(f"__p_{v}"), F.col(f"__n_{v}")
+        return F.when(p["t"] == n["t"], p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"]))
+
+    return out.filter("__g").select(*keys, "ts", *(between(v).alias(v) for v in values), *(F.coalesce(f"__p_{c}", f"__n_{c}").alias(c) for c in carried))

@@ -164,12 +164,13 @@ def window_or_nearest(spark: SparkSession, sf: str, whole: bool = False) -> Data
     return rounded(J.window_or_nearest(_intervals(spark, sf, whole), _samples(spark, sf, whole), ["mmsi"], "value", 10800), value=4)
 
 
-@query(f"""WITH {_INTERVALS}, {_SAMPLES},
-m AS (SELECT iv.event_id, "start", "end", sm.ts, value FROM iv JOIN sm ON sm.mmsi = iv.mmsi AND sm.ts BETWEEN "start" - INTERVAL 1 DAY AND "end" + INTERVAL 1 DAY),
-g AS (SELECT event_id, avg(value) FILTER (ts BETWEEN "start" AND "end") AS inside, count(*) FILTER (ts BETWEEN "start" AND "end") AS n_inside, max_by(value, ts) FILTER (ts <= "start") AS b, min_by(value, ts) FILTER (ts >= "end") AS a,
-             min(abs(epoch(ts) - (epoch("start") + epoch("end")) / 2)) / 60 AS gap_min FROM m GROUP BY event_id)
-SELECT event_id, round(CASE WHEN n_inside > 0 THEN inside WHEN a IS NOT NULL AND b IS NOT NULL THEN (b + a) / 2 END, 4) AS value, coalesce(n_inside, 0) AS n_inside, coalesce(a IS NOT NULL AND b IS NOT NULL, false) AS bracketed,
-       round(gap_min, 4) AS gap_min, CASE WHEN n_inside > 0 THEN 'window' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'bracket' ELSE 'not_assigned' END AS method
+@query(f"""WITH {_INTERVALS}, {_SAMPLES}, one AS (SELECT mmsi, ts, avg(value) AS v, sum(value) AS s, count(value) AS full_, count(*) AS n FROM sm GROUP BY mmsi, ts),
+g AS (SELECT iv.event_id, sum(s) FILTER (ts BETWEEN "start" AND "end") AS s, sum(full_) FILTER (ts BETWEEN "start" AND "end") AS full_, sum(n) FILTER (ts BETWEEN "start" AND "end") AS n,
+             max_by(v, ts) FILTER (ts <= "start") AS b, min_by(v, ts) FILTER (ts >= "end") AS a, bool_or(ts <= "start") AND bool_or(ts >= "end") AS pair,
+             min(abs(epoch(ts) - (epoch("start") + epoch("end")) / 2)) / 60 AS gap_min FROM iv JOIN one USING (mmsi) GROUP BY iv.event_id)
+SELECT event_id, round(CASE WHEN n > 0 THEN s / full_ WHEN pair THEN (b + a) / 2 END, 4) AS value, coalesce(n, 0)::BIGINT AS n_inside, coalesce(pair, false) AS bracketed, round(gap_min, 4) AS gap_min,
+       CASE WHEN n > 0 THEN 'window' WHEN pair THEN 'bracket' ELSE 'not_assigned' END AS method, CASE WHEN n > 0 OR pair THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS missing_fraction,
+       CASE WHEN NOT coalesce(n > 0 OR pair, false) THEN 'no_assignable_samples' END AS missing_reason
 FROM iv LEFT JOIN g USING (event_id)""")
 def bracketed(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """JN-08."""

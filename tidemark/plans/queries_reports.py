@@ -194,7 +194,7 @@ _IV = QE._INTERVALS.replace(" WHERE event_id % 20 = 0", "").replace('AS "start"'
 _SM = QE._SAMPLES.replace(" WHERE event_id % 20 <> 0", "")
 
 
-@query(f"""WITH {_IV}, {_SM}, m AS (SELECT iv.event_id, "start", "end", sm.ts FROM iv JOIN sm ON sm.mmsi = iv.mmsi AND sm.ts BETWEEN "start" - INTERVAL 1 DAY AND "end" + INTERVAL 1 DAY),
+@query(f"""WITH {_IV}, {_SM}, m AS (SELECT iv.event_id, "start", "end", sm.ts FROM iv JOIN sm ON sm.mmsi = iv.mmsi),
 g AS (SELECT event_id, count(*) FILTER (ts BETWEEN "start" AND "end") AS n, bool_or(ts <= "start") AND bool_or(ts >= "end") AS br, min(abs(epoch(ts) - (epoch("start") + epoch("end")) / 2)) / 60 AS gap FROM m GROUP BY event_id),
 e AS (SELECT event_id, coalesce(n, 0) > 0 AS win, coalesce(br, false) AS br, coalesce(br AND gap <= 60, false) AS tight FROM iv LEFT JOIN g USING (event_id))
 SELECT count(*) AS events, round(avg(win::INT), 6) AS in_window, round(avg(br::INT), 6) AS bracketed, round(avg(tight::INT), 6) AS tight, round(avg((win OR tight)::INT), 6) AS usable,

@@ -271,7 +271,7 @@ sm AS (SELECT 'F' || user_id % 9 AS wind_farm, date_trunc('hour', ts) AS ts, avg
 
 @query(f"""WITH {_PARTS}, m AS (SELECT 'F' || i AS wind_farm, CASE WHEN i = 2 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN i = 3 THEN 0 ELSE 4 END AS points FROM range(8) t(i)),
 r AS (SELECT o.*, CASE WHEN e < s THEN 'bad_window' WHEN status IS NULL THEN 'no_partition' WHEN status = 'failed' THEN 'partition_not_accepted' WHEN points = 0 THEN 'no_points' WHEN o.wind_farm = 'F5' THEN 'unreadable_rows' END AS why FROM o LEFT JOIN m USING (wind_farm)),
-g AS (SELECT event_id, avg(v) FILTER (ts BETWEEN s AND e) AS inside, max_by(v, ts) FILTER (ts <= s) AS b, min_by(v, ts) FILTER (ts >= e) AS a FROM r JOIN sm ON sm.wind_farm = r.wind_farm AND v IS NOT NULL AND ts BETWEEN s - INTERVAL 1 DAY AND e + INTERVAL 1 DAY WHERE why IS NULL GROUP BY 1)
+g AS (SELECT event_id, avg(v) FILTER (ts BETWEEN s AND e) AS inside, max_by(v, ts) FILTER (ts <= s) AS b, min_by(v, ts) FILTER (ts >= e) AS a FROM r JOIN sm ON sm.wind_farm = r.wind_farm AND v IS NOT NULL WHERE why IS NULL GROUP BY 1)
 SELECT event_id, round(coalesce(inside, (a + b) / 2), 6) AS value, CASE WHEN inside IS NOT NULL THEN 'window' WHEN a + b IS NOT NULL THEN 'bracket' ELSE 'not_assigned' END AS method, coalesce(why, CASE WHEN inside IS NULL AND a + b IS NULL THEN 'not_bracketed' END) AS missing_reason FROM r LEFT JOIN g USING (event_id)""")
 def partition_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """JN-27, SRC-09."""
