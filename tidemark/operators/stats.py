@@ -1,7 +1,9 @@
-"""Correlation scans, bootstrap, rank statistics and power curves."""
+"""Correlations at given shifts, bootstrap, rank statistics and power curves."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,6 @@ def correlation_scan(a: DataFrame, b: DataFrame, shifts_h: list[int], least_hour
     return out.withColumn("r", F.nanvl("r", F.lit(None).cast("double"))).withColumn("rank", F.row_number().over(Window.partitionBy("shift_h").orderBy(F.desc_nulls_last("r"), "site")))
 
 
-def lag_scan(a: DataFrame, b: DataFrame, first: int, last: int, least_hours: int, top: int) -> DataFrame:
-    """The best of all hourly lags of b (hour, y) behind a (hour, x), by correlation."""
-    moved = a.withColumn("lag_h", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("hour", F.timestamp_seconds(F.unix_seconds("hour") + F.col("lag_h") * 3600))
-    out = moved.join(b, "hour").groupBy("lag_h").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("hours")).filter(F.col("hours") >= least_hours)
-    return out.orderBy(F.desc("r"), "lag_h").limit(top)
-
-
 def bootstrap_wins(winners: DataFrame, draws: int, seed: int) -> DataFrame:
     """Share of bootstrap draws in which each winner comes first.
 
@@ -95,19 +90,52 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float])
     return met.groupBy(*keys, "__all").agg(*aggs).select(*keys, *out)
 
 
-def rank_statistics(df: DataFrame, group: str, value: str, label: Column) -> DataFrame:
-    """Kolmogorov-Smirnov distance, Mann-Whitney U and Cliff's delta of labelled against other rows, for each group.
+def kolmogorov_tail(x: Column) -> Column:
+    """Share of the Kolmogorov distribution beyond x, by its alternating series."""
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x * x))
+    whole = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    return F.when(x < 0.2, F.lit(1.0)).when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), whole)))
+
+
+def normal_tail(z: Column) -> Column:
+    """Share of the normal distribution beyond z: a series up to 6 deviations, a continued fraction beyond."""
+    far = F.abs(z)
+    density = F.exp(-far * far / 2) / F.lit((2 * math.pi) ** 0.5)
+    start = F.struct(far.alias("t"), far.alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, lambda a, k: F.struct((a["t"] * far * far / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * far * far / (2 * k + 1)).alias("s")), lambda a: a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), far, lambda a, k: far + k / a)
+    beyond = F.when(far <= 6, 0.5 - density * series).otherwise(density / fraction)
+    return F.when(z >= 0, beyond).otherwise(1 - beyond)
+
+
+def rank_statistics(df: DataFrame, group: str, value: str, label: Column, alpha: float = 0.05) -> DataFrame:
+    """Whether labelled rows have other, and whether they have smaller, values than the others, for each group.
+
+    ks and ks_p: Kolmogorov-Smirnov distance and its limiting tail; u:
+    Mann-Whitney U of the labelled rows (ties count half), u_p: the normal
+    tail of their being smaller, with corrections for ties and continuity;
+    cliffs_delta, z (without the half), mean_a, mean_b, delta (a less b);
+    selective: u_p below alpha and delta below 0. Groups that lack either
+    side have no row; where all values are equal u_p and z are null.
 
     Values are counted first and summed up by range partitions, so no task
-    sorts a whole group; ranks of ties are averaged. z is U's normal score without a tie correction.
+    sorts a whole group; a value's count tells its ties.
     """
     c = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_if(label).alias("a"), F.count_if(~label).alias("b"))
     total = c.groupBy(group).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     c = running_counts(c, [group], value, ["a", "b"]).withColumnsRenamed({"run_a": "ca", "run_b": "cb"}).join(total, group)
     u = F.sum(F.col("a") * ((F.col("cb") - F.col("b")) + F.col("b") / 2))
-    out = c.filter("na > 0 and nb > 0").groupBy(group, "na", "nb").agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), u.alias("u"), (F.sum(F.col("a") * F.col(value)) / F.first("na")).alias("mean_a"), (F.sum(F.col("b") * F.col(value)) / F.first("nb")).alias("mean_b"))
-    m = F.col("na") * F.col("nb")
-    return out.withColumns({"cliffs_delta": 2 * F.col("u") / m - 1, "z": (F.col("u") - m / 2) / F.sqrt(m * (F.col("na") + F.col("nb") + 1) / 12)})
+    t = (F.col("a") + F.col("b")).cast("double")
+    mean = lambda x: (F.sum(F.col(x) * F.col(value)) / F.first(f"n{x}")).alias(f"mean_{x}")
+    out = c.filter("na > 0 and nb > 0").groupBy(group, "na", "nb").agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), u.alias("u"), F.sum(t * t * t - t).alias("__ties"), mean("a"), mean("b"))
+    m, n = F.col("na").cast("double") * F.col("nb"), (F.col("na") + F.col("nb")).cast("double")
+    spread = F.sqrt(m / 12 * ((n + 1) - F.col("__ties") / (n * (n - 1))))
+    spread = F.when(spread > 0, spread)
+    out = out.withColumns({
+        "cliffs_delta": 2 * F.col("u") / m - 1, "z": (F.col("u") - m / 2) / spread, "delta": F.col("mean_a") - F.col("mean_b"),
+        "ks_p": kolmogorov_tail(F.sqrt(m / n) * F.col("ks")), "u_p": normal_tail(((m - F.col("u")) - m / 2 - 0.5) / spread),
+    })
+    return out.withColumn("selective", F.coalesce((F.col("u_p") < alpha) & (F.col("delta") < 0), F.lit(False))).drop("__ties")
 
 
 def sound_wind(df: DataFrame, wind: str, most: float = 45.0) -> DataFrame:

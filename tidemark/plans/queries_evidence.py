@@ -10,6 +10,7 @@ from tidemark.operators import audit as A
 from tidemark.operators import envelope as V
 from tidemark.operators import evidence as E
 from tidemark.operators import intensity as I
+from tidemark.operators import lags
 from tidemark.operators import pings as P
 from tidemark.operators import stats as S
 from tidemark.operators import timejoin as J
@@ -319,22 +320,31 @@ def correlation_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.correlation_scan(a, h, [-24, 0, 24]), r=5)
 
 
-@query(f"""WITH {_HOURS}, m AS (SELECT hour + lag_h * INTERVAL 1 HOUR AS hour, x, lag_h FROM a, (SELECT unnest(generate_series(-12, 12))::INT AS lag_h))
-SELECT lag_h, round(corr(x, y), 5) AS r, count(*) AS hours FROM m JOIN (SELECT hour, y FROM h WHERE site = 'view') USING (hour) GROUP BY lag_h HAVING count(*) >= 100 ORDER BY corr(x, y) DESC, lag_h LIMIT 5""")
+@query(f"""WITH {_HOURS}, v AS (SELECT hour, y FROM h WHERE site = 'view'), p AS (SELECT date_diff('hour', a.hour, v.hour) AS lag_h, x, y FROM a CROSS JOIN v),
+l AS (SELECT lag_h, corr(x, y) AS r, count(*) AS hours FROM p GROUP BY lag_h HAVING count(*) >= 100 AND isfinite(corr(x, y)))
+SELECT lag_h, hours, round(r, 6) AS r, lag_h / 24.0::DOUBLE AS lag_days, (row_number() OVER (ORDER BY r DESC, lag_h))::INT AS rank FROM l ORDER BY r DESC, lag_h LIMIT 25""")
 def lag_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-51."""
+    """AG-51: all lags of one hourly series behind another."""
     a, h = _hours(spark, sf)
-    return rounded(S.lag_scan(a, h.filter("site = 'view'").select("hour", "y"), -12, 12, 100, 5), r=5)
+    return rounded(lags.lag_scan(a, h.filter("site = 'view'").select("hour", "y"), 100, 25), r=6)
 
 
-@query("""WITH v AS (SELECT event_type AS g, round(value, 0) AS v, event_id % 3 = 0 AS lab FROM events), a AS (SELECT g, v FROM v WHERE lab), b AS (SELECT g, v FROM v WHERE NOT lab),
-na AS (SELECT g, v, count(*) FILTER (lab) AS a, count(*) FILTER (NOT lab) AS b FROM v GROUP BY ALL),
-c AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY g) AS sa, sum(b) OVER (PARTITION BY g) AS sb FROM na WINDOW w AS (PARTITION BY g ORDER BY v))
-SELECT g AS event_type, round(max(abs(ca / sa - cb / sb)), 6) AS ks, round(sum(a * ((cb - b) + b / 2.0)), 1) AS u, round(2 * sum(a * ((cb - b) + b / 2.0)) / (any_value(sa) * any_value(sb)) - 1, 5) AS cliffs_delta FROM c GROUP BY g""")
+#: The normal tail beyond z in SQL: the sum of z^(2k+1) / (2k+1)!!, by logarithms.
+_TAIL = "0.5 - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 121), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - (lgamma(2 * k + 3) - (k + 1) * ln(2) - lgamma(k + 2)))))"
+
+
+@query(f"""WITH v AS (SELECT event_type AS g, value AS v, event_id % 3 = 0 AS lab FROM events), na AS (SELECT g, v, count(*) FILTER (lab) AS a, count(*) FILTER (NOT lab) AS b FROM v GROUP BY ALL),
+c AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY g) AS sa, sum(b) OVER (PARTITION BY g) AS sb FROM na WINDOW w AS (PARTITION BY g ORDER BY v)),
+s AS (SELECT g, max(abs(ca / sa - cb / sb)) AS ks, sum(a * ((cb - b) + b / 2.0::DOUBLE)) AS u, any_value(sa)::DOUBLE AS sa, any_value(sb)::DOUBLE AS sb, sum((a + b)::DOUBLE ** 3 - (a + b)) AS ties, sum(a * v) / any_value(sa) AS mean_a, sum(b * v) / any_value(sb) AS mean_b FROM c GROUP BY g),
+d AS (SELECT *, sqrt(sa * sb / 12 * ((sa + sb + 1) - ties / ((sa + sb) * (sa + sb - 1)))) AS sd, sqrt(sa * sb / (sa + sb)) * ks AS lam FROM s),
+z AS (SELECT *, (sa * sb - u - sa * sb / 2 - 0.5) / sd AS zz FROM d),
+p AS (SELECT *, {_TAIL.format(z='zz')} AS u_p, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2 * k * k * lam * lam)))) END AS ks_p FROM z)
+SELECT g AS event_type, sa::BIGINT AS na, sb::BIGINT AS nb, round(ks, 6) AS ks, round(u, 1) AS u, round(2 * u / (sa * sb) - 1, 6) AS cliffs_delta, round((u - sa * sb / 2) / sd, 6) AS z, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
+       round(mean_a - mean_b, 6) AS delta, round(ks_p, 6) AS ks_p, round(u_p, 6) AS u_p, u_p < 0.05 AND mean_a < mean_b AS selective FROM p""")
 def rank_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """AG-56, AG-57."""
-    e = R.table(spark, sf, "events").withColumn("v", F.round("value", 0))
-    return rounded(S.rank_statistics(e, "event_type", "v", F.col("event_id") % 3 == 0).select("event_type", "ks", "u", "cliffs_delta"), ks=6, u=1, cliffs_delta=5)
+    out = S.rank_statistics(R.table(spark, sf, "events"), "event_type", "value", F.col("event_id") % 3 == 0)
+    return rounded(out, ks=6, u=1, cliffs_delta=6, z=6, mean_a=6, mean_b=6, delta=6, ks_p=6, u_p=6)
 
 
 @query(f"""WITH {R.TURBINES}, c AS (SELECT wind_farm, 'farm_centroid' AS sample_point_id, avg(latitude) AS lat, avg(longitude) AS lon FROM turbines GROUP BY wind_farm),
