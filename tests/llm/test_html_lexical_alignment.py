@@ -258,9 +258,9 @@ def test_alignment_of_the_table(spark):
     assert {r[0]: tuple(r)[1:] for r in registry.queries()["op13_tokenizer_alignment"](spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize("chunk, run, kept", [(1 << 23, 1 << 20, 200_000), (40, 10, 4)])
-def test_alignment_of_odd_texts(spark, monkeypatch, chunk, run, kept):
-    for name, value in (("CHUNK_BYTES", chunk), ("RUN_BYTES", run), ("KEPT", kept)):
+@pytest.mark.parametrize("chunk, run, joined", [(1 << 24, 1 << 20, 256), (40, 10, 1)])
+def test_alignment_of_odd_texts(spark, monkeypatch, chunk, run, joined):
+    for name, value in (("CHUNK_BYTES", chunk), ("RUN_BYTES", run), ("JOINED", joined)):
         monkeypatch.setattr(alignment, name, value)
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     got = {r[0]: tuple(r)[1:] for r in alignment.align_tokenizers(df, A, B).collect()}
@@ -269,9 +269,10 @@ def test_alignment_of_odd_texts(spark, monkeypatch, chunk, run, kept):
 
 
 def test_groups_and_links():
-    groups, links = alignment.group_tokens([1, 2, 3, 4], [2, 5, 6, 9], [10, 11, 12, 13], [3, 6, 7, 9])
-    assert groups == [([1, 2, 3], [10, 11]), ([4], [12, 13])]
-    assert links == [(1, 10), (2, 10), (2, 11), (3, 11), (4, 12), (4, 13)]
+    a_ends, b_ends = [2, 5, 6, 9], [3, 6, 7, 9]
+    assert [x.tolist() for x in alignment.group_tokens(a_ends, b_ends)] == [[3, 4], [2, 4]]
+    a, b, cuts = alignment.link_tokens(np.array(a_ends), np.array(b_ends))
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2), (3, 3)] and cuts.tolist() == [2, 3, 5, 6, 7, 9]
 
 
 def test_alignment_awkward_tables(spark):

@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -16,45 +16,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.packing import ragged
 from tidemark.llm.words import kept
 from tidemark.plans.lineage import cut
 
 #: Bytes of text whose units and pairs of ids are told apart together (a longer text is a chunk of its own),
-#: texts that are encoded at a time, units that a worker keeps from chunk to chunk and their longest length.
-CHUNK_BYTES, RUN_BYTES, KEPT, KEPT_LENGTH = 1 << 23, 1 << 20, 200_000, 48
+#: texts that are encoded at a time, and units that are encoded as one string.
+CHUNK_BYTES, RUN_BYTES, JOINED = 1 << 24, 1 << 20, 256
 
 #: Where a text may be cut into units: a blank between two characters that are not white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space of any other kind, beside which a blank may not part units.
-OTHER = re.compile(r"[^\S ]|  |\A | \Z")
+#: White space other than blanks and line ends, and pairs of those, beside which a blank may not part units.
+OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n "]
 
 #: Bits of a B id in the number of a pair of ids.
 B_BITS = 24
 
 
-def group_tokens(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of tokens between common ends, and the linked pairs of ids, one for each pair of tokens whose bytes overlap.
+def group_tokens(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups end in either list of tokens, from the cumulative byte offsets at which the tokens end.
 
-    Ends are cumulative byte offsets. Each side's dictionary leads from an end
-    to the token that ends there; sorted common keys slice both lists, and
-    links are expanded slice by slice.
+    Each side's dictionary leads from an end to the token that ends there; the
+    common keys, sorted, slice both lists.
     """
-    ends_a, ends_b = {e: i for i, e in enumerate(a_ends, 1)}, {e: i for i, e in enumerate(b_ends, 1)}
-    groups, links = [], []
-    i = j = 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        to_i, to_j = ends_a[end], ends_b[end]
-        groups.append((a[i:to_i], b[j:to_j]))
-        if to_i - i == 1 or to_j - j == 1:  # one token meets all others of its group
-            links += [(x, y) for x in a[i:to_i] for y in b[j:to_j]]
-        else:
-            p, q = i, j
-            while p < to_i:
-                links.append((a[p], b[q]))
-                step = a_ends[p] - b_ends[q]
-                p, q = p + (step <= 0), q + (step >= 0)
-        i, j = to_i, to_j
-    return groups, links
+    of_a, of_b = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    common = sorted(of_a.keys() & of_b.keys())
+    return tuple(np.fromiter(map(of.get, common), np.int64, len(common)) for of in (of_a, of_b))
+
+
+def link_tokens(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of tokens in either list, one pair for each two whose bytes overlap, and the offset at which the overlap ends.
+
+    Within every slice the ends of both sides cut the bytes in stretches, and
+    a stretch lies in one token of either side; no two stretches in the same two.
+    """
+    cuts = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    cuts = cuts[np.diff(cuts, append=-1) != 0]
+    return np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts), cuts
+
+
+class Units:
+    """Distinct units, one after another: numbers of A tokens, B tokens, groups and links of each (A: -1 where tokens don't spell the bytes), the groups as text, the pairs of ids."""
+
+    def __init__(self, sizes: np.ndarray, said: list[str], pairs: np.ndarray) -> None:
+        self.sizes, self.said, self.pairs = sizes, said, pairs
 
 
 class Pair:
@@ -71,41 +76,64 @@ class Pair:
         # a byte-level vocabulary writes printable bytes as themselves, the others as characters from U+0100 on, in order
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(c): c for c in plain} | {chr(0x100 + i): c for i, c in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.a_bytes = {i: bytes(map(byte.get, t)) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        spelled = {i: bytes(map(byte.get, t)) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self.units: dict[str, tuple] = {}
-
-    def encode(self, parts: list[str]) -> list[tuple]:
-        """For each part, with a blank before it: numbers of A tokens, B tokens, groups and links, the groups as text, the pairs of ids.
-
-        A part of which the tokens don't spell the bytes has a first number of -1.
-        """
-        out = []
-        for x, b in zip(self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1)):
-            a = x.ids
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            want = b" " + parts[len(out)].encode()
-            if b"".join(a_parts) != want or b"".join(b_parts) != want:
-                out.append((-1, 0, 0, 0, "", b""))
-                continue
-            groups, links = group_tokens(a, list(accumulate(map(len, a_parts))), b, list(accumulate(map(len, b_parts))))
-            said = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)
-            out.append((len(a), len(b), len(groups), len(links), said, np.array([(p << B_BITS) | q for p, q in links], "<i8").tobytes()))
-        return out
+        self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        self.number = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
 
-    def look_up(self, parts: list[str]) -> list[tuple]:
-        """As encode, for distinct parts; short ones are kept for later chunks."""
-        found = list(map(self.units.get, parts))
-        new = [i for i, u in enumerate(found) if u is None]
-        if len(self.units) + len(new) > KEPT:
-            self.units.clear()
-        for lo in range(0, len(new), 10_000):
-            run = new[lo : lo + 10_000]
-            for i, unit in zip(run, self.encode([parts[i] for i in run])):
-                found[i] = unit
-                if len(parts[i]) <= KEPT_LENGTH and len(self.units) < KEPT:
-                    self.units[parts[i]] = unit
-        return found
+    def _a_ids(self, parts: list[str], size: np.ndarray) -> np.ndarray:
+        """A's ids of blank + part, part by part. Parts that white space doesn't edge are encoded as one string, JOINED at a time, as A parts words there."""
+        if any(p[:1].isspace() or p[-1:].isspace() or not p for p in parts):
+            texts = [" " + p for p in parts]
+        else:
+            texts = [" " + " ".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)]
+        return np.array([i for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int64)
+
+    def encode(self, parts: list[str]) -> Units:
+        """Tokens, groups and links of parts, each with a blank before it."""
+        if not parts:
+            return Units(np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64))
+        edged = [i for i, p in enumerate(parts) if p[:1].isspace() or p[-1:].isspace() or not p]
+        if edged and len(edged) < len(parts):  # by themselves, behind the others
+            order = [i for i in range(len(parts)) if i not in set(edged)] + edged
+            plain, odd = self.encode([parts[i] for i in order[: len(parts) - len(edged)]]), self.encode([parts[i] for i in edged])
+            place = np.argsort(order)
+            links = np.concatenate([plain.sizes, odd.sizes])[:, 3]
+            pairs = np.concatenate([plain.pairs, odd.pairs])[ragged((np.cumsum(links) - links)[place], links[place])]
+            said = plain.said + odd.said
+            return Units(np.concatenate([plain.sizes, odd.sizes])[place], [said[i] for i in place.tolist()], pairs)
+        texts = [(" " + p).encode() for p in parts]
+        size = np.array([len(t) for t in texts], np.int64)
+        a = self._a_ids(parts, size)
+        b_ids = self.b.encode(parts, num_threads=1)
+        b = np.array([i for ids in b_ids for i in ids], np.int64)
+        ends = np.cumsum(size)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        sound = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(map(self.b_bytes.__getitem__, b.tolist())) == b"".join(texts)
+        reach = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends)]
+        if not sound or (a_ends[reach[0] - 1] != ends).any() or (b_ends[reach[1] - 1] != ends).any():
+            if len(parts) == 1:
+                return Units(np.array([[-1, 0, 0, 0]]), [""], np.zeros(0, np.int64))
+            half = len(parts) // 2  # the parts that don't spell their bytes are found by halving
+            one, other = self.encode(parts[:half]), self.encode(parts[half:])
+            return Units(np.concatenate([one.sizes, other.sizes]), one.said + other.said, np.concatenate([one.pairs, other.pairs]))
+        to_a, to_b = group_tokens(a_ends.tolist(), b_ends.tolist())
+        at_a, at_b, cuts = link_tokens(a_ends, b_ends)
+        pairs = (a[at_a] << B_BITS) | b[at_b]
+        last = [*reach, *(np.searchsorted(x, ends, "right") for x in (a_ends[to_a - 1], cuts))]
+        sizes = np.stack([np.diff(x, prepend=0) for x in last], 1)
+        # ids and what follows each, in the order of the text: A's of a group, a bar, B's, and the end of a group or unit
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        place_a = np.arange(len(a)) + np.repeat(to_b - n_b, n_a)
+        place_b = np.arange(len(b)) + np.repeat(to_a, n_b)
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        marks[place_a[to_a - 1]], marks[place_b[to_b - 1]] = 1, 2
+        marks[place_b[last[1] - 1]] = 3
+        pieces = [""] * (2 * len(ids))
+        pieces[::2], pieces[1::2] = map(self.number.__getitem__, ids.tolist()), map(",|;\n".__getitem__, marks.tolist())
+        return Units(sizes, "".join(pieces).split("\n")[:-1], pairs)
 
 
 def pair_of(a_path: str, b_path: str) -> Pair:
@@ -123,47 +151,49 @@ def units_of(text: str) -> list[str]:
     piece of B has a blank behind another character), so parts are encoded by
     themselves.
     """
-    return CUT.split(text) if OTHER.search(text) else text.split(" ")
+    odd = text[0] == " " or text[-1] == " " or any(x in text for x in OTHER)
+    return CUT.split(text) if odd else text.split(" ")
 
 
 class Chunk:
-    """The distinct units of a run of texts, in order of their first occurrence."""
+    """The distinct units of a run of texts."""
 
     def __init__(self, pair: Pair, number: int) -> None:
         self.pair, self.number, self.bytes = pair, number, 0
         self.place: dict[str, int] = {}
         self.sizes = np.zeros((0, 4), np.int64)
         self.said: list[str] = []
-        self.pairs: list[bytes] = []
+        self.pairs: list[np.ndarray] = [np.zeros(0, np.int64)]
         self.times = np.zeros(0, np.int64)
 
     def take(self, texts: list[str | None]) -> list[tuple]:
         """For each text: numbers of A tokens, B tokens, groups and links, the groups' digest, and its units."""
         parts = [units_of(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for own in parts for p in own if p not in self.place))
+        new = list(set(chain.from_iterable(parts)).difference(self.place))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        found = self.pair.look_up(new)
-        self.sizes = np.concatenate([self.sizes, np.array([u[:4] for u in found], np.int64).reshape(-1, 4)])
-        self.said += [u[4] for u in found]
-        self.pairs += [u[5] for u in found]
+        units = self.pair.encode(new)
+        self.sizes = np.concatenate([self.sizes, units.sizes])
+        self.said += units.said
+        self.pairs.append(units.pairs)
         self.times = np.concatenate([self.times, np.zeros(len(new), np.int64)])
-        out = []
+        out, seen = [], []
         for own, text in zip(parts, texts):
-            at = np.fromiter(map(self.place.get, own), np.int32, len(own))
+            places = list(map(self.place.__getitem__, own))
+            at = np.array(places, np.int32)
             if not len(at) or self.sizes[at, 0].min() < 0:
                 out.append((0, 0, 0, 0, "", b""))
                 continue
-            self.bytes += len(text.encode())
-            self.times += np.bincount(at, minlength=len(self.times))
-            digest = hashlib.sha256(";".join(map(self.said.__getitem__, at.tolist())).encode()).hexdigest()
+            self.bytes += len(text)
+            seen.append(at)
+            digest = hashlib.sha256(";".join(map(self.said.__getitem__, places)).encode()).hexdigest()
             out.append((*self.sizes[at].sum(0).tolist(), digest, at.tobytes()))
+        self.times += np.bincount(np.concatenate([np.zeros(0, np.int32), *seen]), minlength=len(self.times))
         return out
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of ids, how often each is linked, and, unit by unit, how many links it has and which pairs they are."""
-        which = np.frombuffer(b"".join(self.pairs), "<i8")
-        size = np.array([len(p) // 8 for p in self.pairs], np.int64)
-        pairs, at = np.unique(which, return_inverse=True)
+        size = self.sizes[:, 3]
+        pairs, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
         times = np.bincount(at, np.repeat(self.times, size), len(pairs)).astype(np.int64)
         return pairs, times, size.astype(np.int32), at.astype(np.int32)
 
@@ -191,7 +221,7 @@ def align_tokenizers(df: DataFrame, a_path: str, b_path: str, text: str = "text"
     by itself. Extra columns are ignored; an empty table gives an empty result.
 
     Texts are encoded once, by units that both vocabularies keep apart, each
-    distinct unit once a chunk of CHUNK_BYTES. What goes on is, for each text,
+    distinct unit once a chunk of CHUNK_BYTES (more or less, by characters). What goes on is, for each text,
     its units' numbers, and for each chunk its distinct pairs of ids with
     their counts. Only the latter are counted and joined, so the shuffle of
     pairs grows with the chunks' vocabularies and not with links, and a pair
