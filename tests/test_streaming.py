@@ -1,7 +1,10 @@
 import datetime as dt
+import os
+
+import pytest
 
 from tidemark.operators import pings as P
-from tidemark.streaming import live
+from tidemark.streaming import files, live
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "mmsi long, ts timestamp, lat double, lon double, sog double"
@@ -62,9 +65,76 @@ def test_duplicates_and_alerts(spark, tmp_path):
     assert len(got) == 2
 
 
-def test_vessel_state_alerts(spark, tmp_path):
-    got = run(spark, tmp_path, live.vessel_state, [[(1, 0, 54.0, 7.0, 0.1)], [(1, 10, 56.0, 7.0, 0.1)]], "s3")
-    assert sorted((r.lat, r.alert) for r in got) == [(54.0, False), (56.0, True)]
+def test_vessel_state_is_that_of_a_batch_whatever_the_files(spark, tmp_path):
+    """Pings out of order, in several files and micro-batches; the last one moves the watermark on."""
+    batches = [
+        [(1, 30, 54.0, 7.0, 0.1), (1, 0, 54.0, 7.0, 0.1), (2, 5, 54.0, 7.0, 0.1)],
+        [(1, 10, 56.0, 7.0, 0.1), (2, 5, 54.1, 7.0, 0.1), (1, 200, 54.0, 7.0, 0.1)],
+        [(1, 155, 54.2, 7.0, 0.1), (2, 300, 54.0, 7.0, 0.1)],
+        [(1, 900, 54.0, 7.0, 0.1)],
+        [(3, 901, 54.0, 7.0, 0.1)],
+    ]
+    with live.keyed_state(spark):
+        got = run(spark, tmp_path, live.vessel_state, batches, "s3")
+    before, want = {}, []
+    for m, t, lat in sorted((m, t, lat) for b in batches for m, t, lat, _, _ in b):
+        if t < 841:
+            p = before.get(m)
+            hours = (t - p[0]) / 60 if p else 0
+            knots = 60.04 * abs(lat - p[1]) / hours if p and 0 < hours <= 2 else None
+            want.append((m, t, lat, knots, bool(knots and knots > 45)))
+            before[m] = (t, lat)
+    got = sorted((r.mmsi, (r.ts - T0).total_seconds() / 60, r.lat, r.implied_knots, r.alert) for r in got)
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all((g[3] is None) == (w[3] is None) and (w[3] is None or abs(g[3] - w[3]) <= 0.002 * w[3]) for g, w in zip(got, want))
+    assert sum(g[4] for g in got) == 2  # from 54 to 56 degrees and back in 10 and 20 minutes
+
+
+def test_a_batch_that_fails_after_its_write_is_written_once(spark, tmp_path):
+    src, root, log = (str(tmp_path / d) for d in ("in", "root", "log"))
+    df = spark.range(90).selectExpr("id", "id % 3 as k")
+    df.repartition(3).write.parquet(src)
+    stream = lambda: live.new_files(spark, df.schema, src, 1)
+
+    def fail(batch):
+        if batch == 1:
+            raise RuntimeError("the power went out")
+
+    with pytest.raises(Exception, match="the power went out"):
+        files.sink_once(stream(), root, log, fail).awaitTermination()
+    assert (tmp_path / "root" / "data" / "batch_id=1").exists()
+    assert files.committed(spark, root, df.schema).count() == 30  # batch 1 lies there and isn't committed
+    files.sink_once(stream(), root, log).awaitTermination()
+    assert sorted(r.id for r in files.committed(spark, root, df.schema).collect()) == list(range(90))
+    before = sorted(p.name for p in (tmp_path / "root" / "ledger").glob("part-*"))
+    files.sink_once(stream(), root, str(tmp_path / "new")).awaitTermination()  # every batch again
+    assert sorted(p.name for p in (tmp_path / "root" / "ledger").glob("part-*")) == before
+    assert sorted(r.id for r in files.committed(spark, root, df.schema).collect()) == list(range(90))
+
+
+def test_only_stable_and_complete_files_are_consolidated(spark, tmp_path):
+    folder, root = tmp_path / "cache", str(tmp_path / "out")
+    folder.mkdir()
+
+    def put(kind, place, text="x\n1\n", age=1000):
+        f = folder / f"{kind}_{place}_2024.csv"
+        f.write_text(text)
+        os.utime(f, (1_700_000_000 - age,) * 2)
+
+    for place in "abcde":
+        put("wave", place), put("wind", place)
+    put("wave", "f"), put("wind", "g"), put("wave", "h"), put("wind", "h", age=30), put("wave", "i"), put("wind", "i", text="")
+    read = lambda s, paths: s.read.option("header", True).csv([p for own in paths.values() for p in own])
+    go = lambda now=1_700_000_000, **o: files.consolidate_folder(spark, str(folder), r"^(wave|wind)_(\w)_(\d+)\.csv$", ["kind", "place", "year"], "kind", ["wave", "wind"], root, read, 120, now, batch_size=2, **o)
+    assert go(max_batches=1) == {"eligible": 5, "already": 0, "fresh": 1, "incomplete": 3, "written": 2, "batches": 1}
+    assert go() == {"eligible": 5, "already": 2, "fresh": 1, "incomplete": 3, "written": 3, "batches": 2}
+    assert go() == {"eligible": 5, "already": 5, "fresh": 1, "incomplete": 3, "written": 0, "batches": 0}
+    assert go(1_700_000_200) == {"eligible": 6, "already": 5, "fresh": 0, "incomplete": 3, "written": 1, "batches": 1}
+    sets = files.ledger(spark, root, "place string, year string, batch_id long").collect()
+    assert sorted((r.place, r.batch_id) for r in sets) == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3), ("h", 4)]
+    assert files.committed(spark, root, "x string, batch_id int", "batch_id long").count() == 12
+    with pytest.raises(ValueError):
+        files.consolidate(None, root, [], read, 0)
 
 
 def test_hourly_means(spark, tmp_path):

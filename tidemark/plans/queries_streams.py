@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.plans import queries_events as QE
 from tidemark.plans import roles as R
 from tidemark.plans.lineage import scratch
 from tidemark.plans.register import query, rounded
+from tidemark.streaming import files as N
 from tidemark.streaming import live as L
 
 
@@ -62,39 +65,71 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {R.PINGS}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM pings), w AS (SELECT date_trunc('hour', ts) - to_hours(i::INT) AS start, sog FROM pings, (SELECT unnest(range(6)) AS i))
 SELECT start, round(max(sog) - min(sog), 6) AS spread, round(stddev_pop(sog), 6) AS std FROM w, m GROUP BY start HAVING start + INTERVAL 6 HOUR <= any_value(wm)""")
 def stream_variability(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-06."""
+    """ST-05."""
     got, _ = L.drain(L.variability(_stream(spark, _pings(spark, sf)), "sog"))
     return rounded(got, spread=6, std=6)
 
 
 @query("SELECT event_type, count(*) AS rows FROM events GROUP BY event_type")
 def stream_files(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-07: files that arrive between two runs with one checkpoint are read once each."""
-    path, base = scratch(spark), scratch(spark)
+    """ST-06: files that arrive between two runs with one checkpoint are read once each, and a micro-batch that is run again writes nothing."""
+    path, root, log = scratch(spark), scratch(spark), scratch(spark)
     e = R.table(spark, sf, "events").select("event_id", "event_type")
     middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
     for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
         e.filter(part).write.mode("append").parquet(path)
-        s = L.new_files(spark, e.schema, path)
-        run = s.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-        run.awaitTermination()
-    return spark.read.schema(e.schema).parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+        N.sink_once(L.new_files(spark, e.schema, path, 2), root, log).awaitTermination()
+    # without its checkpoint the stream starts anew, and the ledger has its batches
+    N.sink_once(L.new_files(spark, e.schema, path, 2), root, scratch(spark)).awaitTermination()
+    return N.committed(spark, root, e.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""WITH k AS (SELECT event_type, (event_id % 7)::VARCHAR AS part, count(*) AS rows, sum(value) AS total FROM events GROUP BY ALL), p AS (SELECT *, (row_number() OVER (ORDER BY event_type, part) - 1) // 10 AS b FROM k)
+SELECT event_type, part, b + 1 AS batch_id, rows, round(total, 3) AS total FROM p""")
+def stable_files(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-06, SNK-02: pairs of files of a place and part, complete and stable ones consolidated by tens; a second run finds nothing new."""
+    folder, root = scratch(spark), scratch(spark)
+    e = R.table(spark, sf, "events").withColumn("part", (F.col("event_id") % 7).cast("string"))
+    for kind, column in (("count", F.count(F.lit(1)).cast("double")), ("total", F.sum("value"))):
+        rows = e.groupBy("event_type", "part").agg(column.alias("x"))
+        rows.repartition("event_type", "part").write.partitionBy("event_type", "part").mode("overwrite").parquet(f"{folder}/{kind}")
+    files = N.listing(spark, folder, r".*\.parquet$", [])
+    at = lambda c: F.regexp_extract("path", rf"/{c}=([^/]+)/", 1)
+    files = files.select("path", "modified", "size", F.regexp_extract("path", r"/(count|total)/event_type=", 1).alias("kind"), at("event_type").alias("event_type"), at("part").alias("part"))
+
+    def read(spark: SparkSession, paths: dict[str, list[str]]) -> DataFrame:
+        x = {k: spark.read.option("basePath", f"{folder}/{k}").parquet(*p).withColumn("part", F.col("part").cast("string")) for k, p in paths.items()}
+        return x["count"].withColumnRenamed("x", "n").join(x["total"], ["event_type", "part"])
+
+    keys = ["event_type", "part"]
+    for _ in range(2):
+        sets = N.complete_sets(files, "kind", ["count", "total"], keys, time.time() + 3600, 120)
+        N.consolidate(sets, root, keys, read, 10)
+    got = N.committed(spark, root, "event_type string, part string, n double, x double, batch_id int", "batch_id long")
+    return rounded(got.select("event_type", "part", "batch_id", F.col("n").cast("long").alias("rows"), F.col("x").alias("total")), total=3)
 
 
 @query(f"""WITH {R.PINGS}, s AS (SELECT mmsi, ts + to_minutes((event_id % 40)::INT) AS sample_ts FROM pings)
 SELECT p.mmsi, count(*) AS pairs FROM pings p JOIN s ON s.mmsi = p.mmsi AND s.sample_ts BETWEEN p.ts - INTERVAL 10 MINUTE AND p.ts + INTERVAL 10 MINUTE GROUP BY p.mmsi""")
 def stream_nearby_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-08 (two streams)."""
+    """ST-07."""
     p = _pings(spark, sf)
     samples = p.select("mmsi", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 40 * 60_000_000).alias("sample_ts"))
     met = L.nearby_samples(_stream(spark, p), _stream(spark, samples), "mmsi").selectExpr("a.mmsi as mmsi", "a.ts as ts", "b.sample_ts as sample_ts")
     return L.drain(met)[0].groupBy("mmsi").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query(f"""WITH {R.PINGS}, d AS (SELECT mmsi, epoch(ts - lag(ts) OVER w) / 3600.0 AS hours, {R.HAVERSINE.format(r='3440.065::DOUBLE', a='', b='p_')} AS nm
-  FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM pings WINDOW w AS (PARTITION BY mmsi ORDER BY ts, lat, lon)) WINDOW w AS (PARTITION BY mmsi ORDER BY ts, lat, lon))
-SELECT mmsi, count(*) AS pings, count(*) FILTER (hours > 0) AS with_speed, count(*) FILTER (hours > 0 AND nm / hours > 45) AS alerts FROM d GROUP BY mmsi""")
+@query(f"""WITH {R.PINGS}, ready AS (SELECT * FROM pings WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM pings)),
+d AS (SELECT mmsi, epoch(ts - lag(ts) OVER w) / 3600.0 AS hours, {R.HAVERSINE.format(r='3440.065::DOUBLE', a='', b='p_')} AS nm
+  FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM ready WINDOW w AS (PARTITION BY mmsi ORDER BY ts, lat, lon)) WINDOW w AS (PARTITION BY mmsi ORDER BY ts, lat, lon))
+SELECT mmsi, count(*) AS pings, count(*) FILTER (hours > 0 AND hours <= 2) AS with_speed, count(*) FILTER (hours > 0 AND hours <= 2 AND nm / hours > 45) AS alerts FROM d GROUP BY mmsi""")
 def stream_vessel_state(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-08 (state by vessel)."""
-    got, _ = L.drain(L.vessel_state(_stream(spark, _pings(spark, sf).coalesce(1))))
+    """ST-08: pings in many files that come in three parts, each a run of the stream that goes on where the last one ended."""
+    p = _pings(spark, sf)
+    times = p.select(F.percentile_approx(F.unix_seconds("ts"), [1 / 3, 2 / 3]).alias("q")).first().q or [0, 0]
+    t, path, base = F.unix_seconds("ts"), scratch(spark), scratch(spark)
+    with L.keyed_state(spark):
+        for part in (t <= times[0], (t > times[0]) & (t <= times[1]), t > times[1]):
+            p.filter(part).repartition(4, "event_id").write.mode("append").parquet(path)
+            got, _ = L.drain(L.vessel_state(L.new_files(spark, p.schema, path)), base)
     return got.groupBy("mmsi").agg(F.count(F.lit(1)).alias("pings"), F.count("implied_knots").alias("with_speed"), F.count_if("alert").alias("alerts"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import pings as P
-from tidemark.plans.lineage import shared_dir
+from tidemark.plans.lineage import scratch
 
 
 def filtered(stream: DataFrame, turbines: DataFrame, box: tuple[float, float, float, float] | None = None, max_sog: float | None = 2.0) -> DataFrame:
@@ -95,44 +96,101 @@ def nearby_samples(pings: DataFrame, samples: DataFrame, key: str, tolerance: st
     return a.join(b, near)
 
 
-def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget_hours: float = 2.0) -> DataFrame:
-    """For each vessel's pings the implied speed since its last known one and an alert when it is impossible.
+class _LastPosition(StatefulProcessor):
+    """A vessel's last known position, and its pings that the watermark hasn't passed yet.
 
-    State is a vessel's last time and place and is forgotten after a silence
-    (event time). Pings older than the state are answered without changing it.
+    Pings wait until none older can come, so they are answered in order of
+    time whatever files and batches they come in. A timer wakes the vessel
+    for the next ping that waits, or when its position is to be forgotten.
+    """
+
+    def __init__(self, max_knots: float, forget_hours: float) -> None:
+        self.max_knots, self.forget = max_knots, forget_hours * 3600
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t double, lat double, lon double")
+        self.waiting = handle.getListState("waiting", "t double, lat double, lon double")
+
+    def _wake(self, at: float | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(int(at * 1000) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for f in rows for r in zip((f.ts.astype("int64") / 10 ** (9 if f.ts.dtype == "datetime64[ns]" else 6)).tolist(), f.lat.tolist(), f.lon.tolist())]
+        self.waiting.appendList(new)
+        held = list(self.handle.listTimers())
+        first = min(r[0] for r in new)
+        if not held or first * 1000 < min(held):
+            self._wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
+        before = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for t, lat, lon in ready:
+            knots = None
+            if before is not None and 0 < t - before[0] <= self.forget:
+                a = np.sin(np.radians(lat - before[1]) / 2) ** 2 + np.cos(np.radians(before[1])) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - before[2]) / 2) ** 2
+                knots = float(2 * 3440.065 * np.arcsin(min(1.0, np.sqrt(a))) / ((t - before[0]) / 3600))
+            out.append((t, lat, lon, knots))
+            before = (t, lat, lon)
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if before is not None and before[0] + self.forget >= now:
+            self.last.update(before)
+        else:
+            self.last.clear()
+            before = None
+        self._wake(later[0][0] if later else before[0] + self.forget if before is not None else None)
+        if out:
+            t, lat, lon, knots = zip(*out)
+            knots = pd.Series(knots, dtype="float64")
+            yield pd.DataFrame({"mmsi": key[0], "ts": pd.to_datetime(pd.Series(t), unit="s"), "lat": lat, "lon": lon, "implied_knots": knots.astype(object).where(knots.notna(), None), "alert": knots > self.max_knots})
+
+    def close(self) -> None:
+        pass
+
+
+def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget_hours: float = 2.0, delay: str = "1 hour") -> DataFrame:
+    """For each vessel's pings the implied speed since the one before and an alert when it is impossible.
+
+    The same rows as a batch in order of time, for pings that the watermark
+    has passed; speed is null without a ping in the forget_hours before, and
+    without time between. State, with `keyed_state`, is a vessel's last position,
+    forgotten by a timer (event time), and the pings that still wait.
     """
     out = "mmsi long, ts timestamp, lat double, lon double, implied_knots double, alert boolean"
+    return stream.withWatermark("ts", delay).select("mmsi", "ts", "lat", "lon").groupBy("mmsi").transformWithStateInPandas(_LastPosition(max_knots, forget_hours), out, "Append", "EventTime")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        f = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "lat", "lon"], ignore_index=True)
-        t = f.ts.astype("int64") / 10 ** (9 if f.ts.dtype == "datetime64[ns]" else 6)
-        before = state.get if state.exists else (float("nan"),) * 3
-        new = ~(t < before[0])  # older pings than the state have no place before them
-        own = pd.DataFrame({"t": t, "lat": f.lat, "lon": f.lon})[new]
-        last = own.shift()
-        if len(own):
-            last.iloc[0] = before
-        a = np.sin(np.radians(own.lat - last.lat) / 2) ** 2 + np.cos(np.radians(last.lat)) * np.cos(np.radians(own.lat)) * np.sin(np.radians(own.lon - last.lon) / 2) ** 2
-        hours = (own.t - last.t) / 3600
-        knots = (2 * 3440.065 * np.arcsin(np.minimum(1.0, np.sqrt(a))) / hours.where(hours > 0)).reindex(f.index)
-        if len(own):
-            state.update(tuple(float(x) for x in own.iloc[-1]))
-        if state.exists:
-            state.setTimeoutTimestamp(int(max(state.get[0] * 1000 + forget_hours * 3.6e6, state.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame({"mmsi": key[0], "ts": f.ts, "lat": f.lat, "lon": f.lon, "implied_knots": knots.astype(object).where(knots.notna(), None), "alert": knots > max_knots})
-
-    return stream.withWatermark("ts", "1 hour").groupBy("mmsi").applyInPandasWithState(step, out, "t double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def drain(stream: DataFrame) -> tuple[DataFrame, int]:
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors with states of their own and timers need, for streams that start in the block."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, base: str | None = None) -> tuple[DataFrame, int]:
     """What a stream gives for all that is available now, as a table, and the late rows that its watermarks dropped.
 
-    Results and checkpoints are files in the folder that all executors share.
+    Results and checkpoints are files in the folder that all executors share;
+    with the base of an earlier call the stream goes on where that one ended,
+    and the table holds the results of both.
     """
-    base = f"{shared_dir(stream.sparkSession)}/tidemark-stream-{uuid.uuid4().hex}"
+    base = base or scratch(stream.sparkSession)
     run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     late = sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
