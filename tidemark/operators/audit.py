@@ -118,12 +118,88 @@ def data_index(farms: DataFrame, months: DataFrame, inventories: dict[str, DataF
     return out
 
 
-def anomalies(index: DataFrame, rules: list[tuple[str, str, Column, Column, str]]) -> DataFrame:
+def anomalies(index: DataFrame, rules: list[tuple[str | Column, str, Column, Column, str]]) -> DataFrame:
     """A row for each rule (severity, type, test, evidence, action) that a row of the index breaks."""
-    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("type"), ev.cast("string").alias("evidence"), F.lit(a).alias("action"))) for s, t, test, ev, a in rules)))
+    found = F.array_compact(F.array(*(F.when(test, F.struct((F.lit(s) if isinstance(s, str) else s).alias("severity"), F.lit(t).alias("type"), ev.cast("string").alias("evidence"), F.lit(a).alias("action"))) for s, t, test, ev, a in rules)))
     return index.withColumn("x", F.explode(found)).select(*index.columns, "x.*")
 
 
+#: Limits of the rules on an index of farms and months.
+LIMITS = {"duplicate_share": 0.3, "tier_d_share": 0.4, "dwells_per_visit": 2.0, "weather_missing": 0.25, "weather_to_year": 2024, "raw_mb": 0.1}
+#: Statuses of partitions that are empty by design, and severities, worst first.
+EMPTY_BY_DESIGN = ("success_no_ais_in_bbox", "skipped_missing_source")
+SEVERITIES = ("Critical", "Warning", "Info")
+
+
+def observatory(index: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """What ten rules find wrong with an index of farms and months: wind_farm, year, month, severity, type, evidence, action, worst first.
+
+    The index has wind_farm, year, month, target and operational (booleans),
+    manifest_status, raw_status and raw_mb, filtered_status and filtered_rows,
+    visits_status and visits, dwells_status, dwells, tier_d and duplicates,
+    weather_status, weather_rows and weather_missing. Severity follows what
+    the manifest claims (a success without output is critical), whether the
+    farm is a target and whether the month was in operation. limits override
+    LIMITS.
+    """
+    t = LIMITS | (limits or {})
+    c = {n: F.col(n) for n in index.columns}
+    is_ = lambda n, *v: F.coalesce(F.lower(n).isin(*v), F.lit(False))
+    yes = lambda n: F.coalesce(c[n], F.lit(False))
+    more = lambda n, x: F.coalesce(c[n] > x, F.lit(False))
+    claimed, by_design = is_("manifest_status", "success"), is_("manifest_status", *EMPTY_BY_DESIGN)
+    scope = F.when(yes("target"), "Warning").otherwise("Info")
+    failed = F.when(claimed, "Critical").when(yes("target") & yes("operational"), "Warning").otherwise("Info")
+    expected = F.when(c["year"] <= t["weather_to_year"], "Warning").otherwise("Info")
+    raw, visits, dwells = is_("raw_status", "exists"), is_("visits_status", "exists"), is_("dwells_status", "exists")
+    share = lambda a, b: F.try_divide(c[a].cast("double"), c[b].cast("double"))
+    above = lambda a, b, x: F.coalesce(share(a, b) > x, F.lit(False))
+    percent = lambda x: F.format_string("%.1f%%", x * 100)
+    empty = (is_("filtered_status", "exists") & (c["filtered_rows"] == 0)) | (visits & (c["visits"] == 0)) | (dwells & (c["dwells"] == 0))
+    rules = [
+        (scope, "missing_raw_source", is_("raw_status", "missing") & yes("operational"), c["raw_status"], "check the source or whether the month is planned"),
+        (failed, "interrupted_filtering", raw & more("raw_mb", 0) & is_("filtered_status", "interrupted", "empty"), c["filtered_status"], "run the filter again"),
+        (F.when(claimed, "Critical").otherwise(scope), "missing_visits", raw & more("raw_mb", t["raw_mb"]) & is_("visits_status", "missing") & ~by_design & (claimed | yes("operational")), F.coalesce("manifest_status", F.lit("not run")), "run the visits"),
+        (failed, "missing_dwells", visits & more("visits", 0) & is_("dwells_status", "missing"), c["visits"], "run the dwells"),
+        (expected, "missing_weather", dwells & more("dwells", 0) & is_("weather_status", "missing"), c["dwells"], "join the weather"),
+        ("Warning", "many_duplicates", dwells & above("duplicates", "dwells", t["duplicate_share"]), percent(share("duplicates", "dwells")), "check places that overlap"),
+        ("Info", "many_tier_d", dwells & above("tier_d", "dwells", t["tier_d_share"]), percent(share("tier_d", "dwells")), "check whether vessels pass by"),
+        ("Warning", "many_dwells_a_visit", visits & dwells & above("dwells", "visits", t["dwells_per_visit"]), F.format_string("%.1f", share("dwells", "visits")), "check the sampling"),
+        (scope, "empty_output", raw & more("raw_mb", t["raw_mb"]) & yes("operational") & empty & ~by_design, F.concat_ws("/", "filtered_rows", "visits", "dwells"), "check bounds and vessels"),
+        (expected, "weather_gaps", is_("weather_status", "joined") & more("weather_rows", 0) & more("weather_missing", t["weather_missing"]), percent(c["weather_missing"]), "check the grid's coverage"),
+    ]
+    out = anomalies(index, rules).select("wind_farm", "year", "month", "severity", "type", "evidence", "action")
+    return out.orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), "wind_farm", "year", "month", "type")
+
+
+#: What a variable's values must be (least, whether it may be that, most, whether it may be that), by canonical name.
+RANGES = {"hs": (0.0, True, None, True), "tp": (0.0, False, None, True), "wave_direction": (0.0, True, 360.0, False)}
+
+
+def export_profile(df: DataFrame, mapping: dict[str, str], keys: list[str] = (), ranges: dict = RANGES) -> DataFrame:
+    """For each mapped column of an export (text or numbers, a decimal comma too): rows that have a number, null_count and null_rate, min, max, mean, and out_of_range values with a warning.
+
+    mapping: column to canonical name; ranges are by canonical name. One pass
+    with partial sums; keys group.
+    """
+    from tidemark.functions.values import number
+
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for col, name in mapping.items():
+        v = number(F.col(col))
+        low, low_too, high, high_too = ranges.get(name, (None, True, None, True))
+        bad = F.lit(False)
+        if low is not None:
+            bad = bad | (v < low if low_too else v <= low)
+        if high is not None:
+            bad = bad | (v > high if high_too else v >= high)
+        aggs.append(F.struct(F.lit(col).alias("column"), F.lit(name).alias("name"), F.count(v).alias("values"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.count_if(bad).alias("out_of_range")).alias(f"__{col}"))
+    out = df.groupBy(*keys).agg(*aggs).select(*keys, "__rows", F.explode(F.array(*(F.col(f"__{c}") for c in mapping))).alias("x")).select(*keys, "__rows", "x.*")
+    nulls = F.col("__rows") - F.col("values")
+    warning = F.when(F.col("out_of_range") > 0, F.concat_ws(" ", F.col("name"), F.lit("out of range")))
+    return out.select(*keys, "column", "name", "values", nulls.alias("null_count"), F.coalesce(F.try_divide(nulls, "__rows"), F.lit(0.0)).alias("null_rate"), "min", "max", "mean", "out_of_range", warning.alias("warning"))
+
+
 def spot_checks(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """k evenly spaced rows in an order, the first and the last among them.
 

@@ -14,6 +14,36 @@ def usable_features(columns: list[str]) -> list[str]:
     return [c for c in columns if not any(f in c.lower() for f in FORBIDDEN)]
 
 
+#: Columns that task A leaves out, and name parts of which the boundary tasks' features have one.
+METADATA = ("event_id", "asset_id", "event_label_care", "event_label_model", "event_start", "event_end")
+METOCEAN = ("hs_", "tp_", "wind_speed_", "wind_direction_", "wave_direction_", "current_speed_", "current_direction_")
+#: What each task learns: a condition on the aggregates of an event.
+TARGETS = {"A": "event_label_care = 'anomaly'", "B": "event_label_model = 'maintenance_success'", "B_alt": "share_label_maintenance_success > 0"}
+
+
+def task_columns(columns: list[str], task: str) -> list[str]:
+    """Feature columns of a task: all but metadata and targets (A), or metocean ones that aren't null shares (B, B_alt)."""
+    if task not in TARGETS:
+        raise ValueError(f"unknown task: {task}")
+    if task == "A":
+        return [c for c in columns if c not in METADATA]
+    return [c for c in columns if any(k in c for k in METOCEAN) and not c.endswith("_null_share")]
+
+
+def task_features(df: DataFrame, task: str, keys: list[str]) -> DataFrame:
+    """keys, the task's features with nulls filled by the column's median over all rows, and target (0 or 1); a column of nulls stays null."""
+    from functools import reduce
+
+    from tidemark.operators.stats import quantiles
+
+    features = task_columns([c for c in df.columns if c not in keys], task)
+    medians = [quantiles(df, [], c, {f"__{c}": 0.5}) for c in features]
+    one = df.sparkSession.range(1).drop("id")
+    filled = reduce(lambda a, m: a.join(F.broadcast(m), how="left"), medians, one) if medians else one  # one row
+    target = F.coalesce(F.expr(TARGETS[task]).cast("int"), F.lit(0)).alias("target")
+    return df.join(F.broadcast(filled), how="left").select(*keys, *(F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")).alias(c) for c in features), target)
+
+
 def assign_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """df with fold: groups dealt in order of size (then id) back and forth, so no group is in two folds.
 

@@ -277,16 +277,28 @@ def type_alias(kind: Column, aliases: dict[str, list[str]]) -> Column:
     return out.otherwise("other")
 
 
+def top_vessels(events: DataFrame, top: int = 10) -> DataFrame:
+    """The vessels with most minutes of dwell: mmsi, minutes, events, name and ship_type (the smallest that isn't empty), length; ties to the smaller mmsi."""
+    said = lambda c: F.min(F.when(F.trim(c) != "", F.col(c))).alias(c)
+    of = events.groupBy("mmsi").agg(F.sum("duration_min").alias("minutes"), F.count(F.lit(1)).alias("events"), said("name"), said("ship_type"), F.max("length").alias("length"))
+    return of.orderBy(F.desc_nulls_last("minutes"), "mmsi").limit(top)
+
+
+def disagreement_examples(confidence: DataFrame, key: str, k: int = 25) -> DataFrame:
+    """The k events whose sources differ most in wave height, then in period, nulls last; ties to the smaller key."""
+    return confidence.orderBy(F.desc_nulls_last("hs_range"), F.desc_nulls_last("tp_range"), key).limit(k)
+
+
 def event_bundle(events: DataFrame, registry: DataFrame, suspects: Callable[[DataFrame], DataFrame], jumps: DataFrame, top: int = 10) -> DataFrame:
     """An event audit as (section, item, value) rows.
 
     Sections: counts, classes, farms (events each), top_vessels (the `top`
-    vessels by events), duration quantiles, suspects and jumps by reason.
+    vessels by minutes of dwell), duration quantiles, suspects and jumps by reason.
     """
     row = lambda section, item, value: [F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value")]
     counts = audit.metrics_long(events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("mmsi").alias("vessels"), F.sum("duration_min").alias("minutes")))
     spread = audit.distribution(events, ["duration_min"]).select(F.expr("stack(5, 'min', min, 'p25', p25, 'median', median, 'p75', p75, 'max', max) as (item, value)"))
-    vessels = events.groupBy("mmsi").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mmsi").limit(top)
+    vessels = events.groupBy("mmsi").agg(F.sum("duration_min").alias("n")).orderBy(F.desc("n"), "mmsi").limit(top)
     of = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
     parts = [
         counts.select(*row("counts", F.col("metric"), F.col("value"))), of(events, "event_class").select(*row("classes", F.col("event_class"), F.col("n"))), of(events, "wind_farm").select(*row("farms", F.col("wind_farm"), F.col("n"))),

@@ -65,11 +65,11 @@ def reject_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH_PINGS}, box AS (
   SELECT wind_farm, min(latitude) - 2 / 60.0::DOUBLE AS a, max(latitude) + 2 / 60.0::DOUBLE AS b,
          min(longitude) - 2 / (60.0::DOUBLE * greatest(cos(radians((min(latitude) + max(latitude)) / 2)), 0.01)) AS c, max(longitude) + 2 / (60.0::DOUBLE * greatest(cos(radians((min(latitude) + max(latitude)) / 2)), 0.01)) AS d
-  FROM turbines WHERE found_id <= 20 GROUP BY wind_farm)
+  FROM turbines GROUP BY wind_farm)
 SELECT mmsi, count(*) AS pings FROM pings p WHERE EXISTS (SELECT 1 FROM box WHERE lat BETWEEN a AND b AND lon BETWEEN c AND d) GROUP BY mmsi""")
-def farm_candidate_pings(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def farm_candidate_pings(spark: SparkSession, sf: str) -> DataFrame:
     """AG-01, FLT-03."""
-    boxes = P.farm_boxes(R.part(R.turbines(spark, sf), "found_id <= 20", whole), 2.0)
+    boxes = P.farm_boxes(R.turbines(spark, sf), 2.0)
     return P.in_any_box(R.pings(spark, sf), boxes).groupBy("mmsi").agg(F.count(F.lit(1)).alias("pings"))
 
 
@@ -119,36 +119,36 @@ def islands(spark: SparkSession, sf: str) -> DataFrame:
     return J.islands(R.pings(spark, sf), ["mmsi"], "ts", 1200)
 
 
-_INTERVALS = """iv AS (SELECT user_id AS mmsi, event_id, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS "start", to_timestamp(floor(epoch(ts)) + event_id % 7 * 1800)::TIMESTAMP AS "end" FROM events WHERE event_id % 20 = 0)"""
+_INTERVALS = """iv AS (SELECT user_id AS mmsi, event_id, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS "start", to_timestamp(floor(epoch(ts)) + event_id % 7 * 1800)::TIMESTAMP AS "end" FROM events)"""
 
 
-def _intervals(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    e = R.part(R.table(spark, sf, "events"), "event_id % 20 = 0", whole)
+def _intervals(spark: SparkSession, sf: str) -> DataFrame:
+    e = R.table(spark, sf, "events")
     s = F.unix_seconds("ts")
     return e.select(F.col("user_id").alias("mmsi"), "event_id", F.timestamp_seconds(s).alias("start"), F.timestamp_seconds(s + F.pmod("event_id", F.lit(7)) * 1800).alias("end"))
 
 
-def _samples(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return R.part(R.table(spark, sf, "events"), "event_id % 20 != 0", whole).select(F.col("user_id").alias("mmsi"), F.timestamp_seconds(F.unix_seconds("ts")).alias("ts"), "value", F.col("event_id").alias("sample"))
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    return R.table(spark, sf, "events").select(F.col("user_id").alias("mmsi"), F.timestamp_seconds(F.unix_seconds("ts")).alias("ts"), "value", F.col("event_id").alias("sample"))
 
 
-_SAMPLES = "sm AS (SELECT user_id AS mmsi, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS ts, value, event_id AS sample FROM events WHERE event_id % 20 <> 0)"
+_SAMPLES = "sm AS (SELECT user_id AS mmsi, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS ts, value, event_id AS sample FROM events)"
 
 
 @query(f'WITH {_INTERVALS}, {_SAMPLES} SELECT event_id, sample, round(value, 4) AS value FROM sm JOIN iv ON sm.mmsi = iv.mmsi AND ts BETWEEN "start" AND "end"')
-def interval_join(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def interval_join(spark: SparkSession, sf: str) -> DataFrame:
     """JN-05."""
-    return rounded(J.interval_join(_samples(spark, sf, whole), _intervals(spark, sf, whole), ["mmsi"]).select("event_id", "sample", "value"), value=4)
+    return rounded(J.interval_join(_samples(spark, sf), _intervals(spark, sf), ["mmsi"]).select("event_id", "sample", "value"), value=4)
 
 
 @query(f"""WITH {_INTERVALS}, {_SAMPLES}, near AS (
   SELECT iv.event_id, sm.value, sm.sample, abs(epoch(sm.ts) - epoch(iv."start")) AS gap FROM iv JOIN sm ON sm.mmsi = iv.mmsi AND abs(epoch(sm.ts) - epoch(iv."start")) <= 14400
-  QUALIFY row_number() OVER (PARTITION BY iv.event_id ORDER BY abs(epoch(sm.ts) - epoch(iv."start")), sm.ts) = 1)
+  QUALIFY row_number() OVER (PARTITION BY iv.event_id ORDER BY abs(epoch(sm.ts) - epoch(iv."start")), sm.ts, '{{"sample":' || sm.sample || '}}') = 1)
 SELECT iv.event_id, near.sample, near.gap AS gap_s FROM iv LEFT JOIN near USING (event_id)""")
-def asof_nearest(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """JN-07."""
-    left = _intervals(spark, sf, whole).select("mmsi", "event_id", F.col("start").alias("ts"))
-    return J.asof_nearest(left, _samples(spark, sf, whole), ["mmsi"], ["sample"], 14400).select("event_id", "sample", "gap_s")
+    left = _intervals(spark, sf).select("mmsi", "event_id", F.col("start").alias("ts"))
+    return J.asof_nearest(left, _samples(spark, sf), ["mmsi"], ["sample"], 14400).select("event_id", "sample", "gap_s")
 
 
 @query(f"""WITH {_INTERVALS}, {_SAMPLES},
@@ -159,9 +159,9 @@ near AS (
 SELECT event_id, round(coalesce(v, value), 4) AS value, coalesce(n, CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END) AS n_samples, CASE WHEN n > 0 THEN 'window' WHEN value IS NOT NULL THEN 'nearest' END AS method,
        CASE WHEN v IS NULL AND value IS NULL THEN 'no_samples_in_tolerance' END AS missing_reason
 FROM iv LEFT JOIN w USING (event_id) LEFT JOIN near USING (event_id)""")
-def window_or_nearest(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def window_or_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """JN-06."""
-    return rounded(J.window_or_nearest(_intervals(spark, sf, whole), _samples(spark, sf, whole), ["mmsi"], "value", 10800), value=4)
+    return rounded(J.window_or_nearest(_intervals(spark, sf), _samples(spark, sf), ["mmsi"], "value", 10800), value=4)
 
 
 @query(f"""WITH {_INTERVALS}, {_SAMPLES}, one AS (SELECT mmsi, ts, avg(value) AS v, sum(value) AS s, count(value) AS full_, count(*) AS n FROM sm GROUP BY mmsi, ts),
@@ -172,25 +172,25 @@ SELECT event_id, round(CASE WHEN n > 0 THEN s / full_ WHEN pair THEN (b + a) / 2
        CASE WHEN n > 0 THEN 'window' WHEN pair THEN 'bracket' ELSE 'not_assigned' END AS method, CASE WHEN n > 0 OR pair THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS missing_fraction,
        CASE WHEN NOT coalesce(n > 0 OR pair, false) THEN 'no_assignable_samples' END AS missing_reason
 FROM iv LEFT JOIN g USING (event_id)""")
-def bracketed(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def bracketed(spark: SparkSession, sf: str) -> DataFrame:
     """JN-08."""
-    return rounded(J.bracketed(_intervals(spark, sf, whole), _samples(spark, sf, whole), ["mmsi"], "value"), value=4, gap_min=4)
+    return rounded(J.bracketed(_intervals(spark, sf), _samples(spark, sf), ["mmsi"], "value"), value=4, gap_min=4)
 
 
 @query(f"""WITH {_INTERVALS}, b AS (SELECT mmsi, event_id AS b_id, "start" + INTERVAL 1 HOUR AS b_start, "end" + INTERVAL 90 MINUTE AS b_end FROM iv)
 SELECT event_id, b_id, round(epoch(least("end", b_end) - greatest("start", b_start)) / 60, 4) AS overlap_min, round(epoch(least("end", b_end) - greatest("start", b_start)) / nullif(epoch("end" - "start"), 0), 6) AS overlap_fraction
 FROM iv JOIN b USING (mmsi) WHERE greatest("start", b_start) < least("end", b_end)""")
-def overlap_join(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     """JN-23."""
-    a = _intervals(spark, sf, whole)
+    a = _intervals(spark, sf)
     b = a.select("mmsi", F.col("event_id").alias("b_id"), (F.col("start") + F.expr("interval 1 hour")).alias("b_start"), (F.col("end") + F.expr("interval 90 minutes")).alias("b_end"))
     return rounded(J.overlap_join(a, b, ["mmsi"]).select("event_id", "b_id", "overlap_min", "overlap_fraction"), overlap_min=4, overlap_fraction=6)
 
 
 @query(f"""WITH {_INTERVALS} SELECT event_id, unnest(generate_series(to_timestamp(floor(epoch("start") / 600) * 600)::TIMESTAMP, to_timestamp(ceil(epoch("end") / 600) * 600)::TIMESTAMP, INTERVAL 10 MINUTE)) AS ts FROM iv""")
-def ten_minute_grid(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def ten_minute_grid(spark: SparkSession, sf: str) -> DataFrame:
     """TG-01."""
-    return J.grid(_intervals(spark, sf, whole)).select("event_id", "ts")
+    return J.grid(_intervals(spark, sf)).select("event_id", "ts")
 
 
 @query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(v) AS value FROM (SELECT event_type, ts, avg(value) AS v FROM events GROUP BY ALL) GROUP BY ALL)
@@ -225,10 +225,10 @@ def full_time_join(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(J.full_time_join(a, b, ["user_id", "ts"]), x=4, y=4)
 
 
-@query("""SELECT o_orderkey, unnest(generate_series(date_trunc('month', o_orderdate)::DATE, date_trunc('month', o_orderdate + INTERVAL 70 DAY)::DATE, INTERVAL 1 MONTH))::DATE::VARCHAR AS month FROM orders WHERE o_orderkey % 10 = 0""")
-def months_touched(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("""SELECT o_orderkey, unnest(generate_series(date_trunc('month', o_orderdate)::DATE, date_trunc('month', o_orderdate + INTERVAL 70 DAY)::DATE, INTERVAL 1 MONTH))::DATE::VARCHAR AS month FROM orders""")
+def months_touched(spark: SparkSession, sf: str) -> DataFrame:
     """TG-06."""
-    o = R.part(R.table(spark, sf, "orders"), "o_orderkey % 10 = 0", whole).select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.to_date(F.col("o_orderdate") + F.expr("interval 70 days")).alias("b"))
+    o = R.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.to_date(F.col("o_orderdate") + F.expr("interval 70 days")).alias("b"))
     return J.months(o, "a", "b").select("o_orderkey", F.col("month").cast("string").alias("month"))
 
 

@@ -27,17 +27,17 @@ _PAIRS = f"""pairs AS (
 
 
 @query(f"WITH {R.CANDIDATES}, {_PAIRS} SELECT dwell_id, source_a, source_b, round(hs_diff, 5) + 0.0 AS hs_diff, round(tp_diff, 5) + 0.0 AS tp_diff, round(direction_diff, 5) AS direction_diff, agreement FROM pairs")
-def source_pairs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def source_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """JN-15, SC-03."""
-    out = rounded(E.pairwise(R.candidates(spark, sf, whole)), hs_diff=5, tp_diff=5, direction_diff=5)
+    out = rounded(E.pairwise(R.candidates(spark, sf)), hs_diff=5, tp_diff=5, direction_diff=5)
     return out.withColumns({c: F.col(c) + 0.0 for c in ("hs_diff", "tp_diff")})
 
 
 @query(f"""WITH {R.CANDIDATES}, {_PAIRS} SELECT source_a, source_b, count(*) AS n, round(corr(ha, hb) ** 2, 5) AS r2, round(sqrt(avg(hs_diff ** 2)), 6) AS rmse, round(avg(abs(hs_diff)), 6) AS mae, round(avg(hs_diff), 6) AS bias,
 round(quantile_cont(abs(hs_diff), 0.5), 6) AS median_abs, round(quantile_cont(abs(hs_diff), 0.95), 6) AS p95_abs FROM pairs GROUP BY ALL""")
-def pairwise_metrics(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def pairwise_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """AG-11, AG-13."""
-    c = R.candidates(spark, sf, whole).withColumn("rank", E.source_rank(F.col("source")))
+    c = R.candidates(spark, sf).withColumn("rank", E.source_rank(F.col("source")))
     p = c.alias("a").join(c.alias("b"), (F.col("a.dwell_id") == F.col("b.dwell_id")) & (F.col("a.rank") < F.col("b.rank")))
     out = p.groupBy(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b")).agg(*E.metric_summary(F.col("a.hs"), F.col("b.hs")))
     return rounded(out, r2=5, rmse=6, mae=6, bias=6, median_abs=6, p95_abs=6)
@@ -52,9 +52,9 @@ k AS (SELECT *, {_AGREE.format(h='hs_range', t='tp_range')} AS agree FROM g),
 c AS (SELECT *, CASE WHEN n_sources >= 2 AND agree = 'strong' AND NOT sh THEN 'A' WHEN n_sources >= 2 AND agree IN ('strong', 'moderate') THEN 'B' ELSE 'C' END AS confidence FROM k)
 SELECT dwell_id, n_sources, round(hs, 5) AS hs, round(tp, 5) AS tp, round(hs_range, 5) AS hs_range, round(tp_range, 5) AS tp_range, confidence,
        CASE WHEN confidence = 'A' THEN 'sources_agree' WHEN confidence = 'B' THEN 'sources_nearly_agree' WHEN n_sources = 1 THEN 'single_source' ELSE 'sources_disagree' END AS confidence_reason FROM c""")
-def event_confidence(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def event_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """SC-05, SC-06."""
-    out = E.event_confidence(R.candidates(spark, sf, whole)).select("dwell_id", "n_sources", "hs", "tp", "hs_range", "tp_range", "confidence", "confidence_reason")
+    out = E.event_confidence(R.candidates(spark, sf)).select("dwell_id", "n_sources", "hs", "tp", "hs_range", "tp_range", "confidence", "confidence_reason")
     return rounded(out, hs=5, tp=5, hs_range=5, tp_range=5)
 
 
@@ -202,12 +202,12 @@ def farm_intensity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {R.DWELLS}, {R.MANIFEST}, {_META}, {_STATE}, {_NUM}, j AS (SELECT wind_farm, coalesce(tier_a, 0) AS tier_a FROM den FULL JOIN num USING (wind_farm))
-(SELECT 'top' AS side, wind_farm, tier_a FROM j ORDER BY tier_a DESC NULLS LAST, wind_farm LIMIT 5) UNION ALL (SELECT 'bottom', wind_farm, tier_a FROM j ORDER BY tier_a ASC NULLS LAST, wind_farm LIMIT 5)""")
+(SELECT 'top' AS side, wind_farm, tier_a FROM j ORDER BY tier_a DESC NULLS LAST, wind_farm LIMIT 20) UNION ALL (SELECT 'bottom', wind_farm, tier_a FROM j ORDER BY tier_a ASC NULLS LAST, wind_farm LIMIT 20)""")
 def top_and_bottom_farms(spark: SparkSession, sf: str) -> DataFrame:
-    """TK-01, TK-02, TK-03, AG-31 (top and bottom)."""
+    """TK-02, AG-31 (top and bottom)."""
     f = I.farm_intensity(R.manifest(spark, sf), R.dwells(spark, sf), R.turbines(spark, sf)).select("wind_farm", "tier_a")
-    top = f.orderBy(F.desc_nulls_last("tier_a"), "wind_farm").limit(5).select(F.lit("top").alias("side"), "*")
-    return top.unionByName(f.orderBy(F.asc_nulls_last("tier_a"), "wind_farm").limit(5).select(F.lit("bottom").alias("side"), "*"))
+    top = f.orderBy(F.desc_nulls_last("tier_a"), "wind_farm").limit(20).select(F.lit("top").alias("side"), "*")
+    return top.unionByName(f.orderBy(F.asc_nulls_last("tier_a"), "wind_farm").limit(20).select(F.lit("bottom").alias("side"), "*"))
 
 
 @query(f"""WITH {R.DWELLS}, {R.MANIFEST}, {_STATE}, d AS (SELECT t.wind_farm, found_id, count(*) AS months, count(*) FILTER (state = 'observed') AS observed_months, count(*) FILTER (state = 'missing') AS missing_months, count(*) FILTER (state = 'other') AS other_months

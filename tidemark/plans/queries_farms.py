@@ -106,16 +106,16 @@ def status_profile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.status_profile(s).drop("down_share"), service_share=6)
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 97 AS found_id, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS s, to_timestamp(floor(epoch(ts)) + 3600)::TIMESTAMP AS t FROM events WHERE event_id % 50 = 0),
+@query("""WITH e AS (SELECT event_id, user_id % 97 AS found_id, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS s, to_timestamp(floor(epoch(ts)) + 3600)::TIMESTAMP AS t FROM events),
 g AS (SELECT event_id, found_id, unnest(generate_series(to_timestamp(floor(epoch(s) / 600) * 600)::TIMESTAMP, to_timestamp(ceil(epoch(t) / 600) * 600)::TIMESTAMP, INTERVAL 10 MINUTE)) AS ts FROM e),
 st AS (SELECT user_id % 97 AS found_id, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS ts, event_id % 6 AS status, event_id FROM events),
 near AS (SELECT g.event_id, g.ts, st.status FROM g JOIN st ON st.found_id = g.found_id AND abs(epoch(st.ts) - epoch(g.ts)) <= 600 QUALIFY row_number() OVER (PARTITION BY g.event_id, g.ts ORDER BY abs(epoch(st.ts) - epoch(g.ts)), st.ts, '{"status":' || st.status) = 1)
 SELECT g.event_id, g.ts, status, CASE WHEN status IS NULL THEN 'unknown' WHEN status IN (3, 4) THEN 'service' WHEN status IN (1, 2, 5) THEN 'downtime_visit' ELSE 'inspection' END AS label FROM g LEFT JOIN near ON g.event_id = near.event_id AND g.ts = near.ts""")
-def feature_matrix(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """TG-05, SC-15."""
     e = R.table(spark, sf, "events")
     s = F.unix_seconds("ts")
-    ev = R.part(e, "event_id % 50 = 0", whole).select("event_id", (F.col("user_id") % 97).alias("found_id"), F.timestamp_seconds(s).alias("start"), F.timestamp_seconds(s + 3600).alias("end"), F.lit(60.0).alias("duration_min"), F.lit(50.0).alias("min_dist"))
+    ev = e.select("event_id", (F.col("user_id") % 97).alias("found_id"), F.timestamp_seconds(s).alias("start"), F.timestamp_seconds(s + 3600).alias("end"), F.lit(60.0).alias("duration_min"), F.lit(50.0).alias("min_dist"))
     st = e.select((F.col("user_id") % 97).alias("found_id"), F.timestamp_seconds(s).alias("ts"), (F.col("event_id") % 6).alias("status"))
     met = e.select((F.col("user_id") % 97).alias("found_id"), F.timestamp_seconds(s).alias("ts"), "value")
     return X.feature_matrix(ev, st, met, ["value"]).select("event_id", "ts", "status", "label")
@@ -167,10 +167,10 @@ def suspect_vessels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, sha256(o_orderkey || '|' || o_orderstatus) AS key, (o_orderkey % 20000 // 8760) || 'y ' || (o_orderkey % 20000 % 8760 // 24) || 'd ' || (o_orderkey % 20000 % 24) || 'h' AS lag,
-round(round_even(o_totalprice / 250, 0) * 250, 8) AS snapped, round((epoch(o_orderdate) + 1800) * 1.0, 1) AS mid, floor((o_orderkey % 360 + 180) / 6)::INT + 1 AS zone FROM orders WHERE o_orderkey % 3 = 0""")
-def scalar_functions(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+round(round_even(o_totalprice / 250, 0) * 250, 8) AS snapped, round((epoch(o_orderdate) + 1800) * 1.0, 1) AS mid, floor((o_orderkey % 360 + 180) / 6)::INT + 1 AS zone FROM orders""")
+def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     """FX-02 (zone), FX-09, FX-11, FX-16, FX-17."""
-    o = R.part(R.table(spark, sf, "orders"), "o_orderkey % 3 = 0", whole)
+    o = R.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     mid = F.unix_seconds(values.midpoint(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 1 hour"))).cast("double")
     return o.select("o_orderkey", values.cache_key(k.cast("string"), F.col("o_orderstatus")).alias("key"), values.lag_text(k % 20000).alias("lag"), geo.snap(F.col("o_totalprice"), 250.0).alias("snapped"), mid.alias("mid"), geo.utm_zone(k % 360).alias("zone"))

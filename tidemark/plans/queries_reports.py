@@ -190,8 +190,8 @@ def hourly_change(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(Q.hourly_change(h, ["event_type"], "speed", "deg"), speed_p50=5, speed_p95=5, turn_p50=4, turn_p95=4)
 
 
-_IV = QE._INTERVALS.replace(" WHERE event_id % 20 = 0", "").replace('AS "start"', '+ INTERVAL 37 MINUTE AS "start"').replace('AS "end"', '+ INTERVAL 37 MINUTE AS "end"')
-_SM = QE._SAMPLES.replace(" WHERE event_id % 20 <> 0", "")
+_IV = QE._INTERVALS.replace('AS "start"', '+ INTERVAL 37 MINUTE AS "start"').replace('AS "end"', '+ INTERVAL 37 MINUTE AS "end"')
+_SM = QE._SAMPLES
 
 
 @query(f"""WITH {_IV}, {_SM}, m AS (SELECT iv.event_id, "start", "end", sm.ts FROM iv JOIN sm ON sm.mmsi = iv.mmsi),
@@ -202,7 +202,7 @@ CASE WHEN avg((win OR tight)::INT) >= 0.8 THEN 'suitable' WHEN avg((win OR tight
 def suitability(spark: SparkSession, sf: str) -> DataFrame:
     """AG-61: intervals begin 37 minutes after their event, so that they don't hold its own sample by definition."""
     later = {c: F.col(c) + F.expr("interval 37 minutes") for c in ("start", "end")}
-    b = J.bracketed(QE._intervals(spark, sf, True).withColumns(later), QE._samples(spark, sf, True), ["mmsi"], "value")
+    b = J.bracketed(QE._intervals(spark, sf).withColumns(later), QE._samples(spark, sf), ["mmsi"], "value")
     return rounded(Q.suitability(b, 60.0), in_window=6, bracketed=6, tight=6, usable=6)
 
 
@@ -280,7 +280,7 @@ def event_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{QE.WITH_DWELL}, k AS (SELECT *, CASE WHEN duration_min < 720 THEN 'Transfer' WHEN duration_min <= 1440 THEN 'Extended' ELSE 'Stationary/Construction' END AS event_class FROM dwell),
-reg AS (SELECT mmsi, max(length) AS length, mode(ship_type) AS t FROM pings GROUP BY mmsi), vessels AS (SELECT mmsi, count(*) AS n FROM k GROUP BY mmsi ORDER BY n DESC, mmsi LIMIT 10),
+reg AS (SELECT mmsi, max(length) AS length, mode(ship_type) AS t FROM pings GROUP BY mmsi), vessels AS (SELECT mmsi, sum(duration_min) AS n FROM k GROUP BY mmsi ORDER BY n DESC, mmsi LIMIT 10),
 place AS (SELECT d.*, t.latitude AS lat, t.longitude AS lon FROM dwell d JOIN turbines t USING (found_id)),
 prev AS (SELECT *, lag("end") OVER w AS p_end, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM place WINDOW w AS (PARTITION BY mmsi ORDER BY "start", "end")),
 j AS (SELECT epoch("start" - p_end) / 3600.0 AS hours, {R.HAVERSINE.format(r='3440.065::DOUBLE', a='', b='p_')} AS nm FROM prev),

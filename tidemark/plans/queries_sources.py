@@ -361,7 +361,7 @@ def ten_minute_upscale(spark: SparkSession, sf: str) -> DataFrame:
     """TG-02: hourly values by spline, directions along the shorter arc, clipped to each event; a test has the plain version."""
     e = R.table(spark, sf, "events")
     hourly = e.groupBy(F.col("event_type").alias("site"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("value") / 100).alias("hs"), (F.avg((F.col("event_id") % 50).cast("double")) * 7.2).alias("direction"))
-    events = QE._intervals(spark, sf, True).join(e.select("event_id", F.col("event_type").alias("site")), "event_id").select("event_id", "site", "start", "end")
+    events = QE._intervals(spark, sf).join(e.select("event_id", F.col("event_type").alias("site")), "event_id").select("event_id", "site", "start", "end")
     return rounded(X.upscale(cut(hourly), events, "site", ["hs"], ["direction"]).select("event_id", "ts", "hs", "direction"), hs=5, direction=3)
 
 

@@ -19,11 +19,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
-def part(df: DataFrame, rows: str, whole: bool) -> DataFrame:
-    """The given rows, or all of them."""
-    return df if whole else df.filter(rows)
-
-
 def turbine_lat(k: Column) -> Column:
     return 54.0 + F.pmod(k * 37, F.lit(97)) * 0.01
 
@@ -121,12 +116,10 @@ MANIFEST = """manifest AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def candidates(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Competing sources of one event: the first three lines of an order; whole: all lines, each three in a row an event."""
-    line = part(table(spark, sf, "lineitem"), "l_linenumber <= 3", whole)
-    if whole:
-        before = F.col("l_linenumber") - 1
-        line = line.withColumns({"l_orderkey": F.col("l_orderkey") * 3 + F.floor(before / 3), "l_linenumber": before % 3 + 1})
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Competing sources of one event: lines of an order, each three in a row an event."""
+    before = F.col("l_linenumber") - 1
+    line = table(spark, sf, "lineitem").withColumns({"l_orderkey": F.col("l_orderkey") * 3 + F.floor(before / 3), "l_linenumber": before % 3 + 1})
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
     return line.groupBy(k.alias("dwell_id"), i.alias("i")).agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t")).select(
         "dwell_id", F.element_at(F.array(F.lit("nora3"), F.lit("nws"), F.lit("baltic")), F.col("i").cast("int")).alias("source"),
@@ -138,4 +131,4 @@ def candidates(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
 CANDIDATES = """candidates AS (
   SELECT l_orderkey AS dwell_id, ['nora3', 'nws', 'baltic'][l_linenumber] AS source, l_linenumber AS rank, (l_orderkey % 20) / 10.0::DOUBLE + max(l_discount) AS hs,
          4.0::DOUBLE + l_orderkey % 5 + max(l_tax) * 8 AS tp, (max(l_quantity) * 7.2::DOUBLE) % 360 AS direction, 0.5::DOUBLE + max(l_discount) AS quality, l_orderkey % 9 = 0 AS shallow
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber)"""
+  FROM (SELECT l_orderkey * 3 + (l_linenumber - 1) // 3 AS l_orderkey, (l_linenumber - 1) % 3 + 1 AS l_linenumber, l_discount, l_tax, l_quantity FROM lineitem) GROUP BY l_orderkey, l_linenumber)"""
