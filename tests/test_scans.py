@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import lags, scan, stats, timejoin
+from tidemark.operators import lags, matrix, scan, stats, timejoin
 
 T0 = dt.datetime(2024, 1, 1)
 HOUR = dt.timedelta(hours=1)
@@ -175,3 +175,47 @@ def test_rank_statistics_with_ties(spark):
     assert abs(r.u_p - math.erfc((len(a) * len(b) / 2 - u - 0.5) / sd / math.sqrt(2)) / 2) < 1e-9
     assert abs(r.ks_p - 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))) < 1e-9
     assert r.selective and got["same"].u_p is None and not got["same"].selective and "one" not in got
+
+
+# ---- upscale
+
+
+def test_a_year_of_ten_minute_knots(spark):
+    """Against one system over the whole year, solved by numpy's dense solver in overlapping windows far from its edges."""
+    n = 366 * 144
+    t = np.arange(n) * 600.0
+    y = np.sin(t / 40_000) + 0.3 * np.sin(t / 2_500)
+    knots = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=float(s)), float(v)) for s, v in zip(t, y)], "k string, ts timestamp, v double")
+    got = {r.ts: r.v for r in matrix.spline(knots, "k", "v", 5).collect()}
+    assert len(got) == 2 * n - 1
+    for lo in (0, 144 * 30, 144 * 182, n - 400):  # the start, a month's edge, the middle, the end
+        x, v = t[lo : lo + 400] / 600, y[lo : lo + 400]
+        h, a = np.diff(x), np.zeros((400, 400))
+        i = np.arange(1, 399)
+        a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+        a[0, :3], a[-1, -3:] = [h[1], -(h[0] + h[1]), h[0]], [h[-1], -(h[-2] + h[-1]), h[-2]]
+        m = np.linalg.solve(a, np.concatenate([[0.0], 6 * np.diff(np.diff(v) / h), [0.0]]))
+        mid = (v[:-1] + v[1:]) / 2 - (m[:-1] + m[1:]) / 16
+        own = range(0 if lo == 0 else 60, 399 if lo + 400 == n else 340)
+        assert max(abs(got[T0 + dt.timedelta(seconds=600 * (lo + j) + 300)] - mid[j]) for j in own) < 1e-9
+
+
+@pytest.mark.parametrize("n", [4, 5, 6])
+def test_short_splines_are_cubics_where_they_can_be(spark, n):
+    rows = [("a", T0 + h * HOUR, float(h**3 - 2 * h)) for h in range(n)]
+    got = matrix.spline(spark.createDataFrame(rows, "k string, ts timestamp, v double"), "k", "v").collect()
+    for r in got:
+        h = (r.ts - T0) / HOUR
+        assert abs(r.v - (h**3 - 2 * h)) < 1e-9
+
+
+def test_upscale_fills_metadata(spark):
+    rows = [("a", T0 + h * HOUR, float(h), g) for h, g in ((0, None), (1, "x"), (2, None), (3, None), (4, "y"), (5, None))]
+    events = [(1, "a", T0 + HOUR / 2, T0 + 2 * HOUR), (2, "a", T0 + 4 * HOUR, T0 + 5 * HOUR), (3, "b", T0, T0)]
+    hourly = spark.createDataFrame(rows, "site string, ts timestamp, hs double, grid string")
+    got = matrix.upscale(hourly, spark.createDataFrame(events, "event_id long, site string, start timestamp, end timestamp"), "site", ["hs"], [], ["grid"]).collect()
+    for r in got:
+        h = (r.ts - T0) / HOUR
+        want = (None, None) if r.event_id == 3 else (h, "x" if h < 4 else "y")
+        assert (r.hs is None) == (want[0] is None) and (r.hs is None or abs(r.hs - h) < 1e-9) and r.grid == want[1]
+    assert len(got) == 10 + 7 + 1

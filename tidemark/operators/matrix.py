@@ -47,8 +47,9 @@ def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block
     A block of a key (a month of hourly knots) is one pandas group with a day
     of knots beyond either edge, so no group grows with the length of the
     series; what a knot does to a place fades to a quarter with each knot
-    between, so a day of hourly knots leaves nothing of the edge. Three knots
-    give their parabola, two a line, one its value.
+    between, so a day of hourly knots leaves nothing of the edge. The
+    equations have three bands and are solved in time linear in the knots.
+    Three knots give their parabola, two a line, one its value.
     """
     import pandas as pd
 
@@ -58,6 +59,27 @@ def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block
     spread = knots.filter(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.unix_seconds("ts").alias("t"), F.col(value).cast("double").alias("v"), F.explode(edges).alias("b")).withColumn("b0", F.unix_seconds("b"))
     spread = spread.withColumn("b1", F.unix_seconds(F.add_months("b", 1).cast("timestamp") if block == "month" else F.col("b") + F.expr(f"interval 1 {block}"))).drop("b")
 
+    def curvatures(h, d):
+        """Second derivatives at all knots, from steps and slopes: one equation at each inner knot, and third derivatives that go on over the second and the last but one knot, so the first and last unknowns are put into their neighbours' equations and what is left has three bands."""
+        import numpy as np
+
+        n = len(h) + 1
+        low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
+        mid[0], high[0] = mid[0] + h[0] * (h[0] + h[1]) / h[1], high[0] - h[0] ** 2 / h[1]
+        mid[-1], low[-1] = mid[-1] + h[-1] * (h[-2] + h[-1]) / h[-2], low[-1] - h[-1] ** 2 / h[-2]
+        low, mid, high, right = low.tolist(), mid.tolist(), high.tolist(), right.tolist()
+        for i in range(1, n - 2):
+            f = low[i] / mid[i - 1]
+            mid[i] -= f * high[i - 1]
+            right[i] -= f * right[i - 1]
+        m = [0.0] * n
+        m[n - 2] = right[-1] / mid[-1]
+        for i in range(n - 4, -1, -1):
+            m[i + 1] = (right[i] - high[i] * m[i + 2]) / mid[i]
+        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+        m[-1] = ((h[-2] + h[-1]) * m[-2] - h[-1] * m[-3]) / h[-2]
+        return np.array(m)
+
     def solve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
@@ -70,14 +92,7 @@ def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block
         if n < 3:
             return pd.DataFrame({"k": group[0], "t": at.astype(np.int64), "v": np.interp(at, x, y)})
         h, d = np.diff(x), np.diff(y) / np.diff(x)
-        if n == 3:
-            m = np.full(3, 2 * (d[1] - d[0]) / (h[0] + h[1]))
-        else:  # second derivatives: one equation at each inner knot, and third derivatives that go on over the second and last but one
-            a, i = np.zeros((n, n)), np.arange(1, n - 1)
-            a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-            a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-            a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-            m = np.linalg.solve(a, np.concatenate([[0.0], 6 * np.diff(d), [0.0]]))
+        m = np.full(3, 2 * (d[1] - d[0]) / (h[0] + h[1])) if n == 3 else curvatures(h, d)
         j = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
         a, b = x[j + 1] - at, at - x[j]
         v = (m[j] * a**3 + m[j + 1] * b**3) / (6 * h[j]) + (y[j] / h[j] - m[j] * h[j] / 6) * a + (y[j + 1] / h[j] - m[j + 1] * h[j] / 6) * b
@@ -87,13 +102,14 @@ def spline(knots: DataFrame, key: str, value: str, step_minutes: int = 10, block
     return out.select(F.col("k").alias(key), F.timestamp_seconds("t").alias("ts"), F.col("v").alias(value))
 
 
-def upscale(hourly: DataFrame, events: DataFrame, key: str, scalars: list[str], directions: list[str] = ()) -> DataFrame:
+def upscale(hourly: DataFrame, events: DataFrame, key: str, scalars: list[str], directions: list[str] = (), metadata: list[str] = ()) -> DataFrame:
     """Every event's ten-minute rows (event_id, key, ts) with hourly series between their knots.
 
     Scalars follow a spline, directions the line between the components of
-    the knots around. Both are computed over the whole series and only then
-    clipped to the events, so a knot within an hour on either side is there
-    wherever the series has one; beyond its ends values are null.
+    the knots around, metadata columns are filled forward and then backward
+    over the whole series. All are computed before they are clipped to the
+    events, so a knot within an hour on either side is there wherever the
+    series has one; beyond its ends scalars and directions are null.
     """
     from tidemark.operators.timejoin import interpolate
 
@@ -101,12 +117,11 @@ def upscale(hourly: DataFrame, events: DataFrame, key: str, scalars: list[str],
     out = rows
     for c in scalars:
         out = out.join(spline(hourly.select(key, "ts", c), key, c), [key, "ts"], "left")
-    if directions:
-        parts = hourly.select(key, "ts", *(x.alias(f"__{c}_{n}") for c in directions for n, x in zip("sk", angles.components(F.col(c)))))
-        parts = parts.filter(" and ".join(f"__{c}_s is not null" for c in directions))
-        met = interpolate(rows.select(key, "ts"), parts, [key], [f"__{c}_{n}" for c in directions for n in "sk"])
+    if directions or metadata:
+        parts = hourly.select(key, "ts", *metadata, *(x.alias(f"__{c}_{n}") for c in directions for n, x in zip("sk", angles.components(F.col(c)))))
+        met = interpolate(rows.select(key, "ts"), parts, [key], [f"__{c}_{n}" for c in directions for n in "sk"], metadata)
         turned = {c: angles.speed_direction(F.col(f"__{c}_s"), F.col(f"__{c}_k"))[1] for c in directions}
-        out = out.join(met.select(key, "ts", *(v.alias(c) for c, v in turned.items())), [key, "ts"], "left")
+        out = out.join(met.select(key, "ts", *(v.alias(c) for c, v in turned.items()), *metadata), [key, "ts"], "left")
     return out
 
 

@@ -358,11 +358,11 @@ def slice_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ten_minute_upscale(spark: SparkSession, sf: str) -> DataFrame:
-    """TG-02: hourly values by spline, directions along the shorter arc, clipped to each event; a test has the plain version."""
+    """TG-02: hourly values by spline, directions along the shorter arc, metadata filled, clipped to each event; a test has the plain version."""
     e = R.table(spark, sf, "events")
-    hourly = e.groupBy(F.col("event_type").alias("site"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("value") / 100).alias("hs"), (F.avg((F.col("event_id") % 50).cast("double")) * 7.2).alias("direction"))
+    hourly = e.groupBy(F.col("event_type").alias("site"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("value") / 100).alias("hs"), (F.avg((F.col("event_id") % 50).cast("double")) * 7.2).alias("direction"), F.when(F.hour(F.date_trunc("hour", "ts")) % 6 == 0, F.first("event_type")).alias("grid"))
     events = QE._intervals(spark, sf).join(e.select("event_id", F.col("event_type").alias("site")), "event_id").select("event_id", "site", "start", "end")
-    return rounded(X.upscale(cut(hourly), events, "site", ["hs"], ["direction"]).select("event_id", "ts", "hs", "direction"), hs=5, direction=3)
+    return rounded(X.upscale(cut(hourly), events, "site", ["hs"], ["direction"], ["grid"]).select("event_id", "ts", "hs", "direction", "grid"), hs=5, direction=3)
 
 
 @query("SELECT string_agg(c, ',' ORDER BY c) AS features, (SELECT count(*) FROM lineitem) AS rows FROM (SELECT unnest(['hs', 'tp', 'wind_speed']) AS c)")
