@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import tables as T
 from tidemark.operators import audit as A
+from tidemark.operators import evidence as E
 from tidemark.operators import models as U
 from tidemark.operators import reports as Q
+from tidemark.operators import sketches as K
 from tidemark.plans import roles as R
-from tidemark.plans.queries_evidence import event_confidence
+from tidemark.plans.lineage import cut, scratch
+from tidemark.plans.queries_evidence import _PAIRS, event_confidence
 from tidemark.plans.queries_events import WITH_DWELL, _dwell
 from tidemark.plans.register import ORACLE, query, rounded
+from tidemark.sources import files
 
 _INDEX = """com AS (SELECT wind_farm, min(commissioning) AS since FROM turbines GROUP BY wind_farm),
 ms AS (SELECT wind_farm, month, max(status) AS manifest_status FROM manifest GROUP BY ALL),
@@ -89,6 +94,51 @@ def task_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(U.task_features(d, "B", ["event_id"]), hs_mean=5, tp_mean=5, wind_speed_max=5)
 
 
+@query("""WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, any_value(n) AS n, round(min(value), 6) AS p0, round(max(value), 6) AS p100, true AS p50_holds, true AS p95_holds FROM v GROUP BY event_type""")
+def merged_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-09, AG-14: sketches by type and day, kept as a table and merged by type; whether the ranks of their quantiles, counted exactly, are within three times the stated error."""
+    e = R.table(spark, sf, "events")
+    table = cut(K.sketches(e, ["event_type"], "value", {"day": F.to_date("ts")}))
+    got = K.sketch_quantiles(K.merged(table, ["event_type"]), {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).drop("sketch")
+    near = 3 * K.rank_error(400)
+    # a quantile's rank lies between the shares of smaller and of not larger values
+    met = e.select("event_type", "value").join(F.broadcast(got.select("event_type", "p50", "p95")), "event_type").groupBy("event_type").agg(
+        *(F.avg(t.cast("int")).alias(f"{p}_{n}") for p in ("p50", "p95") for n, t in (("below", F.col("value") < F.col(p)), ("upto", F.col("value") <= F.col(p)))))
+    holds = lambda p, q: ((F.col(f"{p}_below") <= q + near) & (F.col(f"{p}_upto") >= q - near)).alias(f"{p}_holds")
+    return rounded(got.join(met, "event_type").select("event_type", "n", "p0", "p100", holds("p50", 0.5), holds("p95", 0.95)), p0=6, p100=6)
+
+
+@query(f"WITH {R.CANDIDATES}, {_PAIRS} SELECT dwell_id, source_a, source_b, round(hs_diff, 5) + 0.0 AS hs_diff, round(tp_diff, 5) + 0.0 AS tp_diff, round(direction_diff, 5) AS direction_diff FROM pairs")
+def source_pairs_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """UD-03, SC-03: the pairs of sources by a table function, called from SQL on a temporary view."""
+    T.register_tables(spark)
+    c = R.candidates(spark, sf)
+    c.withColumn("rank", E.source_rank(F.col("source"))).createOrReplaceTempView("tidemark_candidates")
+    got = spark.sql("SELECT * FROM source_pairs(TABLE(SELECT dwell_id, source, rank, hs, tp, direction FROM tidemark_candidates) PARTITION BY dwell_id)")
+    out = rounded(got, hs_diff=5, tp_diff=5, direction_diff=5)
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("hs_diff", "tp_diff")})
+
+
+@query(f"WITH {R.DWELLS} SELECT dwell_tier AS lane, floor(hs / 0.5) * 0.5 AS hs_bin, floor(tp / 1.0) * 1.0 AS tp_bin, count(*) AS n FROM dwells WHERE hs IS NOT NULL AND tp IS NOT NULL GROUP BY ALL")
+def occupied_bins_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """UD-01: the occupied bins of a lane by a table function with widths, called from SQL."""
+    T.register_tables(spark)
+    R.dwells(spark, sf).select(F.col("dwell_tier").alias("lane"), "hs", "tp").createOrReplaceTempView("tidemark_lanes")
+    # lanes are few: a lane's rows are dealt by period first, and its bins in the parts don't overlap
+    return spark.sql("SELECT lane, hs_bin, tp_bin, sum(n) AS n FROM occupied_bins(TABLE(SELECT lane, hs, tp, floor(tp) AS part FROM tidemark_lanes) PARTITION BY (lane, part), hs_width => 0.5D, tp_width => 1.0D) GROUP BY lane, hs_bin, tp_bin")
+
+
+@query("""SELECT event_type, month(ts)::INT AS month, count(*) AS rows, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day, count(CASE WHEN event_id % 5 <> 0 THEN value END) AS hs_values, 0::BIGINT AS tp_values FROM events GROUP BY ALL""")
+def index_from_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """SC-23, SRC-10: the partitions of an archive from the footers of its files."""
+    root = scratch(spark)
+    e = R.table(spark, sf, "events").select("event_type", F.month("ts").alias("month"), F.to_date("ts").alias("day"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("hs"))
+    e.repartition("event_type", "month").write.partitionBy("event_type", "month").parquet(root)
+    got = files.archive_index(spark, root, ["event_type", "month"], ["day"], ["hs", "tp"])
+    return got.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
 _EXAMPLES = ORACLE[event_confidence.__name__]
 _CUT = "SELECT dwell_id, n_sources, hs_range, tp_range, confidence FROM ({}) ORDER BY hs_range DESC NULLS LAST, tp_range DESC NULLS LAST, dwell_id LIMIT 25"
 query(_CUT.format(_EXAMPLES))(disagreement_examples)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.lineage import cut
+
 #: The columns of headerless ping files, in order, and what other files call the ones we use.
 LEGACY_COLUMNS = [
     "Timestamp", "Type of mobile", "MMSI", "Latitude", "Longitude", "Navigational status", "ROT", "SOG", "COG", "Heading", "IMO",
@@ -126,8 +128,42 @@ def views(spark: SparkSession) -> list[str]:
 
 
 def read_archive(spark: SparkSession, root: str, wanted: DataFrame, keys: tuple[str, ...] = ("wind_farm", "year")) -> DataFrame:
-    """Rows of a partitioned archive for the wanted keys; Spark prunes partitions by them at run time."""
-    return spark.read.parquet(root).join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    """Rows of a partitioned archive for the wanted keys; folders of others aren't opened.
+
+    Spark prunes folders at run time by the values of each key on the other side,
+    if it broadcasts that side and takes it for selective: the keys are
+    written, so that their size is known, and read behind a comparison, which
+    holds for every key. Keys too many for a broadcast are joined unpruned.
+    """
+    keep = cut(wanted.select(*keys).distinct()).filter(F.hash(*keys) >= F.lit(-(1 << 31)))
+    return spark.read.parquet(root).join(keep, list(keys), "left_semi")
+
+
+def archive_index(spark: SparkSession, root: str, keys: list[str], ranges: list[str] = (), columns: list[str] = ()) -> DataFrame:
+    """An archive's partitions by their keys (folders): rows, first_ and last_ of ranges (dates or numbers), and how many values columns have.
+
+    All of it stands in the footers of Parquet files, which tasks read
+    instead of rows; so the index costs no scan. Columns that the schema lacks
+    have no values. The result is written, as the settings that let counts
+    down to the footers hold here only.
+    """
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return cut(index_plan(spark.read.parquet(root), keys, ranges, columns))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def index_plan(archive: DataFrame, keys: list[str], ranges: list[str] = (), columns: list[str] = ()) -> DataFrame:
+    """The aggregation of archive_index, on any table."""
+    known = [c for c in columns if c in archive.columns]
+    aggs = [F.count(F.lit(1)).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in ranges for n, f in (("first", F.min), ("last", F.max))), *(F.count(c).alias(f"{c}_values") for c in known)]
+    out = archive.groupBy(*keys).agg(*aggs)
+    return out.select(*out.columns, *(F.lit(0).cast("long").alias(f"{c}_values") for c in columns if c not in known))
 
 
 def write_archive(df: DataFrame, root: str, existing: DataFrame | None = None, keys: tuple[str, ...] = ("wind_farm", "year")) -> None:
