@@ -59,7 +59,7 @@ def pairwise(candidates: DataFrame, key: str = "dwell_id") -> DataFrame:
 
 
 def metric_summary(a: Column, b: Column) -> list[Column]:
-    """Aggregates over pairs of values: count, r2 (null if constant), rmse, mae, bias and quantiles of the absolute difference."""
+    """Aggregates over pairs of values: count, r2 (null if constant), rmse, mae and bias of the difference."""
     both = a.isNotNull() & b.isNotNull()
     d = F.when(both, a - b)
     return [
@@ -68,11 +68,17 @@ def metric_summary(a: Column, b: Column) -> list[Column]:
         F.sqrt(F.avg(d * d)).alias("rmse"),
         F.avg(F.abs(d)).alias("mae"),
         F.avg(d).alias("bias"),
-        F.percentile(F.abs(d), 0.5).alias("median_abs"),
-        F.percentile(F.abs(d), 0.95).alias("p95_abs"),
     ]
 
 
+def pair_metrics(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """metric_summary of the columns a and b for each key, with median_abs and p95_abs, exact quantiles of the absolute difference."""
+    from tidemark.operators.stats import with_quantiles
+
+    out = pairs.groupBy(*keys).agg(*metric_summary(F.col(a), F.col(b)))
+    return with_quantiles(out, pairs.withColumn("__d", F.abs(F.col(a) - F.col(b))), keys, {"__d": {"median_abs": 0.5, "p95_abs": 0.95}})
+
+
 def completeness(*columns: Column) -> Column:
     return sum((c.isNotNull().cast("int") for c in columns), F.lit(0)) / len(columns)
 

@@ -132,9 +132,11 @@ def top_recommended(farm_years: DataFrame, n: int | None) -> DataFrame:
 
 
 def interaction_cases(df: DataFrame, pairs: list[tuple[str, str]], q: float = 0.9) -> DataFrame:
-    """For pairs of columns, rows where both are at or above their own quantile; one scalar aggregate gives all limits."""
+    """For pairs of columns, rows where both are at or above their own quantile."""
+    from tidemark.operators.stats import with_quantiles
+
     names = list(dict.fromkeys(c for p in pairs for c in p))
-    limits = df.agg(*(F.percentile(c, q).alias(f"__{c}") for c in names))
+    limits = with_quantiles(df.sparkSession.range(1).drop("id"), df, [], {c: {f"__{c}": q} for c in names})
     one = df.crossJoin(F.broadcast(limits)).agg(*(F.count_if((F.col(a) >= F.col(f"__{a}")) & (F.col(b) >= F.col(f"__{b}"))).alias(f"{a}+{b}") for a, b in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(f"{a}+{b}").alias("case"), F.col(f"{a}+{b}").alias("rows")) for a, b in pairs))).alias("x")).select("x.*")
 

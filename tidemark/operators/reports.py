@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import share
 from tidemark.operators import audit, intensity
+from tidemark.operators.stats import quantiles, with_quantiles
+from tidemark.plans.lineage import cut
 
 #: Metres by which a boundary's p95 must move to be material, and reach of station roles in km.
 MATERIAL_M = 0.1
@@ -17,8 +19,8 @@ ROLES = [(5, "on_site"), (25, "near"), (75, "regional"), (150, "background")]
 
 def source_quality(candidates: DataFrame, source: str = "source", columns: tuple[str, ...] = ("km", "gap_min", "samples")) -> DataFrame:
     """For each source: candidates, p50 and p95 of distance, gap and samples, and how many are unbracketed or shallow."""
-    q = [F.percentile(c, p).alias(f"{c}_p{round(p * 100)}") for c in columns for p in (0.5, 0.95)]
-    return candidates.groupBy(source).agg(F.count(F.lit(1)).alias("n"), *q, F.count_if(~F.col("bracketed")).alias("unbracketed"), F.count_if("shallow").alias("shallow"))
+    out = candidates.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("bracketed")).alias("unbracketed"), F.count_if("shallow").alias("shallow"))
+    return with_quantiles(out, candidates, [source], {c: {f"{c}_p50": 0.5, f"{c}_p95": 0.95} for c in columns})
 
 
 def threshold_counts(df: DataFrame, value: str, thresholds: list[float], subsets: dict[str, Column]) -> DataFrame:
@@ -51,8 +53,8 @@ def ramp_up_sensitivity(manifest: DataFrame, events: DataFrame, turbines: DataFr
 
 
 def outliers(df: DataFrame, value: str, q: float = 0.9) -> DataFrame:
-    """Rows whose value is above the table's own quantile, which one scalar aggregate gives."""
-    limit = df.agg(F.percentile(value, q).alias("limit"))
+    """Rows whose value is above the table's own quantile."""
+    limit = quantiles(df, [], value, {"limit": q})
     return df.crossJoin(F.broadcast(limit)).filter(F.col(value) > F.col("limit"))
 
 
@@ -122,8 +124,8 @@ def atlas(events: DataFrame, tiers: list[str]) -> DataFrame:
 
 def comparator_delta(events: DataFrame, comparator: DataFrame, key: str, value: str) -> DataFrame:
     """For each key the median of events less that of a comparator table."""
-    a, b = (t.groupBy(key).agg(F.percentile(value, 0.5).alias(n)) for t, n in ((events, "median"), (comparator, "comparator")))
-    return a.join(b, key, "left").withColumn("delta", F.col("median") - F.col("comparator"))
+    every = events.select(key).distinct()
+    return with_quantiles(with_quantiles(every, events, [key], {value: {"median": 0.5}}), comparator, [key], {value: {"comparator": 0.5}}).withColumn("delta", F.col("median") - F.col("comparator"))
 
 
 def monthly_ranks(pairs: DataFrame, least: int = 24) -> DataFrame:
@@ -165,7 +167,7 @@ def viability(audit_rows: DataFrame, least_events: int = 5, least_positive: int
     top three events, the share of positives among known rows, and the share
     of unknown rows.
     """
-    ranked = audit_rows.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("positive")))).filter("__r <= 3").agg(F.sum("positive").alias("top3"))  # top three of one row for each event
+    ranked = audit_rows.orderBy(F.desc_nulls_last("positive")).limit(3).agg(F.sum("positive").alias("top3"))
     one = audit_rows.agg(F.count_if(F.col("positive") > 0).alias("events"), F.sum("positive").alias("p"), F.sum("negative").alias("n"), F.sum("unknown").alias("u")).crossJoin(ranked)
     p, n, u = F.col("p"), F.col("n"), F.col("u")
     gates = [
@@ -183,7 +185,8 @@ def hourly_change(series: DataFrame, keys: list[str], speed: str, direction: str
     w = Window.partitionBy(*keys).orderBy("hour")
     next_ = F.unix_seconds("hour") - F.unix_seconds(F.lag("hour").over(w)) == 3600
     d = series.withColumns({"ds": F.when(next_, F.abs(F.col(speed) - F.lag(speed).over(w))), "dd": F.when(next_, difference(F.col(direction), F.lag(direction).over(w)))})
-    out = d.groupBy(*keys).agg(F.count("ds").alias("steps"), *(F.percentile(c, q).alias(f"{n}_p{round(q * 100)}") for c, n in (("ds", "speed"), ("dd", "turn")) for q in (0.5, 0.95)))
+    d = cut(d.select(*keys, "ds", "dd"))
+    out = with_quantiles(d.groupBy(*keys).agg(F.count("ds").alias("steps")), d, keys, {c: {f"{n}_p50": 0.5, f"{n}_p95": 0.95} for c, n in (("ds", "speed"), ("dd", "turn"))})
     return out.withColumn("variable", F.coalesce((F.col("speed_p95") > most_speed) | (F.col("turn_p95") > most_turn), F.lit(False)))
 
 
@@ -230,7 +233,8 @@ def layer_validation(base: DataFrame, layer: DataFrame, key: str, cls: str, gap:
     keys = base.select(key).distinct().join(n, key, "full")
     lost = keys.agg(F.count_if(F.col("__n").isNull()).alias("lost_keys"), F.count_if(F.col("__n") > 1).alias("repeated_keys"))
     rows = base.agg(F.count(F.lit(1)).alias("base_rows"))
-    one = layer.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(cls) == c).alias(f"class_{c}") for c in "ABCD"), *(F.percentile(c, q).alias(f"{c}_p{round(q * 100)}") for c in (gap, km) for q in (0.5, 0.95)))
+    one = layer.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(cls) == c).alias(f"class_{c}") for c in "ABCD"))
+    one = with_quantiles(one, layer, [], {c: {f"{c}_p50": 0.5, f"{c}_p95": 0.95} for c in (gap, km)})
     return audit.metrics_long(one.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(lost)))
 
 

@@ -71,15 +71,15 @@ def previous(df: DataFrame, keys: list[str], order: str, columns: list[str]) ->
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact quantiles of a value for each key, a column for each name in qs, linear between the two ranks around.
+    """Exact quantiles of a value for each key (a null key is one, too), a column for each name in qs, linear between the two ranks around.
 
     Values are counted, and ranks found from running counts by range
     partitions; no task holds the values of a whole group.
     """
-    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    run = running_counts(n, keys, "v", ["n"])
-    total = n.groupBy(*keys).agg(F.sum("n").alias("__all"))
-    met = run.join(total, keys) if keys else run.crossJoin(F.broadcast(total))
+    own = F.struct(*keys).alias("__k") if keys else F.lit(0).alias("__k")
+    n = df.filter(F.col(value).isNotNull()).groupBy(own, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = running_counts(n, ["__k"], "v", ["n"])
+    met = run.join(n.groupBy("__k").agg(F.sum("n").alias("__all")), "__k")
     holds = lambda rank: (F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)
     aggs, out = [], []
     for name, q in qs.items():
@@ -87,7 +87,18 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float])
         aggs += [F.max(F.when(holds(F.floor(at)), F.col("v"))).alias(f"{name}|a"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias(f"{name}|b")]
         part = q * (F.col("__all") - 1) - F.floor(q * (F.col("__all") - 1))
         out.append((F.col(f"{name}|a") + part * (F.col(f"{name}|b") - F.col(f"{name}|a"))).alias(name))
-    return met.groupBy(*keys, "__all").agg(*aggs).select(*keys, *out)
+    return met.groupBy("__k", "__all").agg(*aggs).select(*(F.col(f"__k.{k}").alias(k) for k in keys), *out)
+
+
+def with_quantiles(out: DataFrame, df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """out, a row for each key (or one), with quantiles of df's values: wanted is, for each value, the names and shares. Null keys meet null keys."""
+    for value, qs in wanted.items():
+        q = quantiles(df, keys, value, qs)
+        if keys:
+            out = out.withColumn("__k", F.struct(*keys)).join(q.select(F.struct(*keys).alias("__k"), *qs), "__k", "left").drop("__k")
+        else:
+            out = out.join(F.broadcast(q), how="left")  # one row
+    return out
 
 
 def kolmogorov_tail(x: Column) -> Column:

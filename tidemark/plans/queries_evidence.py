@@ -39,7 +39,7 @@ def pairwise_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """AG-11, AG-13."""
     c = R.candidates(spark, sf).withColumn("rank", E.source_rank(F.col("source")))
     p = c.alias("a").join(c.alias("b"), (F.col("a.dwell_id") == F.col("b.dwell_id")) & (F.col("a.rank") < F.col("b.rank")))
-    out = p.groupBy(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b")).agg(*E.metric_summary(F.col("a.hs"), F.col("b.hs")))
+    out = E.pair_metrics(p.select(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"), F.col("a.hs").alias("hs_a"), F.col("b.hs").alias("hs_b")), ["source_a", "source_b"], "hs_a", "hs_b")
     return rounded(out, r2=5, rmse=6, mae=6, bias=6, median_abs=6, p95_abs=6)
 
 

@@ -44,7 +44,7 @@ def ping_layouts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 1) AS price, 0::BIGINT AS notes FROM orders GROUP BY o_orderstatus")
 def conformed_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-03, SRC-04, SNK-01, FLT-09: a table written and read again in a schema that lacks some of its columns and has one more."""
+    """SRC-05, SNK-01, FLT-09: a table written and read again in a schema that lacks some of its columns and has one more."""
     path = scratch(spark)
     S.write(R.table(spark, sf, "orders"), path)
     schema = T.StructType([T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("note", T.StringType())])
@@ -53,7 +53,7 @@ def conformed_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def catalog_views(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-02, SRC-05: views by name over two tables, one optional source that is absent, and SQL over them."""
+    """SRC-04: views by name over two tables, one optional source that is absent, and SQL over them."""
     made = S.register(spark, {"td_customer": {"path": f"{sf}/customer.parquet"}, "td_nation": {"path": f"{sf}/nation.parquet"}, "td_absent": {"path": f"{sf}/absent.parquet", "required": False}})
     if made != ["td_customer", "td_nation"] or not set(made) <= set(S.views(spark)):
         raise ValueError(f"views: {made}")
@@ -327,7 +327,7 @@ def tiered_dwells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {R.TURBINES}, z AS (SELECT found_id, floor((longitude + 180) / 6)::INT + 1 AS zone, longitude - (floor((longitude + 180) / 6) * 6 - 177) AS dl, latitude AS la FROM turbines) SELECT found_id, zone, dl > 0 AS east_of_middle, true AS plausible FROM z""")
 def utm_places(spark: SparkSession, sf: str) -> DataFrame:
-    """FX-02 (projection): eastings lie on their side of the zone's middle, northings within 0.1 % of the meridian's length."""
+    """FX-02 (projection): eastings lie on their side of the zone's middle, northings within 0.3 % of the meridian's length."""
     east, north = geo.utm(F.col("latitude"), F.col("longitude"))
     arc = F.col("latitude") * 111_132.0 * 0.9996
     return R.turbines(spark, sf).select("found_id", geo.utm_zone(F.col("longitude")).cast("long").alias("zone"), (east > 500_000).alias("east_of_middle"), (F.abs(north - arc) / arc < 0.003).alias("plausible"))
