@@ -245,3 +245,26 @@ def guardrails(df: DataFrame, checks: list[tuple[str, Column, str]]) -> DataFram
     failed = F.transform(F.filter("r", lambda x: x["status"] == "fail"), lambda x: x["check"])
     verdict = F.to_json(F.named_struct(F.lit("recommendation"), F.when(F.size(failed) == 0, "proceed").otherwise("stop"), F.lit("failed"), failed))
     return out.select(F.explode("r").alias("x"), verdict.alias("summary")).select("x.*", "summary")
+
+
+def concentration_by(df: DataFrame, subsets: dict[str, Column], columns: list[str], few: int = 5) -> DataFrame:
+    """How much a handful of values holds of each column, in each subset of the rows: subset, column, events, share_of_all, unique, top_value, top_count, top_share, few_count, few_share.
+
+    Subsets may overlap; a null value counts as missing. Ties go to the
+    smaller value. Rows are counted by subset, column and value in one pass;
+    what is ranked are those counts. An empty subset has a row of zeros for
+    each column.
+    """
+    inside = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in subsets.items())), lambda s: s.isNotNull())
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("value")) for c in columns)))
+    marked = df.select(inside.alias("__s"), *columns)
+    counts = marked.select(cells.alias("x"), "__s").groupBy("x.column", "x.value", "__s").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.explode("__s").alias("subset"), "column", "value", "n").groupBy("subset", "column", "value").agg(F.sum("n").alias("n"))
+    best = F.row_number().over(Window.partitionBy("subset", "column").orderBy(F.desc("n"), "value"))
+    ranked = counts.withColumn("__r", best).groupBy("subset", "column").agg(
+        F.sum("n").alias("events"), F.count(F.lit(1)).alias("unique"), F.max(F.when(F.col("__r") == 1, F.col("value"))).alias("top_value"), F.max(F.when(F.col("__r") == 1, F.col("n"))).alias("top_count"), F.sum(F.when(F.col("__r") <= few, F.col("n"))).alias("few_count"))
+    every = df.sparkSession.createDataFrame([(s, c) for s in subsets for c in columns], "subset string, column string")
+    total = df.agg(F.count(F.lit(1)).alias("__all"))
+    out = every.join(ranked, ["subset", "column"], "left").join(F.broadcast(total)).fillna(0, ["events", "unique", "top_count", "few_count"])
+    over = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return out.select("subset", "column", "events", over("events", "__all").alias("share_of_all"), "unique", "top_value", "top_count", over("top_count", "events").alias("top_share"), "few_count", over("few_count", "events").alias("few_share"))

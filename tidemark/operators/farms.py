@@ -125,6 +125,50 @@ def recommend(farm_years: DataFrame, least_events: int = 10, stress_events: int
     return farm_years.withColumns({"recommendation": verdict, "reason": why})
 
 
+#: The current product's domain (west, east, south, north) and the longitude east of which it is masked; limits of a farm year at scale; bytes of an hourly row as it comes and as it is kept.
+DOMAIN, MASKED_EAST = (-19.89, 13.0, 40.07, 65.0), 10.0
+SCALE = {"events": 10, "tier_a": 3, "context": 50, "shallow_share": 0.5, "processed_mb": 250.0}
+RAW_BYTES, KEPT_BYTES = 64.0, 4_498_964 / 500_688
+
+
+def depth_shares(points: DataFrame, keys: list[str], depth: str = "depth", shallow_m: float = 10.0) -> DataFrame:
+    """Sample points of each key: sample_points, shallow_share (of those with a depth, at most shallow_m), and the exact p10 and median depth."""
+    from tidemark.operators.stats import with_quantiles
+
+    out = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_points"), F.coalesce(F.avg((F.col(depth) <= shallow_m).cast("int")), F.lit(0.0)).alias("shallow_share"))
+    return with_quantiles(out, points, keys, {depth: {"p10_depth": 0.1, "median_depth": 0.5}})
+
+
+def scale_plan(farm_years: DataFrame) -> DataFrame:
+    """farm_years with region, domain, shallow_warning, rows of a year's hours, raw_mb and processed_mb, runtime class, recommendation (yes, stress_test_only, no) and reason.
+
+    farm_years have country, min_lon, max_lon, min_lat, max_lat, year, events,
+    tier_a, sample_points and shallow_share.
+    """
+    c = {n: F.col(n) for n in farm_years.columns}
+    west, east, south, north = DOMAIN
+    country, middle = F.lower(F.coalesce(c["country"], F.lit(""))), (c["min_lon"] + c["max_lon"]) / 2
+    region = (
+        F.when(c["max_lon"] > MASKED_EAST, "baltic_or_transition").when(country.contains("united kingdom") | country.contains("ireland"), "uk_irish_shelf")
+        .when(country.isin("germany", "netherlands", "belgium", "denmark"), F.when(middle < 9.0, "southern_north_sea").otherwise("north_sea_transition")).when(country == "france", "channel_or_biscay").otherwise("north_west_shelf")
+    )
+    inside = (c["min_lon"] >= west) & (c["max_lon"] <= east) & (c["min_lat"] >= south) & (c["max_lat"] <= north)
+    domain = F.when(~inside, "outside").when(c["max_lon"] > MASKED_EAST, "masked_or_boundary").otherwise("inside")
+    share = F.coalesce(c["shallow_share"], F.lit(0.0))
+    warning = F.when(share >= 0.8, "severe").when(share > 0.5, "dominated").when(share >= 0.2, "moderate").when(share > 0, "some").otherwise("none")
+    hours = F.datediff(F.make_date(c["year"] + 1, F.lit(1), F.lit(1)), F.make_date(c["year"], F.lit(1), F.lit(1))) * 24
+    rows = (F.greatest(c["sample_points"], F.lit(0)) * hours).cast("long")
+    size = lambda b: F.round(rows * b / 1e6, 3)
+    runtime = F.when(rows < 1_000_000, "small").when(rows < 5_000_000, "medium").otherwise("large")
+    out = farm_years.withColumns({"region": region, "domain": domain, "shallow_warning": warning, "rows": rows, "raw_mb": size(RAW_BYTES), "processed_mb": size(KEPT_BYTES), "runtime": runtime})
+    ok, enough, tier_a = F.col("domain") == "inside", F.col("events") >= SCALE["events"], F.col("tier_a") >= SCALE["tier_a"]
+    context, sampled, small, shallow = F.col("events") >= SCALE["context"], F.col("sample_points") > 0, F.col("processed_mb") <= SCALE["processed_mb"], share > SCALE["shallow_share"]
+    base = ok & enough & sampled & small
+    verdict = F.when(base & tier_a & ~shallow, "yes").when(base & (shallow | context), "stress_test_only").otherwise("no")
+    why = reasons((~ok, "domain"), (~enough, "few_events"), (~tier_a & context, "few_tier_a_but_many_events"), (~tier_a & ~context, "few_tier_a"), (shallow, "shallow"), (~small, "too_large"), (~sampled, "no_points"))
+    return out.withColumns({"recommendation": verdict, "reason": why})
+
+
 def top_recommended(farm_years: DataFrame, n: int | None) -> DataFrame:
     """The n recommended farm years with most events, or all; never those for stress tests."""
     ok = farm_years.filter("recommendation = 'yes'")

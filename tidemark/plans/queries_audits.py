@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import tables as T
 from tidemark.operators import audit as A
 from tidemark.operators import evidence as E
+from tidemark.operators import farms as M
 from tidemark.operators import models as U
 from tidemark.operators import reports as Q
 from tidemark.operators import sketches as K
@@ -139,6 +140,42 @@ def index_from_footers(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
+_SUBSETS = {"all_events": "true", "waves": "hs IS NOT NULL", "current_ready": "current_speed IS NOT NULL", "current_missing": "current_speed IS NULL", "tier_a_current": "current_speed IS NOT NULL AND dwell_tier = 'A'"}
+_LONG = " UNION ALL ".join(f"""SELECT '{s}' AS subset, '{c}' AS "column", coalesce({c}::VARCHAR, 'missing') AS value FROM d WHERE {w}""" for s, w in _SUBSETS.items() for c in ("wind_farm", "year", "duplicate_group_id"))
+
+
+@query(f"""WITH {R.DWELLS}, d AS (SELECT *, year(start_utc) AS year FROM dwells), u AS ({_LONG}), n AS (SELECT subset, "column", value, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY subset, "column" ORDER BY n DESC, value) AS r FROM n)
+SELECT subset, "column", sum(n)::BIGINT AS events, round(sum(n) / (SELECT count(*) FROM d), 6) AS share_of_all, count(*) AS "unique", max(value) FILTER (r = 1) AS top_value, max(n) FILTER (r = 1) AS top_count, round(max(n) FILTER (r = 1) / sum(n), 6) AS top_share,
+       (sum(n) FILTER (r <= 5))::BIGINT AS few_count, round(sum(n) FILTER (r <= 5) / sum(n), 6) AS few_share FROM r GROUP BY subset, "column" """)
+def concentration_by_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-38: concentration in each readiness subset, and of events with and without a current (its bias)."""
+    d = R.dwells(spark, sf).withColumn("year", F.year("start_utc"))
+    out = A.concentration_by(d, {n: F.expr(w) for n, w in _SUBSETS.items()}, ["wind_farm", "year", "duplicate_group_id"])
+    return rounded(out, share_of_all=6, top_share=6, few_share=6)
+
+
+@query(f"""WITH {R.DWELLS}, box AS (SELECT wind_farm, any_value(CASE country WHEN 'EUROPE' THEN 'Germany' WHEN 'ASIA' THEN 'United Kingdom' WHEN 'AFRICA' THEN 'France' ELSE country END) AS country, min(longitude) + found AS min_lon, max(longitude) + found AS max_lon, min(latitude) AS min_lat, max(latitude) AS max_lat, count(*) AS turbines
+  FROM turbines, (SELECT 2.5::DOUBLE AS found) GROUP BY wind_farm, found),
+p AS (SELECT wind_farm, year(start_utc)::INT AS year, count(*) AS sample_points, coalesce(avg((depth <= 10)::INT), 0) AS shallow_share, quantile_cont(depth, 0.1) AS p10_depth, quantile_cont(depth, 0.5) AS median_depth, count(*) AS events, count(*) FILTER (dwell_tier = 'A') AS tier_a FROM dwells GROUP BY ALL),
+f AS (SELECT *, CASE WHEN max_lon > 10 THEN 'baltic_or_transition' WHEN country = 'United Kingdom' THEN 'uk_irish_shelf' WHEN country = 'Germany' THEN CASE WHEN (min_lon + max_lon) / 2 < 9 THEN 'southern_north_sea' ELSE 'north_sea_transition' END WHEN country = 'France' THEN 'channel_or_biscay' ELSE 'north_west_shelf' END AS region,
+  CASE WHEN max_lon > 10 THEN 'masked_or_boundary' ELSE 'inside' END AS domain, CASE WHEN shallow_share >= 0.8 THEN 'severe' WHEN shallow_share > 0.5 THEN 'dominated' WHEN shallow_share >= 0.2 THEN 'moderate' WHEN shallow_share > 0 THEN 'some' ELSE 'none' END AS shallow_warning,
+  sample_points * date_diff('day', make_date(year, 1, 1), make_date(year + 1, 1, 1)) * 24 AS rows FROM p JOIN box USING (wind_farm)),
+g AS (SELECT *, round(rows * 64.0 / 1e6, 3) AS raw_mb, round(rows * (4498964 / 500688) / 1e6, 3) AS processed_mb, CASE WHEN rows < 1000000 THEN 'small' WHEN rows < 5000000 THEN 'medium' ELSE 'large' END AS runtime FROM f)
+SELECT wind_farm, year, sample_points, round(shallow_share, 6) AS shallow_share, round(p10_depth, 4) AS p10_depth, round(median_depth, 4) AS median_depth, events, tier_a, region, domain, shallow_warning, rows, raw_mb, processed_mb, runtime,
+  CASE WHEN domain = 'inside' AND events >= 10 AND processed_mb <= 250 AND tier_a >= 3 AND shallow_share <= 0.5 THEN 'yes' WHEN domain = 'inside' AND events >= 10 AND processed_mb <= 250 AND (shallow_share > 0.5 OR events >= 50) THEN 'stress_test_only' ELSE 'no' END AS recommendation,
+  concat_ws('; ', CASE WHEN domain <> 'inside' THEN 'domain' END, CASE WHEN events < 10 THEN 'few_events' END, CASE WHEN tier_a < 3 AND events >= 50 THEN 'few_tier_a_but_many_events' END, CASE WHEN tier_a < 3 AND events < 50 THEN 'few_tier_a' END, CASE WHEN shallow_share > 0.5 THEN 'shallow' END, CASE WHEN processed_mb > 250 THEN 'too_large' END) AS reason FROM g""")
+def farm_year_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-43, AG-66, SC-13: farm years with depths, region, size, runtime class and a recommendation; farms lie 2.5 degrees further east than the turbines, so that some are masked."""
+    t = R.turbines(spark, sf)
+    country = F.col("country")
+    said = F.when(country == "EUROPE", "Germany").when(country == "ASIA", "United Kingdom").when(country == "AFRICA", "France").otherwise(country)
+    box = t.groupBy("wind_farm").agg(F.first(said).alias("country"), (F.min("longitude") + 2.5).alias("min_lon"), (F.max("longitude") + 2.5).alias("max_lon"), F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"))
+    d = cut(R.dwells(spark, sf).select("wind_farm", F.year("start_utc").alias("year"), "depth", "dwell_tier"))
+    counts = d.groupBy("wind_farm", "year").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("dwell_tier") == "A").alias("tier_a"))
+    out = M.scale_plan(M.depth_shares(d, ["wind_farm", "year"]).join(counts, ["wind_farm", "year"]).join(box, "wind_farm"))
+    return rounded(out.drop("country", "min_lon", "max_lon", "min_lat", "max_lat"), shallow_share=6, p10_depth=4, median_depth=4)
+
+
 _EXAMPLES = ORACLE[event_confidence.__name__]
 _CUT = "SELECT dwell_id, n_sources, hs_range, tp_range, confidence FROM ({}) ORDER BY hs_range DESC NULLS LAST, tp_range DESC NULLS LAST, dwell_id LIMIT 25"
 query(_CUT.format(_EXAMPLES))(disagreement_examples)
