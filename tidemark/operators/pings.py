@@ -120,19 +120,34 @@ def match_turbines(pings: DataFrame, turbines: DataFrame, within_m: float = 100.
     return p.join(t, ["cy", "cx"]).withColumn("dist_m", dist).filter(F.col("dist_m") < within_m).drop("cy", "cx", "t_lat", "t_lon")
 
 
+#: Turbines in the surroundings of one cell up to which their distances are columns, compared in generated code; more are an array.
+COLUMNS = 4
+
+
 def match_nearest(pings: DataFrame, turbines: DataFrame, within_m: float = 100.0, cell: float = 0.002) -> DataFrame:
     """Each ping with a turbine closer than within_m: the nearest one, ties to the smaller found_id, and dist_m.
 
     Turbines are gathered by cell first, as many as stand in its
     surroundings, so a ping meets one row; no window and no state, which
-    serves streams too.
+    serves streams too. Of turbines at one place only that with the smallest
+    found_id can be nearest. The most that one cell has is counted
+    beforehand; where it is small, distances are columns of their own.
     """
-    near = turbines.withColumn("c", F.explode(geo.around(F.col("latitude"), F.col("longitude"), cell, within_m)))
+    near = turbines.groupBy("latitude", "longitude").agg(F.min(F.struct("found_id", "wind_farm")).alias("t")).select("latitude", "longitude", "t.*")
+    near = near.withColumn("c", F.explode(geo.around(F.col("latitude"), F.col("longitude"), cell, within_m)))
     near = near.groupBy(F.col("c.cy").alias("cy"), F.col("c.cx").alias("cx")).agg(F.collect_list(F.struct("latitude", "longitude", "found_id", "wind_farm")).alias("__t"))
-    p = pings.withColumns({"cy": geo.cell(F.col("lat"), cell), "cx": geo.turned(F.col("lon"), cell)}).join(near, ["cy", "cx"])
+    most = near.agg(F.max(F.size("__t"))).first()[0] or 0
     dist = lambda t: F.struct(geo.haversine(F.col("lat"), F.col("lon"), t["latitude"], t["longitude"]).alias("d"), t["found_id"].alias("f"), t["wind_farm"].alias("w"))
-    best = p.withColumn("__b", F.array_min(F.transform("__t", dist))).filter(F.col("__b.d") < within_m)
-    return best.select(*pings.columns, F.col("__b.f").alias("found_id"), F.col("__b.w").alias("wind_farm"), F.col("__b.d").alias("dist_m"))
+    if most <= COLUMNS:
+        own = [F.get("__t", F.lit(i)).alias(f"__t{i}") for i in range(max(1, most))]
+        near = near.select("cy", "cx", *own)
+        each = [F.when(F.col(f"__t{i}").isNotNull(), dist(F.col(f"__t{i}"))) for i in range(max(1, most))]
+        best = each[0] if len(each) == 1 else F.least(*each)
+    else:
+        best = F.array_min(F.transform("__t", dist))
+    p = pings.withColumns({"cy": geo.cell(F.col("lat"), cell), "cx": geo.turned(F.col("lon"), cell)}).join(near, ["cy", "cx"])
+    found = p.withColumn("__b", best).filter(F.col("__b.d") < within_m)
+    return found.select(*pings.columns, F.col("__b.f").alias("found_id"), F.col("__b.w").alias("wind_farm"), F.col("__b.d").alias("dist_m"))
 
 
 def nearest_only(matches: DataFrame) -> DataFrame:
