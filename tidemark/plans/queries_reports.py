@@ -229,7 +229,7 @@ def layer_validation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(Q.layer_validation(d, layer, "dwell_id", "conf", "gap", "km"), value=5)
 
 
-@query(f"""WITH {R.CANDIDATES.replace("FROM lineitem WHERE l_linenumber <= 3", "FROM lineitem")}, v1 AS (SELECT dwell_id, CASE WHEN min(quality) > 0.52 THEN 'A' WHEN max(quality) > 0.55 THEN 'B' ELSE 'D' END AS confidence, min(source) AS source_v1 FROM candidates WHERE source IS NOT NULL GROUP BY dwell_id),
+@query(f"""WITH {R.CANDIDATES.replace(R.EVENT_LINES, "lineitem")}, v1 AS (SELECT dwell_id, CASE WHEN min(quality) > 0.52 THEN 'A' WHEN max(quality) > 0.55 THEN 'B' ELSE 'D' END AS confidence, min(source) AS source_v1 FROM candidates WHERE source IS NOT NULL GROUP BY dwell_id),
 v0 AS (SELECT o_orderkey AS dwell_id, ['nora3', 'nws', 'baltic'][o_orderkey % 3 + 1] AS source_v0 FROM orders)
 SELECT source_v0, CASE WHEN confidence IS NULL OR confidence = 'D' THEN 'missing' WHEN source_v0 = source_v1 AND confidence IN ('A', 'B') THEN 'supported' ELSE 'questionable' END AS state, count(*) AS events FROM v0 LEFT JOIN v1 USING (dwell_id) GROUP BY ALL""")
 def version_comparison(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,7 +378,7 @@ def text_flags(spark: SparkSession, sf: str) -> DataFrame:
     return R.table(spark, sf, "part").select("p_partkey", flag(F.get(names, F.col("p_size") % 4)).alias("yes"), flag(F.col("p_brand")).alias("brand"))
 
 
-@query(f"""WITH {R.CANDIDATES.replace("FROM lineitem WHERE l_linenumber <= 3", "FROM lineitem")} SELECT 'real' AS provenance, count(*) AS rows FROM candidates GROUP BY 1""")
+@query(f"""WITH {R.CANDIDATES.replace(R.EVENT_LINES, "lineitem")} SELECT 'real' AS provenance, count(*) AS rows FROM candidates GROUP BY 1""")
 def provenance_gate(spark: SparkSession, sf: str) -> DataFrame:
     """FLT-10: passes, as every row is labelled real; a test has rows that fail."""
     line = R.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("current_speed")).withColumn("provenance", F.lit("real"))

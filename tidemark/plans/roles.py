@@ -128,7 +128,9 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-CANDIDATES = """candidates AS (
+#: Lines, each three in a row an event.
+EVENT_LINES = "(SELECT l_orderkey * 3 + (l_linenumber - 1) // 3 AS l_orderkey, (l_linenumber - 1) % 3 + 1 AS l_linenumber, l_discount, l_tax, l_quantity FROM lineitem)"
+CANDIDATES = f"""candidates AS (
   SELECT l_orderkey AS dwell_id, ['nora3', 'nws', 'baltic'][l_linenumber] AS source, l_linenumber AS rank, (l_orderkey % 20) / 10.0::DOUBLE + max(l_discount) AS hs,
          4.0::DOUBLE + l_orderkey % 5 + max(l_tax) * 8 AS tp, (max(l_quantity) * 7.2::DOUBLE) % 360 AS direction, 0.5::DOUBLE + max(l_discount) AS quality, l_orderkey % 9 = 0 AS shallow
-  FROM (SELECT l_orderkey * 3 + (l_linenumber - 1) // 3 AS l_orderkey, (l_linenumber - 1) % 3 + 1 AS l_linenumber, l_discount, l_tax, l_quantity FROM lineitem) GROUP BY l_orderkey, l_linenumber)"""
+  FROM {EVENT_LINES} GROUP BY l_orderkey, l_linenumber)"""
