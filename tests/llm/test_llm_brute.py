@@ -93,6 +93,13 @@ def test_license_labels_and_scores_by_brute_force(spark, docs):
         assert got[k].labels == labels and abs(got[k].score - score) < 1e-12
 
 
+def test_license_phrases_in_every_run_of_a_text(spark):
+    n = words.STEP_BYTES // 8 + 1  # words of a run
+    text = "general public license " + "y " * (n + 5) + "mit license " * (n // 2) + "y " * n + "apache license"
+    got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == (2 * n + 5 + n // 2 * 2 + 5, n // 2 + 2, 0, 2 * n + n // 2 * 2 + 8, "apache,gpl,mit")
+
+
 #: What notices of these licenses are to be labelled as, written down by hand.
 NOTICES = [
     ("Licensed under CC BY 4.0", "cc-by"),

@@ -125,7 +125,7 @@ def license_scan(
         for batch in batches:
             ids = batch.column(0)
             for row, words in steps(batch.column(1), ALNUM):
-                found = [(x[hit] for x in run) for run in words.gram_runs(K) if len(hit := np.flatnonzero(known[(run[2] % np.uint64(MASK_BITS)).astype(np.int64)]))]
+                found = [tuple(x[hit] for x in run) for run in words.gram_runs(K) if len(hit := np.flatnonzero(known[(run[2] % np.uint64(MASK_BITS)).astype(np.int64)]))]
                 doc, pos, key = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *found))
                 n = len(words)
                 count = np.diff(words.first)
