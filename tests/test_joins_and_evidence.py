@@ -118,3 +118,35 @@ def test_surface_level_and_depths(spark):
     key = p.select(values.cache_key(F.format_string("%.6f", "lat"), F.format_string("%.6f", "lon")).alias("key"))
     got = gridded.depth_assignment(p, key.withColumn("payload", F.lit('{"avg": null, "smoothed": -12.5}'))).first()
     assert (got.water_depth_m, got.depth_status) == (12.5, "ok")
+
+
+def test_nearest_point_compares_places_once(spark):
+    """20,000 events and 20,000 points at few places: pairs of them all would take minutes."""
+    import time
+
+    k = F.col("id")
+    ev = spark.range(20_000).select(k.alias("event_id"), F.lit("a").alias("wind_farm"), F.when(k % 4 != 0, 54.0 + k % 5 * 0.01).alias("centroid_lat"), F.lit(7.0).alias("centroid_lon"))
+    pts = spark.range(20_000).select(F.lit("a").alias("wind_farm"), F.format_string("p%05d", k).alias("sample_point_id"), F.when(k == 7, "farm_centroid").otherwise("turbine").alias("sample_point_type"), (54.0 + k % 5 * 0.01).alias("lat"), F.lit(7.0).alias("lon"))
+    start = time.time()
+    got = {(r.at, r.sample_point_id, r.assignment_method): r.n for r in E.nearest_point(ev, pts).groupBy(F.when(F.col("centroid_lat").isNotNull(), k5(F.col("event_id"))).alias("at"), "sample_point_id", "assignment_method").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(i, f"p0000{i}", "nearest_point"): 3000 for i in range(5)} | {(None, "p00007", "farm_centroid"): 5000}
+    assert time.time() - start < 40
+
+
+def test_station_roles_compare_places_once(spark):
+    """20,000 stations and 20,000 points at few places: pairs of them all would take minutes."""
+    import time
+
+    from tidemark.operators import spacetime as W
+
+    k = F.col("id")
+    st = spark.range(20_000).select(k.alias("station"), (54.0 + k % 5 * 0.01).alias("lat"), F.lit(7.0).alias("lon"))
+    pts = spark.range(20_000).select(F.lit("a").alias("wind_farm"), F.format_string("p%05d", k).alias("sample_point_id"), (54.0 + k % 5 * 0.01).alias("lat"), F.lit(7.0).alias("lon"))
+    start = time.time()
+    got = {(r.at, r.sample_point_id, r.km, r.role): r.n for r in W.station_roles(st, pts).groupBy(k5(F.col("station")).alias("at"), "sample_point_id", "km", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(i, f"p0000{i}", 0.0, "on_site"): 4000 for i in range(5)}
+    assert time.time() - start < 40
+
+
+def k5(c):
+    return c % 5

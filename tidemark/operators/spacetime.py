@@ -15,18 +15,26 @@ from tidemark.sources.gridded import nearest_cell
 def station_roles(stations: DataFrame, points: DataFrame, width: float = 1.0) -> DataFrame:
     """For each station (station, lat, lon) and farm within 150 km: its nearest site point, the distances to it and to the farm's centroid, and the station's role.
 
-    Stations are repeated into the cells within reach, so only near pairs
-    meet; roles follow the distance to the nearest point.
+    Distances depend on places alone, so places of stations and of a farm's
+    points are compared once each, however many stations or points share one;
+    the stations get their place's answers. Places of stations are repeated
+    into the cells within reach, so only near pairs meet; roles follow the
+    distance to the nearest point.
     """
     reach = ROLES[-1][0]
-    s = stations.select("station", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.explode(geo.around(F.col("lat"), F.col("lon"), width, reach * 1000.0)).alias("c")).select("station", "s_lat", "s_lon", "c.cy", "c.cx")
-    p = points.withColumns({"cy": geo.cell(F.col("lat"), width), "cx": geo.turned(F.col("lon"), width)})
+    spots = stations.select(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).filter("s_lat is not null and s_lon is not null").distinct()
+    s = spots.withColumn("c", F.explode(geo.around(F.col("s_lat"), F.col("s_lon"), width, reach * 1000.0))).select("s_lat", "s_lon", "c.cy", "c.cx")
+    p = points.groupBy("wind_farm", "lat", "lon").agg(F.min("sample_point_id").alias("sample_point_id"))
+    p = p.withColumns({"cy": geo.cell(F.col("lat"), width), "cx": geo.turned(F.col("lon"), width)})
     met = p.join(s, ["cy", "cx"]).withColumn("km", geo.haversine(F.col("s_lat"), F.col("s_lon"), F.col("lat"), F.col("lon"), geo.EARTH_KM)).filter(F.col("km") <= reach)
-    best = met.groupBy("station", "s_lat", "s_lon", "wind_farm").agg(F.min(F.struct("km", "sample_point_id")).alias("b"))
+    best = met.groupBy("s_lat", "s_lon", "wind_farm").agg(F.min(F.struct("km", "sample_point_id")).alias("b"))
     centre = points.groupBy("wind_farm").agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
     role = F.coalesce(*(F.when(F.col("b.km") <= km, F.lit(name)) for km, name in ROLES))
-    out = best.join(centre, "wind_farm")
-    return out.select("station", "wind_farm", "b.sample_point_id", "b.km", geo.haversine(F.col("s_lat"), F.col("s_lon"), F.col("c_lat"), F.col("c_lon"), geo.EARTH_KM).alias("centroid_km"), role.alias("role"))
+    near = best.join(centre, "wind_farm").select(
+        "s_lat", "s_lon", "wind_farm", "b.sample_point_id", "b.km", geo.haversine(F.col("s_lat"), F.col("s_lon"), F.col("c_lat"), F.col("c_lon"), geo.EARTH_KM).alias("centroid_km"), role.alias("role")
+    )
+    out = stations.select("station", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).distinct().join(near, ["s_lat", "s_lon"])
+    return out.select("station", "wind_farm", "sample_point_id", "km", "centroid_km", "role")
 
 
 def event_field(events: DataFrame, field: DataFrame, event_id: str = "event_id", max_km: float = 25.0, tolerance_min: float = 90.0, width: float = 1.0) -> DataFrame:
