@@ -26,14 +26,23 @@ def nearest_point(events: DataFrame, points: DataFrame, farm: str = "wind_farm",
     An event with a place takes the nearest point (ties to the smaller id);
     without one its farm's `farm_centroid` point, else the farm's first; a
     farm without points gives nothing. Farms join by normalized names.
+
+    What an event takes depends on its farm and place alone, so each farm's
+    places are compared once with its points' places, and the events get
+    their place's answer.
     """
     p = points.select(normal_name(F.col(farm)).alias("__f"), "sample_point_id", "sample_point_type", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    km = geo.haversine(F.col("centroid_lat"), F.col("centroid_lon"), F.col("p_lat"), F.col("p_lon"), geo.EARTH_KM)
+    kind = F.col("sample_point_type") == "farm_centroid"
+    # of a farm's points at one place the smallest id counts, for events with a place; centroids count apart for those without
+    p = p.groupBy("__f", "p_lat", "p_lon", F.coalesce(kind, F.lit(False)).alias("__centre")).agg(F.min_by(F.struct("sample_point_id", "sample_point_type"), "sample_point_id").alias("__p")).select("__f", "p_lat", "p_lon", "__p.*")
+    km = geo.haversine(F.col("__y"), F.col("__x"), F.col("p_lat"), F.col("p_lon"), geo.EARTH_KM)
     placed = F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()
-    rank = F.struct(F.when(placed, km).otherwise(F.when(F.col("sample_point_type") == "farm_centroid", 0.0).otherwise(1.0)), F.col("sample_point_id"))
-    met = events.select(event_id, farm, "centroid_lat", "centroid_lon").withColumn("__f", normal_name(F.col(farm))).join(p, "__f")
-    best = met.groupBy(event_id).agg(F.min_by(F.struct("sample_point_id", "sample_point_type", km.alias("km")), rank).alias("b"))
-    out = events.join(best, event_id, "left")
+    rank = F.struct(F.when(F.col("__y").isNotNull(), km).otherwise(F.when(kind, 0.0).otherwise(1.0)), F.col("sample_point_id"))
+    at = events.withColumns({"__f": normal_name(F.col(farm)), "__y": F.when(placed, F.col("centroid_lat")), "__x": F.when(placed, F.col("centroid_lon"))})
+    spots = at.select("__f", "__y", "__x").filter("__f is not null").distinct()
+    best = spots.join(p, "__f").groupBy("__f", "__y", "__x").agg(F.min_by(F.struct("sample_point_id", "sample_point_type", km.alias("km")), rank).alias("b"))
+    best = best.select(*(F.col(c).alias(f"__of{c}") for c in ("__f", "__y", "__x")), "b")
+    out = at.join(best, (F.col("__f") == F.col("__of__f")) & F.col("__y").eqNullSafe(F.col("__of__y")) & F.col("__x").eqNullSafe(F.col("__of__x")), "left")
     method = F.when(F.col("b").isNull(), "missing_farm").when(placed, "nearest_point").when(F.col("b.sample_point_type") == "farm_centroid", "farm_centroid").otherwise("first_point")
     return out.select(*events.columns, F.col("b.sample_point_id").alias("sample_point_id"), F.when(placed, F.col("b.km")).alias("point_km"), method.alias("assignment_method"))
 
