@@ -188,3 +188,15 @@ def test_empty_tables_give_empty_reports(spark):
     assert Q.atlas(d, ["A"]).count() == 0 and Q.exposure_comparison(d, [1]).count() == 0 and Q.outliers(d, "hs").count() == 0
     r = Q.threshold_counts(d, "hs", [1.0], {"all": F.lit(True)}).first()
     assert (r.rows, r.above, r.above_share) == (0, 0, None)
+
+
+def test_observatory_rounds_evidence_by_exact_value(spark):
+    """12.25 and 2.25 are ties that go to even; 45.65 and 42.35 lie just beside what they are written as."""
+    from tidemark.operators.audit import observatory
+
+    columns = "wind_farm string, year long, month long, target boolean, operational boolean, manifest_status string, raw_status string, raw_mb double, filtered_status string, filtered_rows long, visits_status string, visits long, dwells_status string, dwells long, tier_d long, duplicates long, weather_status string, weather_rows long, weather_missing double"
+    row = ("a", 2024, 1, True, True, None, "exists", 1.0, "exists", 1, "exists", 4, "exists", 9, 0, 0, "joined", 1)
+    df = spark.createDataFrame([(*row, 0.4565), (*row[:2], 2, *row[3:13], 2000, 1225, 847, *row[16:], 0.0)], columns)
+    got = {(r.month, r.type): r.evidence for r in observatory(df).collect()}
+    assert got == {(1, "many_dwells_a_visit"): f"{9 / 4:.1f}", (1, "weather_gaps"): f"{0.4565 * 100:.1f}%", (2, "many_dwells_a_visit"): "500.0", (2, "many_duplicates"): f"{847 / 2000 * 100:.1f}%", (2, "many_tier_d"): f"{1225 / 2000 * 100:.1f}%"}
+    assert got[1, "many_dwells_a_visit"] == "2.2" and got[2, "many_tier_d"] == "61.3%"

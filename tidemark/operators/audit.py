@@ -154,7 +154,9 @@ def observatory(index: DataFrame, limits: dict[str, float] | None = None) -> Dat
     raw, visits, dwells = is_("raw_status", "exists"), is_("visits_status", "exists"), is_("dwells_status", "exists")
     share = lambda a, b: F.try_divide(c[a].cast("double"), c[b].cast("double"))
     above = lambda a, b, x: F.coalesce(share(a, b) > x, F.lit(False))
-    percent = lambda x: F.format_string("%.1f%%", x * 100)
+    # by the exact value and half to even, as Python and SQL's printf round; Java's format rounds the shortest decimals half up
+    one_place = F.udf(lambda x: None if x is None else f"{x:.1f}", "string")
+    percent = lambda x: F.concat(one_place(x * 100), F.lit("%"))
     empty = (is_("filtered_status", "exists") & (c["filtered_rows"] == 0)) | (visits & (c["visits"] == 0)) | (dwells & (c["dwells"] == 0))
     rules = [
         (scope, "missing_raw_source", is_("raw_status", "missing") & yes("operational"), c["raw_status"], "check the source or whether the month is planned"),
@@ -164,7 +166,7 @@ def observatory(index: DataFrame, limits: dict[str, float] | None = None) -> Dat
         (expected, "missing_weather", dwells & more("dwells", 0) & is_("weather_status", "missing"), c["dwells"], "join the weather"),
         ("Warning", "many_duplicates", dwells & above("duplicates", "dwells", t["duplicate_share"]), percent(share("duplicates", "dwells")), "check places that overlap"),
         ("Info", "many_tier_d", dwells & above("tier_d", "dwells", t["tier_d_share"]), percent(share("tier_d", "dwells")), "check whether vessels pass by"),
-        ("Warning", "many_dwells_a_visit", visits & dwells & above("dwells", "visits", t["dwells_per_visit"]), F.format_string("%.1f", share("dwells", "visits")), "check the sampling"),
+        ("Warning", "many_dwells_a_visit", visits & dwells & above("dwells", "visits", t["dwells_per_visit"]), one_place(share("dwells", "visits")), "check the sampling"),
         (scope, "empty_output", raw & more("raw_mb", t["raw_mb"]) & yes("operational") & empty & ~by_design, F.concat_ws("/", "filtered_rows", "visits", "dwells"), "check bounds and vessels"),
         (expected, "weather_gaps", is_("weather_status", "joined") & more("weather_rows", 0) & more("weather_missing", t["weather_missing"]), percent(c["weather_missing"]), "check the grid's coverage"),
     ]
