@@ -219,3 +219,15 @@ def test_upscale_fills_metadata(spark):
         want = (None, None) if r.event_id == 3 else (h, "x" if h < 4 else "y")
         assert (r.hs is None) == (want[0] is None) and (r.hs is None or abs(r.hs - h) < 1e-9) and r.grid == want[1]
     assert len(got) == 10 + 7 + 1
+
+
+def test_tasks_stay_as_large_when_tables_grow(spark, monkeypatch):
+    """Partitions of scans, brackets and candidates are as many as their rows ask for."""
+    from tidemark.operators import scan
+    from tidemark.plans import lineage, roles
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", 100)
+    df = spark.range(2000).selectExpr("id % 3 as k", "id as t")
+    assert scan.placed(df, ["k"], ["t"]).rdd.getNumPartitions() == 20
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert roles.candidates(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // 100)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import scan, segments
+from tidemark.plans.lineage import pieces
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
@@ -123,7 +124,8 @@ def bracketed(events: DataFrame, samples: DataFrame, keys: list[str], value: str
     here = F.when(F.col("kind") == 1, F.struct("t", "n", "full", "v"))
     got = scan(both, keys, ["t", "kind", "__id"], last={"back": here}, first={"ahead": here}, sums={"run_n": F.col("n"), "run_full": F.col("full"), "run_s": F.col("s")})
     mark = lambda k: F.max(F.when(F.col("kind") == k, F.struct("t", "back", "ahead", "run_n", "run_full", "run_s")))
-    got = got.filter("kind != 1").groupBy("__id").agg(mark(0).alias("a"), mark(2).alias("b"), mark(3).alias("c"))
+    # three marks of an event meet in as many tasks as the events ask for
+    got = got.filter("kind != 1").repartition(pieces(asked), "__id").groupBy("__id").agg(mark(0).alias("a"), mark(2).alias("b"), mark(3).alias("c"))
     before = F.when(F.col("a.ahead.t") == F.col("a.t"), F.col("a.ahead")).otherwise(F.col("a.back"))
     after = F.when(F.col("b.back.t") == F.col("b.t"), F.col("b.back")).otherwise(F.col("b.ahead"))
     far = lambda c: F.abs(F.unix_micros(c) - F.unix_micros("c.t")) / 60e6

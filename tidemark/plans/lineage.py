@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task is to sort or group at most, about.
+TASK_ROWS = 500_000
+
+
+def pieces(df: DataFrame, rows: int | None = None) -> int:
+    """Partitions for df (or so many rows) by its rows, TASK_ROWS each, at least the session's: tasks stay as large as they are when the table grows."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((df.count() if rows is None else rows) / TASK_ROWS))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, which goes when the session ends or the innermost `spent` block does."""
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
