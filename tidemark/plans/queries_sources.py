@@ -337,9 +337,11 @@ def utm_places(spark: SparkSession, sf: str) -> DataFrame:
 def hull_zones(spark: SparkSession, sf: str) -> DataFrame:
     """FX-03 (hulls): every turbine of a farm lies in its farm's hull, to a centimetre."""
     t = R.turbines(spark, sf)
-    e = R.dwells(spark, sf).select("found_id").join(t.select("found_id", "wind_farm", "latitude", "longitude"), "found_id")
-    met = e.join(M.hulls(t), "wind_farm").withColumn("d", M.hull_distance(F.col("latitude"), F.col("longitude")))
-    return met.groupBy("wind_farm").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("d") <= 0.01).alias("inside"))
+    # an event lies where its turbine does, so each place is measured once, with its events
+    e = R.dwells(spark, sf).groupBy("found_id").agg(F.count(F.lit(1)).alias("n"))
+    places = e.join(t.select("found_id", "wind_farm", "latitude", "longitude"), "found_id").groupBy("wind_farm", "latitude", "longitude").agg(F.sum("n").alias("n"))
+    met = places.join(M.hulls(t), "wind_farm").withColumn("d", M.hull_distance(F.col("latitude"), F.col("longitude")))
+    return met.groupBy("wind_farm").agg(F.sum("n").alias("events"), F.sum(F.when(F.col("d") <= 0.01, F.col("n")).otherwise(0)).alias("inside"))
 
 
 @query()
