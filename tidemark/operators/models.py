@@ -66,7 +66,9 @@ def cross_validate(df: DataFrame, features: list[str], label: str, group: str, f
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    data = assign_folds(df, group, folds)
+    from tidemark.plans.lineage import cut
+
+    data = cut(assign_folds(df.select(*dict.fromkeys([*features, label, group])), group, folds))  # read again by every step of every fold
     filled = [f"__{c}" for c in features]
     model = LogisticRegression(featuresCol="x", labelCol=label) if kind == "logistic" else RandomForestClassifier(featuresCol="x", labelCol=label, maxDepth=4, numTrees=20, seed=seed)
     steps = Pipeline(stages=[Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model])
@@ -90,6 +92,7 @@ def compare(df: DataFrame, features: list[str], label: str, group: str, row_id:
     from tidemark.plans.lineage import cut
 
     thresholds = [round(0.05 * i, 2) for i in range(1, 20)]
+    df = cut(df.select(*dict.fromkeys([*features, label, group, row_id])))
     share = df.agg(F.avg(label).alias("score"))
     runs = {
         "majority": df.select(group, label).crossJoin(F.broadcast(share)),
