@@ -72,3 +72,18 @@ def test_grid_plans_and_sites(spark):
     series = G.point_series(field, points.limit(1).selectExpr("wind_farm", "sample_point_id", "54.0D as grid_lat", "7.0D as grid_lon", "1.0D as km", "'nearest_valid_grid' as match_status").drop("wind_farm").withColumn("wind_farm", F.lit("a")))
     assert series.count() == 3
     assert G.valid_cells(field, "hs").count() == 1 and G.valid_cells(field, "tp").count() == 0
+
+
+def test_events_without_a_group_are_spread(spark):
+    """Rows with a null group must not meet in one task."""
+    from tidemark.operators.intensity import duplicate_weight
+
+    df = spark.range(3000).selectExpr("id", "if(id % 5 = 0, id div 50, null) as duplicate_group_id", "if(id % 2 = 0, 'a', 'b') as wind_farm")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = duplicate_weight(df)
+        assert "__spread" in "".join(x.split("),")[0] for x in out._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:])
+        assert {(r.wind_farm, r.weight) for r in out.filter("id % 5 != 0").collect()} == {("a", 1.0), ("b", 1.0)}
+        assert {r.weight for r in out.filter("id % 5 = 0").collect()} == {0.5}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

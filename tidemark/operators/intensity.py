@@ -53,12 +53,15 @@ def denominator(manifest: DataFrame, metadata: DataFrame) -> DataFrame:
 def duplicate_weight(events: DataFrame, group: str = "duplicate_group_id", farm: str = "wind_farm") -> DataFrame:
     """events with weight = 1 / distinct farms of their duplicate group; 1 without a group."""
     n = events.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(farm).alias("__n"))
-    return events.join(n, group, "left").withColumn("weight", F.coalesce(1.0 / F.col("__n"), F.lit(1.0))).drop("__n")
+    # most events may have no group, and a join would put those into one task
+    spread = F.when(F.col(group).isNull(), F.pmod(F.xxhash64(*events.columns), F.lit(4096))).otherwise(0).cast("int")
+    n = n.withColumn("__spread", F.least("__n", F.lit(0)).cast("int"))  # 0; as a constant it would leave the join's keys
+    return events.withColumn("__spread", spread).join(n, [group, "__spread"], "left").withColumn("weight", F.coalesce(1.0 / F.col("__n"), F.lit(1.0))).select(*events.columns, "weight")
 
 
 def numerators(events: DataFrame, metadata: DataFrame, long_min: float = 120.0) -> DataFrame:
     """Farm counts of tier A and B dwells, long ones, vessels, phases and duplicate-adjusted sums; pre-operational rows apart."""
-    e = events.join(metadata, "wind_farm", "left")
+    e = events.join(F.broadcast(metadata), "wind_farm", "left")  # a row for each farm; events would gather in the farms' tasks
     e = e.withColumn("phase", lifecycle_phase(F.trunc("start_utc", "MM"), F.col("first_month"), F.col("steady_start")))
     counted = e.filter(F.col("phase") != "pre_operational")
     w = duplicate_weight(counted)
