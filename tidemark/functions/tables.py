@@ -11,16 +11,21 @@ from pyspark.sql.functions import udtf
 
 @udtf(returnType="dwell_id long, source_a string, source_b string, hs_diff double, tp_diff double, direction_diff double")
 class SourcePairs:
-    """source_pairs(TABLE(candidates) PARTITION BY dwell_id): every two sources of an event, the first before the second in the order of rank, and by how much they differ.
+    """source_pairs(TABLE(candidates) PARTITION BY part ORDER BY dwell_id): every two sources of an event, the first before the second in the order of rank, and by how much they differ.
 
-    The table has dwell_id, source, rank, hs, tp and direction. An event has a
-    handful of sources, which is what a partition holds.
+    The table has dwell_id, source, rank, hs, tp and direction. Partitions are
+    those of any column that keeps an event's rows together, dwell_id itself
+    or a hash of it, so that not every event starts a function. An event has a
+    handful of sources, which is what is held at a time.
     """
 
     def __init__(self) -> None:
         self.rows: list[Row] = []
 
-    def eval(self, row: Row) -> None:
+    def eval(self, row: Row) -> Iterator[tuple]:
+        if self.rows and self.rows[0]["dwell_id"] != row["dwell_id"]:
+            yield from self.terminate()
+            self.rows = []
         self.rows.append(row)
 
     def terminate(self) -> Iterator[tuple]:

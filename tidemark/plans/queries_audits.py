@@ -115,8 +115,8 @@ def source_pairs_in_sql(spark: SparkSession, sf: str) -> DataFrame:
     """UD-03, SC-03: the pairs of sources by a table function, called from SQL on a temporary view."""
     T.register_tables(spark)
     c = R.candidates(spark, sf)
-    c.withColumn("rank", E.source_rank(F.col("source"))).createOrReplaceTempView("tidemark_candidates")
-    got = spark.sql("SELECT * FROM source_pairs(TABLE(SELECT dwell_id, source, rank, hs, tp, direction FROM tidemark_candidates) PARTITION BY dwell_id)")
+    c.withColumn("rank", E.source_rank(F.col("source"))).withColumn("part", F.pmod(F.xxhash64("dwell_id"), F.lit(4096))).createOrReplaceTempView("tidemark_candidates")
+    got = spark.sql("SELECT * FROM source_pairs(TABLE(SELECT dwell_id, source, rank, hs, tp, direction, part FROM tidemark_candidates) PARTITION BY part ORDER BY dwell_id)")
     out = rounded(got, hs_diff=5, tp_diff=5, direction_diff=5)
     return out.withColumns({c: F.col(c) + 0.0 for c in ("hs_diff", "tp_diff")})
 
