@@ -43,15 +43,15 @@ def nearest_cell(points: DataFrame, cells: DataFrame, max_km: float = 25.0, widt
     at least max_km wide, in longitude up to the latitude where width degrees
     are that far. no_valid_grid_within_search: no cell there. With cells that
     were not checked for values the status is nearest_unchecked; with in_box,
-    points outside the box of all cells are outside_grid.
+    points outside the box of all cells are outside_grid. A place is compared
+    once, however many points are there.
     """
-    p = points.withColumn("__id", F.struct(*keys)).withColumn("__c", F.explode(geo.neighbours(F.col("lat"), F.col("lon"), width)))
-    p = p.select("__id", "lat", "lon", F.col("__c.cy").alias("cy"), F.col("__c.cx").alias("cx"))
+    p = points.select("lat", "lon").distinct().withColumn("__c", F.explode(geo.neighbours(F.col("lat"), F.col("lon"), width)))
+    p = p.select("lat", "lon", F.col("__c.cy").alias("cy"), F.col("__c.cx").alias("cx"))
     c = cells.select("grid_lat", "grid_lon", geo.cell(F.col("grid_lat"), width).alias("cy"), geo.cell(F.col("grid_lon"), width).alias("cx"))
     km = geo.haversine(F.col("lat"), F.col("lon"), F.col("grid_lat"), F.col("grid_lon"), geo.EARTH_KM)
-    best = p.join(c, ["cy", "cx"]).withColumn("km", km).groupBy("__id").agg(F.min(F.struct("km", "grid_lat", "grid_lon")).alias("b"))
-    best = best.select(*(F.col(f"__id.{k}").alias(k) for k in keys), "b.*")
-    out = points.join(best, list(keys), "left")
+    best = p.join(c, ["cy", "cx"]).withColumn("km", km).groupBy("lat", "lon").agg(F.min(F.struct("km", "grid_lat", "grid_lon")).alias("b")).select("lat", "lon", "b.*")
+    out = points.join(best, ["lat", "lon"], "left").select(*keys, *(c for c in points.columns if c not in keys), "km", "grid_lat", "grid_lon")
     status = F.when(F.col("km").isNull(), "no_valid_grid_within_search").when(F.col("km") <= max_km, "nearest_valid_grid" if checked else "nearest_unchecked").otherwise("valid_grid_too_far")
     if in_box:
         box = cells.agg(F.min("grid_lat").alias("__a"), F.max("grid_lat").alias("__b"), F.min("grid_lon").alias("__c"), F.max("grid_lon").alias("__d"))
