@@ -90,6 +90,33 @@ def test_vessel_state_is_that_of_a_batch_whatever_the_files(spark, tmp_path):
     assert sum(g[4] for g in got) == 2  # from 54 to 56 degrees and back in 10 and 20 minutes
 
 
+#: Vessels on both sides of the edges of groups, one far off, one below zero, one without a number: five groups.
+FLEET = [None, -1, *range(64), 2**40, 2**40 + 31]
+
+
+def once(spark, tmp_path, make, rows, name):
+    """Pings in two files, one run of the stream; its rows and the rows of state after each micro-batch."""
+    spark.createDataFrame([(m, T0 + dt.timedelta(minutes=t), lat, lon, s) for m, t, lat, lon, s in rows], SCHEMA).repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = live.new_files(spark, spark.createDataFrame([], SCHEMA).schema, str(tmp_path / "in"))
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).collect(), [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+
+
+def test_vessels_of_neighbouring_numbers_share_a_row_of_state(spark, tmp_path):
+    """Each vessel's speeds are its own, though a group of 32 is answered at once; the i-th vessel moves by i thousandths of a degree in ten minutes."""
+    rows = [(m, 10 * k + i % 7, 54.0 + k * i / 1000, 7.0, 0.1) for i, m in enumerate(FLEET) for k in range(3)] + [(5, 900, 54.0, 7.0, 0.1)]
+    with live.keyed_state(spark):
+        got, state = once(spark, tmp_path, live.vessel_state, rows, "s7")
+    assert state[0] == 5  # not one for each of 68 vessels
+    assert len(got) == 3 * len(FLEET) and {r.mmsi for r in got} == set(FLEET)
+    for i, m in enumerate(FLEET):
+        own = sorted((r.ts, r.lat, r.implied_knots, r.alert) for r in got if r.mmsi == m)
+        assert [r[:2] for r in own] == [(T0 + dt.timedelta(minutes=10 * k + i % 7), 54.0 + k * i / 1000) for k in range(3)]
+        assert own[0][2:] == (None, False)
+        assert all(abs(r[2] - 60.04 * i / 1000 * 6) <= 0.002 * max(r[2], 1) and r[3] == (i * 0.36024 > 45) for r in own[1:])
+
+
 def test_a_batch_that_fails_after_its_write_is_written_once(spark, tmp_path):
     src, root, log = (str(tmp_path / d) for d in ("in", "root", "log"))
     df = spark.range(90).selectExpr("id", "id % 3 as k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import queries_events as QE
 from tidemark.plans import roles as R
-from tidemark.plans.lineage import scratch
+from tidemark.plans.lineage import TASK_ROWS, scratch
 from tidemark.plans.register import query, rounded
 from tidemark.streaming import files as N
 from tidemark.streaming import live as L
@@ -126,10 +127,11 @@ SELECT mmsi, count(*) AS pings, count(*) FILTER (hours > 0 AND hours <= 2) AS wi
 def stream_vessel_state(spark: SparkSession, sf: str) -> DataFrame:
     """ST-08: pings in many files that come in three parts, each a run of the stream that goes on where the last one ended."""
     p = _pings(spark, sf)
-    times = p.select(F.percentile_approx(F.unix_seconds("ts"), [1 / 3, 2 / 3]).alias("q")).first().q or [0, 0]
+    found = p.select(F.percentile_approx(F.unix_seconds("ts"), [1 / 3, 2 / 3]).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    times, files = found.q or [0, 0], max(4, math.ceil(found.n / 3 / TASK_ROWS))
     t, path, base = F.unix_seconds("ts"), scratch(spark), scratch(spark)
     with L.keyed_state(spark):
         for part in (t <= times[0], (t > times[0]) & (t <= times[1]), t > times[1]):
-            p.filter(part).repartition(4, "event_id").write.mode("append").parquet(path)
-            got, _ = L.drain(L.vessel_state(L.new_files(spark, p.schema, path)), base)
+            p.filter(part).repartition(files, "event_id").write.mode("append").parquet(path)
+            got, _ = L.drain(L.vessel_state(L.new_files(spark, p.schema, path, files)), base)
     return got.groupBy("mmsi").agg(F.count(F.lit(1)).alias("pings"), F.count("implied_knots").alias("with_speed"), F.count_if("alert").alias("alerts"))

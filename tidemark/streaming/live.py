@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,6 +26,27 @@ def without_duplicates(stream: DataFrame, delay: str = "10 minutes") -> DataFram
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["mmsi", "ts"])
 
 
+#: Vessels whose numbers differ in so many last bits alone form a group: a call of Python and a row of state serve up to 32 vessels, however many there are.
+BITS = 5
+#: The group of pings without a vessel's number, beyond all others; workers get no nulls as keys, which would make their column one of floats.
+NOBODY = 2**62
+
+
+def _grouped(stream: DataFrame, delay: str, *columns: Column | str) -> DataFrame:
+    """A stream with its watermark, each vessel's number split into a group (fleet) and its place there (unit), and times as microseconds (us)."""
+    mmsi = F.col("mmsi").cast("long")
+    fleet, unit = F.coalesce(F.shiftright(mmsi, BITS), F.lit(NOBODY)), F.coalesce(mmsi.bitwiseAND(F.lit(2**BITS - 1)).cast("long"), F.lit(0).cast("long"))
+    return stream.withWatermark("ts", delay).select("ts", fleet.alias("fleet"), unit.alias("unit"), F.unix_micros("ts").alias("us"), *columns)
+
+
+def _mmsi() -> Column:
+    return F.when(F.col("fleet") < NOBODY, F.shiftleft("fleet", BITS) + F.col("unit")).alias("mmsi")
+
+
+def _columns(types: dict[str, str], values: Iterable[list]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.array(v, "int64" if types[c] == "long" else "float64") for c, v in zip(types, values)})
+
+
 def dwell_sessions(stream: DataFrame, gap_minutes: float = 30.0, least_minutes: float = 15.0, delay: str = "1 hour") -> DataFrame:
     """Dwell sessions of matched pings (filtered), each sent once it is closed; the same as those of a batch.
 
@@ -96,64 +117,64 @@ def nearby_samples(pings: DataFrame, samples: DataFrame, key: str, tolerance: st
     return a.join(b, near)
 
 
-class _LastPosition(StatefulProcessor):
-    """A vessel's last known position, and its pings that the watermark hasn't passed yet.
+class _LastPositions(StatefulProcessor):
+    """The last known positions of a group of vessels, and their pings that the watermark hasn't passed yet.
 
     Pings wait until none older can come, so they are answered in order of
-    time whatever files and batches they come in. A timer wakes the vessel
-    for the next ping that waits, or when its position is to be forgotten.
+    time whatever files and batches they come in. A timer wakes the group
+    for the next ping that waits, or when a position is to be forgotten.
     """
 
+    rows = {"unit": "long", "us": "long", "lat": "double", "lon": "double"}
+
     def __init__(self, max_knots: float, forget_hours: float) -> None:
-        self.max_knots, self.forget = max_knots, forget_hours * 3600
+        self.max_knots, self.forget = max_knots, int(forget_hours * 3_600_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t double, lat double, lon double")
-        self.waiting = handle.getListState("waiting", "t double, lat double, lon double")
+        kept = ", ".join(f"{c} array<{t}>" for c, t in self.rows.items())
+        self.last = handle.getValueState("last", kept)
+        self.waiting = handle.getListState("waiting", kept)  # an element for each batch that brought some
 
-    def _wake(self, at: float | None) -> None:
-        for t in list(self.handle.listTimers()):
+    def _wake(self, at: int | None, held: list[int]) -> None:
+        for t in held:
             self.handle.deleteTimer(t)
         if at is not None:
-            self.handle.registerTimer(int(at * 1000) + 1)
+            self.handle.registerTimer(at // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for f in rows for r in zip((f.ts.astype("int64") / 10 ** (9 if f.ts.dtype == "datetime64[ns]" else 6)).tolist(), f.lat.tolist(), f.lon.tolist())]
-        self.waiting.appendList(new)
-        held = list(self.handle.listTimers())
-        first = min(r[0] for r in new)
-        if not held or first * 1000 < min(held):
-            self._wake(first)
+        new = pd.concat(list(rows), ignore_index=True)
+        self.waiting.appendValue(tuple(new[c].tolist() for c in self.rows))
+        held, first = list(self.handle.listTimers()), int(new.us.min())
+        if not held or first // 1000 + 1 < min(held):
+            self._wake(first, held)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() / 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
-        before = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for t, lat, lon in ready:
-            knots = None
-            if before is not None and 0 < t - before[0] <= self.forget:
-                a = np.sin(np.radians(lat - before[1]) / 2) ** 2 + np.cos(np.radians(before[1])) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - before[2]) / 2) ** 2
-                knots = float(2 * 3440.065 * np.arcsin(min(1.0, np.sqrt(a))) / ((t - before[0]) / 3600))
-            out.append((t, lat, lon, knots))
-            before = (t, lat, lon)
-        if later:
-            self.waiting.put(later)
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        last = [self.last.get()] if self.last.exists() else []
+        parts = [_columns(self.rows, r).assign(new=new) for new, rs in ((False, last), (True, self.waiting.get())) for r in rs]
+        rows = pd.concat(parts, ignore_index=True)
+        later = rows[rows.us >= now]
+        r = rows[rows.us < now].sort_values(["unit", "new", "us", "lat", "lon"], ignore_index=True)
+        since = (r.us - r.us.shift(fill_value=0)).to_numpy()
+        known = (r.unit == r.unit.shift(fill_value=-1)).to_numpy() & (since > 0) & (since <= self.forget)
+        lat, lon, lat0, lon0 = r.lat.to_numpy(), r.lon.to_numpy(), r.lat.shift().to_numpy(), r.lon.shift().to_numpy()
+        a = np.sin(np.radians(lat - lat0) / 2) ** 2 + np.cos(np.radians(lat0)) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - lon0) / 2) ** 2
+        knots = 2 * 3440.065 * np.arcsin(np.minimum(1.0, np.sqrt(a))) / np.where(known, since / 3600e6, np.nan)
+        if len(later):
+            self.waiting.put([tuple(later[c].tolist() for c in self.rows)])
         else:
             self.waiting.clear()
-        if before is not None and before[0] + self.forget >= now:
-            self.last.update(before)
-        else:
+        kept = r[~r.unit.duplicated(keep="last") & (r.us + self.forget >= now)]
+        if len(kept):
+            self.last.update(tuple(kept[c].tolist() for c in self.rows))
+        elif last:
             self.last.clear()
-            before = None
-        self._wake(later[0][0] if later else before[0] + self.forget if before is not None else None)
-        if out:
-            t, lat, lon, knots = zip(*out)
-            knots = pd.Series(knots, dtype="float64")
-            yield pd.DataFrame({"mmsi": key[0], "ts": pd.to_datetime(pd.Series(t), unit="s"), "lat": lat, "lon": lon, "implied_knots": knots.astype(object).where(knots.notna(), None), "alert": knots > self.max_knots})
+        self._wake(min([*later.us, *(kept.us + self.forget)], default=None), list(self.handle.listTimers()))
+        if r.new.any():
+            out = pd.DataFrame({"fleet": key[0], "unit": r.unit, "us": r.us, "lat": lat, "lon": lon, "implied_knots": knots, "alert": knots > self.max_knots})
+            yield out[r.new]
 
     def close(self) -> None:
         pass
@@ -164,11 +185,13 @@ def vessel_state(stream: DataFrame, max_knots: float = 45.0, forget_hours: float
 
     The same rows as a batch in order of time, for pings that the watermark
     has passed; speed is null without a ping in the forget_hours before, and
-    without time between. State, with `keyed_state`, is a vessel's last position,
-    forgotten by a timer (event time), and the pings that still wait.
+    without time between. State, with `keyed_state`, is for each group of
+    vessels their last positions, forgotten by a timer (event time), and the
+    pings that still wait.
     """
-    out = "mmsi long, ts timestamp, lat double, lon double, implied_knots double, alert boolean"
-    return stream.withWatermark("ts", delay).select("mmsi", "ts", "lat", "lon").groupBy("mmsi").transformWithStateInPandas(_LastPosition(max_knots, forget_hours), out, "Append", "EventTime")
+    out = "fleet long, unit long, us long, lat double, lon double, implied_knots double, alert boolean"
+    pings = _grouped(stream, delay, "lat", "lon").groupBy("fleet").transformWithStateInPandas(_LastPositions(max_knots, forget_hours), out, "Append", "EventTime")
+    return pings.select(_mmsi(), F.timestamp_micros("us").alias("ts"), "lat", "lon", "implied_knots", "alert")
 
 
 @contextmanager
