@@ -117,6 +117,18 @@ def test_vessels_of_neighbouring_numbers_share_a_row_of_state(spark, tmp_path):
         assert all(abs(r[2] - 60.04 * i / 1000 * 6) <= 0.002 * max(r[2], 1) and r[3] == (i * 0.36024 > 45) for r in own[1:])
 
 
+def test_sessions_of_vessels_of_neighbouring_numbers_are_their_own(spark, tmp_path):
+    """One row of state for a group of up to 32 vessels, sessions as in a batch: gaps, another turbine, two pings at a time."""
+    t = spark.createDataFrame([(1, "a", 54.0, 7.0), (2, "a", 54.0004, 7.0)], "found_id long, wind_farm string, latitude double, longitude double")
+    rows = [(m, x + i % 5, 54.0003 if (x // 20 + i) % 4 == 0 else 54.0, 7.0, (x % 7) / 20) for i, m in enumerate(FLEET) for x in range(0, 200, 4 + i % 9) if not 80 < x < 80 + i]
+    rows += [(m, x, 54.0003, 7.0, 0.3) for m, x, lat, _, _ in rows if x % 3 == 0 and lat == 54.0]
+    got, state = once(spark, tmp_path, lambda s: live.dwell_sessions(live.filtered(s, t)), [*rows, (5, 900, 54.0, 7.0, 0.1)], "s8")
+    assert state[0] == 5  # not one for each of 68 vessels
+    batch = P.dwell_events(spark.createDataFrame([(m, T0 + dt.timedelta(minutes=x), la, lo, s) for m, x, la, lo, s in rows], SCHEMA), t).collect()
+    own = lambda rs: sorted((str(r.mmsi), r.start, r.end, r.found_id, r.ping_count, round(r.mean_sog, 9), round(r.min_dist, 6), r.duration_min) for r in rs)
+    assert len(batch) > 100 and {r.mmsi for r in batch} == {r.mmsi for r in got} and own(got) == own(batch)
+
+
 def test_a_batch_that_fails_after_its_write_is_written_once(spark, tmp_path):
     src, root, log = (str(tmp_path / d) for d in ("in", "root", "log"))
     df = spark.range(90).selectExpr("id", "id % 3 as k")

@@ -51,47 +51,41 @@ def dwell_sessions(stream: DataFrame, gap_minutes: float = 30.0, least_minutes:
     """Dwell sessions of matched pings (filtered), each sent once it is closed; the same as those of a batch.
 
     A session ends at a longer gap or at another turbine; shorter ones than
-    least_minutes go. State is, for each vessel, the pings beyond the
-    watermark, as earlier ones may still come, and one open session.
+    least_minutes go. State is, for each group of vessels, the pings beyond
+    the watermark, as earlier ones may still come, and a vessel's open session.
     """
-    gap = gap_minutes * 60
-    out = "mmsi long, found_id long, start timestamp, end timestamp, ping_count long, mean_sog double, min_dist double, duration_min double"
-    waiting = ["t", "found", "sog", "dist"]
+    gap = int(gap_minutes * 60_000_000)
+    out = "fleet long, unit long, found_id long, start long, end long, ping_count long, mean_sog double, min_dist double, duration_min double"
+    waiting = {"unit": "long", "us": "long", "found": "long", "sog": "double", "dist": "double"}
+    session = {"unit": "long", "found": "long", "start": "long", "end": "long", "n": "long", "sog": "double", "dist": "double"}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in state.get] if state.exists else [[] for _ in range(10)]
-        parts = [pd.DataFrame(dict(zip(waiting, held[:4])))]
-        for f in () if state.hasTimedOut else frames:
-            parts.append(pd.DataFrame({"t": f.ts.astype("int64") / 10 ** (9 if f.ts.dtype == "datetime64[ns]" else 6), "found": f.found_id, "sog": f.sog, "dist": f.dist_m}))
-        rows = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else parts[0]
-        now = state.getCurrentWatermarkMs() / 1000
-        ready, later = rows[rows.t < now], rows[rows.t >= now]
-        ready = ready.sort_values(["t", "dist", "found"]).drop_duplicates("t")
-        sessions = pd.DataFrame(dict(zip(["found", "start", "end", "n", "sog", "dist"], held[4:])))
-        if len(ready):
-            new = (ready.found != ready.found.shift()) | (ready.t - ready.t.shift() > gap)
-            own = ready.groupby(new.cumsum()).agg(found=("found", "first"), start=("t", "min"), end=("t", "max"), n=("t", "size"), sog=("sog", "sum"), dist=("dist", "min"))
-            if len(sessions) and sessions.found.iloc[0] == own.found.iloc[0] and own.start.iloc[0] - sessions.end.iloc[0] <= gap:
-                first, old = own.index[0], sessions.iloc[0]
-                own.loc[first, ["start", "n", "sog", "dist"]] = [old.start, old.n + own.n.loc[first], old.sog + own.sog.loc[first], min(old.dist, own.dist.loc[first])]
-                sessions = sessions.iloc[1:]
-            sessions = pd.concat([s for s in (sessions, own) if len(s)], ignore_index=True)
-        open_ = sessions.iloc[-1:] if len(sessions) and sessions.end.iloc[-1] + gap >= now else sessions.iloc[:0]
-        done = sessions.iloc[: len(sessions) - len(open_)]
+        held = state.get if state.exists else [[]] * (len(waiting) + len(session))
+        rows = pd.concat([_columns(waiting, held[: len(waiting)]), *(() if state.hasTimedOut else (f[list(waiting)] for f in frames))], ignore_index=True)
+        now = state.getCurrentWatermarkMs() * 1000
+        ready, later = rows[rows.us < now], rows[rows.us >= now]
+        ready = ready.sort_values(["unit", "us", "dist", "found"]).drop_duplicates(["unit", "us"])
+        # open sessions, and each ping as one of its own; all pings are later than the open session of their vessel
+        parts = pd.concat([_columns(session, held[len(waiting) :]), ready.assign(start=ready.us, end=ready.us, n=1)[list(session)]]).sort_values(["unit", "start"], ignore_index=True)
+        same = (parts.unit == parts.unit.shift(fill_value=-1)) & (parts.found == parts.found.shift(fill_value=0)) & (parts.start - parts.end.shift(fill_value=0) <= gap)
+        sessions = parts.groupby((~same).cumsum()).agg({"unit": "first", "found": "first", "start": "min", "end": "max", "n": "sum", "sog": "sum", "dist": "min"})
+        is_open = ~sessions.unit.duplicated(keep="last") & (sessions.end + gap >= now)
+        open_, done = sessions[is_open], sessions[~is_open]
         if len(later) or len(open_):
-            state.update((*([float(x) for x in later.t], [int(x) for x in later.found], [float(x) for x in later.sog], [float(x) for x in later.dist]), *([float(x) for x in open_[c]] for c in ("found", "start", "end", "n", "sog", "dist"))))
-            at = min([*later.t, *(open_.end + gap)])
-            state.setTimeoutTimestamp(int(max(at * 1000, now * 1000)) + 1)
+            state.update((*(later[c].tolist() for c in waiting), *(open_[c].tolist() for c in session)))
+            state.setTimeoutTimestamp(max(min([*later.us, *(open_.end + gap)]), now) // 1000 + 1)
         elif state.exists:
             state.remove()
-        done = done[(done.end - done.start) / 60 >= least_minutes]
-        yield pd.DataFrame(
-            {"mmsi": key[0], "found_id": done.found.astype("int64"), "start": pd.to_datetime(done.start, unit="s"), "end": pd.to_datetime(done.end, unit="s"), "ping_count": done.n.astype("int64"),
-             "mean_sog": done.sog / done.n, "min_dist": done.dist, "duration_min": (done.end - done.start) / 60}
-        )
-
-    kept = ", ".join(f"{c} array<{'long' if c == 'found' else 'double'}>" for c in waiting) + ", " + ", ".join(f"s_{c} array<double>" for c in ("found", "start", "end", "n", "sog", "dist"))
-    return stream.withWatermark("ts", delay).groupBy("mmsi").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+        done = done[(done.end - done.start) / 60e6 >= least_minutes]
+        if len(done):
+            yield pd.DataFrame(
+                {"fleet": key[0], "unit": done.unit, "found_id": done.found, "start": done.start, "end": done.end, "ping_count": done.n, "mean_sog": done.sog / done.n, "min_dist": done.dist, "duration_min": (done.end - done.start) / 60e6}
+            )
+
+    kept = ", ".join(f"{name}_{c} array<{t}>" for name, types in (("w", waiting), ("s", session)) for c, t in types.items())
+    pings = _grouped(stream, delay, F.col("found_id").alias("found"), "sog", F.col("dist_m").alias("dist"))
+    found = pings.groupBy("fleet").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(_mmsi(), "found_id", *(F.timestamp_micros(c).alias(c) for c in ("start", "end")), "ping_count", "mean_sog", "min_dist", "duration_min")
 
 
 def hourly(stream: DataFrame, value: str, delay: str = "1 hour") -> DataFrame:
